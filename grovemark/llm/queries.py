@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, license_scan, mixing, warc
+from . import fingerprint, license_scan, mixing, packing, quality, warc
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -14,6 +14,8 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_factorisation_machine": lambda spark, sf_dir: quality.quality_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op2_window_packing": _over("documents", packing.packing_digest),
     "op3_poisson_mix": _over("documents", mixing.mix_sources),
     "op8_warc_bundles": _over("pages", warc.warc_digest),
     "op9_bottom_k": _over("documents", fingerprint.fingerprint_digest),
