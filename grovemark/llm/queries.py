@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, inverted_index, license_scan, minhash, mixing, packing, quality, warc
+from . import fingerprint, interpolation, inverted_index, license_scan, minhash, mixing, packing, quality, warc
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_factorisation_machine": lambda spark, sf_dir: quality.quality_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op2_window_packing": _over("documents", packing.packing_digest),
     "op3_poisson_mix": _over("documents", mixing.mix_sources),
+    "op4_deleted_interpolation": _over("documents", interpolation.interpolated_scores),
     "op5_bbit_minhash": _over("documents", minhash.near_duplicate_digest),
     "op6_inverted_multi_index": _over("embeddings", inverted_index.near_vectors),
     "op8_warc_bundles": _over("pages", warc.warc_digest),
