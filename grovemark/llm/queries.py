@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, interpolation, inverted_index, license_scan, minhash, mixing, packing, quality, warc
+from . import fingerprint, interpolation, inverted_index, license_scan, minhash, mixing, packing, quality, suffix_dedup, warc
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_deleted_interpolation": _over("documents", interpolation.interpolated_scores),
     "op5_bbit_minhash": _over("documents", minhash.near_duplicate_digest),
     "op6_inverted_multi_index": _over("embeddings", inverted_index.near_vectors),
+    "op7_suffix_merge": _over("documents", suffix_dedup.repeat_digest),
     "op8_warc_bundles": _over("pages", warc.warc_digest),
     "op9_bottom_k": _over("documents", fingerprint.fingerprint_digest),
     "op10_license_scan": _over("documents", license_scan.scan_licenses),
