@@ -27,7 +27,7 @@ from .packing import slices
 #: Hashes that no word has but by chance: a text's end, and what stands before its first word.
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BUCKETS, ROUNDS, DELETED = 22, 12, 10
-TEXT = 12 << 20
+TEXT = 6 << 20
 HELD, KEPT, DEV = 0, 1, 2
 BLOCKS = "block long, ids array<long>, folds array<int>, edges array<long>, words binary, tokens binary, n long"
 ANSWERS = "kind int, block long, gram int, bucket int, totals binary, dev binary, v long, n long, v_kept long, n_kept long"
