@@ -35,7 +35,7 @@ PLACES = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 TEXT, SEGMENT = 4 << 20, 1 << 20
 #: Anchors that a bucket should hold about, over all blocks.
-PER_BUCKET = 1_000_000
+PER_BUCKET = 125_000
 #: Groups up to so many distinct surroundings are compared pairwise, larger ones are swept.
 FEW = 16
 
@@ -263,7 +263,7 @@ def _runs(bits: int):
             by_bucket: dict[int, list[tuple[bytes, bytes, int]]] = {}
             for (right, left), k in sorted(first.items()):
                 by_bucket.setdefault(int(bucket[k]), []).append((right, left, k))
-            out = [(0, None, row["block"], *[None] * 7, packed(np.array(spans, np.int64).ravel()))]
+            out = [(0, row["block"] % (1 << bits), row["block"], *[None] * 7, packed(np.array(spans, np.int64).ravel()))]
             for b, items in by_bucket.items():
                 ks = np.array([k for _, _, k in items])
                 shared, rests, tails = front_coded([r for r, _, _ in items])
@@ -320,12 +320,14 @@ def _repeats(members: list[tuple]) -> Iterator[tuple[int, int, int]]:
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in grouped(batches, "bucket"):
+        if own := [r for r in rows if r["kind"] == 0]:  # settled in their blocks
+            yield pa.record_batch([pa.array([r["block"] for r in own], pa.int64()), pa.array([r["spans"] for r in own], pa.binary())], ["block", "spans"])
         about, players = [], []
-        for r in rows:
+        for r in (r for r in rows if r["kind"] == 1):
             sizes = unpacked(r["left_sizes"])
             ends = np.cumsum(sizes)
             place = np.frombuffer(_unzip(r["places"]), "<i8")
-            about.append((_unzip(r["lefts"]), (ends - sizes).tolist(), ends.tolist(), np.frombuffer(_unzip(r["docs"]), "<i8").tolist(), (place & 0xFFFFFFFF).tolist(), (place >> 32).tolist(), r["block"]))
+            about.append((_unzip(r["lefts"]), memoryview(ends - sizes), memoryview(ends), memoryview(np.frombuffer(_unzip(r["docs"]), "<i8")), memoryview(place & 0xFFFFFFFF), memoryview(place >> 32), r["block"]))
             players.append(decoded(np.frombuffer(_unzip(r["shared"]), np.uint8), np.frombuffer(_unzip(r["rests"]), np.uint8), _unzip(r["tails"])))
         found: dict[int, list[int]] = {}
         group: list[tuple] = []
@@ -334,7 +336,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, lo, hi in _repeats(group):
                 found.setdefault(block, []).extend((lo, hi))
 
-        for text, shared, run, k in LoserTree(players):
+        for text, shared, run, k in LoserTree(players) if players else ():
             if shared < GRAM and group:
                 if len(group) > 1:
                     settle()
@@ -405,11 +407,9 @@ def _cut(docs: DataFrame, digest: bool) -> DataFrame:
         return both.repartition(n_parts, "block").sortWithinPartitions("block")
 
     names = "kind int, bucket int, block long, shared binary, rests binary, tails binary, lefts binary, left_sizes binary, docs binary, places binary, spans binary"
-    runs = scratch.save(beside(blocks.drop("n_anchors"), answers).mapInArrow(_runs(bits), names))
+    runs = beside(blocks.drop("n_anchors"), answers).mapInArrow(_runs(bits), names)
+    spans = scratch.save(runs.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_merged, SPANS))
     scratch.drop(answers)
-    sorted_runs = runs.where("kind = 1").drop("kind", "spans").repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "block")
-    spans = scratch.save(runs.where("kind = 0").select("block", "spans").union(sorted_runs.mapInArrow(_merged, SPANS)))
-    scratch.drop(runs)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else docs.schema
     return beside(blocks.drop("n_anchors"), spans).mapInArrow(_kept(docs.columns, digest), kind)
 
