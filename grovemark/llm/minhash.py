@@ -49,11 +49,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all words, edges of the texts in them); A-Z are lower-cased, null is empty."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = parts.flatten()
     words = flat.dictionary_encode()
     names = words.dictionary.to_pylist()
-    table = np.fromiter(map(xxhash.xxh3_64_intdigest, names), dtype=np.uint64, count=len(names))
+    table = np.fromiter((xxhash.xxh3_64_intdigest(w.encode().lower()) for w in names), dtype=np.uint64, count=len(names))  # bytes lower A-Z alone
     edges = parts.offsets.to_numpy() - parts.offsets[0].as_py()
     hashes = table[words.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
     if "" in names:  # what stands beside white space at a text's ends
