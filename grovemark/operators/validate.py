@@ -72,18 +72,22 @@ def json_errors(df: DataFrame, column: str, schema: dict) -> DataFrame:
     Text that is no JSON, or null, is invalid at the root. The first breach in the order of required, then of properties, is told.
     """
     v = F.try_parse_json(F.col(column))
-    wrong = [F.when(v.isNull(), F.struct(F.lit("/").alias("path"), F.lit("not JSON").alias("message")))]
+
+    def breach(condition: Column, path: str, message: str) -> Column:
+        return F.when(condition, F.struct(F.lit(path).alias("path"), F.lit(message).alias("message")))
+
+    wrong = [breach(v.isNull(), "/", "not JSON")]
     if "type" in schema:
-        wrong.append(F.when(json_type(v) != schema["type"], F.struct(F.lit("/"), F.concat(F.lit("not of type "), F.lit(schema["type"])))))
+        wrong.append(breach(json_type(v) != schema["type"], "/", f"not of type {schema['type']}"))
     for key in schema.get("required", ()):
-        wrong.append(F.when(F.try_variant_get(v, f"$.{key}", "variant").isNull(), F.struct(F.lit("/"), F.lit(f"{key} is required"))))
+        wrong.append(breach(F.try_variant_get(v, f"$.{key}", "variant").isNull(), "/", f"{key} is required"))
     for key, inner in schema.get("properties", {}).items():
         got = F.try_variant_get(v, f"$.{key}", "variant")
         kinds = inner.get("type", [])
         kinds = [kinds] if isinstance(kinds, str) else kinds
         fits = json_type(got).isin([*kinds, *(["integer"] if "number" in kinds else [])])
-        wrong.append(F.when(got.isNotNull() & ~fits, F.struct(F.lit(f"/{key}"), F.lit(f"not of type {', '.join(kinds)}"))))
+        wrong.append(breach(got.isNotNull() & ~fits, f"/{key}", f"not of type {', '.join(kinds)}"))
         if "enum" in inner:
-            wrong.append(F.when(got.isNotNull() & ~F.try_variant_get(v, f"$.{key}", "string").isin([str(x) for x in inner["enum"]]), F.struct(F.lit(f"/{key}"), F.lit("not an allowed value"))))
+            wrong.append(breach(got.isNotNull() & ~F.try_variant_get(v, f"$.{key}", "string").isin([str(x) for x in inner["enum"]]), f"/{key}", "not an allowed value"))
     first = F.coalesce(*wrong)
     return df.withColumn("_e", first).withColumn("valid", F.col("_e").isNull()).withColumn("error_path", F.col("_e.path")).withColumn("error", F.col("_e.message")).drop("_e")
