@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE, END = 4096, 2
-HORIZON, STEP = 1 << 20, 128
+HORIZON = 1 << 20
 #: What a cut costs, in tokens of padding: at a sentence's end, inside a sentence; and what one more sequence costs.
 AT_SENTENCE, INSIDE, SEQUENCE = 4.0, 32.0, 128
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -129,7 +129,7 @@ def cut_points(pos: list[int], cut: list[float], size: int = SIZE) -> list[int]:
     return out[::-1]
 
 
-def boundaries(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, step: int = STEP) -> tuple[list[int], list[float]]:
+def boundaries(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, step: int = SIZE // 32) -> tuple[list[int], list[float]]:
     """Where a stream may be cut, and what each cut costs."""
     n = len(ids)
     cost = np.full(n + 1, np.inf)
@@ -171,7 +171,7 @@ class Packer:
     def _pack(self, last: bool) -> Iterator[tuple]:
         ids = np.concatenate([d[3] for d in self.docs])
         doc_ends = np.cumsum([len(d[3]) for d in self.docs])
-        cuts = cut_points(*boundaries(ids, doc_ends, self.ends), self.size)
+        cuts = cut_points(*boundaries(ids, doc_ends, self.ends, max(1, self.size // 32)), self.size)
         if last:
             before = cuts[-2] if len(cuts) > 1 else 0
             tail = split_tail(cuts[-1] - before, self.size)
