@@ -210,7 +210,7 @@ def export(bundles: DataFrame, folder: str) -> int:
         store.create_dir(base, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column("bundle_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with store.open_output_stream(f"{base}/{name}.warc.zst") as f:
+                with store.open_output_stream(f"{base}/{name}.warc.zst", compression=None) as f:
                     f.write(content)
             yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
 
