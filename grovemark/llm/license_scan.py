@@ -15,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 SHINGLE, CONTAINED, RETRIEVE = 5, 0.8, 0.99999
 #: Templates are held by every executor: their shingles may be so many in all.
 MOST_SHINGLES = 200_000
@@ -111,7 +113,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
 
     at = {c: among(m) for c, m in marks.items()}
     hits = plain.select("doc_id", "_h", F.explode(F.array(*(F.struct(F.lit(c).alias("cls"), x.alias("hits")) for c, x in at.items()))).alias("_x"))
-    hits = hits.select("doc_id", "_h", "_x.*").where(F.size("hits") > 0)
+    hits = Scratch(spark).save(hits.select("doc_id", "_h", "_x.*").where(F.size("hits") > 0))  # few documents, dealt evenly again
     sized = {c: window_of(c) for c in classes}
     length = F.element_at(F.create_map(*(F.lit(x) for c in classes for x in (c, sized[c][0]))), F.col("cls"))
     stride = F.element_at(F.create_map(*(F.lit(x) for c in classes for x in (c, sized[c][1]))), F.col("cls"))
