@@ -66,8 +66,9 @@ class Match:
     alphas: list[float] = field(default_factory=list)
     key: Match | None = None  # of an object's child: how its key compared
     key_alphas: list[float] = field(default_factory=list)
-    rest: Match | None = None
     step: str | None = None
+    at: str | None = None  # the step in the prediction, or where the missing item belongs
+    scope: str | None = None  # of a reference
 
 
 @dataclass(frozen=True)
@@ -202,12 +203,13 @@ class _Run:
     def _reference(self, schema: Node, gold: Any, pred: Any) -> Match:
         scope = schema.ref
         if self.masked is not None and scope in self.masked:
-            return Match(1.0, gold, pred, kind="ref")
-        if gold is None or pred is None:
-            return Match(1.0 if gold is None and pred is None else schema.null_score, gold, pred, kind="ref", target=self.mappings.get(scope, {}).get(gold))
+            return Match(1.0, gold, pred, kind="ref", scope=scope)
         target = self.mappings.get(scope, {}).get(gold)
-        right = target is not None and target == pred and pred in self.pred_ids.get(scope, set())
-        return Match(float(right), gold, pred, kind="ref", target=target)
+        if gold is None or pred is None:
+            score = 1.0 if gold is None and pred is None else schema.null_score
+        else:
+            score = float(target is not None and target == pred and pred in self.pred_ids.get(scope, set()))
+        return Match(score, gold, pred, kind="ref", target=target, scope=scope)
 
     # Objects.
 
@@ -261,6 +263,7 @@ class _Run:
         keys_share = schema.key_importance / whole / len(rows)
         for key, value, w in rows:
             value.key, value.step = key, escaped(str(key.gold if key.gold is not ABSENT else key.pred))
+            value.at = escaped(str(key.pred if key.pred is not ABSENT else key.gold))
             out.children.append(value)
             out.key_alphas.append(keys_share)
             out.alphas.append(schema.value_importance / whole * w / weights if weights else 0.0)
@@ -316,7 +319,7 @@ class _Run:
                 m = Match(0.0, g, p, kind="unmatched")
             else:
                 m = self.node(child, g, p, f"{path}/{k}", gold_parent, pred_parent)
-            m.step = str(k)
+            m.step = m.at = str(k)
             out.children.append(m)
             weights.append(w)
         total = sum(weights)
@@ -337,7 +340,7 @@ class _Run:
         counted = []
         for k, (i, j) in enumerate(rows):
             m = cells[i][j] if i is not None and j is not None else Match(0.0, gold[i] if i is not None else ABSENT, pred[j] if j is not None else ABSENT, kind="unmatched")
-            m.step = str(k + shift)
+            m.step, m.at = str(k + shift), str((j if j is not None else i) + shift)
             out.children.append(m)
             # A null item counts as an empty place here.
             counted.append(not (schema.ignore_excess and m.gold in (ABSENT, None) or schema.ignore_missing and m.pred in (ABSENT, None)))

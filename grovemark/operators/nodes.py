@@ -20,7 +20,7 @@ from .validate import first_error
 NODES = (
     "pair_id string, valid boolean, total double, node_id int, parent_id int, depth int, path string, part string, node_type string, kind string, parent_kind string, list_path string, score double, confidence double,"
     " weight double, is_leaf boolean, has_gold boolean, has_pred boolean, gold string, pred string, gold_repr string, pred_repr string, target string, target_repr string, has_target boolean, gold_key string, pred_key string,"
-    " renamed int, n_gold int, n_pred int, key_score double, key_weight double, key_confidence double, error_path string, error string"
+    " renamed int, n_gold int, n_pred int, at string, list_at string, key_score double, key_weight double, key_confidence double, error_path string, error string"
 )
 COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}
@@ -42,20 +42,20 @@ def flatten(root: Match) -> Iterator[dict]:
     """Rows of a tree, each node before its children, each child's key before its value."""
     count = 0
 
-    def row(m: Match, parent: int | None, depth: int, path: str, part: str, kind: str, list_path: str, weight: float, leaf: bool, renamed: int | None, key: Match | None) -> dict:
+    def row(m: Match, parent: int | None, depth: int, path: str, part: str, kind: str, list_path: str, weight: float, leaf: bool, renamed: int | None, key: Match | None, at: str, list_at: str) -> dict:
         nonlocal count
         count += 1
         return {
-            "node_id": count - 1, "parent_id": parent, "depth": depth, "path": path or "/", "part": part, "node_type": m.node_type, "kind": m.kind, "parent_kind": kind, "list_path": list_path or "/",
+            "node_id": count - 1, "parent_id": parent, "depth": depth, "path": path or "/", "part": part, "node_type": m.node_type, "kind": m.kind, "parent_kind": kind, "list_path": list_path or "/", "at": at or "/", "list_at": list_at or "/",
             "score": float(m.score), "confidence": float(m.confidence), "weight": weight, "is_leaf": leaf, "has_gold": m.gold is not ABSENT, "has_pred": m.pred is not ABSENT,
             "gold": _text(m.gold), "pred": _text(m.pred), "gold_repr": shown(m.gold), "pred_repr": shown(m.pred), "target": None if m.target is None else json.dumps(m.target), "target_repr": shown(m.target), "has_target": m.target is not None,
             "gold_key": None if key is None or key.gold is ABSENT else key.gold, "pred_key": None if key is None or key.pred is ABSENT else key.pred, "renamed": renamed,
             "n_gold": len(m.gold) if m.node_type == "list" and isinstance(m.gold, list) else None, "n_pred": len(m.pred) if m.node_type == "list" and isinstance(m.pred, list) else None,
         }
 
-    def walk(m: Match, parent: int | None, depth: int, path: str, kind: str, list_path: str, weight: float, renamed: int | None, key: Match | None) -> Iterator[dict]:
+    def walk(m: Match, parent: int | None, depth: int, path: str, kind: str, list_path: str, weight: float, renamed: int | None, key: Match | None, at: str, list_at: str) -> Iterator[dict]:
         leaf = m.node_type == "item" or not m.children or not any(a > 0 for a in (*m.alphas, *m.key_alphas))
-        own_row = row(m, parent, depth, path, "value", kind, list_path, weight, leaf, renamed, key)
+        own_row = row(m, parent, depth, path, "value", kind, list_path, weight, leaf, renamed, key, at, list_at)
         yield own_row
         me = own_row["node_id"]
         for k, child in enumerate(m.children):
@@ -64,13 +64,13 @@ def flatten(root: Match) -> Iterator[dict]:
             if child.key is not None:
                 if own is None and child.key.gold is not ABSENT and child.key.pred is not ABSENT and child.key.gold != child.key.pred:
                     own = count
-                yield row(child.key, me, depth + 1, below, "key", m.kind, path, weight * m.key_alphas[k], True, own, child.key)
-            for here in walk(child, me, depth + 1, below, m.kind, path, weight * m.alphas[k], own, child.key):
+                yield row(child.key, me, depth + 1, below, "key", m.kind, path, weight * m.key_alphas[k], True, own, child.key, f"{at}/{child.at}", at)
+            for here in walk(child, me, depth + 1, below, m.kind, path, weight * m.alphas[k], own, child.key, f"{at}/{child.at}", at):
                 if child.key is not None and here["parent_id"] == me:
                     here |= {"key_score": float(child.key.score), "key_weight": weight * m.key_alphas[k], "key_confidence": float(child.key.confidence)}
                 yield here
 
-    yield from walk(root, None, 0, "", "root", "", 1.0, None, None)
+    yield from walk(root, None, 0, "", "root", "", 1.0, None, None, "", "")
 
 
 def with_json(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:

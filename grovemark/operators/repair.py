@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 RANKS = ("score_delta", "expected_gain", "confidence")
-OPS = ["pair_id", "rank", "op", "kind", "path", "list_path", "key", "pred_key", "gold_path", "pred_path", "score_delta", "value", "gold", "pred", "gold_repr", "pred_repr", "value_repr", "rename_group", "confidence", "total", "n_gold", "n_pred"]
+OPS = ["pair_id", "rank", "op", "kind", "path", "list_path", "key", "pred_key", "gold_path", "pred_path", "score_delta", "value", "gold", "pred", "gold_repr", "pred_repr", "value_repr", "rename_group", "confidence", "total", "n_gold", "n_pred", "at"]
 #: Kinds whose path names a list in any order: items are found by value.
 BY_VALUE = ("primitive_replace_reorder", "list_item_missing", "list_item_excess")
 
@@ -42,6 +42,7 @@ def repairs(nodes: DataFrame, granularity: str = "leaf", min_contribution: float
     path, list_path, gold, none = c("path"), c("list_path"), c("gold"), F.lit(None).cast("string")
     above = F.when(F.regexp_replace(path, "/[^/]*$", "") == "", F.lit("/")).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
     gold_path, pred_path = _join(above, c("gold_key")), _join(above, c("pred_key"))
+    holder = F.regexp_replace(c("at"), "/[^/]*$", "")
 
     in_dict, reorder, lacking, alone = c("parent_kind") == "object", c("parent_kind") == "reorder", c("score") < 1, c("kind") == "unmatched"
     kind = (
@@ -68,6 +69,7 @@ def repairs(nodes: DataFrame, granularity: str = "leaf", min_contribution: float
     ops = ops.select(
         "pair_id", "node_id", "list_path", "pred_key", "gold", "pred", "gold_repr", "pred_repr", "total", "n_gold", "n_pred", F.coalesce("gold_key", "pred_key").alias("key"), gold_path.alias("gold_path"), pred_path.alias("pred_path"),
         name.alias("op"), k.alias("kind"), F.when(k.isin(*BY_VALUE), list_path).when(k == "key_rename_remove", pred_path).when(k == "key_rename_add", gold_path).otherwise(path).alias("path"),
+        F.when(k.isin(*BY_VALUE), c("list_at")).when(k == "key_rename_add", _join(F.when(holder == "", "/").otherwise(holder), c("gold_key"))).otherwise(c("at")).alias("at"),
         F.when(k.isin("key_rename_remove", "pairing_ambiguous"), 0.0).when(k == "key_rename_add", c("gain")).when(k.isin("key_add", "key_remove"), c("whole")).when(k == "subtree_replace", c("weight") * (1 - c("score"))).otherwise(c("delta")).alias("score_delta"),
         F.when((name == "remove") | (name == "describe"), none).when(k == "ref_fix", c("target")).otherwise(gold).alias("value"), F.when(k == "ref_fix", c("target_repr")).otherwise(c("gold_repr")).alias("value_repr"),
         F.when(k.startswith("key_rename"), F.concat(F.lit("rename-"), c("renamed").cast("string"))).alias("rename_group"), F.when(k.startswith("key_rename"), c("sure")).otherwise(c("confidence")).alias("confidence"),
@@ -129,25 +131,26 @@ def apply_operation(target: Any, op: str, kind: str, path: str, value: Any, old:
 
 
 def apply_repairs(pred: Any, ops: list[dict]) -> Any:
-    """All repairs on a copy: replacements, then removals from the back of lists, then additions from the front."""
+    """All repairs on a copy: inner ones first, so that their places still hold; at one depth replacements, then
+    removals from the back of lists, then additions from the front."""
     out = copy.deepcopy(pred)
     order = {"replace": 0, "remove": 1, "add": 2}
 
     def place(o: dict) -> tuple:
-        at = tuple(int(s) if s.isdigit() else -1 for s in _steps(o["path"]))
-        back = tuple(-x for x in at) if o["op"] == "remove" else at
-        return order.get(o["op"], 3), back if o["op"] != "replace" else ()
+        steps = _steps(o["at"])
+        at = tuple(int(s) if s.isdigit() else -1 for s in steps)
+        return -len(steps) - (o["kind"] in BY_VALUE), order.get(o["op"], 3), tuple(-x for x in at) if o["op"] == "remove" else at if o["op"] == "add" else ()
 
     for o in sorted(ops, key=place):
         value = None if o["value"] is None else json.loads(o["value"])
         old = None if o["pred"] is None else json.loads(o["pred"])
-        out = apply_operation(out, o["op"], o["kind"], o["path"], value, old)
+        out = apply_operation(out, o["op"], o["kind"], o["at"], value, old)
     return out
 
 
 def repaired(pairs: DataFrame, ops: DataFrame) -> DataFrame:
     """pair_id, repaired: each pred (JSON text in _pred) with its repairs applied. A pair's repairs meet in one row."""
-    listed = ops.groupBy(F.col("pair_id").alias("_pair")).agg(F.sort_array(F.collect_list(F.struct("rank", "op", "kind", "path", "value", "pred"))).alias("_ops"))
+    listed = ops.groupBy(F.col("pair_id").alias("_pair")).agg(F.sort_array(F.collect_list(F.struct("rank", "op", "kind", "at", "value", "pred"))).alias("_ops"))
 
     @F.pandas_udf("string")
     def run(pred: pd.Series, given: pd.Series) -> pd.Series:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import attribution, describe, feedback, repair
+from ..operators import attribution, describe, feedback, reference_text, repair
 from ..operators.kernel import Comparison, Options
 from ..operators.nodes import node_table, with_json
 from .columns import Unsupported, score_column
@@ -55,6 +55,10 @@ class Aligner:
     def feedback(self, nodes: DataFrame, ops: DataFrame | None = None, **options) -> DataFrame:
         return feedback.feedback_text(nodes, self.repair(nodes) if ops is None else ops, templates=self.templates, **options)
 
+    def references(self, pairs: DataFrame) -> DataFrame:
+        """What wrong references should point to, for ``feedback(..., references=...)``."""
+        return reference_text.reference_descriptors(pairs, self.plan, self.templates)
+
     def describe(self, nodes: DataFrame, **options) -> DataFrame:
         return describe.description_text(nodes, self.description_templates, **options)
 
