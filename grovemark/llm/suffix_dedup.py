@@ -291,12 +291,12 @@ def _repeats(members: list[tuple]) -> Iterator[tuple[int, int, int]]:
         if first.setdefault((m[0], m[1]), m) is not m and len(m[0]) + len(m[1]) >= LENGTH:
             yield m[5], m[4] - len(m[1]), m[4] + len(m[0])
     some = list(first.values())
+    # All that is found of a member holds its anchor, so it is one span.
     if len(some) <= FEW:
         for k, m in enumerate(some):
-            for e in some[:k]:
-                right, left = shared_prefix(m[0], e[0]), shared_prefix(m[1][::-1], e[1][::-1])
-                if right + left >= LENGTH:
-                    yield m[5], m[4] - left, m[4] + right
+            near = [(shared_prefix(m[1][::-1], e[1][::-1]), shared_prefix(m[0], e[0])) for e in some[:k]]
+            if near := [(left, right) for left, right in near if left + right >= LENGTH]:
+                yield m[5], m[4] - max(x for x, _ in near), m[4] + max(y for _, y in near)
         return
     rights, lefts = [m[0] for m in some], [m[1][::-1] for m in some]
     classes = []
@@ -304,6 +304,7 @@ def _repeats(members: list[tuple]) -> Iterator[tuple[int, int, int]]:
         order = sorted(range(len(some)), key=texts.__getitem__)
         shared = np.array([0, *(shared_prefix(texts[a], texts[b]) for a, b in pairwise(order))])
         classes.append((np.array(order), shared, np.array([len(t) for t in texts])))
+    least, most = np.full(len(some), LEFT + 1), np.full(len(some), -1)
     for d in range(LEFT + 1):
         names = []
         for (order, shared, sizes), need in zip(classes, (LENGTH - d, d), strict=True):
@@ -314,8 +315,10 @@ def _repeats(members: list[tuple]) -> Iterator[tuple[int, int, int]]:
         key = names[0][0][ok] * (len(some) + 2) + names[1][0][ok]
         later = np.ones(len(ok), bool)
         later[np.unique(key, return_index=True)[1]] = False  # members are in the order of their places
-        for k in ok[later].tolist():
-            yield some[k][5], some[k][4] - d, some[k][4] - d + LENGTH
+        least[ok[later]] = np.minimum(least[ok[later]], d)
+        most[ok[later]] = d
+    for k in np.flatnonzero(most >= 0).tolist():
+        yield some[k][5], some[k][4] - int(most[k]), some[k][4] - int(least[k]) + LENGTH
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
