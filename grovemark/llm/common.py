@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: white space as the contracts define it.
 SPACE = "\\x20\\x09-\\x0D"
+#: Links that a task of ``components`` should handle, so that few links don't cost many small tasks and files.
+PER_TASK = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows hold whole texts, so fewer go into an Arrow batch than Spark's default of 10,000: batches lie outside the heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs a re-read and no recomputation.
 
@@ -37,6 +45,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/grovemark-{uuid.uuid4().hex}"
         self.made = 0
         atexit.register(self.close)
@@ -91,15 +100,16 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
     """
     both = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = scratch.save(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    parts = max(4, both.count() // PER_TASK)
+    labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")).coalesce(parts))
     for _ in range(rounds):
         seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(seen, labels["id"] == seen["a"]).select("id", "label", F.least("label", "near").alias("near"))
         roots = step.groupBy("label").agg(F.min("near").alias("under")).where("under < label").select(F.col("label").alias("root"), "under")
         moved = step.join(roots, step["label"] == roots["root"], "left").select("id", F.col("label").alias("was"), F.least("near", F.coalesce("under", "near")).alias("label"))
-        moved = scratch.save(moved)
+        moved = scratch.save(moved.coalesce(parts))
         up = moved.select(F.col("id").alias("up"), F.col("label").alias("above"))
-        new = scratch.save(moved.join(up, moved["label"] == up["up"], "left").select("id", "was", F.least("label", F.coalesce("above", "label")).alias("label")))
+        new = scratch.save(moved.join(up, moved["label"] == up["up"], "left").select("id", "was", F.least("label", F.coalesce("above", "label")).alias("label")).coalesce(parts))
         changed = new.where("label < was").limit(1).count()
         scratch.drop(labels, moved)
         labels = new

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SIZE, END = 4096, 2
 HORIZON = 1 << 20
 #: What a cut costs, in tokens of padding: at a sentence's end, inside a sentence; and what one more sequence costs.
@@ -259,6 +261,7 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = SIZE, with_ids: bool
     without gaps; sequences are numbered from their partition's number * 2**33. Rows that repeat are packed each; null ids stay
     null; other columns are ignored; no rows, no pieces.
     """
+    small_batches(docs.sparkSession)
     kind = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(tokenizer_file, size, with_ids), kind)
 
