@@ -7,7 +7,9 @@ count. Estimates under 0.48 (six standard deviations below 0.8) need no confirma
 
 Large groups are not compared pair by pair. First each band's members meet the band's smallest class alone; confirmed
 links make components. Only where a band still holds several components are members of different ones compared, by
-bit counts in blocks of bounded size that never hold a whole hot band.
+bit counts in blocks of bounded size that never hold a whole hot band. What these find near is written as a spanning forest,
+no more rows than members; its trees are the groups within which full sets are compared, block by block, where estimates
+and sizes allow a link and the two sides are not joined yet. Links found there are a spanning forest again.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import Scratch, components
+from .exchange import grouped
 from .packing import slices
 
 BANDS, ROWS = 32, 4
@@ -149,43 +152,98 @@ def _sets(n: int):
                 for part in slices(batch):
                     found = [(c.as_py(), s) for c, s in zip(part.column("cls"), shingle_sets(part.column("text"), n), strict=True)]
                     found = [(c, s) for c, s in found if set_class(s) == c]  # else another row with the same doc_id
-                    yield pa.record_batch([pa.array([c for c, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["cls", "items"])
+                    yield pa.record_batch([pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["cls", "items"])
 
     return run
 
 
+def full_sets(scratch: Scratch, docs: DataFrame, where: DataFrame, n: int) -> DataFrame:
+    """(cls, items: sorted hashes, 8 bytes each) of the classes in ``where`` (cls, _id: a document that has it), from their whole texts."""
+    sent = F.broadcast(where) if where.count() <= MOST_SENT else where
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "text")
+    return scratch.save(texts.mapInArrow(_sets(n), "cls long, items binary").groupBy("cls").agg(F.first("items").alias("items")))
+
+
 def confirmed(scratch: Scratch, docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union."""
     wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    where = rows.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("_id"))
-    where = scratch.save(where)
-    sent = F.broadcast(where) if where.count() <= MOST_SENT else where
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "text")
-    sets = scratch.save(texts.mapInArrow(_sets(n), "cls long, items array<long>").groupBy("cls").agg(F.first("items").alias("items")))
+    where = scratch.save(rows.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("_id")))
+    sets = full_sets(scratch, docs, where, n)
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    out = scratch.save(two.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b"))
+    out = scratch.save(two.mapInArrow(_tested(percent), "a long, b long"))
     scratch.drop(wanted, where, sets)
     return out
 
 
+def _tested(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    kept.append((a, b))
+            yield _pairs(kept)
+
+    return run
+
+
+class _Sets:
+    """Disjoint sets; ``join`` tells whether two were apart."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = x
+        while (up := self.above.get(root, root)) != root:
+            root = up
+        while self.above.get(x, x) != root:
+            self.above[x], x = root, self.above[x]
+        return root
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return False
+        self.above[max(x, y)] = min(x, y)
+        return True
+
+
+def _pairs(a: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x for x, _ in a], pa.int64()), pa.array([y for _, y in a], pa.int64())], ["a", "b"])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, half, cls, comp, b0, b1), sorted by (key, part): near pairs of different components in each part.
+    """Rows (key, part, half, cls, comp, b0, b1), sorted by (key, part): a spanning forest of each part's near pairs.
 
-    half 0 and 1: only pairs between the halves; half 2: all pairs.
+    Pairs are between different components; half 0 and 1: only between the halves; half 2: all.
     """
     held: list[np.ndarray] = []
 
-    def near(rows: np.ndarray) -> Iterator[tuple[int, int]]:
+    def near(rows: np.ndarray) -> list[tuple[int, int]]:
         left, right = (rows[rows["half"] == 0], rows[rows["half"] == 1]) if rows["half"][0] < 2 else (rows, rows)
-        for lo in range(0, len(left), BLOCK):
-            a = left[lo : lo + BLOCK]
-            differ = np.bitwise_count(a["b0"][:, None] ^ right["b0"]) + np.bitwise_count(a["b1"][:, None] ^ right["b1"])
-            ok = (differ <= MINIMA - AGREE) & (a["comp"][:, None] != right["comp"])
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                x, y = int(a["cls"][i]), int(right["cls"][j])
-                yield (x, y) if x < y else (y, x)
+        n, m = len(left), len(right)
+        if not n or not m:
+            return []
+        own = np.concatenate([left["cls"], right["cls"]])
+        label, forest = own.copy(), []
+        differ = np.bitwise_count(left["b0"][:, None] ^ right["b0"]) + np.bitwise_count(left["b1"][:, None] ^ right["b1"])
+        ok = (differ <= MINIMA - AGREE) & (left["comp"][:, None] != right["comp"])
+        if not ok.any():
+            return []
+        top = np.iinfo(np.int64).max
+        while True:  # each class takes the smallest label among its near ones
+            a = np.minimum(label[:n], np.where(ok, label[n:], top).min(1))
+            b = np.minimum(label[n:], np.where(ok, a[:, None], top).min(0))
+            new = np.concatenate([a, b])
+            if (new == label).all():
+                break
+            label = new
+        forest = {(min(x, y), max(x, y)) for x, y in zip(own.tolist(), label.tolist(), strict=True) if x != y}
+        return sorted(forest)
 
     def runs(rows: np.ndarray) -> Iterator[np.ndarray]:
         cut = np.flatnonzero((rows["key"][1:] != rows["key"][:-1]) | (rows["part"][1:] != rows["part"][:-1])) + 1
@@ -200,16 +258,74 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows[name] = batch.column(name).to_numpy()
         *done, last = runs(np.concatenate([*held, rows]))
         held = [last]
-        pairs = sorted({p for r in done for p in near(r)})
-        if pairs:
-            yield pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-    pairs = sorted({p for r in held for p in near(r)})
-    if pairs:
-        yield pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+        if pairs := sorted({p for r in done for p in near(r)}):
+            yield _pairs(pairs)
+    if pairs := sorted({p for r in held for p in near(r)}):
+        yield _pairs(pairs)
+
+
+def _linked(percent: int):
+    """Rows (key, part, half, cls, comp, b0, b1, items), sorted by (key, part): links that join components, found on full sets."""
+
+    def links(rows: list[dict]) -> list[tuple[int, int]]:
+        left, right = ([r for r in rows if r["half"] == 0], [r for r in rows if r["half"] == 1]) if rows[0]["half"] < 2 else (rows, rows)
+        if not left or not right:
+            return []
+        sets = _Sets()
+        for r in rows:
+            sets.join(r["cls"], r["comp"])
+        bits = [[np.array([r[c] for r in side], np.int64) for c in ("b0", "b1")] for side in (left, right)]
+        items = [[np.frombuffer(r["items"], np.uint64) for r in side] for side in (left, right)]
+        sizes = [np.array([len(x) for x in side]) for side in items]
+        differ = np.bitwise_count(bits[0][0][:, None] ^ bits[1][0]) + np.bitwise_count(bits[0][1][:, None] ^ bits[1][1])
+        small, large = np.minimum(sizes[0][:, None], sizes[1]), np.maximum(sizes[0][:, None], sizes[1])
+        i, j = np.nonzero((differ <= MINIMA - AGREE) & (100 * small >= percent * large))
+        out = []
+        for k in np.argsort(differ[i, j], kind="stable").tolist():  # the likeliest first: what they join needs no more tests
+            a, b = left[i[k]]["cls"], right[j[k]]["cls"]
+            if a == b or sets.find(a) == sets.find(b):
+                continue
+            x, y = items[0][i[k]], items[1][j[k]]
+            at = np.searchsorted(y, x)
+            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                sets.join(a, b)
+                out.append((min(a, b), max(a, b)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "key", "part"):
+            if found := links(rows):
+                yield _pairs(found)
+
+    return run
+
+
+def links_within(scratch: Scratch, docs: DataFrame, rows: DataFrame, labels: DataFrame, forest: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within the trees of ``forest``: every pair of a tree whose estimate allows it is tested.
+
+    Trees are dealt out in pairs of blocks; a block's classes bring their sets.
+    """
+    trees = scratch.save(components(scratch, forest))
+    bits = rows.select("doc_id", "cls", "b0", "b1").join(trees.select(F.col("id").alias("cls"), F.col("component").alias("key")), "cls")
+    about = scratch.save(bits.groupBy("cls").agg(F.min("doc_id").alias("_id"), F.first("key").alias("key"), F.first("b0").alias("b0"), F.first("b1").alias("b1")))
+    sets = full_sets(scratch, docs, about.select("cls", "_id"), n)
+    sizes = about.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_o"))
+    known = about.join(sizes, "key").join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).withColumn("own", F.pmod(F.xxhash64("cls"), "_o").cast("int"))
+    place = F.transform(F.sequence(F.lit(0), F.col("_o") - 1), lambda j: _block_pair(F.col("own"), j))
+    dealt = known.join(sets, "cls").select("key", "cls", "comp", "b0", "b1", "items", F.explode(place).alias("_p")).select("key", "_p.part", "_p.half", "cls", "comp", "b0", "b1", "items")
+    out = scratch.save(dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_linked(percent), "a long, b long").distinct())
+    scratch.drop(trees, about, sets)
+    return out
+
+
+def _block_pair(own: Column, j: Column) -> Column:
+    """Where a member of block ``own`` goes to meet block j: all pairs of blocks i <= j, each once."""
+    return F.struct((F.least(j, own) * F.lit(2**31) + F.greatest(j, own)).cast("long").alias("part"), F.when(j == own, 2).when(j > own, 0).otherwise(1).cast("int").alias("half"))
 
 
 def between_components(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Near pairs (a, b) of different components that share a band, for bands with more than one component.
+    """A spanning forest (a, b) of the near pairs of different components that share a band, for bands with several components.
 
     The leader's component of a band, dealt out in blocks, meets every other member; the others meet among themselves in
     pairs of blocks. A band with one component yields nothing and costs nothing.
@@ -228,7 +344,7 @@ def between_components(members: DataFrame, labels: DataFrame) -> DataFrame:
     mains = F.array(placed(-1 - own, F.lit(0)))
     others = F.concat(
         F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda k: placed(-1 - k, F.lit(1))),
-        F.transform(F.sequence(F.lit(0), F.col("_o") - 1), lambda j: placed(F.least(j, own) * F.lit(2**31) + F.greatest(j, own), F.when(j == own, 2).when(j > own, 0).otherwise(1))),
+        F.transform(F.sequence(F.lit(0), F.col("_o") - 1), lambda j: _block_pair(own, j)),
     )
     dealt = known.withColumn("_p", F.explode(F.when(F.col("main"), mains).otherwise(others))).select("key", "_p.part", "_p.half", "cls", "comp", "b0", "b1")
     return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_across, "a long, b long").distinct()
@@ -254,9 +370,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     pairs = scratch.save(members.where((F.col("cls") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct())
     links = confirmed(scratch, plain, rows, pairs, n, percent)
     labels = scratch.save(components(scratch, links))
-    more = scratch.save(between_components(members, labels).join(pairs, ["a", "b"], "left_anti"))
+    more = scratch.save(between_components(members, labels))
     if more.limit(1).count():
-        links = links.union(confirmed(scratch, plain, rows, more, n, percent))
+        links = links.union(links_within(scratch, plain, rows, labels, more, n, percent))
         labels = scratch.save(components(scratch, links))
     scratch.drop(members, pairs, more)
     own = rows.select("doc_id", "n_shingles", "cls").join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("group"))

@@ -283,8 +283,9 @@ def test_interpolation_of_odd_tables(spark, empty):
 # MinHash.
 
 
-@pytest.mark.parametrize("n", [2, 5])
-def test_near_duplicates_match_brute_force(docs, rows, n):
+@pytest.mark.parametrize(("n", "block"), [(2, 512), (5, 3)])
+def test_near_duplicates_match_brute_force(docs, rows, n, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     sets = {k: shingles(t, n) for k, t in rows}
     root = {k: k for k in sets}
 
@@ -310,12 +311,38 @@ def test_members_far_from_their_leader_still_link(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_links_between_far_members_of_a_group(spark):
+    """Copies with a tenth of their words changed, some of which are close to each other: all links of the group count."""
+    rng = random.Random(21)
+    words = vocabulary(rng, 3000)
+    base = rng.choices(words, k=100)
+    rows = []
+    for k in range(70):
+        ws = list(base)
+        for _ in range(rng.choice([2, 6, 9, 12])):
+            ws[rng.randrange(len(ws))] = rng.choice(words)
+        rows.append((k, " ".join(ws)))
+    sets = {k: shingles(t, 2) for k, t in rows}
+    label = {k: k for k in sets}
+    for _ in range(70):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame([(k, t, "", "", 0, 0, "") for k, t in rows], DOCS), 2).collect()}
+    assert got == label and len(set(label.values())) > 1
+
+
 def test_blocks_cover_all_pairs_between_components(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
     members = spark.createDataFrame([(7, k, 0, 0, 12, 0, 0, 0) for k in range(12)], "key long, cls long, b0 long, b1 long, n long, leader long, l0 long, l1 long")
     labels = spark.createDataFrame([(k, 0) for k in range(5)], "id long, component long")
-    got = {(r.a, r.b) for r in minhash.between_components(members, labels).collect()}
-    assert got == {(a, b) for a in range(12) for b in range(12) if a < b and not (a < 5 and b < 5)}
+    got = minhash.between_components(members, labels).collect()
+    root = list(range(12))
+    for _ in range(12):
+        for r in got:
+            root[r.a] = root[r.b] = min(root[r.a], root[r.b])
+    assert set(root) == {0}
 
 
 def test_kept_bits_estimate_similarity():
