@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import random
 import warnings
 
 import pytest
@@ -146,5 +148,15 @@ def test_queries_match_their_sql(spark, name):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, r.select(*sorted(r.columns)).fetchall()))
 
 
+def test_optimal_pairing_takes_orders_of_any_size(spark, tmp_path):
+    rng = random.Random(3)
+    orders = {k: [float(rng.randint(1, 50)) for _ in range(n)] for k, n in enumerate([1, 1, 2, 3, 3, 4, 5, 6, 7])}
+    spark.createDataFrame([(k, q) for k, x in orders.items() for q in x], "l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {k: max(sum(1 / (1 + abs(a - b)) for a, b in zip(x, p, strict=True)) for p in itertools.permutations([q * 2 % 7 for q in x])) / len(x) for k, x in orders.items()}
+    got = {r.k: r.score for r in contract.queries()["list_align_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    assert contract.queries()["list_align_all"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
