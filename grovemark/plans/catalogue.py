@@ -514,10 +514,11 @@ SIMS_SQL = f"""WITH numbered AS (SELECT l_orderkey AS k, row_number() OVER (PART
 sims AS (SELECT a.k, a.i::INTEGER AS i, b.i::INTEGER AS j, 1 / (1 + abs(a.q - (b.q * 2) % 11)) AS score FROM numbered a JOIN numbered b ON a.k = b.k WHERE a.n <= 3)"""
 
 
-def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarities of each small order's items with changed ones: lists of three at most, by the rule of the query."""
+def _sims(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """Similarities of each order's items with changed ones; ``most``: only of orders with at most so many items."""
     w = Window.partitionBy("l_orderkey")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).alias("i"), F.count(F.lit(1)).over(w).alias("n"), F.col("l_quantity").alias("q")).where("n <= 3")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).alias("i"), F.count(F.lit(1)).over(w).alias("n"), F.col("l_quantity").alias("q"))
+    rows = rows if most is None else rows.where(F.col("n") <= most)
     lists = rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("x"))
     cells = lists.select("k", "x", F.explode("x").alias("a")).select("k", "a", F.explode("x").alias("b"))
     return cells.select("k", F.col("a.i").alias("i"), F.col("b.i").alias("j"), leaf.invdiff(F.col("a.q"), (F.col("b.q") * 2) % 11).alias("score"))
@@ -526,12 +527,27 @@ def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{SIMS_SQL} SELECT s.k, s.i, s.j, round(greatest(0::DOUBLE, least(1::DOUBLE, s.score - coalesce(max(o.score), 0))), 6) AS confidence
 FROM sims s LEFT JOIN sims o ON o.k = s.k AND ((o.i = s.i AND o.j <> s.j) OR (o.j = s.j AND o.i <> s.i)) GROUP BY s.k, s.i, s.j, s.score""")
 def confidence_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidence.margin_confidence(_sims(spark, sf_dir), ["k"]).select("k", "i", "j", six(F.col("confidence")).alias("confidence"))
+    return confidence.margin_confidence(_sims(spark, sf_dir, 3), ["k"]).select("k", "i", "j", six(F.col("confidence")).alias("confidence"))
 
 
 @query(f"""{SIMS_SQL}, w AS (SELECT k, i, exp(8 * (score - max(score) OVER (PARTITION BY k, i))) AS w FROM sims), p AS (SELECT k, i, w / sum(w) OVER (PARTITION BY k, i) AS p FROM w)
 SELECT k, i, round(CASE WHEN count(*) < 2 THEN 1::DOUBLE ELSE 1 - sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(count(*)) END, 6) AS confidence FROM p GROUP BY k, i""")
 def confidence_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confidence.entropy_confidence(_sims(spark, sf_dir, 3), ["k"]).select("k", "i", six(F.col("confidence")).alias("confidence"))
+
+
+# The same for orders of any size.
+
+ALL_SIMS_SQL = SIMS_SQL.removesuffix(" WHERE a.n <= 3)") + ")"
+
+
+@query(ORACLES["confidence_margin"].replace(SIMS_SQL, ALL_SIMS_SQL))
+def confidence_margin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confidence.margin_confidence(_sims(spark, sf_dir), ["k"]).select("k", "i", "j", six(F.col("confidence")).alias("confidence"))
+
+
+@query(None)
+def confidence_entropy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confidence.entropy_confidence(_sims(spark, sf_dir), ["k"]).select("k", "i", six(F.col("confidence")).alias("confidence"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
 import warnings
 
@@ -158,5 +159,19 @@ def test_optimal_pairing_takes_orders_of_any_size(spark, tmp_path):
     assert contract.queries()["list_align_all"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
 
 
+def test_confidence_scores_all_cells_of_all_orders(spark):
+    orders = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").collect():
+        orders.setdefault(r.l_orderkey, []).append(r.l_quantity)
+    assert max(map(len, orders.values())) > 3
+    want = {}
+    for k, x in orders.items():
+        for i, a in enumerate(x, 1):
+            e = [math.exp(8 / (1 + abs(a - b * 2 % 11))) for b in x]
+            want[k, i] = 1.0 if len(x) < 2 else 1 + sum(v / sum(e) * math.log(v / sum(e)) for v in e) / math.log(len(x))
+    assert {(r.k, r.i): r.confidence for r in contract.queries()["confidence_entropy_all"](spark, SF).collect()} == pytest.approx(want, abs=2e-6)
+    assert contract.queries()["confidence_margin_all"](spark, SF).count() == sum(len(x) ** 2 for x in orders.values())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
