@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Poisson replication.
 
 Every source gets a repetition rate: the mass it should have in the mixture over the mass it has. A document's
-number of copies is a Poisson draw with that mean, by inversion of a uniform number hashed from seed and doc_id:
+number of copies is a Poisson draw with that mean, by inversion of a uniform number hashed from seed and doc_id
+(for a rate above MAX_RATE the sum of several such draws, each with a number of its own, which is Poisson too):
 the same documents give the same mixture whatever the partitioning, and a lost task repeats its draws. Copies
 are then ordered by a second hash over the whole corpus. The main path is DataFrame expressions alone.
 """
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import unit_draw
 
-#: Rates above this underflow exp(-rate) soon after; no sensible mixture repeats a document so often.
+#: The largest rate of one draw: exp(-rate) underflows soon after. Larger rates are sums of draws of equal rates below it.
 MAX_RATE = 500.0
+#: Copies that one array lists.
+CHUNK = 1000
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, size: float = 1.0) -> DataFrame:
@@ -35,7 +38,6 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power
     whole = by.agg(F.sum("want").alias("all_want"), F.sum("mass").alias("all_mass"))
     rate = F.when(F.col("mass") == 0, F.lit(1.0)).otherwise(F.try_divide(F.col("want") * F.col("all_mass") * F.lit(float(size)), F.col("all_want") * F.col("mass")))
     rate = F.coalesce(rate, F.lit(0.0))
-    rate = F.when(rate > MAX_RATE, F.raise_error(F.lit(f"a source would be repeated more than {MAX_RATE:g} times"))).otherwise(rate)
     return by.crossJoin(F.broadcast(whole)).select("source", "n_docs", "mass", F.try_divide("want", "all_want").alias("target"), rate.alias("rate"))  # whole: one row
 
 
@@ -56,17 +58,21 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
 
     Null or empty texts and null sources take part. Rows with equal doc_id (null included) draw alike; each is
     replicated on its own. Columns that are named copy or place in the input are replaced. An empty table gives
-    an empty table. The rates' table is broadcast only while it has at most ``most_sources`` rows (of some 500 bytes);
+    an empty table. Any rate is drawn exactly; copy being an int, 2**31 copies of one row are an error. The rates' table is broadcast only while it has at most ``most_sources`` rows (of some 500 bytes);
     beyond that, documents meet it in a join that AQE may split where a source is hot.
     """
-    rates = source_rates(docs, weights, power, size).select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_cdf"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int"))
+    rates = source_rates(docs, weights, power, size).select(F.col("source").alias("_source"), parts.alias("_parts"), poisson_steps(F.col("rate") / parts).alias("_cdf"))
     n_sources = docs.select("source").distinct().limit(most_sources + 1).count()
     rates = F.broadcast(rates) if n_sources <= most_sources else rates
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("copy", "place", "_source", "_cdf", "_u", "_n")))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("copy", "place", "_source", "_parts", "_cdf", "_u", "_n", "_c")))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = docs.join(rates, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_u", unit_draw(F.lit(str(seed)), key))
-    copies = drawn.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("_n > 0")
-    out = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_source", "_cdf", "_u", "_n")
+    first = F.array(unit_draw(F.lit(str(seed)), key))
+    draws = F.when(F.col("_parts") > 1, F.concat(first, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_parts") - 1)), lambda i: unit_draw(F.lit(str(seed)), i.cast("string"), key)))).otherwise(first)
+    drawn = docs.join(rates, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_u", draws)
+    copies = drawn.withColumn("_n", F.aggregate("_u", F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda c: c <= u)))).where("_n > 0")
+    copies = copies.drop("_source", "_parts", "_cdf", "_u").withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / CHUNK).cast("int"))))
+    out = copies.withColumn("copy", F.explode(F.sequence(F.col("_c") * CHUNK + 1, F.least(F.col("_n"), F.lit(CHUNK) + F.col("_c") * CHUNK)))).drop("_n", "_c")
     place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed + 1)), key, F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
     return out.withColumn("place", place).orderBy("place", "doc_id", "copy")
 

@@ -225,6 +225,26 @@ def test_mixing_weights_and_odd_tables(spark, docs, empty):
     assert mixing.source_rates(blank).first().rate == 1.0
 
 
+def test_mixing_draws_large_rates(spark):
+    rows = [(0, "x" * 4_000_000, "", "huge", 0, 0, ""), *((k, "y", "", "tiny", 0, 0, "") for k in range(1, 5))]
+    docs = spark.createDataFrame(rows, DOCS)
+    rate = math.sqrt(4) * 4_000_004 / (2002 * 4)
+    assert {r.source: r.rate for r in mixing.source_rates(docs).collect()}["tiny"] == pytest.approx(rate) and 500 < rate < 1000
+    got = mixing.mix_sources(docs).where("source = 'tiny'").select("doc_id", "copy").collect()
+    for k in range(1, 5):
+        want = 0
+        for name in (f"17:{k}", f"17:1:{k}"):
+            u = int(hashlib.md5(name.encode()).hexdigest()[:13], 16) / 2**52
+            p = cdf = math.exp(-rate / 2)
+            n = 0
+            while cdf <= u:
+                n += 1
+                p *= rate / 2 / n
+                cdf += p
+            want += n
+        assert sorted(r.copy for r in got if r.doc_id == k) == list(range(1, want + 1)) and abs(want - rate) < 6 * math.sqrt(rate)
+
+
 # Language model.
 
 
