@@ -350,15 +350,8 @@ def between_components(members: DataFrame, labels: DataFrame) -> DataFrame:
     return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_across, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of (doc_id, text).
-
-    Rows link where 100 * intersection >= percent * union of their sets of n-word shingles; component_id is the smallest
-    doc_id that links reach, kept marks the row that has it. Null, empty and blank texts have no set: n_shingles 0, linked with
-    nothing, kept. Rows that repeat a doc_id are documents of their own. Null ids are never the smallest unless alone.
-    Other columns are ignored. No rows, no rows.
-    """
-    scratch = Scratch(docs.sparkSession)
+def _groups(scratch: Scratch, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, cls, group for every row of ``docs``: cls its set's class, group that of its links; both null without a set."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.save(plain.mapInArrow(_signed(n), "doc_id long, n_shingles long, cls long, bands array<long>, b0 long, b1 long"))
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first(F.struct("bands", "b0", "b1")).alias("s"))
@@ -375,20 +368,62 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         links = links.union(links_within(scratch, plain, rows, labels, more, n, percent))
         labels = scratch.save(components(scratch, links))
     scratch.drop(members, pairs, more)
-    own = rows.select("doc_id", "n_shingles", "cls").join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("group"))
+    return rows.select("doc_id", "n_shingles", "cls").join(labels.withColumnRenamed("id", "cls"), "cls", "left").select("doc_id", "n_shingles", "cls", F.coalesce("component", "cls").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of (doc_id, text).
+
+    Rows link where 100 * intersection >= percent * union of their sets of n-word shingles; component_id is the smallest
+    doc_id that links reach, kept marks the row that has it. Null, empty and blank texts have no set: n_shingles 0, linked with
+    nothing, kept. Rows that repeat a doc_id are documents of their own. Null ids are never the smallest unless alone.
+    Other columns are ignored. No rows, no rows.
+    """
+    own = _groups(Scratch(docs.sparkSession), docs, n, percent)
     low = own.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("low"))
     out = own.join(low, "group", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _with_class(n: int):
+    """All columns, and the class of each text's set as a last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in slices(batch):
+                    classes = pa.array([set_class(s) for s in shingle_sets(part.column("text"), n)], pa.int64())
+                    yield pa.record_batch([*part.columns, classes], [*part.schema.names, "_cls"])
+
+    return run
+
+
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group, in its own columns: that with the smallest doc_id. Rows that repeat an id stay once."""
-    found = Scratch(docs.sparkSession).save(near_duplicates(docs, n, percent))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    small = gone.limit(MOST_SENT + 1).count() <= MOST_SENT
-    out = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    twice = found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if twice else out
+    """``docs`` with one row of each group, in its own columns: that with the smallest doc_id (null the last), then the smallest class.
+
+    Rows that repeat an id, null included, are documents of their own: what is decided for one text leaves other texts under
+    its id alone, and of rows with equal ids and equal sets one stays. Texts without a set all stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    own = scratch.save(_groups(scratch, docs, n, percent))
+    first = own.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("low"))
+    found = own.join(first, "group", "left").select("doc_id", "cls", (F.col("group").isNull() | (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("cls") == F.col("low.cls")))).alias("stays"))
+    found = scratch.save(found)
+    ids = scratch.save(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("stays").alias("stays")).where("n > 1 OR NOT stays").select(F.col("doc_id").alias("_gone"), (F.col("n") > 1).alias("_twice")))
+    small = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
+    sent = lambda x: F.broadcast(x) if small else x
+    by_id = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone"))
+    out = docs.join(sent(ids.select("_gone")), by_id, "left_anti")
+    twice = ids.where("_twice").select("_gone")
+    if not twice.limit(1).count():
+        return out
+    kept = found.where("stays AND cls IS NOT NULL").join(twice, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("cls").alias("_kept")).distinct()
+    rows = docs.join(sent(twice), by_id, "left_semi")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    rows = rows.mapInArrow(_with_class(n), f"{kind}, _cls long")
+    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_cls") == F.col("_kept")), "left").where("_cls IS NULL OR _kept IS NOT NULL")
+    rows = rows.withColumn("_row", F.when(F.col("_cls").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", "_cls", "_row"])
+    return out.union(rows.select(*docs.columns))
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:

@@ -382,6 +382,16 @@ def test_dropping_near_duplicates(spark, docs, empty):
     assert sorted((r.doc_id or -1) for r in minhash.drop_near_duplicates(twice).collect()) == [-1, 1]
 
 
+def test_unlike_texts_under_one_id_stay(spark):
+    a, b, c, d = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b")
+    found = [(5, a), (5, b), (3, a), (None, a), (None, c), (None, c), (None, d), (7, b), (8, None), (8, None), (9, d), (4, "r s t u v w x"), (None, "")]
+    docs = spark.createDataFrame([(k, t, "", "", i, 0, "") for i, (k, t) in enumerate(found)], DOCS).repartition(3)
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(5, b), (3, a), (None, c), (9, d), (8, None), (8, None), (4, "r s t u v w x"), (None, "")])
+
+
 # Vectors.
 
 
