@@ -39,9 +39,9 @@ def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
     letters = max(1, int(kinds[0] + kinds[1]))
     lines = [x for x in text.split("\n") if x]
     repeats = sum(map(str.__eq__, words, words[1:])) if len(words) > 1 else 0
-    some = words[:: max(1, len(words) // 256)]
-    ends = sum(not x[-1].isalnum() for x in some) / max(1, len(some))
-    lone = sum(not any(map(str.isalnum, x)) for x in some) / max(1, len(some))
+    marked = [(x, c) for x, c in Counter(words).items() if not x[-1].isalnum()]
+    ends = sum(c for _, c in marked) / w
+    lone = sum(c for x, c in marked if not any(map(str.isalnum, x))) / w
     return [
         kinds[1] / letters, kinds[2] / n, kinds[3] / n, kinds[4] / n, kinds[5] / n,
         len(counts) / w, max(counts.values(), default=0) / w, repeats / w, min(1.0, n / w / 20),

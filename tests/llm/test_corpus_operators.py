@@ -188,6 +188,12 @@ def test_packing_of_nothing(empty):
     assert packing.pack(empty, packing.vocabulary_file()).count() == 0
 
 
+def test_structure_statistics_see_every_word():
+    words = (["ab", "cd.", "--", "ef"] * 400)[:1536]
+    got = dict(zip(quality.STATS, quality.statistics(" ".join(words), words, Counter(words)), strict=True))
+    assert got["marked_ends"] == 0.5 and got["lone_marks"] == 0.25
+
+
 # Mixing.
 
 
