@@ -13,6 +13,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,19 +101,17 @@ def fit(sample: np.ndarray, n_vectors: int, least: float, recall: float = RECALL
     return grid
 
 
-def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that are valid vectors, those as unit vectors in double precision); the first valid row sets the width."""
-    values = column.to_pylist()
-    width = len(next((v for v in values if v), ()))
+def unit_rows(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
+    """(rows that are valid vectors, those as unit vectors in double precision), of any width."""
     good, rows = [], []
-    for k, v in enumerate(values):
-        if v and len(v) == width and None not in v:
+    for k, v in enumerate(column.to_pylist()):
+        if v and None not in v:
             x = np.array(v, dtype=np.float64)
             size = np.linalg.norm(x) if np.isfinite(x).all() else 0.0
             if size > 0 and np.isfinite(size):
                 good.append(k)
                 rows.append(x / size)
-    return np.array(good, dtype=np.int64), np.array(rows).reshape(len(rows), width)
+    return good, rows
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +119,8 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, rows = unit_rows(b.column("embedding"))
         cls: list[int | None] = [None] * b.num_rows
         unit: list[bytes | None] = [None] * b.num_rows
-        for k, x in zip(good.tolist(), rows + 0.0, strict=True):
-            unit[k] = x.tobytes()
+        for k, x in zip(good, rows, strict=True):
+            unit[k] = (x + 0.0).tobytes()
             cls[k] = int.from_bytes(hashlib.blake2b(unit[k], digest_size=8).digest(), "little", signed=True)
         yield pa.record_batch([b.column("vec_id"), pa.array(cls, pa.int64()), pa.array(unit, pa.binary())], ["vec_id", "cls", "unit"])
 
@@ -193,32 +192,38 @@ def _linked(least: float):
     return run
 
 
+def _links(scratch: Scratch, classes: DataFrame, n: int, least: float, recall: float, sample: int) -> DataFrame:
+    """(cls, root, links) of the ``n`` classes (cls, copies, unit), whose vectors have one width."""
+    picked = np.array([np.frombuffer(r[0], np.float64) for r in classes.orderBy(F.xxhash64("cls")).limit(sample).select("unit").collect()])
+    grid = fit(picked, n, least, recall)
+    placed = scratch.save(classes.mapInArrow(_celled(classes.sparkSession.sparkContext.broadcast(grid)), "cls long, copies long, unit binary, cell int, visits array<int>"))
+    queries = placed.select("*", F.explode("visits").alias("at"))
+    blocks = queries.groupBy("at").agg(F.count(F.lit(1)).alias("q"), F.count_if(F.col("at") == F.col("cell")).alias("i")).where("i > 0")
+    blocks = F.broadcast(blocks.select("at", F.ceil(F.col("q") / BLOCK).cast("int").alias("nq"), F.ceil(F.col("i") / BLOCK).cast("int").alias("ni")))  # 65,536 cells at most
+    own = F.xxhash64("cls")
+    left = placed.withColumn("at", F.col("cell")).join(blocks, "at").select("*", F.pmod(own, "ni").cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.lit(0).alias("side"))
+    right = queries.join(blocks, "at").select("*", F.pmod(own, "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("ib"), F.lit(1).alias("side"))
+    keep = ["at", "qb", "ib", "side", "cls", "copies", "unit", "cell", "visits"]
+    dealt = left.select(*keep).union(right.select(*keep)).repartition("at", "qb", "ib").sortWithinPartitions("at", "qb", "ib")
+    return scratch.save(dealt.mapInArrow(_linked(least), "cls long, root long, links long"))
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding).
 
     Rows link if found with a cosine of at least ``least``; equal vectors always are found. n_links: other rows linked directly.
     component_id: the smallest vec_id that links reach. Null, zero, or empty vectors, those with null or non-finite
-    components, and those whose width is not that of the first of their batch link with nothing and are kept. Rows that repeat a vec_id are vectors
-    of their own. Other columns are ignored. No rows, no rows.
+    components link with nothing and are kept. Vectors link with those of their width alone, each width having an index of its own. Rows that repeat
+    a vec_id are vectors of their own. Other columns are ignored. No rows, no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows = scratch.save(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_classed, "vec_id long, cls long, unit binary"))
     classes = scratch.save(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")))
-    n = classes.count()
-    if n:
-        picked = np.array([np.frombuffer(r[0], np.float64) for r in classes.orderBy(F.xxhash64("cls")).limit(sample).select("unit").collect()])
-        grid = fit(picked, n, least, recall)
-        placed = scratch.save(classes.mapInArrow(_celled(spark.sparkContext.broadcast(grid)), "cls long, copies long, unit binary, cell int, visits array<int>"))
-        queries = placed.select("*", F.explode("visits").alias("at"))
-        blocks = queries.groupBy("at").agg(F.count(F.lit(1)).alias("q"), F.count_if(F.col("at") == F.col("cell")).alias("i")).where("i > 0")
-        blocks = F.broadcast(blocks.select("at", F.ceil(F.col("q") / BLOCK).cast("int").alias("nq"), F.ceil(F.col("i") / BLOCK).cast("int").alias("ni")))  # 65,536 cells at most
-        own = F.xxhash64("cls")
-        left = placed.withColumn("at", F.col("cell")).join(blocks, "at").select("*", F.pmod(own, "ni").cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.lit(0).alias("side"))
-        right = queries.join(blocks, "at").select("*", F.pmod(own, "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("ib"), F.lit(1).alias("side"))
-        keep = ["at", "qb", "ib", "side", "cls", "copies", "unit", "cell", "visits"]
-        dealt = left.select(*keep).union(right.select(*keep)).repartition("at", "qb", "ib").sortWithinPartitions("at", "qb", "ib")
-        found = scratch.save(dealt.mapInArrow(_linked(least), "cls long, root long, links long"))
+    widths = classes.groupBy((F.length("unit") / 8).cast("int").alias("width")).count().orderBy("width").collect()
+    if widths:
+        one = len(widths) == 1
+        found = reduce(DataFrame.union, [_links(scratch, classes if one else classes.where(F.length("unit") == 8 * w), n, least, recall, sample) for w, n in widths])
         labels = scratch.save(components(scratch, found.select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct()))
         links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     else:

@@ -401,6 +401,18 @@ def test_unlike_texts_under_one_id_stay(spark):
 # Vectors.
 
 
+def test_vectors_link_within_each_width(spark):
+    rng = np.random.default_rng(8)
+    wide, narrow = rng.normal(size=(20, 8)), rng.normal(size=(20, 5))
+    found = [(0, [None]), (1, [1.0, 2.0]), (2, [2.0])]
+    for k, x in enumerate([*wide, *narrow]):
+        found += [(10 + 2 * k, x.tolist()), (11 + 2 * k, (x * 3 + 1e-6).tolist())]
+    docs = spark.createDataFrame(found, "vec_id long, embedding array<double>").coalesce(1)
+    got = {r.vec_id: r for r in inverted_index.near_vectors(docs, 0.999).collect()}
+    assert [got[k].n_links for k in range(3)] == [0, 0, 0] and all(got[k].kept for k in range(3))
+    assert all(got[k].n_links == 1 and got[k].component_id == k - k % 2 for k in range(10, 90))
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
