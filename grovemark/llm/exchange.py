@@ -9,6 +9,7 @@ key from each block. The number of buckets follows the number of keys; each buck
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,13 @@ def unpacked_keys(b: bytes) -> np.ndarray:
 
 
 def cut(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """(bucket, where its keys are) of sorted keys, without empty buckets."""
-    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    lo = 0
-    for k, hi in enumerate([*edges.tolist(), len(keys)]):
-        if hi > lo:
-            yield k, slice(lo, hi)
-        lo = hi
+    """(bucket, where its keys are) of sorted keys; the work follows the keys, not the number of buckets."""
+    if not len(keys):
+        return
+    own = keys >> np.uint64(64 - bits)
+    edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(keys)]
+    for lo, hi in pairwise(edges):
+        yield int(own[lo]), slice(lo, hi)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:

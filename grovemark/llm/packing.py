@@ -254,6 +254,22 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         lo = hi
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in record batches of about ``most`` bytes of text, whatever a batch holds: small batches are joined."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in slices(batch, most):
+            n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if held and size + n > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pack(docs: DataFrame, tokenizer_file: str, size: int = SIZE, with_ids: bool = True) -> DataFrame:
     """PIECES, and ids array<int> if wanted: every token of every row of (doc_id, text) in one piece.
 

@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .exchange import cut, grouped, packed, packed_keys, unpacked, unpacked_keys
 from .minhash import mixed
-from .packing import slices
+from .packing import blocks_of
 
 LENGTH, GRAM = 100, 40
 PLACES = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
-TEXT, SEGMENT = 4 << 20, 1 << 20
+TEXT, SEGMENT = 8 << 20, 1 << 20
 #: Anchors that a bucket should hold about, over all blocks.
-PER_BUCKET = 125_000
+PER_BUCKET = 250_000
 #: Groups up to so many distinct surroundings are compared pairwise, larger ones are swept.
 FEW = 16
 
@@ -98,24 +98,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, made = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for rows in slices(batch, TEXT):
-            at = rows.schema.get_field_index("text")
-            texts = [(t or "").encode() for t in rows.column(at).to_pylist()]
-            edges = np.cumsum([0, *map(len, texts)])
-            sink = pa.BufferOutputStream()
-            rest = pa.record_batch([c for k, c in enumerate(rows.columns) if k != at], [n for k, n in enumerate(rows.schema.names) if k != at])
-            with pa.ipc.new_stream(sink, rest.schema) as w:
-                w.write_batch(rest)
-            joined = b"".join(texts)
-            yield pa.record_batch([pa.array([(part << 24) + made]), pa.array([_zip(sink.getvalue().to_pybytes())]), pa.array([packed(edges)]), pa.array([_zip(joined)]), pa.array([2 * len(joined) // PLACES])], [x.split()[0] for x in BLOCKS.split(", ")])
-            made += 1
+    for rows in blocks_of(batches, TEXT):
+        at = rows.schema.get_field_index("text")
+        texts = [(t or "").encode() for t in rows.column(at).to_pylist()]
+        edges = np.cumsum([0, *map(len, texts)])
+        sink = pa.BufferOutputStream()
+        rest = pa.record_batch([c for k, c in enumerate(rows.columns) if k != at], [n for k, n in enumerate(rows.schema.names) if k != at])
+        with pa.ipc.new_stream(sink, rest.schema) as w:
+            w.write_batch(rest)
+        joined = b"".join(texts)
+        yield pa.record_batch([pa.array([(part << 24) + made]), pa.array([_zip(sink.getvalue().to_pybytes())]), pa.array([packed(edges)]), pa.array([_zip(joined)]), pa.array([2 * len(joined) // PLACES])], [x.split()[0] for x in BLOCKS.split(", ")])
+        made += 1
 
 
 def _opened(row: dict) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, edges, anchors, their hashes) of a block."""
+    """(text, edges, anchors, their keys) of a block. Anchors' hashes are minima, so all small; keys are those hashes mixed again, and buckets fill alike."""
     text, edges = _unzip(row["text"]), unpacked(row["edges"])
-    return text, edges, *anchors(np.frombuffer(text, np.uint8), edges)
+    at, hashes = anchors(np.frombuffer(text, np.uint8), edges)
+    return text, edges, at, mixed(hashes)
 
 
 def _ask(bits: int):
@@ -263,7 +263,8 @@ def _runs(bits: int):
             by_bucket: dict[int, list[tuple[bytes, bytes, int]]] = {}
             for (right, left), k in sorted(first.items()):
                 by_bucket.setdefault(int(bucket[k]), []).append((right, left, k))
-            out = [(0, row["block"] % (1 << bits), row["block"], *[None] * 7, packed(np.array(spans, np.int64).ravel()))]
+            home = int(mixed(np.array([row["block"]], np.uint64))[0] >> np.uint64(64 - bits))  # what a block settles itself needs no particular bucket
+            out = [(0, home, row["block"], *[None] * 7, packed(np.array(spans, np.int64).ravel()))]
             for b, items in by_bucket.items():
                 ks = np.array([k for _, _, k in items])
                 shared, rests, tails = front_coded([r for r, _, _ in items])
@@ -402,7 +403,7 @@ def _cut(docs: DataFrame, digest: bool) -> DataFrame:
     n_anchors, n_blocks = blocks.agg(F.coalesce(F.sum("n_anchors"), F.lit(0)), F.count(F.lit(1))).first()
     bits = max(2, (n_anchors // PER_BUCKET).bit_length())
     asked = blocks.select("block", "edges", "text").mapInArrow(_ask(bits), "bucket int, block long, keys binary, counts binary")
-    answers = scratch.save(asked.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "block long, bucket int, again binary"))
+    answers = scratch.save(asked.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_answer, "block long, bucket int, again binary"))
     n_parts = max(1, n_blocks)
 
     def beside(own: DataFrame, told: DataFrame) -> DataFrame:
@@ -411,7 +412,7 @@ def _cut(docs: DataFrame, digest: bool) -> DataFrame:
 
     names = "kind int, bucket int, block long, shared binary, rests binary, tails binary, lefts binary, left_sizes binary, docs binary, places binary, spans binary"
     runs = beside(blocks.drop("n_anchors"), answers).mapInArrow(_runs(bits), names)
-    spans = scratch.save(runs.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_merged, SPANS))
+    spans = scratch.save(runs.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket", "block").mapInArrow(_merged, SPANS))
     scratch.drop(answers)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else docs.schema
     return beside(blocks.drop("n_anchors"), spans).mapInArrow(_kept(docs.columns, digest), kind)

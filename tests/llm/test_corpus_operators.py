@@ -485,6 +485,14 @@ def test_repeats_match_brute_force(docs, rows):
     assert cut == {k: v[3].decode("utf-8", "ignore") for k, v in want.items()}
 
 
+def test_buckets_fill_alike(spark):
+    got = [t.encode() for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text IS NOT NULL").collect()]
+    row = {"text": suffix_dedup._zip(b"".join(got)), "edges": suffix_dedup.packed(np.cumsum([0, *map(len, got)]))}
+    keys = np.unique(suffix_dedup._opened(row)[3])
+    sizes = [w.stop - w.start for _, w in suffix_dedup.cut(keys, 5)]
+    assert len(keys) > 10_000 and len(sizes) == 32 and max(sizes) <= 2 * len(keys) / 32
+
+
 def test_large_groups_are_swept_alike(spark, monkeypatch):
     rng = random.Random(9)
     words = vocabulary(rng)
