@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 SHINGLE, CONTAINED, RETRIEVE = 5, 0.8, 0.99999
-#: Templates are held by every executor: their shingles may be so many in all.
+#: Templates' shingles that one pass over the documents holds on every executor; larger sets take several passes.
 MOST_SHINGLES = 200_000
 
 #: Usual wordings of public licence notices.
@@ -40,6 +42,11 @@ NOTICES = {
 }
 
 
+def read_templates(folder: str) -> dict[str, str]:
+    """Templates from the text files of a folder on the driver, each named by its file without the ending: whole licences, for example."""
+    return {p.stem: p.read_text(encoding="utf-8", errors="replace") for p in sorted(Path(folder).iterdir()) if p.is_file()}
+
+
 def tokens(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
@@ -82,14 +89,27 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     at_token: the first token of the earliest of the best windows that belongs to the template. n_windows: windows that
     verify. Null texts, and texts or templates of fewer than five tokens, match nothing. Rows that repeat a doc_id are one
     document in the result. Other columns are ignored. Documents without a match have no row; no documents, no rows.
+    Templates of more than MOST_SHINGLES shingles in all are looked for in several passes over the documents.
     """
-    spark: SparkSession = docs.sparkSession
     found = {k: tokens(v) for k, v in (NOTICES if templates is None else templates).items()}
-    rows = [(k, w) for k, w in found.items() if len(w) >= SHINGLE]
-    if (held := sum(len(w) for _, w in rows)) > MOST_SHINGLES:
-        raise ValueError(f"templates hold {held} shingles; at most {MOST_SHINGLES} are sent to every executor")
-    if not rows:
+    passes: list[list[tuple[str, list[str]]]] = []
+    held = 0
+    for k, w in found.items():
+        if len(w) < SHINGLE:
+            continue
+        if not passes or held + len(w) > MOST_SHINGLES:
+            passes.append([])
+            held = 0
+        passes[-1].append((k, w))
+        held += len(w)
+    if not passes:
         return docs.where("false").select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("at_token"), F.lit(0).cast("long").alias("n_windows"))
+    return reduce(DataFrame.union, [_scan(docs, rows, contained) for rows in passes])
+
+
+def _scan(docs: DataFrame, rows: list[tuple[str, list[str]]], contained: float) -> DataFrame:
+    """One pass with the templates (name, tokens) in ``rows``."""
+    spark: SparkSession = docs.sparkSession
     sizes = {k: len({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}) for k, w in rows}
     classes = sorted({size_class(n) for n in sizes.values()})
     bands = bands_for(classes, contained)

@@ -150,13 +150,15 @@ def is_held_out(doc_id) -> object:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fits on at most ``sample`` labelled rows that are not held out: those with the smallest hashes of doc_id.
 
-    Rows without a label or id are passed over; a doc_id with several labels gives a row for each.
+    Rows without a label or id are passed over; a doc_id with several labels gives a row for each. Of documents that repeat an
+    id the smallest text is learnt from, so that the driver gets ``sample`` rows at most.
     """
     usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~is_held_out(F.col("doc_id")))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).selectExpr("doc_id AS _id", "quality")
-    found = _columns(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text", "n_chars")
-    got = sorted(found.mapInArrow(_featured, "doc_id long, quality int, at binary, x binary").collect(), key=lambda r: (r[0], r[1], r[2]))
-    return fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got[: 4 * sample]], [r[1] for r in got[: 4 * sample]])
+    found = _columns(docs).join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("_id"))
+    found = found.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("x")).select("doc_id", "quality", "x.*")
+    got = sorted(found.mapInArrow(_featured, "doc_id long, quality int, at binary, x binary").collect(), key=lambda r: (r[0], r[1]))
+    return fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], [r[1] for r in got])
 
 
 def _scorer(machine):
@@ -182,11 +184,15 @@ def score_quality(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``; nulls and empty texts as in ``score_quality``, no rows, no rows."""
     scored = score_quality(_columns(docs), train(docs, labels))
     score = F.col("quality_score")
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``least``, in their own columns."""
-    return score_quality(docs, machine).where(F.col("quality_score") >= least).select(*docs.columns)
+    """The rows of ``docs`` with a score of at least ``least``, in their own columns, quality_score included where they have one."""
+    if "quality_score" not in docs.columns:
+        return score_quality(docs, machine).where(F.col("quality_score") >= least).select(*docs.columns)
+    own = docs.withColumnRenamed("quality_score", "_own_score")
+    return score_quality(own, machine).where(F.col("quality_score") >= least).drop("quality_score").withColumnRenamed("_own_score", "quality_score").select(*docs.columns)

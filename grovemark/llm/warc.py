@@ -24,6 +24,8 @@ from .common import Scratch
 #: Fixed values of the seekable format: the skippable frame's number, the footer's number.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 25
+#: Pages of one payload beyond which its target is broadcast.
+HOT = 100_000
 BUNDLES = "bundle_id string, content binary, index array<struct<record_id:string,frame:int,offset:long,length:long>>"
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -32,9 +34,17 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None) -> tuple[str, bytes]:
-    """(record identifier, bytes) of one response or revisit record; a revisit names its target and carries no payload."""
-    rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>"
+def record_id(page_id: int | None, payload_digest: str, place: str = "") -> str:
+    """The identifier of a page's record with a payload; rows that repeat both are told apart by their place."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{payload_digest}:{place}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None, place: str = "", named: bool = True) -> tuple[str, bytes]:
+    """(record identifier, bytes) of one response or revisit record.
+
+    A revisit names its target, by its record too where that is ``named`` (has no place), and carries no payload.
+    """
+    rid = record_id(page_id, payload_digest, place)
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {rid}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
@@ -43,6 +53,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, payload_digest:
     head += [f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Payload-Length: {len(payload)}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {refers_to}"]
+        if named:
+            head.append(f"WARC-Refers-To: {record_id(refers_to, payload_digest)}")
         payload = b""
     head += ["Content-Type: text/html", f"Content-Length: {len(payload)}"]
     return rid, "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -127,8 +139,8 @@ def _write(frame_bytes: int, bundle_bytes: int):
             return pa.record_batch([pa.array([f"{part:06d}-{made:06d}"]), pa.array([content], pa.binary()), pa.array([rows], kind)], ["bundle_id", "content", "index"])
 
         for batch in batches:
-            for page_id, url, html, sha, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                held.append(record(page_id, url, (html or "").encode(), sha, first))
+            for page_id, url, html, sha, first, twin, named in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "twin", "named")), strict=True):
+                held.append(record(page_id, url, (html or "").encode(), sha, first, f"{part}-{made}-{len(held)}" if twin else "", named))
                 size += len(held[-1][1])
                 if size >= bundle_bytes:
                     yield out()
@@ -145,17 +157,23 @@ def write_bundles(pages: DataFrame, at_least: int = 0, frame_bytes: int = FRAME_
     Of equal payloads of at least ``at_least`` bytes, the smallest page_id's is a response and the others revisit it; rows
     that repeat that page_id and payload are responses too. Null html is an empty payload; null ids sort last and never are
     a target unless all are null, when all are responses. Other columns are ignored. No rows, no bundles.
-    A hot payload's ids are combined before their exchange; pages meet their target by (page_id, digest), not by payload.
+    Record identifiers are unique: page_id and digest make them, and for rows that repeat both their place in the bundles too.
+    WARC-Refers-To names the target's record, WARC-Refers-To-Page its page_id; where rows repeat the target the latter alone.
+    Pages meet their target by (page_id, digest), not by payload; payloads that are very frequent meet it by a broadcast, since
+    at most one in HOT rows can be such a payload.
     """
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     sha = F.sha1(F.col("html").cast("binary"))
-    keyed = plain.select("page_id", sha.alias("sha"), F.octet_length("html").alias("size")).where(f"size >= {int(at_least)}")
-    first = keyed.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").select("sha", "refers_to")
-    later = keyed.select("page_id", "sha").distinct().join(first, "sha").where("NOT page_id <=> refers_to")
-    later = later.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to")
+    keyed = plain.select("page_id", sha.alias("sha"), F.octet_length("html").alias("size")).groupBy("page_id", "sha").agg(F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"))
+    first = keyed.where(f"size >= {int(at_least)}").groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", (F.col("rows") == 1).alias("named"))).alias("to"), F.count(F.lit(1)).alias("n"))
+    first = first.where("n > 1 AND to.page_id IS NOT NULL").select("sha", F.col("to.page_id").alias("refers_to"), F.col("to.named").alias("named"), "n")
+    hot = F.broadcast(first.where(F.col("n") > HOT).drop("n"))
+    cold = keyed.join(hot.select("sha"), "sha", "left_anti").join(first.where(F.col("n") <= HOT).drop("n"), "sha", "left")
+    later = cold.unionByName(keyed.join(hot, "sha")).where("rows > 1 OR NOT page_id <=> refers_to AND refers_to IS NOT NULL")
+    later = later.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")).alias("refers_to"), "named", (F.col("rows") > 1).alias("twin"))
     out = plain.withColumn("sha", sha)
     out = out.join(later, out["page_id"].eqNullSafe(later["_id"]) & (out["sha"] == later["_sha"]), "left")
-    return out.select("page_id", "url", "html", F.col("sha").alias("digest"), "refers_to").mapInArrow(_hexed(_write(frame_bytes, bundle_bytes)), BUNDLES)
+    return out.select("page_id", "url", "html", F.col("sha").alias("digest"), "refers_to", "twin", "named").mapInArrow(_hexed(_write(frame_bytes, bundle_bytes)), BUNDLES)
 
 
 def _hexed(write):
