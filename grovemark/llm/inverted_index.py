@@ -25,6 +25,8 @@ from .common import Scratch, components
 #: Vectors that codebooks and calibration read at most.
 SAMPLE = 20_000
 BLOCK, RECALL, PER_CELL = 1024, 0.995, 200
+#: Centroids of a codebook at most (the square of it bounds the cells whose counts are broadcast), grids visited whole, and calibration draws.
+CENTROIDS, FEW_CELLS, DRAWS = 1024, 16, 2000
 
 
 def traversal(first: np.ndarray, second: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -79,14 +81,17 @@ class Grid:
 def fit(sample: np.ndarray, n_vectors: int, least: float, recall: float = RECALL, seed: int = 3) -> Grid:
     """Codebooks for ``n_vectors`` vectors from unit vectors of the sample, and the visits that reach the recall.
 
-    Calibration draws a neighbour for each of 2,000 sample vectors at a cosine uniform in [least, 1] and takes the number
-    of visits after which either finds the other in all but 1 - recall of the pairs.
+    Calibration makes DRAWS neighbours of sample vectors, which repeat in a small sample, at cosines uniform in [least, 1] and
+    takes the number of visits after which the one in the lower cell finds the other in all but 1 - recall of the pairs.
     """
     rng = np.random.default_rng(seed)
-    k = int(min(256, max(2, round((n_vectors / PER_CELL) ** 0.5))))
+    k = int(min(CENTROIDS, max(2, round((n_vectors / PER_CELL) ** 0.5))))
     cut = sample.shape[1] // 2
     grid = Grid(k_means(sample[:, :cut], k), k_means(sample[:, cut:], k), 0)
-    x = sample[rng.choice(len(sample), min(2000, len(sample)), replace=False)]
+    if len(grid.first) * len(grid.second) <= FEW_CELLS:
+        grid.visits = len(grid.first) * len(grid.second)
+        return grid
+    x = sample[rng.choice(len(sample), DRAWS, replace=len(sample) < DRAWS)]
     noise = rng.normal(size=x.shape)
     noise -= (noise * x).sum(1)[:, None] * x
     noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-12)[:, None]
@@ -96,7 +101,8 @@ def fit(sample: np.ndarray, n_vectors: int, least: float, recall: float = RECALL
     far = min(whole, 2048)
     steps = []
     for px, cx, py, cy in zip(grid.visited(x, far), grid.cells(x), grid.visited(y, far), grid.cells(y), strict=True):
-        steps.append(min(px.index(cy) if cy in px else whole, py.index(cx) if cx in py else whole) + 1)
+        path, cell = (px, cy) if cx <= cy else (py, cx)
+        steps.append((path.index(cell) if cell in path else whole - 1) + 1)
     grid.visits = int(np.sort(steps)[min(len(steps) - 1, int(np.ceil(recall * len(steps))))])
     return grid
 
@@ -131,7 +137,9 @@ def _celled(shared):
         for b in batches:
             if b.num_rows:
                 x = np.frombuffer(b"".join(b.column("unit").to_pylist()), dtype=np.float64).reshape(b.num_rows, -1)
-                yield pa.record_batch([b.column("cls"), b.column("copies"), b.column("unit"), pa.array(grid.cells(x), pa.int32()), pa.array(grid.visited(x), pa.list_(pa.int32()))], ["cls", "copies", "unit", "cell", "visits"])
+                own = grid.cells(x).tolist()
+                visits = [[c for c in path if c >= cell] for path, cell in zip(grid.visited(x), own, strict=True)]
+                yield pa.record_batch([b.column("cls"), b.column("copies"), b.column("unit"), pa.array(own, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["cls", "copies", "unit", "cell", "visits"])
 
     return run
 
@@ -149,15 +157,9 @@ def _linked(least: float):
         hit = (x[query] @ x[index].T >= least) & (cls[query][:, None] != cls[index])
         if not hit.any():
             return None
-        visits = rows["visits"].combine_chunks()
-        width = np.diff(visits.offsets.to_numpy())[0]
-        seen = visits.flatten().to_numpy().reshape(len(cls), width)[index]
-        back = np.zeros(hit.shape, dtype=bool)  # the index row finds the query too, in the query's cell
-        for c in np.unique(cell[query]):
-            back[np.ix_(cell[query] == c, (seen == c).any(1))] = True
         counts = np.zeros(len(cls), dtype=np.int64)
         counts[query] += hit @ copies[index]
-        counts[index] += (hit & ~back).T @ copies[query]
+        counts[index] += (hit & (cell[query][:, None] != cell[index])).T @ copies[query]  # within a cell both are queries
         label = cls.copy()
         a, b = label[query], label[index]
         top = np.iinfo(np.int64).max
@@ -199,11 +201,11 @@ def _links(scratch: Scratch, classes: DataFrame, n: int, least: float, recall: f
     placed = scratch.save(classes.mapInArrow(_celled(classes.sparkSession.sparkContext.broadcast(grid)), "cls long, copies long, unit binary, cell int, visits array<int>"))
     queries = placed.select("*", F.explode("visits").alias("at"))
     blocks = queries.groupBy("at").agg(F.count(F.lit(1)).alias("q"), F.count_if(F.col("at") == F.col("cell")).alias("i")).where("i > 0")
-    blocks = F.broadcast(blocks.select("at", F.ceil(F.col("q") / BLOCK).cast("int").alias("nq"), F.ceil(F.col("i") / BLOCK).cast("int").alias("ni")))  # 65,536 cells at most
+    blocks = F.broadcast(blocks.select("at", F.ceil(F.col("q") / BLOCK).cast("int").alias("nq"), F.ceil(F.col("i") / BLOCK).cast("int").alias("ni")))  # CENTROIDS ** 2 cells at most
     own = F.xxhash64("cls")
     left = placed.withColumn("at", F.col("cell")).join(blocks, "at").select("*", F.pmod(own, "ni").cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.lit(0).alias("side"))
     right = queries.join(blocks, "at").select("*", F.pmod(own, "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("ib"), F.lit(1).alias("side"))
-    keep = ["at", "qb", "ib", "side", "cls", "copies", "unit", "cell", "visits"]
+    keep = ["at", "qb", "ib", "side", "cls", "copies", "unit", "cell"]
     dealt = left.select(*keep).union(right.select(*keep)).repartition("at", "qb", "ib").sortWithinPartitions("at", "qb", "ib")
     return scratch.save(dealt.mapInArrow(_linked(least), "cls long, root long, links long"))
 
