@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..sources.templates import choose, feedback_templates, fill
+from .nodes import spelling
 
 STYLES = ("full", "gepa", "compact", "json")
 #: The kinds of errors that kinds of repairs are told as.
@@ -37,16 +39,23 @@ def human(kind: Column) -> Column:
 def _values(rank: Column) -> dict[str, Column]:
     c = F.col
     return {
-        "rank": rank, "path": c("path"), "list_path": c("list_path"), "gold": c("gold_repr"), "pred": c("pred_repr"), "value": c("value_repr"), "key": c("key"), "gold_key": c("key"), "pred_key": c("pred_key"),
+        "rank": rank, "path": c("path"), "list_path": c("list_path"), "gold": c("_gold"), "pred": c("_pred"), "value": c("_value"), "key": c("key"), "gold_key": c("key"), "pred_key": c("pred_key"),
         "gold_path": c("gold_path"), "pred_path": c("pred_path"), "score_delta": c("score_delta"), "score_delta_pct": 100 * c("score_delta"), "confidence": c("confidence"), "confidence_pct": 100 * c("confidence"), "score": c("total"), "score_pct": 100 * c("total"),
     }
 
 
-def feedback_entries(ops: DataFrame, top_k: int | None = 5, min_score_delta: float = 0.0, style: str = "full", templates: Mapping[str, str] | None = None, references: DataFrame | None = None) -> DataFrame:
+def _spelt(ops: DataFrame, formatter: Callable[[Any], str] | None) -> DataFrame:
+    """Adds the texts' spellings of values: of the repairs that are told alone, in Arrow batches."""
+    told = spelling(formatter)
+    return ops.withColumns({"_gold": told(F.col("gold")), "_pred": told(F.col("pred")), "_value": told(F.coalesce("value", "gold"))})
+
+
+def feedback_entries(ops: DataFrame, top_k: int | None = 5, min_score_delta: float = 0.0, style: str = "full", templates: Mapping[str, str] | None = None, references: DataFrame | None = None, value_formatter: Callable[[Any], str] | None = None) -> DataFrame:
     """pair_id, rank, seq, op_kind, op, path, score_delta, score_delta_pct, gold, pred, text, rename_group, confidence, n_total, truncated.
 
     top_k: repairs kept (None: all; both halves of a rename count); min_score_delta: a rename stays or goes whole. Silent texts take
     no rank; the silent half of a rename has its partner's. references: pair_id, path, text of what a reference should point to.
+    value_formatter: spells values in texts; the default is Python's spelling, cut to 80 characters.
     """
     if style not in STYLES:
         raise ValueError(f"style must be one of {STYLES}, not {style!r}")
@@ -66,6 +75,7 @@ def feedback_entries(ops: DataFrame, top_k: int | None = 5, min_score_delta: flo
     rows = rows.withColumn("shown_rank", F.when(F.col("_heard") == 1, F.col("_r")).otherwise(F.coalesce(F.max(F.when(F.col("_heard") == 1, F.col("_r"))).over(group), F.lit(0))))
     text = F.lit("")
     if style != "json":
+        rows = _spelt(rows, value_formatter)
         values = _values(F.col("shown_rank"))
         cases = [(F.col("kind") == kind, fill(texts[f"feedback.op.{kind}"], values)) for kind in HUMAN if texts[f"feedback.op.{kind}"].strip()]
         if references is not None:
@@ -79,13 +89,16 @@ def feedback_entries(ops: DataFrame, top_k: int | None = 5, min_score_delta: flo
     )
 
 
-def feedback_text(nodes: DataFrame, ops: DataFrame, top_k: int | None = 5, min_score_delta: float = 0.0, style: str = "full", templates: Mapping[str, str] | None = None, synthesis: bool = True, dominant: float = 0.6, diagnostics: bool = True, references: DataFrame | None = None) -> DataFrame:
-    """pair_id, score, text, n_total_ops, truncated for every pair; an invalid pair's text says where it breaks the schema."""
+def feedback_text(nodes: DataFrame, ops: DataFrame, top_k: int | None = 5, min_score_delta: float = 0.0, style: str = "full", templates: Mapping[str, str] | None = None, synthesis: bool = True, dominant: float = 0.6, diagnostics: bool = True, references: DataFrame | None = None, value_formatter: Callable[[Any], str] | None = None, metadata: bool = False) -> DataFrame:
+    """pair_id, score, text, n_total_ops, truncated for every pair; an invalid pair's text says where it breaks the schema.
+
+    metadata: also error_breakdown, a map from kinds of repairs to what all of a kind would recover, told or not.
+    """
     texts = feedback_templates(style, templates)
-    entries = feedback_entries(ops, top_k, min_score_delta, style, templates, references)
+    entries = feedback_entries(ops, top_k, min_score_delta, style, templates, references, value_formatter)
     told = entries.select("pair_id", F.lit(0).alias("note"), "seq", "text", human(F.col("op_kind")).alias("human"), "score_delta", "n_total", "truncated")
     if diagnostics:
-        notes = ops.where("kind = 'pairing_ambiguous'").select("pair_id", F.lit(1).alias("note"), F.col("rank").alias("seq"), fill(texts["feedback.op.pairing_ambiguous"], _values(F.lit(0))).alias("text"), F.lit(None).cast("string").alias("human"), F.lit(0.0).alias("score_delta"), F.lit(None).cast("long").alias("n_total"), F.lit(None).cast("boolean").alias("truncated"))
+        notes = _spelt(ops.where("kind = 'pairing_ambiguous'"), value_formatter).select("pair_id", F.lit(1).alias("note"), F.col("rank").alias("seq"), fill(texts["feedback.op.pairing_ambiguous"], _values(F.lit(0))).alias("text"), F.lit(None).cast("string").alias("human"), F.lit(0.0).alias("score_delta"), F.lit(None).cast("long").alias("n_total"), F.lit(None).cast("boolean").alias("truncated"))
         told = told.union(notes)
     # A pair has few entries: its texts, its kinds' sums and its notes come from one sorted list.
     listed = told.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("note", "seq", "text", "human", "score_delta"))).alias("all"), F.max("n_total").alias("n_kept"), F.max("truncated").alias("truncated"))
@@ -97,7 +110,8 @@ def feedback_text(nodes: DataFrame, ops: DataFrame, top_k: int | None = 5, min_s
     own = own.withColumn("sums", F.slice(F.sort_array(summed), 1, 3)).withColumn("whole", F.aggregate("own", F.lit(0.0), lambda s, x: s + x["score_delta"]))
     own = own.select("pair_id", "doubts", "lines", "n_shown", "truncated", "n_kept", F.get("sums", F.lit(0))["human"].alias("dominant"), F.try_divide(-F.get("sums", F.lit(0))["less"], F.col("whole")).alias("fraction"), F.array_join(F.transform("sums", lambda x: x["human"]), ", ").alias("kinds"))
     roots = nodes.where("parent_id IS NULL").select("pair_id", "valid", F.col("total").alias("score"), "error_path", "error")
-    totals = ops.where("kind <> 'pairing_ambiguous'").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_total_ops"))
+    sums = ops.where("kind <> 'pairing_ambiguous'").groupBy("pair_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("score_delta").alias("delta"))
+    totals = sums.groupBy("pair_id").agg(F.sum("n").alias("n_total_ops"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "delta")))).alias("error_breakdown"))
     out = roots.join(own, "pair_id", "left").join(totals, "pair_id", "left")
     score, deficit = F.col("score"), 1 - F.col("score")
     n_total, n_shown = F.coalesce("n_total_ops", F.lit(0)), F.coalesce("n_shown", F.lit(0))
@@ -111,4 +125,14 @@ def feedback_text(nodes: DataFrame, ops: DataFrame, top_k: int | None = 5, min_s
         .when(n_shown == 0, F.concat(fill(texts["feedback.empty"], values), notes))
         .otherwise(F.concat(body, notes))
     )
-    return out.select("pair_id", "score", (F.lit("") if style == "json" else text).alias("text"), n_total.cast("int").alias("n_total_ops"), (F.coalesce("truncated", F.lit(False)) | ((n_total > 0) & F.col("n_kept").isNull())).alias("truncated"))
+    more = [F.coalesce("error_breakdown", F.create_map().cast("map<string,double>")).alias("error_breakdown")] if metadata else []
+    return out.select("pair_id", "score", (F.lit("") if style == "json" else text).alias("text"), n_total.cast("int").alias("n_total_ops"), (F.coalesce("truncated", F.lit(False)) | ((n_total > 0) & F.col("n_kept").isNull())).alias("truncated"), *more)
+
+
+def feedback_json(nodes: DataFrame, ops: DataFrame, top_k: int | None = 5, min_score_delta: float = 0.0, style: str = "full", **options) -> DataFrame:
+    """pair_id, result: all that is said of a pair as one JSON text: score, text, entries in their order, style, truncated, n_total_ops, error_breakdown."""
+    told = {k: options[k] for k in ("templates", "references", "value_formatter") if k in options}
+    entries = feedback_entries(ops, top_k, min_score_delta, style, **told)
+    listed = entries.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("seq", "rank", "op_kind", "op", "path", "score_delta", "score_delta_pct", "gold", "pred", "text", "rename_group", "confidence"))).alias("entries"))
+    out = feedback_text(nodes, ops, top_k, min_score_delta, style, metadata=True, **options).join(listed, "pair_id", "left")
+    return out.select("pair_id", F.to_json(F.struct("score", "text", F.coalesce("entries", F.array()).alias("entries"), F.lit(style).alias("style"), "truncated", "n_total_ops", "error_breakdown")).alias("result"))

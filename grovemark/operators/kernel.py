@@ -131,6 +131,41 @@ def entropy(matrix: list[list[float]], pairs: list[tuple[int, int]], temperature
     return out
 
 
+def _key_likeness(schema: Node, a: str, b: str) -> float:
+    s = SIMILARITIES[schema.key_score](a, b)
+    return 0.0 if s < schema.key_threshold else s
+
+
+def sureness(options: Options, sims: list[list[float]], pairs: list[tuple[int, int]]) -> list[float]:
+    return margin(sims, pairs) if options.confidence_method == "margin" else entropy(sims, pairs, options.temperature)
+
+
+def pair_keys(schema: Node, keys: tuple[str, ...], others: tuple[str, ...], options: Options) -> list[tuple[Any, Any, float, float]]:
+    """(gold key, pred key, likeness, confidence) of each row of an object's alignment: it depends on the keys alone.
+
+    Pairs without likeness fall apart, the excess key before the missing one.
+    """
+    if schema.key_score not in ("jaro", "exact"):
+        raise ValueError(f"keyScore must be 'jaro' or 'exact', not {schema.key_score!r}")
+    if set(keys) == set(others):  # equal keys are the only optimum
+        sure = [1.0] * len(keys)
+        if options.compute_confidence:
+            sure = sureness(options, [[_key_likeness(schema, a, b) for b in keys] for a in keys], [(i, i) for i in range(len(keys))])
+        return [(k, k, 1.0, c) for k, c in zip(keys, sure, strict=True)]
+    sims = [[_key_likeness(schema, a, b) for b in others] for a in keys]
+    found = list(enumerate(assign(padded(sims, len(keys), len(others)))))
+    cells = [(i, j) for i, j in found if i < len(keys) and j < len(others) and sims[i][j] > 0]
+    sure = dict(zip(cells, sureness(options, sims, cells), strict=True)) if options.compute_confidence and cells else {}
+    rows: list[tuple[Any, Any, float, float]] = []
+    for i, j in found:
+        if i < len(keys) and j < len(others) and sims[i][j] > 0:
+            rows.append((keys[i], others[j], sims[i][j], sure.get((i, j), 1.0)))
+        else:
+            rows += [(ABSENT, others[j], 0.0, 1.0)] if j < len(others) else []
+            rows += [(keys[i], ABSENT, 0.0, 1.0)] if i < len(keys) else []
+    return rows
+
+
 class Comparison:
     """One schema, many pairs. Custom comparators: {type: {name: fn}}."""
 
@@ -151,17 +186,37 @@ class Comparison:
                     self.integers.setdefault(name, fn)
         self.ids, self.refs = scopes(schema)
         self.order, self.degraded = scope_order(schema)
-
-    def compare(self, gold: Any, pred: Any) -> tuple[Match, dict[str, dict]]:
-        """(the alignment, for each scope the identifiers' counterparts)."""
-        run = _Run(self, gold, pred)
+        self._keys: dict[tuple, list] = {}
+
+    def keys_of(self, schema: Node, keys: tuple[str, ...], others: tuple[str, ...]) -> list[tuple[Any, Any, float, float]]:
+        """``pair_keys``, solved once for each pair of key lists."""
+        at = (id(schema), keys, others)
+        if (found := self._keys.get(at)) is None:
+            if len(self._keys) > 10_000:
+                self._keys.clear()
+            found = self._keys[at] = pair_keys(schema, keys, others, self.options)
+        return found
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_keys": {}}  # nodes have other ids in other processes
+
+    def compare(self, gold: Any, pred: Any, vectors: dict | None = None) -> tuple[Match, dict[str, dict]]:
+        """(the alignment, for each scope the identifiers' counterparts). vectors: of the texts that metrics by embedding compare."""
+        run = _Run(self, gold, pred, vectors)
         run.resolve()
         return run.node(self.schema, gold, pred, "", None, None), run.mappings
 
+    def identities(self, gold: Any, pred: Any, vectors: dict | None = None) -> list[tuple[str, Any, Any, bool]]:
+        """(scope, gold identifier, its counterpart or None, whether another record has the same likenesses throughout)."""
+        run = _Run(self, gold, pred, vectors)
+        run.resolve()
+        return [(scope, i, j, i in run.twins.get(scope, ())) for scope, found in run.mappings.items() for i, j in found.items()]
+
 
 class _Run:
-    def __init__(self, plan: Comparison, gold: Any, pred: Any):
-        self.plan, self.gold, self.pred, self.opt = plan, gold, pred, plan.options
+    def __init__(self, plan: Comparison, gold: Any, pred: Any, vectors: dict | None = None):
+        self.plan, self.gold, self.pred, self.opt, self.vectors = plan, gold, pred, plan.options, vectors
+        self.twins: dict[str, set] = {}
         self.mappings: dict[str, dict] = {}
         self.pred_ids: dict[str, set] = {}
         self.masked: set[str] | None = None  # scopes whose references count as right while costs are found
@@ -183,16 +238,18 @@ class _Run:
         return Match(self._leaf(schema, kind, gold, pred, path, gold_parent, pred_parent), gold, pred)
 
     def _leaf(self, schema: Node, kind: str, gold: Any, pred: Any, path: str, gold_parent: Any, pred_parent: Any) -> float:
-        if kind not in schema.types and not (kind == "integer" and "number" in schema.types):
+        if kind not in schema.types and not (kind in ("integer", "number") and {"integer", "number"} & set(schema.types)):
             raise TypeError(f"a {kind} is not of type {'/'.join(schema.types)}")
         if kind == "boolean":
             return float(gold == pred)
-        table = self.plan.strings if kind == "string" else self.plan.integers if "integer" in schema.types and kind == "integer" else self.plan.numbers
+        table = self.plan.strings if kind == "string" else self.plan.integers if "integer" in schema.types else self.plan.numbers
         name = schema.score or ("jaro" if kind == "string" else "invdiff")
         if name not in table:
             raise ValueError(f"unknown comparator {name!r} for {kind}")
         fn = table[name]
-        if getattr(fn, "wants_context", False):
+        if self.vectors is not None and hasattr(fn, "by_vectors"):
+            score = fn.by_vectors(self.vectors, gold, pred)
+        elif getattr(fn, "wants_context", False):
             score = fn(gold, pred, Context(gold_parent, pred_parent, self.gold, self.pred, path))
         else:
             score = fn(gold, pred)
@@ -214,37 +271,12 @@ class _Run:
     # Objects.
 
     def _object(self, schema: Node, gold: dict, pred: dict, path: str) -> Match:
-        if schema.key_score not in ("jaro", "exact"):
-            raise ValueError(f"keyScore must be 'jaro' or 'exact', not {schema.key_score!r}")
-        keys, others = list(gold), list(pred)
         out = Match(1.0, gold, pred, node_type="dict", kind="object")
-        if not keys and not others:
+        if not gold and not pred:
             return out
         rows: list[tuple[Match, Match, float]] = []
-        sure = {}
-        if keys == others or set(keys) == set(others):  # equal keys are the only optimum
-            paired = [(k, k, 1.0) for k in keys]
-            if self.opt.compute_confidence:
-                sims = [[self._key(schema, a, b) for b in keys] for a in keys]
-                sure = dict(zip(keys, self._sure(sims, [(i, i) for i in range(len(keys))]), strict=True))
-        else:
-            sims = [[self._key(schema, a, b) for b in others] for a in keys]
-            found = assign(padded(sims, len(keys), len(others)))
-            paired = []
-            cells = []
-            for i, j in enumerate(found):
-                g, p = keys[i] if i < len(keys) else ABSENT, others[j] if j < len(others) else ABSENT
-                s = sims[i][j] if g is not ABSENT and p is not ABSENT else 0.0
-                if s > 0:
-                    paired.append((g, p, s))
-                    cells.append((i, j))
-                else:
-                    paired += [(ABSENT, p, 0.0)] if p is not ABSENT else []
-                    paired += [(g, ABSENT, 0.0)] if g is not ABSENT else []
-            if self.opt.compute_confidence and cells:
-                sure = {keys[i]: c for (i, _), c in zip(cells, self._sure(sims, cells), strict=True)}
-        for g, p, s in paired:
-            key = Match(s, g, p, kind="key", confidence=sure.get(g, 1.0))
+        for g, p, s, sure in self.plan.keys_of(schema, tuple(gold), tuple(pred)):
+            key = Match(s, g, p, kind="key", confidence=sure)
             if g is ABSENT or p is ABSENT:
                 rows.append((key, Match(0.0, gold.get(g, ABSENT) if g is not ABSENT else ABSENT, pred.get(p, ABSENT) if p is not ABSENT else ABSENT, kind="unmatched"), 1.0))
                 continue
@@ -276,13 +308,6 @@ class _Run:
             out.confidence = (schema.key_importance * keys_sure + schema.value_importance * values_sure) / whole
         return out
 
-    def _key(self, schema: Node, a: str, b: str) -> float:
-        s = SIMILARITIES[schema.key_score](a, b)
-        return 0.0 if s < schema.key_threshold else s
-
-    def _sure(self, sims: list[list[float]], pairs: list[tuple[int, int]]) -> list[float]:
-        return margin(sims, pairs) if self.opt.confidence_method == "margin" else entropy(sims, pairs, self.opt.temperature)
-
     # Lists.
 
     def _list(self, schema: Node, gold: list, pred: list, path: str) -> Match:
@@ -349,7 +374,7 @@ class _Run:
         out.score = min(1.0, sum(m.score for m in out.children) / d) if d else 1.0
         if self.opt.compute_confidence and pairs:
             if reorder:
-                for (i, j), c in zip(pairs, self._sure(sims, pairs), strict=True):
+                for (i, j), c in zip(pairs, sureness(self.opt, sims, pairs), strict=True):
                     cells[i][j].confidence = c
             out.confidence = sum(cells[i][j].confidence for i, j in pairs) / len(pairs)
         return out
@@ -408,7 +433,7 @@ class _Run:
             self.pred_ids[scope] = {i for i, _ in theirs}
         for place in plan.refs:
             known = {i for i, _ in records[place.scope][0]}
-            for value, _ in _values(self.gold, place.steps, ()):
+            for value, _ in values_at(self.gold, place.steps, ()):
                 if value is not None and value not in known:
                     raise ValueError(f"gold reference {value!r} points to nothing in scope {place.scope!r}")
         for scope in plan.order:
@@ -435,15 +460,18 @@ class _Run:
                     if i < len(mine) and j < len(theirs) and theirs[j][0] not in taken:
                         found[mine[i][0]] = theirs[j][0]
                         taken.add(theirs[j][0])
-            if any(c > 1 for c in Counter(tuple(r) for r in cost).values()):
+            alike = Counter(tuple(r) for r in cost)
+            self.twins[scope] = {i for (i, _), r in zip(mine, cost, strict=True) if alike[tuple(r)] > 1}
+            if self.twins[scope]:
                 warnings.warn(f"records of scope {scope!r} can't be told apart", UserWarning, stacklevel=3)
             self.mappings[scope] = found
 
     def _structured(self, scope: str, cost: list[list[float]], mine: list, theirs: list) -> list[list[float]]:
         """Costs with what the reference graph says: records with equal Weisfeiler-Leman colours belong together."""
-        edges = [_edges(self.plan, scope, data, self.mappings if side == 0 else None) for side, data in enumerate((self.gold, self.pred))]
-        seeds = self.opt.wl_fold == "blend"
-        colours = refine([[i for i, _ in mine], [i for i, _ in theirs]], edges, [[_scalars(r) if seeds else "" for _, r in mine], [_scalars(r) if seeds else "" for _, r in theirs]], self.opt.wl_rounds)
+        edges = [_edges(self.plan, scope, data, self.mappings, side == 0, {i for i, _ in own}) for side, (data, own) in enumerate(((self.gold, mine), (self.pred, theirs)))]
+        node = _schema_at(self.plan.schema, self.plan.ids[scope].record)
+        seeds = [[_label(_scalars(node, r)) if self.opt.wl_fold == "blend" else "" for _, r in own] for own in (mine, theirs)]
+        colours = refine([[i for i, _ in mine], [i for i, _ in theirs]], edges, seeds, self.opt.wl_rounds)
         same = [[float(colours[0].get(g) == colours[1].get(p)) if g in colours[0] and p in colours[1] else 0.0 for p, _ in theirs] for g, _ in mine]
         if self.opt.wl_fold == "blend":
             lam = self.opt.wl_lambda
@@ -480,25 +508,25 @@ def escaped(token: str) -> str:
     return token.replace("~", "~0").replace("/", "~1")
 
 
-def _values(data: Any, steps: tuple, at: tuple):
+def values_at(data: Any, steps: tuple, at: tuple):
     """(value, place) of all data that steps lead to; what has another shape is passed over."""
     if not steps:
         yield data, at
     elif steps[0] == "*":
         for k, item in enumerate(data if isinstance(data, list) else ()):
-            yield from _values(item, steps[1:], (*at, k))
+            yield from values_at(item, steps[1:], (*at, k))
     elif isinstance(steps[0], int):
         if isinstance(data, list) and steps[0] < len(data):
-            yield from _values(data[steps[0]], steps[1:], (*at, steps[0]))
+            yield from values_at(data[steps[0]], steps[1:], (*at, steps[0]))
     elif isinstance(data, dict) and steps[0] in data:
-        yield from _values(data[steps[0]], steps[1:], (*at, steps[0]))
+        yield from values_at(data[steps[0]], steps[1:], (*at, steps[0]))
 
 
 def _records(data: Any, place: Place):
     """(identifier, record) of a scope's records."""
     inner = place.steps[len(place.record) :]
-    for record, _ in _values(data, place.record, ()):
-        for value, _ in list(_values(record, inner, ()))[:1]:
+    for record, _ in values_at(data, place.record, ()):
+        for value, _ in list(values_at(record, inner, ()))[:1]:
             yield value, record
 
 
@@ -508,62 +536,56 @@ def _schema_at(node: Node, steps: tuple) -> Node:
     return node
 
 
-def _scalars(record: Any) -> str:
-    """A record's comparable own values: strings, integers and booleans."""
+def _scalars(node: Node, record: Any) -> list[tuple[str, str, Any]]:
+    """(kind, key, value) of a record's own values that can be compared exactly: strings, integers, booleans and enumerated
+    values by their schema, no identifiers or references, and no floating numbers."""
     if not isinstance(record, dict):
-        return ""
-    return json.dumps(sorted((k, kind_of(v), v) for k, v in record.items() if isinstance(v, (str, bool, int))), default=str)
+        return []
+    plain = lambda n: not n.id_scope and not n.ref and ("enum" in n.raw or n.raw.get("type") in ("string", "integer", "boolean"))
+    return [(kind_of(record[k]), k, record[k]) for k, n in node.properties.items() if k in record and plain(n) and not isinstance(record[k], (dict, list))]
+
+
+def _label(parts: list[tuple]) -> str:
+    return "|".join(sorted(map(repr, parts)))
+
+
+def _carrier(plan: Comparison, ref: Place) -> int:
+    """How many steps lead to what carries a reference: the outermost object in an array; without one the array's item, else its parent."""
+    items = [k for k, s in enumerate(ref.steps) if s == "*" or isinstance(s, int)]
+    for k in items:
+        if "object" in _schema_at(plan.schema, ref.steps[: k + 1]).types:
+            return k + 1
+    return items[-1] + 1 if items else len(ref.steps) - 1
 
 
-def _edges(plan: Comparison, scope: str, data: Any, mappings: dict | None) -> list[tuple]:
-    """The reference graph of a scope: references that one carrier holds join their records.
+def _edges(plan: Comparison, scope: str, data: Any, mappings: dict[str, dict], is_gold: bool, known: set) -> list[tuple]:
+    """The reference graph of a scope: references that one carrier holds join their records, where these are known.
 
-    A carrier is the nearest item of an array around a reference. One reference tags its record; two in different roles are an
-    edge; any other number meet in a vertex of their own. Labels: the carrier's comparable values.
+    One reference tags its record; two in different roles are an edge; any other number meet in a vertex of their own. Labels:
+    the carrier's comparable values, and what it refers to in scopes that are paired already, the gold side's mapped to the other's.
     """
-    carriers: dict[tuple, list[tuple]] = {}
+    groups: dict[tuple, list[tuple]] = {}
     for ref in plan.refs:
-        if ref.scope != scope:
-            continue
-        stars = [k for k, s in enumerate(ref.steps) if s == "*"]
-        depth = stars[-1] + 1 if stars else 0
-        if stars and depth == len(ref.steps) and len(stars) > 1:  # an array of bare references: its owner carries them
-            depth = stars[-2] + 1
-        elif stars and depth == len(ref.steps):
-            depth = 0
-        own = plan.ids[scope].record
-        for value, at in _values(data, ref.steps, ()):
-            if value is not None:
-                role = "/".join(str(s) for s in ref.steps[depth:])
-                carriers.setdefault((ref.steps[:depth], at[:depth]), []).append((role, value))
-                if ref.steps[: len(own)] == own:
-                    inner = plan.ids[scope].steps[len(own) :]
-                    owner = next(iter(_values(data, at[: len(own)] + inner, ())), (None,))[0]
-                    if owner is not None:
-                        carriers[(ref.steps[:depth], at[:depth])].append(("self", owner))
+        if ref.scope == scope:
+            depth = _carrier(plan, ref)
+            groups.setdefault(ref.steps[:depth], []).append(ref.steps[depth:])
     out: list[tuple] = []
-    for (steps, at), ends in sorted(carriers.items(), key=repr):
-        record = next(iter(_values(data, at, ())), ({},))[0]
-        label = f"{'/'.join(map(str, steps))}|{_labelled(plan, steps, record)}"
-        ends = list(dict.fromkeys(ends))
-        if len(ends) == 1:
-            out.append((ends[0][1], ends[0][1], ends[0][0], label))
-        elif len(ends) == 2 and ends[0][0] != ends[1][0]:
-            (r1, a), (r2, b) = sorted(ends, key=lambda e: e[0])
-            out.append((a, b, f"{r1}>{r2}", label))
-        else:
-            hub = ("hub", steps, at)
-            out += [(hub, v, r, label) for r, v in ends]
+    hubs = 0
+    for at, roles in groups.items():
+        node = _schema_at(plan.schema, at)
+        others = [(r.scope, r.steps[len(at) :]) for r in plan.refs if r.scope != scope and r.scope in mappings and len(r.steps) > len(at) and r.steps[: len(at)] == at]
+        for carrier, _ in values_at(data, at, ()):
+            ends = [(repr(role), v) for role in sorted(roles, key=repr) for v, _ in values_at(carrier, role, ()) if v in known]
+            if not ends:
+                continue
+            across = [("across", s, repr(steps), mappings[s].get(v) if is_gold else v) for s, steps in others for v, _ in values_at(carrier, steps, ())]
+            label = _label([*_scalars(node, carrier), *across])
+            if len(ends) == 1:
+                out.append((ends[0][1], ends[0][1], f"one {ends[0][0]}", label))
+            elif len(ends) == 2 and ends[0][0] != ends[1][0]:
+                (r1, a), (r2, b) = sorted(ends, key=lambda e: e[0])
+                out.append((a, b, f"edge {r1} {r2}", label))
+            else:
+                hubs += 1
+                out += [(v, ("hub", hubs), f"member {r}", label) for r, v in ends]
     return out
-
-
-def _labelled(plan: Comparison, steps: tuple, record: Any) -> str:
-    """Values of a carrier that tell edges apart: comparable scalars that are neither identifiers nor references."""
-    if not isinstance(record, dict) or not steps:
-        return ""
-    try:
-        node = _schema_at(plan.schema, steps)
-    except (KeyError, AttributeError, IndexError, TypeError):
-        return ""
-    plain = [(k, kind_of(v), v) for k, v in record.items() if k in node.properties and not node.properties[k].id_scope and not node.properties[k].ref and isinstance(v, (str, bool, int))]
-    return json.dumps(sorted(plain, key=lambda x: x[0]))

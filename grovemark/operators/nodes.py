@@ -7,9 +7,10 @@ later is a filter, a window or an aggregation over this table, and nothing is al
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +19,16 @@ from .kernel import ABSENT, Comparison, Match, escaped
 from .validate import first_error
 
 NODES = (
-    "pair_id string, valid boolean, total double, node_id int, parent_id int, depth int, path string, part string, node_type string, kind string, parent_kind string, list_path string, score double, confidence double,"
-    " weight double, is_leaf boolean, has_gold boolean, has_pred boolean, gold string, pred string, gold_repr string, pred_repr string, target string, target_repr string, has_target boolean, gold_key string, pred_key string,"
+    "pair_id string, valid boolean, total double, node_id int, parent_id int, depth int, path string, part string, node_type string, kind string, parent_kind string, list_path string, score double, confidence double, parent_confidence double,"
+    " weight double, is_leaf boolean, has_gold boolean, has_pred boolean, gold string, pred string, target string, has_target boolean, gold_key string, pred_key string,"
     " renamed int, n_gold int, n_pred int, at string, list_at string, key_score double, key_weight double, key_confidence double, error_path string, error string"
 )
 COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}
 KINDS = [_ARROW[c.split()[1]] for c in NODES.split(", ")]
 LONGEST = 80
+#: The only row of a pair whose pred breaks the schema, beside its values and error.
+INVALID = {"node_id": 0, "depth": 0, "path": "/", "part": "value", "node_type": "item", "kind": "invalid", "parent_kind": "root", "score": 0.0, "confidence": 1.0, "parent_confidence": 1.0, "weight": 1.0, "is_leaf": True, "has_gold": True, "has_pred": True}
 
 
 def shown(value: Any) -> str:
@@ -34,6 +37,17 @@ def shown(value: Any) -> str:
     return text if len(text) <= LONGEST else text[: LONGEST - 1] + "…"
 
 
+def spelling(formatter: Callable[[Any], str] | None = None) -> Callable[[Column], Column]:
+    """Column function of JSON texts: Python's spelling of their values, or what ``formatter`` makes of them. A null text is None."""
+    told = formatter or shown
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([told(None if t is None else json.loads(t)) for t in texts], dtype=object)
+
+    return lambda c: run(c)
+
+
 def _text(value: Any) -> str | None:
     return None if value is ABSENT else json.dumps(value, ensure_ascii=False)
 
@@ -42,20 +56,20 @@ def flatten(root: Match) -> Iterator[dict]:
     """Rows of a tree, each node before its children, each child's key before its value."""
     count = 0
 
-    def row(m: Match, parent: int | None, depth: int, path: str, part: str, kind: str, list_path: str, weight: float, leaf: bool, renamed: int | None, key: Match | None, at: str, list_at: str) -> dict:
+    def row(m: Match, parent: int | None, depth: int, path: str, part: str, kind: str, list_path: str, weight: float, leaf: bool, renamed: int | None, key: Match | None, at: str, list_at: str, held: float) -> dict:
         nonlocal count
         count += 1
         return {
             "node_id": count - 1, "parent_id": parent, "depth": depth, "path": path or "/", "part": part, "node_type": m.node_type, "kind": m.kind, "parent_kind": kind, "list_path": list_path or "/", "at": at or "/", "list_at": list_at or "/",
-            "score": float(m.score), "confidence": float(m.confidence), "weight": weight, "is_leaf": leaf, "has_gold": m.gold is not ABSENT, "has_pred": m.pred is not ABSENT,
-            "gold": _text(m.gold), "pred": _text(m.pred), "gold_repr": shown(m.gold), "pred_repr": shown(m.pred), "target": None if m.target is None else json.dumps(m.target), "target_repr": shown(m.target), "has_target": m.target is not None,
+            "score": float(m.score), "confidence": float(m.confidence), "parent_confidence": held, "weight": weight, "is_leaf": leaf, "has_gold": m.gold is not ABSENT, "has_pred": m.pred is not ABSENT,
+            "gold": _text(m.gold), "pred": _text(m.pred), "target": None if m.target is None else json.dumps(m.target), "has_target": m.target is not None,
             "gold_key": None if key is None or key.gold is ABSENT else key.gold, "pred_key": None if key is None or key.pred is ABSENT else key.pred, "renamed": renamed,
             "n_gold": len(m.gold) if m.node_type == "list" and isinstance(m.gold, list) else None, "n_pred": len(m.pred) if m.node_type == "list" and isinstance(m.pred, list) else None,
         }
 
-    def walk(m: Match, parent: int | None, depth: int, path: str, kind: str, list_path: str, weight: float, renamed: int | None, key: Match | None, at: str, list_at: str) -> Iterator[dict]:
+    def walk(m: Match, parent: int | None, depth: int, path: str, kind: str, list_path: str, weight: float, renamed: int | None, key: Match | None, at: str, list_at: str, held: float) -> Iterator[dict]:
         leaf = m.node_type == "item" or not m.children or not any(a > 0 for a in (*m.alphas, *m.key_alphas))
-        own_row = row(m, parent, depth, path, "value", kind, list_path, weight, leaf, renamed, key, at, list_at)
+        own_row = row(m, parent, depth, path, "value", kind, list_path, weight, leaf, renamed, key, at, list_at, held)
         yield own_row
         me = own_row["node_id"]
         for k, child in enumerate(m.children):
@@ -64,13 +78,13 @@ def flatten(root: Match) -> Iterator[dict]:
             if child.key is not None:
                 if own is None and child.key.gold is not ABSENT and child.key.pred is not ABSENT and child.key.gold != child.key.pred:
                     own = count
-                yield row(child.key, me, depth + 1, below, "key", m.kind, path, weight * m.key_alphas[k], True, own, child.key, f"{at}/{child.at}", at)
-            for here in walk(child, me, depth + 1, below, m.kind, path, weight * m.alphas[k], own, child.key, f"{at}/{child.at}", at):
+                yield row(child.key, me, depth + 1, below, "key", m.kind, path, weight * m.key_alphas[k], True, own, child.key, f"{at}/{child.at}", at, float(m.confidence))
+            for here in walk(child, me, depth + 1, below, m.kind, path, weight * m.alphas[k], own, child.key, f"{at}/{child.at}", at, float(m.confidence)):
                 if child.key is not None and here["parent_id"] == me:
                     here |= {"key_score": float(child.key.score), "key_weight": weight * m.key_alphas[k], "key_confidence": float(child.key.confidence)}
                 yield here
 
-    yield from walk(root, None, 0, "", "root", "", 1.0, None, None, "", "")
+    yield from walk(root, None, 0, "", "root", "", 1.0, None, None, "", "", 1.0)
 
 
 def with_json(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -91,28 +105,35 @@ def node_table(pairs: DataFrame, plan: Comparison, raw_schema: dict, skip_valida
     """NODES of every row of (pair_id, gold, pred), both JSON text or structs; pair_id becomes text.
 
     An invalid pred gives one row: valid false, score 0, and where and why it breaks the schema. An invalid gold raises. Pairs are
-    compared where they lie, in Arrow batches and without an exchange. No rows, no rows.
+    compared where they lie, in Arrow batches and without an exchange. A column _vectors (map of text to vector), if there,
+    serves the metrics that compare embeddings. No rows, no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
-            for pair_id, g, p in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "_gold", "_pred")), strict=True):
+            known = batch.column("_vectors").to_pylist() if "_vectors" in batch.schema.names else [None] * batch.num_rows
+            for pair_id, g, p, vectors in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "_gold", "_pred")), known, strict=True):
                 gold, pred = (None if x is None else json.loads(x) for x in (g, p))
                 if not skip_validation:
                     if wrong := first_error(raw_schema, gold):
                         raise ValueError(f"gold of pair {pair_id} breaks the schema at {wrong[0]}: {wrong[1]}")
                     if wrong := first_error(raw_schema, pred):
-                        rows.append({"pair_id": pair_id, "valid": False, "total": 0.0, "node_id": 0, "depth": 0, "path": "/", "part": "value", "node_type": "item", "kind": "invalid", "parent_kind": "root", "score": 0.0, "confidence": 1.0, "weight": 1.0, "is_leaf": True, "has_gold": True, "has_pred": True, "gold": g, "pred": p, "gold_repr": shown(gold), "pred_repr": shown(pred), "error_path": wrong[0], "error": wrong[1]})
+                        rows.append({"pair_id": pair_id, "valid": False, "total": 0.0, "error_path": wrong[0], "error": wrong[1], "gold": g, "pred": p, **INVALID})
                         continue
-                match, _ = plan.compare(gold, pred)
+                match, _ = plan.compare(gold, pred, None if vectors is None else dict(vectors))
                 rows += [{"pair_id": pair_id, "valid": True, "total": float(match.score), **r} for r in flatten(match)]
                 if len(rows) >= 20_000:
                     yield _batch(rows)
                     rows = []
             yield _batch(rows)
 
-    return with_json(pairs).select(F.col("pair_id").cast("string").alias("pair_id"), "_gold", "_pred").mapInArrow(run, NODES)
+    return kernel_input(pairs).mapInArrow(run, NODES)
+
+
+def kernel_input(pairs: DataFrame) -> DataFrame:
+    more = ["_vectors"] if "_vectors" in pairs.columns else []
+    return with_json(pairs).select(F.col("pair_id").cast("string").alias("pair_id"), "_gold", "_pred", *more)
 
 
-__all__ = ["COLUMNS", "NODES", "escaped", "flatten", "node_table", "shown", "with_json"]
+__all__ = ["COLUMNS", "INVALID", "NODES", "escaped", "flatten", "kernel_input", "node_table", "shown", "spelling", "with_json"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 RANKS = ("score_delta", "expected_gain", "confidence")
-OPS = ["pair_id", "rank", "op", "kind", "path", "list_path", "key", "pred_key", "gold_path", "pred_path", "score_delta", "value", "gold", "pred", "gold_repr", "pred_repr", "value_repr", "rename_group", "confidence", "total", "n_gold", "n_pred", "at"]
+OPS = ["pair_id", "rank", "op", "kind", "path", "list_path", "key", "pred_key", "gold_path", "pred_path", "score_delta", "value", "gold", "pred", "rename_group", "confidence", "total", "n_gold", "n_pred", "at"]
 #: Kinds whose path names a list in any order: items are found by value.
 BY_VALUE = ("primitive_replace_reorder", "list_item_missing", "list_item_excess")
 
@@ -25,7 +25,8 @@ def repairs(nodes: DataFrame, granularity: str = "leaf", min_contribution: float
     """OPS of every valid pair, ranked from 1. Without renames inside one another, deltas sum to the deficit.
 
     min_contribution: renames stay or go with both halves. Diagnostic ``pairing_ambiguous`` rows have delta 0 and are kept
-    whatever the filter. Identifiers need no repair. Aligned items, not places, give the values of added keys.
+    whatever the filter. Identifiers need no repair. Aligned items, not places, give the values of added keys. What has no
+    partner is as sure as its container.
     """
     if granularity not in ("leaf", "subtree", "all"):
         raise ValueError(f"granularity must be 'leaf', 'subtree' or 'all', not {granularity!r}")
@@ -34,7 +35,8 @@ def repairs(nodes: DataFrame, granularity: str = "leaf", min_contribution: float
     c = F.col
     delta = F.when(c("is_leaf"), c("weight") * (1 - c("score"))).otherwise(F.lit(0.0))
     key_delta = F.coalesce(c("key_weight") * (1 - c("key_score")), F.lit(0.0))
-    v = nodes.where("valid AND part = 'value'").withColumn("delta", delta).withColumn("whole", delta + key_delta)
+    # One exchange by pair serves all windows here and those over the result.
+    v = nodes.where("valid AND part = 'value'").repartition("pair_id").withColumn("delta", delta).withColumn("whole", delta + key_delta)
     # A renamed key carries its own gain and all gains below; its head is the value right after the key's row.
     below = Window.partitionBy("pair_id", "renamed")
     v = v.withColumn("gain", F.sum("whole").over(below)).withColumn("sure", F.coalesce(F.try_divide(F.sum(c("whole") * c("confidence")).over(below), c("gain")), c("key_confidence")))
@@ -67,12 +69,12 @@ def repairs(nodes: DataFrame, granularity: str = "leaf", min_contribution: float
     k = c("op_kind")
     name = F.when(k.isin("key_add", "key_rename_add", "list_item_add", "list_item_missing"), "add").when(k.isin("key_remove", "key_rename_remove", "list_item_remove", "list_item_excess"), "remove").when(k == "pairing_ambiguous", "describe").otherwise("replace")
     ops = ops.select(
-        "pair_id", "node_id", "list_path", "pred_key", "gold", "pred", "gold_repr", "pred_repr", "total", "n_gold", "n_pred", F.coalesce("gold_key", "pred_key").alias("key"), gold_path.alias("gold_path"), pred_path.alias("pred_path"),
+        "pair_id", "node_id", "list_path", "pred_key", "gold", "pred", "total", "n_gold", "n_pred", F.coalesce("gold_key", "pred_key").alias("key"), gold_path.alias("gold_path"), pred_path.alias("pred_path"),
         name.alias("op"), k.alias("kind"), F.when(k.isin(*BY_VALUE), list_path).when(k == "key_rename_remove", pred_path).when(k == "key_rename_add", gold_path).otherwise(path).alias("path"),
         F.when(k.isin(*BY_VALUE), c("list_at")).when(k == "key_rename_add", _join(F.when(holder == "", "/").otherwise(holder), c("gold_key"))).otherwise(c("at")).alias("at"),
         F.when(k.isin("key_rename_remove", "pairing_ambiguous"), 0.0).when(k == "key_rename_add", c("gain")).when(k.isin("key_add", "key_remove"), c("whole")).when(k == "subtree_replace", c("weight") * (1 - c("score"))).otherwise(c("delta")).alias("score_delta"),
-        F.when((name == "remove") | (name == "describe"), none).when(k == "ref_fix", c("target")).otherwise(gold).alias("value"), F.when(k == "ref_fix", c("target_repr")).otherwise(c("gold_repr")).alias("value_repr"),
-        F.when(k.startswith("key_rename"), F.concat(F.lit("rename-"), c("renamed").cast("string"))).alias("rename_group"), F.when(k.startswith("key_rename"), c("sure")).otherwise(c("confidence")).alias("confidence"),
+        F.when((name == "remove") | (name == "describe"), none).when(k == "ref_fix", c("target")).otherwise(gold).alias("value"),
+        F.when(k.startswith("key_rename"), F.concat(F.lit("rename-"), c("renamed").cast("string"))).alias("rename_group"), F.when(k.startswith("key_rename"), c("sure")).when(alone, c("parent_confidence")).otherwise(c("confidence")).alias("confidence"),
     )
     bound = F.when(F.col("rename_group").isNotNull(), F.max("score_delta").over(Window.partitionBy("pair_id", "rename_group"))).otherwise(F.col("score_delta"))
     ops = ops.withColumn("_b", bound).where((F.col("_b") >= min_contribution) | (F.col("kind") == "pairing_ambiguous")).drop("_b")
@@ -81,6 +83,12 @@ def repairs(nodes: DataFrame, granularity: str = "leaf", min_contribution: float
     return ops.withColumn("rank", F.row_number().over(order)).select(*OPS)
 
 
+def repair_notes(nodes: DataFrame) -> DataFrame:
+    """pair_id, note of the pairs with a list in any order: how its repairs name their items."""
+    some = nodes.where("valid AND node_type = 'list' AND kind IN ('reorder', 'combined')").select("pair_id").distinct()
+    return some.withColumn("note", F.lit("Repairs of lists with order 'align' have the list as their path; items are found by value, not by index."))
+
+
 def error_breakdown(ops: DataFrame) -> DataFrame:
     """pair_id, kind, delta: what each kind of repair would recover."""
     return ops.where("kind <> 'pairing_ambiguous'").groupBy("pair_id", "kind").agg(F.sum("score_delta").alias("delta"))
@@ -90,12 +98,29 @@ def _steps(path: str) -> list[str]:
     return [t.replace("~1", "/").replace("~0", "~") for t in path.split("/")[1:]] if path not in ("", "/") else []
 
 
+def _index(items: list, step: str, adds: bool = False) -> int:
+    """A list's index by its text; '-' is the end, where something is added."""
+    if step == "-" and adds:
+        return len(items)
+    at = int(step)  # ValueError for other texts, '-' included
+    if not 0 <= at < len(items) + adds:
+        raise IndexError(f"index {at} lies outside a list of {len(items)} items")
+    return at
+
+
 def _child(node: Any, step: str) -> Any:
-    return node[int(step)] if isinstance(node, list) else node[step]
+    if isinstance(node, list):
+        return node[_index(node, step)]
+    if not isinstance(node, dict):
+        raise TypeError(f"step {step!r} leads through a {type(node).__name__}")
+    return node[step]
 
 
 def apply_operation(target: Any, op: str, kind: str, path: str, value: Any, old: Any) -> Any:
-    """One repair on a parsed document, which is changed and returned. Diagnostics change nothing."""
+    """One repair on a parsed document, which is changed and returned. Diagnostics change nothing.
+
+    Paths must lead somewhere: KeyError, IndexError, TypeError or ValueError for those that don't, and nothing is changed instead.
+    """
     if op == "describe":
         return target
     steps = _steps(path)
@@ -103,6 +128,8 @@ def apply_operation(target: Any, op: str, kind: str, path: str, value: Any, old:
         items = target
         for s in steps:
             items = _child(items, s)
+        if not isinstance(items, list):
+            raise TypeError(f"{path} is no list")
         if kind == "list_item_missing":
             items.append(value)
         elif kind == "list_item_excess":
@@ -111,20 +138,27 @@ def apply_operation(target: Any, op: str, kind: str, path: str, value: Any, old:
             items[items.index(old)] = value
         return target
     if not steps:
+        if op != "replace":
+            raise ValueError(f"the root can't be the place to {op}")
         return value
     holder = target
     for s in steps[:-1]:
         holder = _child(holder, s)
     last = steps[-1]
     if isinstance(holder, list):
+        at = _index(holder, last, op == "add")
         if op == "add":
-            holder.append(value) if last == "-" else holder.insert(min(int(last), len(holder)), value)
+            holder.insert(at, value)
         elif op == "remove":
-            holder.pop(min(int(last), len(holder) - 1))
+            del holder[at]
         else:
-            holder[int(last)] = value
+            holder[at] = value
+    elif not isinstance(holder, dict):
+        raise TypeError(f"{path} leads through a {type(holder).__name__}")
     elif op == "remove":
-        holder.pop(last, None)
+        del holder[last]
+    elif op == "replace" and last not in holder:
+        raise KeyError(last)
     else:
         holder[last] = value
     return target

@@ -6,6 +6,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.columns import Unsupported
 
 _TYPES = {
     "null": lambda v: v is None,
@@ -91,3 +94,117 @@ def json_errors(df: DataFrame, column: str, schema: dict) -> DataFrame:
             wrong.append(breach(got.isNotNull() & ~F.try_variant_get(v, f"$.{key}", "string").isin([str(x) for x in inner["enum"]]), f"/{key}", "not an allowed value"))
     first = F.coalesce(*wrong)
     return df.withColumn("_e", first).withColumn("valid", F.col("_e").isNull()).withColumn("error_path", F.col("_e.path")).withColumn("error", F.col("_e.message")).drop("_e")
+
+
+#: Conditions with the path and the message of what they find.
+Breaches = list[tuple[Column, Column, Column]]
+
+
+def typed_breaches(schema: dict, value: Column, kind: T.DataType, path: Column | str = "") -> Breaches:
+    """(condition, path, message) of each way in which a typed column can break the schema; none where its type leaves none open.
+
+    The order of ``first_error``; messages spell values as JSON. Conditions need no message, so that who asks for validity alone
+    pays for no text. Unsupported for oneOf, for enumerated lists or objects, and for types that JSON spells otherwise.
+    """
+    if "oneOf" in schema:
+        raise Unsupported("choices of schemas on typed columns")
+    path = F.lit(path) if isinstance(path, str) else path
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else list(kinds or ())
+    at = F.when(path == "", F.lit("/")).otherwise(path)
+    out: Breaches = []
+
+    def breach(condition: Column, *message: Column | str) -> None:
+        said = F.concat(*(F.lit(m) if isinstance(m, str) else m for m in message))
+        out.append((condition, at, said))
+
+    own, there = json_kind(kind), value.isNotNull()
+    spelt = F.coalesce(json_text(value, kind), F.lit("null"))
+    if kinds:
+        wrong: list[Column] = [] if "null" in kinds else [~there]
+        if own == "number" and "integer" in kinds and "number" not in kinds:
+            wrong.append(there & (value != F.floor(value)))
+        elif own != "null" and own not in kinds and not (own == "integer" and "number" in kinds):
+            wrong.append(there)
+        for condition in wrong:
+            breach(condition, spelt, f" is not of type {', '.join(kinds)}")
+    if "enum" in schema:
+        same = {"string": (str,), "integer": (int, float), "number": (int, float), "boolean": (bool,)}.get(own, ())
+        if not same and own != "null":
+            raise Unsupported("enumerated lists or objects")
+        among = F.lit(False)
+        for x in schema["enum"]:
+            if isinstance(x, same) and (own == "boolean" or not isinstance(x, bool)):
+                among = among | (value == F.lit(x))
+        breach(F.when(there, ~among).otherwise(F.lit(None not in schema["enum"])), spelt, f" is not one of {schema['enum']!r}")
+    if isinstance(kind, T.StructType):
+        known = schema.get("properties", {})
+        for key in schema.get("required", ()):
+            if key not in kind.fieldNames():
+                breach(there, f"{key!r} is required")
+        if schema.get("additionalProperties") is False and (extra := [k for k in kind.fieldNames() if k not in known]):
+            breach(there, f"{extra[0]!r} is not allowed")
+        for f in kind.fields:
+            if f.name in known:
+                inner = typed_breaches(known[f.name], value[f.name], f.dataType, F.concat(path, F.lit("/" + f.name.replace("~", "~0").replace("/", "~1"))))
+                out += [(there & condition, *told) for condition, *told in inner]
+    if isinstance(kind, T.ArrayType):
+        if schema.get("minItems", 0) > 0:
+            breach(there & (F.size(value) < schema["minItems"]), f"fewer than {schema['minItems']} items")
+        if "maxItems" in schema:
+            breach(there & (F.size(value) > schema["maxItems"]), f"more than {schema['maxItems']} items")
+        first = schema.get("prefixItems", [])
+        for k, item in enumerate(first):
+            inner = typed_breaches(item, F.get(value, F.lit(k)), kind.elementType, F.concat(path, F.lit(f"/{k}")))
+            out += [(there & (F.size(value) > k) & condition, *told) for condition, *told in inner]
+        if isinstance(item := schema.get("items"), dict) and typed_breaches(item, F.lit(None).cast(kind.elementType), kind.elementType):
+            rest = F.slice(value, len(first) + 1, 1 << 30) if first else value
+            of = lambda x, i: typed_breaches(item, x, kind.elementType, F.concat(path, F.lit("/"), (i + len(first)).cast("string")))
+            told = F.get(F.array_compact(F.transform(rest, lambda x, i: first_breach(of(x, i)))), F.lit(0))
+            out.append((F.coalesce(F.exists(rest, lambda x: breached(of(x, F.lit(0)))), F.lit(False)), told["path"], told["message"]))
+    return out
+
+
+def breached(found: Breaches) -> Column:
+    out = F.lit(False)
+    for condition, *_ in found:
+        out = out | condition
+    return F.coalesce(out, F.lit(False))
+
+
+def first_breach(found: Breaches) -> Column:
+    """struct(path, message) of the first breach, null without one."""
+    return F.coalesce(*(F.when(condition, F.struct(path.alias("path"), said.alias("message"))) for condition, path, said in found))
+
+
+def first_path(found: Breaches) -> Column:
+    return F.coalesce(*(F.when(condition, path) for condition, path, _ in found))
+
+
+def json_kind(kind: T.DataType) -> str:
+    """What JSON has of a column's type."""
+    if isinstance(kind, T.BooleanType):
+        return "boolean"
+    if isinstance(kind, T.IntegralType):
+        return "integer"
+    if isinstance(kind, (T.FractionalType, T.DecimalType)):
+        return "number"
+    if isinstance(kind, T.StringType):
+        return "string"
+    if isinstance(kind, T.ArrayType):
+        return "array"
+    if isinstance(kind, T.StructType):
+        return "object"
+    if isinstance(kind, T.NullType):
+        return "null"
+    raise Unsupported(f"columns of type {kind.simpleString()}")
+
+
+def json_text(value: Column, kind: T.DataType) -> Column:
+    """A typed column as JSON text; null for null."""
+    if isinstance(kind, (T.StructType, T.ArrayType)):
+        return F.to_json(value, {"ignoreNullFields": "false"})
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return value.cast("string")
+    whole = F.to_json(F.array(value))
+    return F.when(value.isNotNull(), F.substring(whole, 2, 1 << 30).substr(F.lit(1), F.length(whole) - 2))

@@ -190,19 +190,9 @@ PARTS_SQL = f"""{SCORED_SQL}, parts AS (
 @query(f"""{PARTS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(w * (1 - s), 9) DESC, path) AS r FROM parts)
 SELECT p.k, round({TOTAL_SQL}, 6) AS score, p.path AS worst_path, round(w * (1 - s), 6) AS contribution FROM ranked p JOIN scored USING (k) WHERE r = 1""")
 def order_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's score and the leaf that costs most, in one projection: leaves are compared by struct order, not by rows."""
-    g, p = (lambda c: F.col(f"g_{c}")), (lambda c: F.col(f"p_{c}"))
-    scores = {
-        "status": (leaf.exact(g("status"), p("status")), 0.2),
-        "price": (leaf.relative(g("price"), p("price")), 0.4),
-        "prio": (leaf.threshold(similarity("levenshtein")(g("prio"), p("prio")), 0.5), 0.2),
-        "cust": (leaf.null_aware(g("cust"), p("cust"), leaf.exact(g("cust"), p("cust")), 0.5), 0.2),
-    }
-    df = order_pairs(spark, sf_dir).select("k", *(s.alias(f"s_{c}") for c, (s, _) in scores.items()))
-    total = (F.col("s_status") + 2 * F.col("s_price") + F.col("s_prio") + F.col("s_cust")) / 5
-    losses = F.array(*(F.struct((-F.round(w * (1 - F.col(f"s_{c}")), 9)).alias("less"), F.lit(f"/{c}").alias("path"), (w * (1 - F.col(f"s_{c}"))).alias("loss")) for c, (_, w) in scores.items()))
-    worst = F.array_min(losses)
-    return df.select("k", six(total).alias("score"), worst["path"].alias("worst_path"), six(worst["loss"]).alias("contribution"))
+    """Each order's score and the leaf that costs most, in one projection: the schema is the plan, weights included."""
+    rows = Aligner(ORDER_SCHEMA).worst(order_structs(spark, sf_dir))
+    return _keyed(rows).select("k", six(F.col("score")).alias("score"), "worst_path", six(F.col("contribution")).alias("contribution"))
 
 
 KEYS = {**ORDER_SCHEMA, "keyImportance": 1.0, "valueImportance": 3.0}

@@ -7,11 +7,16 @@ dynamic programme's rows). ``score_column`` raises ``Unsupported`` for the rest,
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.leaf import COMPARATORS, DEFAULTS, null_aware, threshold
+from ..operators.kernel import ABSENT, Options, pair_keys
 from .schema import Node
 
 
@@ -19,14 +24,53 @@ class Unsupported(ValueError):
     """This schema or these types need the kernel."""
 
 
-def leaf_column(node: Node, gold: Column, pred: Column) -> Column:
+Custom = Mapping[str, Mapping[str, Callable]]
+
+
+def custom_column(name: str, fn: Callable, whole: bool = False) -> Callable[[Column, Column], Column]:
+    """A custom comparator of two values as a column function, in Arrow batches; repeated pairs of a batch are computed once.
+
+    Only the two columns go to Python, not the whole documents. Its result must be a number from 0 to 1.
+    """
+    if getattr(fn, "wants_context", False) or hasattr(fn, "by_vectors"):
+        raise Unsupported("a comparator that sees more than two values")
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[tuple, float] = {}
+        out = []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            if x is None or y is None or x != x or y != y:
+                out.append(None)
+                continue
+            if whole:  # nulls in a batch make its integers floats
+                x, y = int(x), int(y)
+            if (x, y) not in known:
+                got = fn(x, y)
+                if isinstance(got, bool) or not isinstance(got, (int, float)) or not 0 <= got <= 1:
+                    raise ValueError(f"comparator {name!r} gave {got!r}, not a number from 0 to 1")
+                known[x, y] = float(got)
+            out.append(known[x, y])
+        return pd.Series(out, dtype="float64")
+
+    return lambda a, b: run(a, b)
+
+
+def leaf_column(node: Node, gold: Column, pred: Column, custom: Custom | None = None) -> Column:
     kind = node.type
     if kind not in COMPARATORS:
         raise Unsupported(f"no single primitive type in {node.types}")
     name = node.score or DEFAULTS[kind]
-    if name not in COMPARATORS[kind]:
+    own = (custom or {}).get(kind, {}).get(name) or ((custom or {}).get("number", {}).get(name) if kind == "integer" else None)
+    if own is not None:
+        compare = custom_column(name, own, kind == "integer")
+        if kind in ("integer", "number"):
+            gold, pred = gold.cast("long" if kind == "integer" else "double"), pred.cast("long" if kind == "integer" else "double")
+    elif name in COMPARATORS[kind]:
+        compare = COMPARATORS[kind][name]
+    else:
         raise Unsupported(f"no expression for comparator {name!r}")
-    return null_aware(gold, pred, threshold(COMPARATORS[kind][name](gold, pred), node.threshold), node.null_score)
+    return null_aware(gold, pred, threshold(compare(gold, pred), node.threshold), node.null_score)
 
 
 def bag_score(gold: Column, pred: Column, ignore_excess: bool = False, ignore_missing: bool = False) -> Column:
@@ -74,61 +118,57 @@ def ordered_score(gold: Column, pred: Column, leaf=None) -> Column:
     return F.coalesce(F.try_divide(last["v"], (last["m"] + last["a"]).cast("double")), F.lit(1.0))
 
 
-def score_column(node: Node, gold: Column, pred: Column, gold_type: T.DataType, pred_type: T.DataType) -> Column:
+def score_column(node: Node, gold: Column, pred: Column, gold_type: T.DataType, pred_type: T.DataType, custom: Custom | None = None) -> Column:
     """The score of gold against pred as one expression."""
     if node.id_scope or node.ref:
         raise Unsupported("identifiers need all records of a pair")
     if isinstance(gold_type, T.StructType):
         if not isinstance(pred_type, T.StructType) or node.type != "object":
             raise Unsupported("an object needs structs on both sides")
-        return null_aware(gold, pred, _object(node, gold, pred, gold_type, pred_type), node.null_score)
+        return null_aware(gold, pred, _object(node, gold, pred, gold_type, pred_type, custom), node.null_score)
     if isinstance(gold_type, T.ArrayType):
         if not isinstance(pred_type, T.ArrayType) or node.type != "array":
             raise Unsupported("a list needs arrays on both sides")
-        return null_aware(gold, pred, _list(node, gold, pred, gold_type, pred_type), node.null_score)
-    return leaf_column(node, gold, pred)
+        return null_aware(gold, pred, _list(node, gold, pred, gold_type, pred_type, custom), node.null_score)
+    return leaf_column(node, gold, pred, custom)
 
 
-def object_terms(node: Node, gold_type: T.StructType, pred_type: T.StructType) -> list[tuple[str, bool, float]]:
-    """(key, whether both sides have it, weight of its value) of every row of an object's alignment."""
-    mine, theirs = gold_type.fieldNames(), pred_type.fieldNames()
-    if node.key_score != "exact" and set(mine) != set(theirs):
-        raise Unsupported("keys that differ are paired by likeness")
-    if undeclared := [k for k in mine if k in theirs and k not in node.properties]:
-        raise Unsupported(f"key {undeclared[0]!r} is not in the schema")
-    rows = [(k, k in theirs, node.properties[k].weight if k in theirs else 1.0) for k in mine]
-    return rows + [(k, False, 1.0) for k in theirs if k not in mine]
+def object_terms(node: Node, gold_type: T.StructType, pred_type: T.StructType, options: Options | None = None) -> list[tuple[Any, Any, float, float, float]]:
+    """(gold key, pred key, likeness, confidence, weight of the value) of every row of an object's alignment: types name the keys."""
+    rows = pair_keys(node, tuple(gold_type.fieldNames()), tuple(pred_type.fieldNames()), options or Options())
+    both = lambda g, p: g is not ABSENT and p is not ABSENT and g in node.properties  # noqa: E731  undeclared keys count as 0
+    return [(g, p, s, sure, node.properties[g].weight if both(g, p) else 1.0) for g, p, s, sure in rows]
 
 
-def _object(node: Node, gold: Column, pred: Column, gold_type: T.StructType, pred_type: T.StructType) -> Column:
+def _object(node: Node, gold: Column, pred: Column, gold_type: T.StructType, pred_type: T.StructType, custom: Custom | None) -> Column:
     rows = object_terms(node, gold_type, pred_type)
     if not rows:
         return F.lit(1.0)
     weights = sum(w for *_, w in rows)
-    keys = sum(both for _, both, _ in rows) / len(rows)
+    keys = sum(s for _, _, s, _, _ in rows) / len(rows)
     values = F.lit(0.0)
-    for k, both, w in rows:
-        if both and w:  # values without weight are not computed
-            values = values + F.lit(w) * score_column(node.properties[k], gold[k], pred[k], gold_type[k].dataType, pred_type[k].dataType)
+    for g, p, _, _, w in rows:
+        if g is not ABSENT and p is not ABSENT and g in node.properties and w:  # values without weight are not computed
+            values = values + F.lit(w) * score_column(node.properties[g], gold[g], pred[p], gold_type[g].dataType, pred_type[p].dataType, custom)
     values = values / F.lit(weights) if weights else F.lit(0.0)
     whole = node.key_importance + node.value_importance
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(node.key_importance / whole * keys) + F.lit(node.value_importance / whole) * values))
 
 
-def prefix_score(node: Node, gold: Column, pred: Column, gold_type: T.ArrayType, pred_type: T.ArrayType) -> Column:
+def prefix_score(node: Node, gold: Column, pred: Column, gold_type: T.ArrayType, pred_type: T.ArrayType, custom: Custom | None = None) -> Column:
     above, below = F.lit(0.0), F.lit(0.0)
     for k, (child, w) in enumerate(zip(node.prefix, node.prefix_weights, strict=True)):
         has_g, has_p = F.size(gold) > k, F.size(pred) > k
-        s = score_column(child, F.get(gold, F.lit(k)), F.get(pred, F.lit(k)), gold_type.elementType, pred_type.elementType)
+        s = score_column(child, F.get(gold, F.lit(k)), F.get(pred, F.lit(k)), gold_type.elementType, pred_type.elementType, custom)
         above = above + F.when(has_g & has_p, F.lit(w) * s).otherwise(F.lit(0.0))
         below = below + F.when(has_g | has_p, F.lit(w)).otherwise(F.lit(0.0))
     return F.coalesce(F.try_divide(above, below), F.lit(1.0))
 
 
-def _list(node: Node, gold: Column, pred: Column, gold_type: T.ArrayType, pred_type: T.ArrayType) -> Column:
+def _list(node: Node, gold: Column, pred: Column, gold_type: T.ArrayType, pred_type: T.ArrayType, custom: Custom | None) -> Column:
     if node.prefix is None:
         return _pairs(node, gold, pred, gold_type, pred_type)
-    first = prefix_score(node, gold, pred, gold_type, pred_type)
+    first = prefix_score(node, gold, pred, gold_type, pred_type, custom)
     if node.items is None:
         return first
     if node.prefix_importance is None or node.rest_importance is None:

@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import json
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import attribution, describe, feedback, reference_text, repair
-from ..operators.kernel import Comparison, Options
-from ..operators.nodes import node_table, with_json
+from ..operators.kernel import Comparison, Options, values_at
+from ..operators.nodes import kernel_input, node_table, with_json
+from ..operators.semantic import CosineMetric
+from ..operators.validate import Breaches, first_error, typed_breaches
 from .columns import Unsupported, score_column
 from .schema import compile_schema
+from .tree import losses, typed_nodes, validity
+
+
+def _kinds(pairs: DataFrame) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in pairs.schema.fields}
 
 
 class Aligner:
     """Compares the gold and pred columns of tables (pair_id, gold, pred), structs or JSON text, under an annotated schema.
 
-    ``score`` is one expression where the schema and the columns' types allow it; otherwise, and for everything else, pairs
-    go through the Arrow kernel into a node table. Persist ``nodes`` to ask several things of one alignment.
+    Where the schema and the columns' types allow it, scores and the node table are expressions; otherwise pairs go through the
+    Arrow kernel. Both validate alike. Persist ``nodes`` to ask several things of one alignment.
     """
 
     def __init__(self, schema: dict, *, custom_metrics: Mapping[str, Mapping[str, Callable]] | None = None, templates: Mapping[str, str] | None = None, description_templates: Mapping[str, str] | None = None, skip_validation: bool = False, **options):
@@ -30,17 +41,132 @@ class Aligner:
         describe.describe_templates(description_templates)
 
     def score(self, pairs: DataFrame) -> DataFrame:
-        """pair_id, score. Typed columns are taken to fit the schema; JSON text is validated first."""
-        kinds = dict(zip(pairs.columns, (f.dataType for f in pairs.schema.fields), strict=True))
-        if not self.custom and kinds["gold"].typeName() != "string":
+        """pair_id, score. A pred that breaks the schema scores 0, a gold that does raises, unless validation is skipped."""
+        kinds = _kinds(pairs)
+        if kinds["gold"].typeName() != "string":
             try:
-                return pairs.select(F.col("pair_id").cast("string").alias("pair_id"), score_column(self.node, F.col("gold"), F.col("pred"), kinds["gold"], kinds["pred"]).alias("score"))
+                gold, pred = F.col("gold"), F.col("pred")
+                score = score_column(self.node, gold, pred, kinds["gold"], kinds["pred"], self.custom)
+                bad_gold, bad_pred = self._errors(pairs)
+                if bad_gold or bad_pred:
+                    score = F.when(validity(F.col("pair_id"), bad_gold, bad_pred), score).otherwise(F.lit(0.0))
+                return pairs.select(F.col("pair_id").cast("string").alias("pair_id"), score.alias("score"))
             except Unsupported:
                 pass
         return self.nodes(pairs).where("parent_id IS NULL").select("pair_id", F.col("total").alias("score"))
 
     def nodes(self, pairs: DataFrame) -> DataFrame:
-        return node_table(pairs, self.plan, self.raw, self.skip_validation)
+        """The node table: by expressions where types fix its shape, else by the kernel. Metrics by embedding get their vectors first."""
+        kinds = _kinds(pairs)
+        if kinds["gold"].typeName() != "string":
+            try:
+                return typed_nodes(pairs, self.node, kinds, self.options, self.custom, self._errors)
+            except Unsupported:
+                pass
+        return node_table(self._with_vectors(pairs), self.plan, self.raw, self.skip_validation)
+
+    def _errors(self, pairs: DataFrame) -> tuple[Breaches, Breaches]:
+        """How typed gold and pred can break the schema; nothing where validation is skipped."""
+        if self.skip_validation:
+            return [], []
+        kinds = _kinds(pairs)
+        return typed_breaches(self.raw, F.col("gold"), kinds["gold"]), typed_breaches(self.raw, F.col("pred"), kinds["pred"])
+
+    def worst(self, pairs: DataFrame) -> DataFrame:
+        """pair_id, score, worst_path, contribution: the leaf of each valid pair that costs most, the first by path among equals to 9 places.
+
+        Where types fix the shape it is found in one projection; contributions are compared by struct order, not by rows.
+        """
+        kinds = _kinds(pairs)
+        if kinds["gold"].typeName() != "string":
+            try:
+                df, rows = losses(pairs, self.node, kinds, self.options, self.custom)
+                bad_gold, bad_pred = self._errors(pairs)
+            except Unsupported:
+                pass
+            else:
+                valid = validity(F.col("pair_id"), bad_gold, bad_pred)
+                found = []
+                for r in rows:
+                    lost = F.lit(r.values["weight"]) * (1 - (F.lit(r.values["score"]) if isinstance(r.values["score"], float) else r.values["score"]))
+                    leaf = F.lit(r.values["is_leaf"]) if isinstance(r.values["is_leaf"], bool) else r.values["is_leaf"]
+                    if r.values["weight"] > 0:
+                        found.append(F.when(leaf if r.there is None else leaf & r.there, F.struct((-F.round(lost, 9)).alias("less"), F.lit(r.values["path"]).alias("path"), lost.alias("lost"))))
+                low = F.array_min(F.array_compact(F.array(*found)))
+                df = df.where(valid).withColumn("_low", low)
+                return df.select(F.col("pair_id").cast("string").alias("pair_id"), rows[0].values["score"].alias("score"), F.col("_low.path").alias("worst_path"), F.col("_low.lost").alias("contribution"))
+        nodes = self.nodes(pairs).where("valid AND is_leaf AND weight > 0").withColumn("lost", F.col("weight") * (1 - F.col("score")))
+        low = nodes.groupBy("pair_id").agg(F.max("total").alias("score"), F.min(F.struct((-F.round("lost", 9)).alias("less"), "path", "lost")).alias("low"))
+        return low.select("pair_id", "score", F.col("low.path").alias("worst_path"), F.col("low.lost").alias("contribution"))
+
+    def identities(self, pairs: DataFrame) -> DataFrame:
+        """pair_id, scope, gold_id, pred_id (JSON texts), ambiguous: what each gold identifier stands for, null where it has no counterpart.
+
+        ambiguous: the record can't be told from another by its likenesses, structure included. Pairs whose gold breaks its own
+        references raise; preds that break the schema are passed over.
+        """
+        plan, raw, skip = self.plan, self.raw, self.skip_validation
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = batch.column("_vectors").to_pylist() if "_vectors" in batch.schema.names else [None] * batch.num_rows
+                rows = []
+                for pair_id, g, p, vectors in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "_gold", "_pred")), known, strict=True):
+                    gold, pred = json.loads(g), json.loads(p)
+                    if skip or not first_error(raw, pred):
+                        rows += [(pair_id, s, json.dumps(i), None if j is None else json.dumps(j), twin) for s, i, j, twin in plan.identities(gold, pred, None if vectors is None else dict(vectors))]
+                kinds = [pa.string()] * 4 + [pa.bool_()]
+                yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["pair_id", "scope", "gold_id", "pred_id", "ambiguous"])
+
+        return kernel_input(self._with_vectors(pairs)).mapInArrow(run, "pair_id string, scope string, gold_id string, pred_id string, ambiguous boolean")
+
+    # Metrics by embedding.
+
+    def semantic_paths(self) -> list[tuple[tuple[str | int, ...], CosineMetric]]:
+        """(steps from the root, metric) of every string that a metric by embedding compares; '*' is every item."""
+        known = {k: m for k, m in (self.custom or {}).get("string", {}).items() if isinstance(m, CosineMetric)}
+        return [(steps, known[node.score]) for steps, node in self.node.places() if "string" in node.types and node.score in known]
+
+    def semantic_texts(self, pairs: DataFrame) -> DataFrame:
+        """pair_id, model_id, text, distinct: what the metrics by embedding will compare, gathered by the schema's paths."""
+        paths = [(steps, m.store.embedder.model_id) for steps, m in self.semantic_paths()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = set()
+                for pair_id, *sides in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "_gold", "_pred")), strict=True):
+                    for side in sides:
+                        data = None if side is None else json.loads(side)
+                        rows |= {(pair_id, model, text) for steps, model in paths for text, _ in values_at(data, steps, ()) if isinstance(text, str)}
+                yield pa.record_batch([pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 3, ["pair_id", "model_id", "text"])
+
+        return kernel_input(pairs).mapInArrow(run, "pair_id string, model_id string, text string").distinct()
+
+    def prewarm(self, *tables: DataFrame) -> dict[str, int]:
+        """Embeds, once each, the texts of tables of pairs that the metrics by embedding will compare; {model_id: distinct texts}."""
+        stores = {m.store.embedder.model_id: m.store for _, m in self.semantic_paths()}
+        if not stores or not tables:
+            return {}
+        texts = reduce(DataFrame.union, [self.semantic_texts(t).select("model_id", "text") for t in tables]).distinct()
+        report = {r.model_id: r["count"] for r in texts.groupBy("model_id").count().collect()}  # a row a model
+        for model in report:
+            stores[model].warm((texts.where(F.col("model_id") == model), "text"))
+        return report
+
+    def _with_vectors(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with _vectors, a map of "model_id:text" to vector of what a pair needs, where the schema compares by embedding.
+
+        The join is by text: a text that many pairs have is looked up once for each, and adaptive execution splits it when hot.
+        """
+        stores = {m.store.embedder.model_id: m.store for _, m in self.semantic_paths()}
+        if not stores:
+            return pairs
+        self.prewarm(pairs)
+        held = reduce(DataFrame.union, [s.vectors() for s in stores.values()])
+        own = self.semantic_texts(pairs).join(held, ["model_id", "text"])
+        maps = own.groupBy(F.col("pair_id").alias("_pair")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "model_id", "text"), "vec"))).alias("_vectors"))
+        out = pairs.join(maps, F.col("pair_id").cast("string").eqNullSafe(F.col("_pair")), "left").drop("_pair")
+        return out.withColumn("_vectors", F.coalesce("_vectors", F.create_map().cast("map<string,array<double>>")))
 
     def attribute(self, nodes: DataFrame, **options) -> DataFrame:
         return attribution.attribution(nodes, **options)
@@ -48,6 +174,10 @@ class Aligner:
     def repair(self, nodes: DataFrame, **options) -> DataFrame:
         return repair.repairs(nodes, **options)
 
+    def feedback_json(self, nodes: DataFrame, ops: DataFrame | None = None, **options) -> DataFrame:
+        """pair_id, result: feedback with its entries and sums as JSON text."""
+        return feedback.feedback_json(nodes, self.repair(nodes) if ops is None else ops, templates=self.templates, **options)
+
     def apply(self, pairs: DataFrame, ops: DataFrame) -> DataFrame:
         """pair_id, repaired: preds (JSON text) with their repairs."""
         return repair.repaired(with_json(pairs), ops)

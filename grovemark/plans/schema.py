@@ -62,6 +62,17 @@ class Node:
             yield from self.items.walk(f"{path}/items")
 
 
+    def places(self, steps: tuple[str | int, ...] = ()) -> Iterator[tuple[tuple[str | int, ...], Node]]:
+        """Every node below and this one, with the steps to its data ('*' is every item)."""
+        yield steps, self
+        for name, child in self.properties.items():
+            yield from child.places((*steps, name))
+        for k, child in enumerate(self.prefix or ()):
+            yield from child.places((*steps, k))
+        if self.items is not None:
+            yield from self.items.places((*steps, "*"))
+
+
 def _number(raw: dict, key: str, default: float) -> float:
     value = raw.get(key, default)
     if isinstance(value, bool) or not isinstance(value, Real):
