@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.rows import exploded
+
 RANKS = ("score_delta", "expected_gain", "confidence")
 OPS = ["pair_id", "rank", "op", "kind", "path", "list_path", "key", "pred_key", "gold_path", "pred_path", "score_delta", "value", "gold", "pred", "rename_group", "confidence", "total", "n_gold", "n_pred", "at"]
 #: Kinds whose path names a list in any order: items are found by value.
@@ -36,7 +38,7 @@ def repairs(nodes: DataFrame, granularity: str = "leaf", min_contribution: float
     delta = F.when(c("is_leaf"), c("weight") * (1 - c("score"))).otherwise(F.lit(0.0))
     key_delta = F.coalesce(c("key_weight") * (1 - c("key_score")), F.lit(0.0))
     # One exchange by pair serves all windows here and those over the result.
-    v = nodes.where("valid AND part = 'value'").repartition("pair_id").withColumn("delta", delta).withColumn("whole", delta + key_delta)
+    v = nodes.where("valid AND part = 'value'").repartition("pair_id").withColumns({"delta": delta, "loss": c("weight") * (1 - c("score")), "whole": delta + key_delta})
     # A renamed key carries its own gain and all gains below; its head is the value right after the key's row.
     below = Window.partitionBy("pair_id", "renamed")
     v = v.withColumn("gain", F.sum("whole").over(below)).withColumn("sure", F.coalesce(F.try_divide(F.sum(c("whole") * c("confidence")).over(below), c("gain")), c("key_confidence")))
@@ -65,14 +67,14 @@ def repairs(nodes: DataFrame, granularity: str = "leaf", min_contribution: float
         kinds.append(F.when(~c("is_leaf") & lacking & (c("parent_id").isNull() if granularity == "subtree" else F.lit(True)), "subtree_replace"))
     if include_ambiguous:
         kinds.append(F.when(((c("node_type") == "dict") | (c("kind") == "reorder")) & (c("confidence") < ambiguity_threshold), "pairing_ambiguous"))
-    ops = v.withColumn("op_kind", F.explode(F.array_compact(F.array(*kinds))))
+    ops = exploded(v, F.array_compact(F.array(*kinds)), "op_kind")
     k = c("op_kind")
     name = F.when(k.isin("key_add", "key_rename_add", "list_item_add", "list_item_missing"), "add").when(k.isin("key_remove", "key_rename_remove", "list_item_remove", "list_item_excess"), "remove").when(k == "pairing_ambiguous", "describe").otherwise("replace")
     ops = ops.select(
         "pair_id", "node_id", "list_path", "pred_key", "gold", "pred", "total", "n_gold", "n_pred", F.coalesce("gold_key", "pred_key").alias("key"), gold_path.alias("gold_path"), pred_path.alias("pred_path"),
         name.alias("op"), k.alias("kind"), F.when(k.isin(*BY_VALUE), list_path).when(k == "key_rename_remove", pred_path).when(k == "key_rename_add", gold_path).otherwise(path).alias("path"),
         F.when(k.isin(*BY_VALUE), c("list_at")).when(k == "key_rename_add", _join(F.when(holder == "", "/").otherwise(holder), c("gold_key"))).otherwise(c("at")).alias("at"),
-        F.when(k.isin("key_rename_remove", "pairing_ambiguous"), 0.0).when(k == "key_rename_add", c("gain")).when(k.isin("key_add", "key_remove"), c("whole")).when(k == "subtree_replace", c("weight") * (1 - c("score"))).otherwise(c("delta")).alias("score_delta"),
+        F.when(k.isin("key_rename_remove", "pairing_ambiguous"), 0.0).when(k == "key_rename_add", c("gain")).when(k.isin("key_add", "key_remove"), c("whole")).when(k == "subtree_replace", c("loss")).otherwise(c("delta")).alias("score_delta"),
         F.when((name == "remove") | (name == "describe"), none).when(k == "ref_fix", c("target")).otherwise(gold).alias("value"),
         F.when(k.startswith("key_rename"), F.concat(F.lit("rename-"), c("renamed").cast("string"))).alias("rename_group"), F.when(k.startswith("key_rename"), c("sure")).when(alone, c("parent_confidence")).otherwise(c("confidence")).alias("confidence"),
     )

@@ -602,4 +602,6 @@ def list_bag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(p, ["k", "v"], "left").groupBy("k").agg(F.sum(F.least("a", F.coalesce("b", F.lit(0)))).cast("int").alias("common"))
 
 
+from . import catalogue_documents  # noqa: E402, F401  its queries register themselves
+
 __all__ = ["ORACLES", "QUERIES", "bag_score"]

@@ -162,7 +162,7 @@ class Aligner:
         if not stores:
             return pairs
         self.prewarm(pairs)
-        held = reduce(DataFrame.union, [s.vectors() for s in stores.values()])
+        held = reduce(DataFrame.unionByName, [s.vectors() for s in stores.values()])
         own = self.semantic_texts(pairs).join(held, ["model_id", "text"])
         maps = own.groupBy(F.col("pair_id").alias("_pair")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "model_id", "text"), "vec"))).alias("_vectors"))
         out = pairs.join(maps, F.col("pair_id").cast("string").eqNullSafe(F.col("_pair")), "left").drop("_pair")

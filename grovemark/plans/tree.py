@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import exploded
 from ..operators.kernel import ABSENT, Options, escaped
 from ..operators.nodes import COLUMNS, INVALID, NODES
 from ..operators.validate import Breaches, breached, first_breach, first_path, json_text
@@ -146,7 +147,7 @@ def typed_nodes(pairs: DataFrame, node: Node, kinds: dict[str, T.DataType], opti
     else:
         numbers = F.array_compact(F.array(*(F.lit(k) if r.there is None else F.when(r.there, F.lit(k)) for k, r in enumerate(rows))))
     numbers = F.when(valid, numbers).otherwise(F.array(F.lit(-1))) if strict else numbers
-    df = df.select("*", F.explode(numbers).alias("_n"))
+    df = exploded(df, numbers, "_n")
     n = F.col("_n")
 
     def column(name: str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from grovemark.operators import semantic
 from grovemark.operators.attribution import attribution_summary
+from grovemark.operators.repair import apply_operation
 from grovemark.plans import catalogue
 from grovemark.plans.columns import bag_score, ordered_score
 from grovemark.plans.engine import Aligner, debug_tree
@@ -173,5 +174,65 @@ def test_confidence_scores_all_cells_of_all_orders(spark):
     assert contract.queries()["confidence_margin_all"](spark, SF).count() == sum(len(x) ** 2 for x in orders.values())
 
 
+def test_core_queries_load_without_what_the_corpus_operators_need(monkeypatch):
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith("grovemark.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    assert set(contract.queries()) == set(catalogue.QUERIES) and set(contract.oracle_sql()) == set(catalogue.ORACLES)
+
+
+def test_values_are_spelt_by_the_caller(spark):
+    aligner = Aligner({"type": "object", "keyScore": "exact", "properties": {"a": {"type": "string", "score": "exact"}}})
+    pairs = table(spark, [({"a": "x"}, {"a": "y"}), ({"a": "x"}, {"a": "x"})])
+    nodes = aligner.nodes(pairs).persist()
+    told = {r.pair_id: r for r in aligner.feedback(nodes, value_formatter=lambda v: f"<{v}>", metadata=True).collect()}
+    assert "should be <x>, is <y>" in told["0"].text and told["0"].error_breakdown == {"primitive_replace": 1.0} and told["1"].error_breakdown == {}
+    sunk = {r.pair_id: json.loads(r.result) for r in aligner.feedback_json(nodes).collect()}
+    assert sunk["0"]["entries"][0]["op_kind"] == "primitive_replace" and sunk["0"]["n_total_ops"] == 1 and sunk["1"]["entries"] == [] and sunk["1"]["style"] == "full"
+    nodes.unpersist()
+
+
+def test_pointers_must_lead_somewhere():
+    for doc, op, kind, path in (([1], "remove", "list_item_remove", "/5"), ([1], "add", "list_item_add", "/3"), ({"a": 1}, "remove", "key_remove", "/b"), ({"a": 1}, "replace", "primitive_replace", "/b"), ({"a": 1}, "replace", "primitive_replace", "/a/b"), ([1], "replace", "primitive_replace", "/-"), ([1], "remove", "list_item_excess", "/")):
+        with pytest.raises((IndexError, KeyError, TypeError, ValueError)):
+            apply_operation(doc, op, kind, path, 7, 9)
+    assert apply_operation([1], "add", "list_item_add", "/-", 2, None) == [1, 2]
+
+
+def test_stores_of_a_session_and_prewarming(spark, tmp_path):
+    store = semantic.SessionStore(spark, semantic.DictEmbedder({"a": [1.0, 0.0], "b": [0.0, 1.0], "c": [1.0, 1.0]}))
+    other = semantic.EmbeddingStore(spark, f"{tmp_path}/v", semantic.HashEmbedder(4, "other:model/1"))
+    schema = {"type": "object", "keyScore": "exact", "properties": {"x": {"type": "array", "order": "align", "items": {"type": "string", "score": "near"}}, "y": {"type": "string", "score": "far"}, "z": {"type": "string"}}}
+    aligner = Aligner(schema, custom_metrics={"string": {"near": semantic.CosineMetric(store), "far": semantic.CosineMetric(other, "affine")}})
+    assert [s for s, _ in aligner.semantic_paths()] == [("x", "*"), ("y",)]
+    pairs = table(spark, [({"x": ["a", "b"], "y": "q", "z": "zz"}, {"x": ["b", "c"], "y": "q", "z": "zz"})])
+    assert aligner.prewarm(pairs) == {"dict-mock": 3, "other:model/1": 1} and len(store) == 3 and "a" in store and "zz" not in store
+    assert aligner.score(pairs).first().score == pytest.approx((((1 + 2**-0.5) / 2) + 1 + 1) / 3)
+    assert aligner.metric({"x": ["a"], "y": "q", "z": ""}, {"x": ["c"], "y": "q", "z": ""}) == pytest.approx((2**-0.5 + 2) / 3)
+    assert store.get_one("c").tolist() == [1.0, 1.0]
+    again = semantic.EmbeddingStore(spark, f"{tmp_path}/v", semantic.HashEmbedder(4, "kept"))
+    again.warm((spark.createDataFrame([("q",)], "t string"), "t"))
+    other.clear()
+    assert len(other) == 0 and len(again) == 1
+    store.clear()
+    assert len(store) == 0
+    tries = []
+    flaky = semantic.HttpEmbedder("m", "http://h", lambda url, payload, key: tries.append(1) or ({"data": [{"index": 0, "embedding": [1.0]}]} if len(tries) > 1 else (_ for _ in ()).throw(TimeoutError())), max_retries=1)
+    assert len(flaky.embed_many(["a"])) == 1 and len(tries) == 2
+
+
+def test_hash_vectors_follow_their_recipe():
+    import hashlib
+
+    import numpy as np
+
+    seed = int.from_bytes(hashlib.blake2b(b"hello", digest_size=8).digest(), "little")
+    want = np.random.default_rng(seed).standard_normal(8).astype(np.float32)
+    assert np.allclose(semantic.HashEmbedder(8).embed_one("hello"), want / np.linalg.norm(want))
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
