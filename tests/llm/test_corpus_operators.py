@@ -285,22 +285,53 @@ def test_interpolation_counts_and_probabilities(docs, rows):
 def test_interpolation_sums_to_one():
     """Over all words and one unknown, the mixture after a context is a distribution."""
     train = [["a", "b", None], ["a", "c", None], ["b", None]]
-    one, two = Counter(t for d in train for t in d), Counter()
+    one, two, three = Counter(t for d in train for t in d), Counter(), Counter()
     for d in train:
         two.update(zip(["<s>", *d], d, strict=False))
+        three.update(zip(["<s>", "<s>", *d], ["<s>", *d], d, strict=False))
     n, v = sum(one.values()), len(one)
-    weights = np.tile([0.5, 0.3, 0.2], (interpolation.BUCKETS, 1))
-    context = "a"
+    weights = np.tile([0.4, 0.3, 0.2, 0.1], (interpolation.BUCKETS, 1))
     total = 0.0
     for w in [*one, "unknown"]:
-        f, b = interpolation._estimates(np.array([one[context], one[w]]), np.array([0, two[context, w]]), np.array([0, 2]), n, v, 3)
+        counts = [np.array([one["a"], one[w]]), np.array([two["<s>", "a"], two["a", w]]), np.array([0, three["<s>", "a", w]])]
+        f, b = interpolation._estimates(counts, np.array([0, 2]), n, v, 3)
         total += float(f[1] @ weights[b[1]])
     assert total == pytest.approx(1.0)
 
 
+def test_interpolated_scores_match_brute_force(docs, rows, monkeypatch):
+    """With given weights, every score by counts in plain dictionaries."""
+    rng = np.random.default_rng(4)
+    weights = rng.random((interpolation.BUCKETS, 4))
+    weights /= weights.sum(1, keepdims=True)
+    monkeypatch.setattr(interpolation, "learn", lambda dev, even, rounds=0: weights)
+    monkeypatch.setattr(interpolation, "TEXT", 20_000)
+    got = {r.doc_id: r.score for r in interpolation.interpolated_scores(docs).collect()}
+    seen: list[Counter] = [Counter(), Counter(), Counter()]
+    n_docs = 0
+    for k, x in rows:
+        if interpolation.fold(k) != interpolation.HELD:
+            n_docs += 1
+            t = ["<s>", "<s>", *tokens(x), None]
+            for i in range(2, len(t)):
+                for g in range(3):
+                    seen[g][tuple(t[i - g : i + 1])] += 1
+    n, v = sum(seen[0].values()), len(seen[0])
+    size = lambda c: min(interpolation.SIZES - 1, c.bit_length())
+    for k, x in rows:
+        t, want = ["<s>", "<s>", *tokens(x), None], 0.0
+        for i in range(2, len(t)):
+            pair = n_docs if i == 2 else seen[1][t[i - 2], t[i - 1]]
+            word = n_docs if i == 2 else seen[0][(t[i - 1],)]
+            w = weights[size(pair) if pair else interpolation.SIZES + size(word)]
+            f = [seen[2][tuple(t[i - 2 : i + 1])] / max(1, pair), seen[1][tuple(t[i - 1 : i + 1])] / max(1, word), seen[0][(t[i],)] / n, 1 / (v + 1)]
+            want += math.log10(float(np.dot(w, f)))
+        assert got[k] == pytest.approx(want)
+
+
 def test_expectation_maximisation_raises_likelihood(spark):
     rng = np.random.default_rng(0)
-    bucket, f = rng.integers(0, 4, 500).astype(np.uint8), rng.random((500, 2)).astype("<f4") ** 4
+    bucket, f = rng.integers(0, 4, 500).astype(np.uint8), rng.random((500, 3)).astype("<f4") ** 4
     dev = spark.createDataFrame([(bytearray(bucket.tobytes()), bytearray(f.tobytes()))], "bucket binary, f binary")
 
     def likelihood(w):
