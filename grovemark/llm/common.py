@@ -18,13 +18,16 @@ PER_TASK = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), one is made and set for this context.
+    Where the session names none and the master is local (tests on one machine), one is made and set for this context; on a
+    cluster a folder of the driver's would be invisible to executors, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         held = tempfile.mkdtemp(prefix="grovemark-")
         spark.sparkContext.setCheckpointDir(held)
         held = spark.sparkContext.getCheckpointDir()
@@ -75,6 +78,17 @@ class Scratch:
                 return
 
 
+def meet(left: DataFrame, right: DataFrame, key: str, n: str = "n", hot: int = 10_000) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has one row a key and in column n the number of left's rows with it.
+
+    Keys with more than ``hot`` of these are sent to every task, since at most one left row in ``hot`` can be such a key; their
+    rows stay where they are. All others meet by an exchange, in which no key has more than ``hot`` rows.
+    """
+    few = F.broadcast(right.where(F.col(n) > hot))
+    rest = left.join(few.select(key), key, "left_anti").join(right.where(F.col(n) <= hot), key)
+    return rest.unionByName(left.join(few, key))
+
+
 def words(text: Column, lower: bool = True) -> Column:
     """Native array of the words of ``text``; null and blank texts give an empty array."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")

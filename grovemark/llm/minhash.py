@@ -23,9 +23,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import Scratch, components
+from .common import Scratch, components, meet
 from .exchange import grouped
 from .packing import slices
 
@@ -324,17 +323,18 @@ def _block_pair(own: Column, j: Column) -> Column:
     return F.struct((F.least(j, own) * F.lit(2**31) + F.greatest(j, own)).cast("long").alias("part"), F.when(j == own, 2).when(j > own, 0).otherwise(1).cast("int").alias("half"))
 
 
-def between_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+def between_components(scratch: Scratch, members: DataFrame, labels: DataFrame) -> DataFrame:
     """A spanning forest (a, b) of the near pairs of different components that share a band, for bands with several components.
 
     The leader's component of a band, dealt out in blocks, meets every other member; the others meet among themselves in
     pairs of blocks. A band with one component yields nothing and costs nothing.
     """
-    known = members.where("n > 2").join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    lead = labels.select(F.col("id").alias("leader"), F.col("component").alias("_lead"))
-    known = known.join(lead, "leader", "left").withColumn("main", F.col("comp") == F.coalesce("_lead", "leader"))
-    counts = known.groupBy("key").agg(F.count_if("main").alias("mains"), F.count_if(~F.col("main")).alias("others")).where("others > 0")
-    known = known.join(counts, "key").withColumn("_m", F.ceil(F.col("mains") / (2 * BLOCK)).cast("int")).withColumn("_o", F.ceil(F.col("others") / BLOCK).cast("int"))
+    known = members.where("n > 2").select("key", "cls", "b0", "b1", (F.col("cls") == F.col("leader")).alias("leads")).join(labels.withColumnRenamed("id", "cls"), "cls", "left")
+    known = scratch.save(known.withColumn("comp", F.coalesce("component", "cls")).drop("component"))
+    parts = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("leads").alias("leads"))
+    counts = parts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("leads"), F.col("c"))).alias("mains"), F.max(F.when(F.col("leads"), F.col("comp"))).alias("lead"))
+    counts = counts.withColumn("others", F.col("n") - F.col("mains")).where("others > 0")
+    known = meet(known, counts, "key").withColumn("main", F.col("comp") == F.col("lead")).withColumn("_m", F.ceil(F.col("mains") / (2 * BLOCK)).cast("int")).withColumn("_o", F.ceil(F.col("others") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("cls"), F.when(F.col("main"), F.col("_m")).otherwise(F.col("_o"))).cast("int")
 
     def placed(part: Column, half: Column) -> Column:
@@ -354,16 +354,17 @@ def _groups(scratch: Scratch, docs: DataFrame, n: int, percent: int) -> DataFram
     """doc_id, n_shingles, cls, group for every row of ``docs``: cls its set's class, group that of its links; both null without a set."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.save(plain.mapInArrow(_signed(n), "doc_id long, n_shingles long, cls long, bands array<long>, b0 long, b1 long"))
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first(F.struct("bands", "b0", "b1")).alias("s"))
-    banded = classes.select("cls", F.explode("s.bands").alias("key"), "s.b0", "s.b1")
-    same = Window.partitionBy("key")
-    banded = banded.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("low", F.min(F.struct("cls", "b0", "b1")).over(same)).where("n > 1")
-    members = scratch.save(banded.select("key", "cls", "b0", "b1", "n", F.col("low.cls").alias("leader"), F.col("low.b0").alias("l0"), F.col("low.b1").alias("l1")))
+    classes = scratch.save(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first(F.struct("bands", "b0", "b1")).alias("s")).select("cls", "s.*"))
+    banded = classes.select("cls", F.explode("bands").alias("key"), "b0", "b1")
+    leads = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader")).where("n > 1")  # a hot band's members are combined before they meet
+    leads = scratch.save(leads.join(classes.select(F.col("cls").alias("leader"), F.col("b0").alias("l0"), F.col("b1").alias("l1")), "leader"))
+    members = scratch.save(meet(banded, leads, "key"))
+    scratch.drop(classes, leads)
     near = agreement((F.col("b0"), F.col("b1")), (F.col("l0"), F.col("l1"))) >= AGREE
     pairs = scratch.save(members.where((F.col("cls") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct())
     links = confirmed(scratch, plain, rows, pairs, n, percent)
     labels = scratch.save(components(scratch, links))
-    more = scratch.save(between_components(members, labels))
+    more = scratch.save(between_components(scratch, members, labels))
     if more.limit(1).count():
         links = links.union(links_within(scratch, plain, rows, labels, more, n, percent))
         labels = scratch.save(components(scratch, links))
@@ -427,4 +428,5 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> Data
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` by two-word shingles, with its results for nulls, empty texts and repeated rows."""
     return near_duplicates(docs, n=2)

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovemark.llm import fingerprint, interpolation, inverted_index, license_scan, minhash, mixing, packing, quality, suffix_dedup, warc
+from grovemark.llm.common import Scratch, meet
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, copy int, place string"
 
@@ -406,7 +407,7 @@ def test_blocks_cover_all_pairs_between_components(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
     members = spark.createDataFrame([(7, k, 0, 0, 12, 0, 0, 0) for k in range(12)], "key long, cls long, b0 long, b1 long, n long, leader long, l0 long, l1 long")
     labels = spark.createDataFrame([(k, 0) for k in range(5)], "id long, component long")
-    got = minhash.between_components(members, labels).collect()
+    got = minhash.between_components(Scratch(spark), members, labels).collect()
     root = list(range(12))
     for _ in range(12):
         for r in got:
@@ -414,6 +415,14 @@ def test_blocks_cover_all_pairs_between_components(spark, monkeypatch):
     assert set(root) == {0}
 
 
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_hot_keys_meet_their_rows_by_a_broadcast(spark, hot):
+    left = spark.createDataFrame([(k % 4 if k < 30 else k, k) for k in range(40)], "key long, v long")
+    right = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low")).where("n > 1")
+    got = sorted((r.key, r.v, r.low) for r in meet(left, right, "key", hot=hot).collect())
+    assert got == sorted((k % 4, k, k % 4) for k in range(30))
+
+
 def test_kept_bits_estimate_similarity():
     rng = np.random.default_rng(5)
     shared, a, b = (rng.integers(0, 2**63, m, dtype=np.uint64) for m in (800, 100, 100))
