@@ -29,7 +29,7 @@ END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SIZES, ROUNDS, DELETED = 22, 12, 10
 #: Contexts of two words by size, then those of one word for which two were not seen.
 BUCKETS = 2 * SIZES
-TEXT = 12 << 20
+TEXT = 8 << 20
 HELD, KEPT, DEV = 0, 1, 2
 BLOCKS = "block long, ids array<long>, folds array<int>, edges array<long>, words binary, tokens binary, n long"
 ANSWERS = "kind int, block long, gram int, bucket int, totals binary, dev binary, v long, n long, v_kept long, n_kept long"
@@ -52,21 +52,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tokens = np.unique(whole, return_inverse=True)
         ids = rows.column("doc_id").to_pylist()
         yield pa.record_batch(
-            [pa.array([(part << 24) + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([[fold(i) for i in ids]], pa.list_(pa.int32())), pa.array([edges.tolist()], pa.list_(pa.int64())), pa.array([words.tobytes()]), pa.array([tokens.astype("<u4").tobytes()]), pa.array([len(whole)])],
+            [pa.array([(part << 24) + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([[fold(i) for i in ids]], pa.list_(pa.int32())), pa.array([edges.tolist()], pa.list_(pa.int64())), pa.array([packed_keys(words)]), pa.array([packed(tokens)]), pa.array([len(whole)])],
             [x.split()[0] for x in BLOCKS.split(", ")],
         )
         made += 1
 
 
 def key_mask(n_tokens: int) -> int:
-    """Which top bits of a key are kept: so many that of all n-grams of a corpus this large a sixteenth of one pair is expected to collide."""
-    kept = min(64, 2 * max(1, n_tokens).bit_length() + 3)
+    """Which top bits of the keys of bigrams and trigrams are kept: 16 more than number the corpus's tokens, at most 64.
+
+    Of 65,536 such n-grams about one shares its key with another and is counted with it; words have all 64 bits.
+    """
+    kept = min(64, max(1, n_tokens).bit_length() + 16)
     return ((1 << kept) - 1) << (64 - kept)
 
 
 def _grams(row: dict, mask: int, only: int | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(keys of each token as unigram, bigram and trigram, fold of each token, edges of the documents), of one fold if asked."""
-    tokens = np.frombuffer(row["words"], dtype=np.uint64)[np.frombuffer(row["tokens"], dtype="<u4")]
+    tokens = unpacked_keys(row["words"])[unpacked(row["tokens"])]
     edges, folds = np.array(row["edges"]), np.array(row["folds"])
     sizes = np.diff(edges)
     each = np.repeat(folds, sizes)
@@ -78,7 +81,7 @@ def _grams(row: dict, mask: int, only: int | None = None) -> tuple[list[np.ndarr
     earlier[edges[:-1]] = START
     two = mixed(before + np.uint64(2))
     keys = [mixed(tokens + np.uint64(1)), mixed(two + tokens), mixed(mixed(mixed(earlier + np.uint64(3)) + two) + tokens)]
-    keys = [k & np.uint64(mask) for k in keys]
+    keys = [keys[0], *(k & np.uint64(mask) for k in keys[1:])]
     if only is not None:
         keys, sizes, each = [k[each == only] for k in keys], sizes[folds == only], each[each == only]
         edges = np.concatenate([[0], np.cumsum(sizes)])
@@ -142,11 +145,11 @@ def _deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             edges, folds = np.array(row["edges"]), np.array(row["folds"])
-            tokens = np.frombuffer(row["tokens"], "<u4")[np.repeat(folds, np.diff(edges)) == DEV]
+            tokens = unpacked(row["tokens"])[np.repeat(folds, np.diff(edges)) == DEV]
             used, tokens = np.unique(tokens, return_inverse=True)
             row |= {
                 "ids": [i for i, f in zip(row["ids"], row["folds"], strict=True) if f == DEV], "folds": [DEV] * int((folds == DEV).sum()), "edges": np.concatenate([[0], np.cumsum(np.diff(edges)[folds == DEV])]).tolist(),
-                "words": np.frombuffer(row["words"], np.uint64)[used].tobytes(), "tokens": tokens.astype("<u4").tobytes(),
+                "words": packed_keys(unpacked_keys(row["words"])[used]), "tokens": packed(tokens),
             }
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
             names = [x.split()[0] for x in BLOCKS.split(", ")]
