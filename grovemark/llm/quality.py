@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~is_held_out(F.col("doc_id")))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).selectExpr("doc_id AS _id", "quality")
     found = _columns(docs).join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("_id"))
-    found = found.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("x")).select("doc_id", "quality", "x.*")
+    found = found.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("x")).select("doc_id", "quality", "x.*").repartition(64, "doc_id")  # features cost more than the move
     got = sorted(found.mapInArrow(_featured, "doc_id long, quality int, at binary, x binary").collect(), key=lambda r: (r[0], r[1]))
     return fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], [r[1] for r in got])
 
