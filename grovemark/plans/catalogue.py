@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import leaf
-from ..functions.strings import similarity
+from ..functions.strings import similarity, with_similarity
 from ..operators import attribution, confidence, referential, repair, semantic, validate
 from .columns import bag_score, ordered_score
 from .engine import Aligner, corpus_rollup
@@ -117,24 +117,25 @@ def leaf_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_pairs(spark, sf_dir).select("k", six(leaf.threshold(similarity("levenshtein")(F.col("g_prio"), F.col("p_prio")), 0.5)).alias("score"))
 
 
-NAMES_SQL = """WITH names AS (SELECT DISTINCT p_name AS a FROM part),
-near AS (SELECT a, unnest([lead(a, 1) OVER w, lead(a, 2) OVER w, lead(a, 5) OVER w]) AS b FROM names WINDOW w AS (ORDER BY a)),
-pairs AS (SELECT a, b FROM near WHERE b IS NOT NULL)"""
+NAMES_SQL = """WITH changed AS (SELECT p_partkey AS k, p_name AS a, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN reverse(p_name) WHEN 2 THEN p_brand || ' ' || p_name
+  WHEN 3 THEN replace(p_name, 'e', '') ELSE substring(p_name, 1 + p_size % 5) || lower(p_type) END AS b FROM part), pairs AS (SELECT DISTINCT a, b FROM changed)"""
 
 
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against names further on in their order: some 64 distinct names at any scale."""
-    w = Window.orderBy("a")
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    return names.select("a", F.array(F.lead("a", 1).over(w), F.lead("a", 2).over(w), F.lead("a", 5).over(w)).alias("b")).select("a", F.explode("b").alias("b")).where("b IS NOT NULL")
+    """Each part's name against a changed one: the same, reversed, longer, without a letter, and another's beginning and end."""
+    name, turn = F.col("p_name"), F.col("p_partkey") % 5
+    other = F.substring(name, 1 + F.col("p_size") % 5, F.length(name))
+    changed = F.when(turn == 0, name).when(turn == 1, F.reverse(name)).when(turn == 2, F.concat_ws(" ", "p_brand", "p_name"))
+    changed = changed.when(turn == 3, F.replace(name, F.lit("e"), F.lit(""))).otherwise(F.concat(other, F.lower("p_type")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), name.alias("a"), changed.alias("b"))
 
 
 def _string_query(name: str, metric: str, sql: str | None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return name_pairs(spark, sf_dir).select("a", "b", six(similarity(metric)(F.col("a"), F.col("b"))).alias("score"))
+        return with_similarity(name_pairs(spark, sf_dir), "a", "b", metric, "score").select("k", "a", "b", six(F.col("score")).alias("score"))
 
     run.__name__ = name
-    query(f"{NAMES_SQL} SELECT a, b, round((CASE WHEN a = b THEN 1 ELSE {sql} END)::DOUBLE, 6) AS score FROM pairs" if sql else None)(run)
+    query(f"{NAMES_SQL} SELECT k, a, b, round((CASE WHEN a = b THEN 1 ELSE {sql} END)::DOUBLE, 6) AS score FROM changed" if sql else None)(run)
 
 
 _string_query("leaf_levenshtein", "levenshtein", "1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))")
@@ -154,11 +155,11 @@ def _lcs_sql(source: str, keys: str) -> str:
   UNION ALL {LCS_STEP.format(keys=keys)}), longest AS (SELECT {keys}, line[len(q) + 1] AS n, len(g) AS a, len(q) AS b FROM lcs WHERE i = len(g))"""
 
 
-LETTERS_SQL = NAMES_SQL.replace("WITH names", "WITH RECURSIVE names") + ", lists AS (SELECT a AS x, b AS y, string_split(a, '') AS g, string_split(b, '') AS q FROM pairs), " + _lcs_sql("lists", "x, y")
+LETTERS_SQL = NAMES_SQL.replace("WITH changed", "WITH RECURSIVE changed") + ", lists AS (SELECT a AS x, b AS y, string_split(a, '') AS g, string_split(b, '') AS q FROM pairs), " + _lcs_sql("lists", "x, y")
 _string_query("leaf_indel", "indel", None)
 _string_query("leaf_lcsseq", "lcsseq", None)
-ORACLES["leaf_indel"] = LETTERS_SQL + " SELECT x AS a, y AS b, round((2 * n)::DOUBLE / (longest.a + longest.b), 6) AS score FROM longest"
-ORACLES["leaf_lcsseq"] = LETTERS_SQL + " SELECT x AS a, y AS b, round(n::DOUBLE / greatest(longest.a, longest.b), 6) AS score FROM longest"
+ORACLES["leaf_indel"] = LETTERS_SQL + " SELECT k, x AS a, y AS b, round((2 * n)::DOUBLE / (longest.a + longest.b), 6) AS score FROM longest JOIN changed c ON c.a = x AND c.b = y"
+ORACLES["leaf_lcsseq"] = LETTERS_SQL + " SELECT k, x AS a, y AS b, round(n::DOUBLE / greatest(longest.a, longest.b), 6) AS score FROM longest JOIN changed c ON c.a = x AND c.b = y"
 
 
 @query(None)
@@ -311,18 +312,16 @@ def _align_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list("l_quantity").alias("g"), F.collect_list((F.col("l_quantity") * 2) % 7).alias("p"))
 
 
-TWO_SQL = """WITH items AS (SELECT l_orderkey AS k, list(l_quantity) AS g, list((l_quantity * 2) % 7) AS q FROM lineitem GROUP BY l_orderkey HAVING count(*) = 2)"""
+#: Best total of each set of taken items after the first i items, for all orders: every pairing is weighed.
+PAIRINGS_SQL = """WITH RECURSIVE items AS (SELECT l_orderkey AS k, list(l_quantity) AS g, list((l_quantity * 2) % 7) AS q FROM lineitem GROUP BY l_orderkey),
+best AS (SELECT k, 0 AS i, 0::BIGINT AS taken, 0::DOUBLE AS total, g, q FROM items
+  UNION ALL SELECT k, i + 1, taken + (1::BIGINT << j), max(total + 1 / (1 + abs(g[i + 1] - q[j + 1]))), any_value(g), any_value(q)
+  FROM (SELECT *, unnest(range(len(q))) AS j FROM best WHERE i < len(g)) WHERE (taken >> j) % 2 = 0 GROUP BY k, i, taken + (1::BIGINT << j))"""
 
 
-@query(f"""{TWO_SQL} SELECT k, round(greatest(1 / (1 + abs(g[1] - q[1])) + 1 / (1 + abs(g[2] - q[2])), 1 / (1 + abs(g[1] - q[2])) + 1 / (1 + abs(g[2] - q[1])))::DOUBLE / 2, 6) AS score FROM items""")
+@query(f"{PAIRINGS_SQL} SELECT k, round(total / len(g), 6) AS score FROM best WHERE i = len(g)")
 def list_align_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Optimal pairing by likeness, for orders of two items: the better of two pairings, whichever the solver finds."""
-    return _lists(_align_items(spark, sf_dir).where(F.size("g") == 2), ALIGN)
-
-
-@query(None)
-def list_align_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Optimal pairing by likeness, for orders of any number of items; ``list_align_general`` is the part of it that its SQL can say."""
+    """Optimal pairing by likeness of the items of all orders."""
     return _lists(_align_items(spark, sf_dir), ALIGN)
 
 
@@ -500,15 +499,14 @@ def ambiguity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Confidence.
 
-SIMS_SQL = f"""WITH numbered AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ITEM_ORDER}) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, l_quantity AS q FROM lineitem),
-sims AS (SELECT a.k, a.i::INTEGER AS i, b.i::INTEGER AS j, 1 / (1 + abs(a.q - (b.q * 2) % 11)) AS score FROM numbered a JOIN numbered b ON a.k = b.k WHERE a.n <= 3)"""
+SIMS_SQL = f"""WITH numbered AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ITEM_ORDER}) AS i, l_quantity AS q FROM lineitem),
+sims AS (SELECT a.k, a.i::INTEGER AS i, b.i::INTEGER AS j, 1 / (1 + abs(a.q - (b.q * 2) % 11)) AS score FROM numbered a JOIN numbered b ON a.k = b.k)"""
 
 
-def _sims(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """Similarities of each order's items with changed ones; ``most``: only of orders with at most so many items."""
-    w = Window.partitionBy("l_orderkey")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).alias("i"), F.count(F.lit(1)).over(w).alias("n"), F.col("l_quantity").alias("q"))
-    rows = rows if most is None else rows.where(F.col("n") <= most)
+def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities of each order's items with changed ones."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.row_number().over(w).alias("i"), F.col("l_quantity").alias("q"))
     lists = rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("x"))
     cells = lists.select("k", "x", F.explode("x").alias("a")).select("k", "a", F.explode("x").alias("b"))
     return cells.select("k", F.col("a.i").alias("i"), F.col("b.i").alias("j"), leaf.invdiff(F.col("a.q"), (F.col("b.q") * 2) % 11).alias("score"))
@@ -517,27 +515,12 @@ def _sims(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFram
 @query(f"""{SIMS_SQL} SELECT s.k, s.i, s.j, round(greatest(0::DOUBLE, least(1::DOUBLE, s.score - coalesce(max(o.score), 0))), 6) AS confidence
 FROM sims s LEFT JOIN sims o ON o.k = s.k AND ((o.i = s.i AND o.j <> s.j) OR (o.j = s.j AND o.i <> s.i)) GROUP BY s.k, s.i, s.j, s.score""")
 def confidence_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidence.margin_confidence(_sims(spark, sf_dir, 3), ["k"]).select("k", "i", "j", six(F.col("confidence")).alias("confidence"))
+    return confidence.margin_confidence(_sims(spark, sf_dir), ["k"]).select("k", "i", "j", six(F.col("confidence")).alias("confidence"))
 
 
 @query(f"""{SIMS_SQL}, w AS (SELECT k, i, exp(8 * (score - max(score) OVER (PARTITION BY k, i))) AS w FROM sims), p AS (SELECT k, i, w / sum(w) OVER (PARTITION BY k, i) AS p FROM w)
-SELECT k, i, round(CASE WHEN count(*) < 2 THEN 1::DOUBLE ELSE 1 - sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(count(*)) END, 6) AS confidence FROM p GROUP BY k, i""")
+SELECT k, i, round(CASE WHEN count(*) < 2 THEN 1::DOUBLE ELSE greatest(0::DOUBLE, 1 - sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(count(*))) END, 6) AS confidence FROM p GROUP BY k, i""")
 def confidence_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidence.entropy_confidence(_sims(spark, sf_dir, 3), ["k"]).select("k", "i", six(F.col("confidence")).alias("confidence"))
-
-
-# The same for orders of any size.
-
-ALL_SIMS_SQL = SIMS_SQL.removesuffix(" WHERE a.n <= 3)") + ")"
-
-
-@query(ORACLES["confidence_margin"].replace(SIMS_SQL, ALL_SIMS_SQL))
-def confidence_margin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confidence.margin_confidence(_sims(spark, sf_dir), ["k"]).select("k", "i", "j", six(F.col("confidence")).alias("confidence"))
-
-
-@query(None)
-def confidence_entropy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confidence.entropy_confidence(_sims(spark, sf_dir), ["k"]).select("k", "i", six(F.col("confidence")).alias("confidence"))
 
 

@@ -155,9 +155,9 @@ def test_optimal_pairing_takes_orders_of_any_size(spark, tmp_path):
     orders = {k: [float(rng.randint(1, 50)) for _ in range(n)] for k, n in enumerate([1, 1, 2, 3, 3, 4, 5, 6, 7])}
     spark.createDataFrame([(k, q) for k, x in orders.items() for q in x], "l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = {k: max(sum(1 / (1 + abs(a - b)) for a, b in zip(x, p, strict=True)) for p in itertools.permutations([q * 2 % 7 for q in x])) / len(x) for k, x in orders.items()}
-    got = {r.k: r.score for r in contract.queries()["list_align_all"](spark, str(tmp_path)).collect()}
+    got = {r.k: r.score for r in contract.queries()["list_align_general"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-6)
-    assert contract.queries()["list_align_all"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert contract.queries()["list_align_general"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
 
 
 def test_confidence_scores_all_cells_of_all_orders(spark):
@@ -170,8 +170,8 @@ def test_confidence_scores_all_cells_of_all_orders(spark):
         for i, a in enumerate(x, 1):
             e = [math.exp(8 / (1 + abs(a - b * 2 % 11))) for b in x]
             want[k, i] = 1.0 if len(x) < 2 else 1 + sum(v / sum(e) * math.log(v / sum(e)) for v in e) / math.log(len(x))
-    assert {(r.k, r.i): r.confidence for r in contract.queries()["confidence_entropy_all"](spark, SF).collect()} == pytest.approx(want, abs=2e-6)
-    assert contract.queries()["confidence_margin_all"](spark, SF).count() == sum(len(x) ** 2 for x in orders.values())
+    assert {(r.k, r.i): r.confidence for r in contract.queries()["confidence_entropy"](spark, SF).collect()} == pytest.approx(want, abs=2e-6)
+    assert contract.queries()["confidence_margin"](spark, SF).count() == sum(len(x) ** 2 for x in orders.values())
 
 
 def test_core_queries_load_without_what_the_corpus_operators_need(monkeypatch):
