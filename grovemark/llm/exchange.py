@@ -49,10 +49,14 @@ def unpacked_keys(b: bytes) -> np.ndarray:
 
 def cut(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """(bucket, where its keys are) of sorted keys; the work follows the keys, not the number of buckets."""
-    if not len(keys):
+    yield from cut_at(keys >> np.uint64(64 - bits))
+
+
+def cut_at(own: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(value, where it is) of a sorted array."""
+    if not len(own):
         return
-    own = keys >> np.uint64(64 - bits)
-    edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(keys)]
+    edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
     for lo, hi in pairwise(edges):
         yield int(own[lo]), slice(lo, hi)
 

@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .exchange import cut, grouped, packed, packed_keys, unpacked, unpacked_keys
+from .exchange import cut, cut_at, grouped, packed, packed_keys, unpacked, unpacked_keys
 from .minhash import mixed
 from .packing import blocks_of
 
 LENGTH, GRAM = 100, 40
 PLACES = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
-TEXT, SEGMENT = 8 << 20, 1 << 20
+TEXT, SEGMENT = 8 << 20, 1 << 18
 #: Anchors that a bucket should hold about, over all blocks.
 PER_BUCKET = 250_000
 #: Groups up to so many distinct surroundings are compared pairwise, larger ones are swept.
@@ -251,24 +251,23 @@ def _runs(bits: int):
             at, bucket = at[kept], (keys[kept] >> np.uint64(64 - bits)).astype(np.int64)
             doc = np.searchsorted(edges, at, side="right") - 1
             ids = _doc_ids(row)[doc]
-            order = np.lexsort((at, ids))
             lo, hi = np.maximum(edges[doc], at - LEFT), np.minimum(edges[doc + 1], at + LENGTH)
-            first: dict[tuple[bytes, bytes], int] = {}
+            order = np.lexsort((at, ids, bucket))
             spans: list[tuple[int, int]] = []
-            for k in order.tolist():  # the earliest of equal surroundings speaks for the block
-                a, i, j = int(at[k]), int(lo[k]), int(hi[k])
-                key = (text[a:j], text[i:a])
-                if first.setdefault(key, k) != k and j - i >= LENGTH:
-                    spans.append((i, j))
-            by_bucket: dict[int, list[tuple[bytes, bytes, int]]] = {}
-            for (right, left), k in sorted(first.items()):
-                by_bucket.setdefault(int(bucket[k]), []).append((right, left, k))
+            out = []
+            for b, where in cut_at(bucket[order]):  # equal surroundings share an anchor and so a bucket: one bucket's strings are held at a time
+                first: dict[tuple[bytes, bytes], int] = {}
+                for k in order[where].tolist():  # the earliest of equal surroundings speaks for the block
+                    a, i, j = int(at[k]), int(lo[k]), int(hi[k])
+                    if first.setdefault((text[a:j], text[i:a]), k) != k and j - i >= LENGTH:
+                        spans.append((i, j))
+                items = sorted(first.items())
+                ks = np.array([k for _, k in items])
+                shared, rests, tails = front_coded([right for (right, _), _ in items])
+                lefts = b"".join(left for (_, left), _ in items)
+                out.append((1, b, row["block"], _zip(shared.tobytes()), _zip(rests.tobytes()), _zip(tails), _zip(lefts), packed(at[ks] - lo[ks]), _zip(ids[ks].astype("<i8").tobytes()), _zip((at[ks] | (edges[doc[ks]] << 32)).astype("<i8").tobytes()), None))
             home = int(mixed(np.array([row["block"]], np.uint64))[0] >> np.uint64(64 - bits))  # what a block settles itself needs no particular bucket
-            out = [(0, home, row["block"], *[None] * 7, packed(np.array(spans, np.int64).ravel()))]
-            for b, items in by_bucket.items():
-                ks = np.array([k for _, _, k in items])
-                shared, rests, tails = front_coded([r for r, _, _ in items])
-                out.append((1, b, row["block"], _zip(shared.tobytes()), _zip(rests.tobytes()), _zip(tails), _zip(b"".join(x for _, x, _ in items)), packed(at[ks] - lo[ks]), _zip(ids[ks].astype("<i8").tobytes()), _zip((at[ks] | (edges[doc[ks]] << 32)).astype("<i8").tobytes()), None))
+            out.append((0, home, row["block"], *[None] * 7, packed(np.array(spans, np.int64).ravel())))
             yield pa.record_batch([pa.array([o[j] for o in out], t) for j, t in enumerate(kinds)], names)
 
     return run
