@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, interpolation, inverted_index, lexical_search, license_scan, minhash, mixing, packing, quality, spelling, suffix_dedup, warc
+from . import fingerprint, interpolation, inverted_index, lexical_search, license_scan, minhash, mixing, packing, quality, spelling, suffix_dedup, warc, wrapper_induction
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,11 +25,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bottom_k": _over("documents", fingerprint.fingerprint_digest),
     "op10_license_scan": _over("documents", license_scan.scan_licenses),
     "op11_levenshtein_tries": _over("documents", spelling.variants),
+    "op12_wrapper_induction": _over("pages", wrapper_induction.extract),
     "op13_bit_sliced_search": lambda spark, sf_dir: lexical_search.search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
 }
 
 ORACLES: dict[str, str] = {
     "op3_poisson_mix": mixing.SQL,
     "op8_warc_bundles": warc.SQL,
+    "op12_wrapper_induction": _over("pages", wrapper_induction.extract),
     "op13_bit_sliced_search": lexical_search.SQL,
 }
