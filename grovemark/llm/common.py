@@ -34,8 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows hold whole texts, so fewer go into an Arrow batch than Spark's default of 10,000: batches lie outside the heap."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int | None = None) -> None:
+    """Rows hold whole texts, so fewer go into an Arrow batch than Spark's default of 10,000, and where they hold whole blocks no
+    more than ``size`` bytes or one row: batches lie outside the heap, at both ends of the pipe."""
+    if size is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

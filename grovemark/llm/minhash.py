@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, meet
+from .common import Scratch, components, meet, small_batches
 from .exchange import grouped
 from .packing import slices
 
@@ -32,7 +32,7 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Of 128 kept bits, so many must agree: (95 / 128 - 1 / 2) / (1 - 1 / 2) = 0.48.
 AGREE = 95
-BLOCK = 512
+BLOCK, BATCH = 512, 4 << 20
 #: Ids are broadcast up to so many (8 bytes each); beyond, they are joined by an exchange.
 MOST_SENT = 1_000_000
 
@@ -352,6 +352,7 @@ def between_components(scratch: Scratch, members: DataFrame, labels: DataFrame)
 
 def _groups(scratch: Scratch, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, cls, group for every row of ``docs``: cls its set's class, group that of its links; both null without a set."""
+    small_batches(docs.sparkSession, size=BATCH)  # rows with whole sets
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.save(plain.mapInArrow(_signed(n), "doc_id long, n_shingles long, cls long, bands array<long>, b0 long, b1 long"))
     classes = scratch.save(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first(F.struct("bands", "b0", "b1")).alias("s")).select("cls", "s.*"))

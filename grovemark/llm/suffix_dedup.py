@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 from .exchange import cut, cut_at, grouped, packed, packed_keys, unpacked, unpacked_keys
 from .minhash import mixed
 from .packing import blocks_of
@@ -33,9 +33,9 @@ from .packing import blocks_of
 LENGTH, GRAM = 100, 40
 PLACES = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
-TEXT, SEGMENT = 8 << 20, 1 << 18
-#: Anchors that a bucket should hold about, over all blocks.
-PER_BUCKET = 250_000
+TEXT, SEGMENT, BATCH = 4 << 20, 1 << 18, 4 << 20
+#: Anchors that a bucket should hold about, over all blocks, and tasks among which buckets are dealt: a task takes its buckets one by one.
+PER_BUCKET, TASKS = 250_000, 4096
 #: Groups up to so many distinct surroundings are compared pairwise, larger ones are swept.
 FEW = 16
 
@@ -398,11 +398,13 @@ def _kept(columns: list[str], digest: bool):
 
 def _cut(docs: DataFrame, digest: bool) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH)
     blocks = scratch.save(docs.mapInArrow(_blocks, BLOCKS))
     n_anchors, n_blocks = blocks.agg(F.coalesce(F.sum("n_anchors"), F.lit(0)), F.count(F.lit(1))).first()
     bits = max(2, (n_anchors // PER_BUCKET).bit_length())
     asked = blocks.select("block", "edges", "text").mapInArrow(_ask(bits), "bucket int, block long, keys binary, counts binary")
-    answers = scratch.save(asked.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_answer, "block long, bucket int, again binary"))
+    tasks, dealt = min(1 << bits, TASKS), F.expr(f"shiftright(bucket, {max(0, bits - TASKS.bit_length() + 1)})")  # neighbouring buckets share a task
+    answers = scratch.save(asked.repartitionById(tasks, dealt).sortWithinPartitions("bucket").mapInArrow(_answer, "block long, bucket int, again binary"))
     n_parts = max(1, n_blocks)
 
     def beside(own: DataFrame, told: DataFrame) -> DataFrame:
@@ -411,7 +413,7 @@ def _cut(docs: DataFrame, digest: bool) -> DataFrame:
 
     names = "kind int, bucket int, block long, shared binary, rests binary, tails binary, lefts binary, left_sizes binary, docs binary, places binary, spans binary"
     runs = beside(blocks.drop("n_anchors"), answers).mapInArrow(_runs(bits), names)
-    spans = scratch.save(runs.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket", "block").mapInArrow(_merged, SPANS))
+    spans = scratch.save(runs.repartitionById(tasks, dealt).sortWithinPartitions("bucket", "block").mapInArrow(_merged, SPANS))
     scratch.drop(answers)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else docs.schema
     return beside(blocks.drop("n_anchors"), spans).mapInArrow(_kept(docs.columns, digest), kind)
