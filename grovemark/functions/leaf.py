@@ -16,14 +16,25 @@ def exact(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b).cast("double")
 
 
+def exact_number(a: Column, b: Column) -> Column:
+    """Equality of numbers: NaN equals nothing, itself included."""
+    return F.when(F.isnan(a.cast("double")), F.lit(0.0)).otherwise(exact(a, b))
+
+
+def _by_distance(x: Column, y: Column, unequal: Column) -> Column:
+    """1 for equal numbers, infinities too; 0 beside NaN and where a difference has no size; else ``unequal``."""
+    return F.when(F.isnan(x) | F.isnan(y), F.lit(0.0)).when(x == y, F.lit(1.0)).otherwise(F.nanvl(unequal, F.lit(0.0)))
+
+
 def invdiff(a: Column, b: Column) -> Column:
-    return 1 / (1 + F.abs(a.cast("double") - b.cast("double")))
+    x, y = a.cast("double"), b.cast("double")
+    return _by_distance(x, y, 1 / (1 + F.abs(x - y)))
 
 
 def relative(a: Column, b: Column) -> Column:
     """One less the difference over the larger size, not below 0; equal numbers, zeros too, give 1."""
     x, y = a.cast("double"), b.cast("double")
-    return F.when(x == y, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(F.abs(x - y), F.greatest(F.abs(x), F.abs(y)))))
+    return _by_distance(x, y, F.greatest(F.lit(0.0), F.nanvl(1 - F.try_divide(F.abs(x - y), F.greatest(F.abs(x), F.abs(y))), F.lit(0.0))))
 
 
 def threshold(score: Column, least: float) -> Column:
@@ -36,11 +47,6 @@ def null_aware(a: Column, b: Column, score: Column, null_score: float = 0.0) ->
     return F.when(a.isNull() & b.isNull(), F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(float(null_score))).otherwise(score)
 
 
-def checked(score: Column, name: str) -> Column:
-    """A custom comparator's result, which must lie in [0, 1]."""
-    return F.when(score.between(0, 1), score).otherwise(F.raise_error(F.lit(f"metric {name!r} left [0, 1]")))
-
-
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -55,8 +61,8 @@ def cosine(a: Column, b: Column, mapping: str = "clip") -> Column:
 
 COMPARATORS: dict[str, dict[str, Comparator]] = {
     "boolean": {"exact": exact},
-    "number": {"exact": exact, "invdiff": invdiff, "relative": relative},
-    "integer": {"exact": exact, "invdiff": invdiff, "relative": relative},
+    "number": {"exact": exact_number, "invdiff": invdiff, "relative": relative},
+    "integer": {"exact": exact_number, "invdiff": invdiff, "relative": relative},
     "string": {name: (lambda a, b, name=name: similarity(name)(a, b)) for name in SIMILARITIES},
 }
 DEFAULTS = {"boolean": "exact", "number": "invdiff", "integer": "invdiff", "string": "jaro"}

@@ -28,8 +28,3 @@ def entropy_confidence(sims: DataFrame, keys: list[str], temperature: float = 8.
     p = sims.withColumn("_w", w).withColumn("_p", F.col("_w") / F.sum("_w").over(own))
     out = p.groupBy(*keys, "i").agg(F.sum(F.when(F.col("_p") > 0, -F.col("_p") * F.ln("_p")).otherwise(0.0)).alias("_h"), F.count(F.lit(1)).alias("_m"))
     return out.select(*keys, "i", F.when(F.col("_m") < 2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide("_h", F.ln("_m")))).alias("confidence"))
-
-
-def mean_confidence(chosen: DataFrame, keys: list[str]) -> DataFrame:
-    """A container's confidence: the mean over its chosen pairs."""
-    return chosen.groupBy(*keys).agg(F.avg("confidence").alias("confidence"))

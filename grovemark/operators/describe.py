@@ -18,7 +18,7 @@ def description_entries(nodes: DataFrame, templates: Mapping[str, str] | None =
     """pair_id, node_id, path, depth, match_kind, outcome, score, text, confidence for nodes of valid pairs that have a text."""
     texts = describe_templates(templates)
     rows = nodes.where("valid AND (has_gold OR has_pred)").where("NOT (part = 'value' AND kind = 'unmatched' AND parent_kind = 'object')")
-    plain = lambda c: F.when(F.col(c).startswith('"'), F.substring(F.col(c), 2, 1 << 20).substr(F.lit(1), F.length(c) - 2)).otherwise(F.col(c))
+    plain = lambda c: F.when(F.col(c).startswith('"'), F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "string"), F.col(c))).otherwise(F.col(c))
     right = F.col("score") >= 1
     indent = F.repeat(F.lit("  "), F.col("depth"))
     values = {
@@ -47,7 +47,18 @@ def description_entries(nodes: DataFrame, templates: Mapping[str, str] | None =
         for kind in ("list", "dict"):
             doubt = (F.col("node_type") == kind) & (F.col("part") == "value") & (F.col("confidence") < ambiguity_threshold)
             text = F.when(doubt, F.concat(fill(texts[f"describe.{kind}.ambiguous"], values), text)).otherwise(text)
-    return rows.select("pair_id", "node_id", "path", "depth", "match_kind", "outcome", "score", text.alias("text"), "confidence").where("text <> ''")
+    # A filter over the text would be pushed below, with all that the text is made of spelt out for each use; a generator isn't.
+    heard = F.explode(F.filter(F.array(text), lambda t: t != ""))
+    return rows.select("pair_id", "node_id", "path", "depth", "match_kind", "outcome", "score", heard.alias("text"), "confidence")
+
+
+def description_json(nodes: DataFrame, templates: Mapping[str, str] | None = None, **options) -> DataFrame:
+    """pair_id, result: score and entries of each pair as one JSON text, in the order of the walk; a perfect or invalid pair has no entries."""
+    texts = description_entries(nodes, templates, **options)
+    listed = texts.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "path", "depth", "match_kind", "outcome", "score", "text", "confidence"))).alias("entries"))
+    roots = nodes.where("parent_id IS NULL").select("pair_id", "valid", F.col("total").alias("score"), "error_path", "error").join(listed, "pair_id", "left")
+    told = F.when(F.col("valid") & (F.col("score") < 1), F.col("entries"))
+    return roots.select("pair_id", F.to_json(F.struct("score", F.lit("json").alias("style"), F.coalesce(told, F.array()).alias("entries"), "error_path", "error")).alias("result"))
 
 
 def description_text(nodes: DataFrame, templates: Mapping[str, str] | None = None, **options) -> DataFrame:

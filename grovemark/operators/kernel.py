@@ -27,17 +27,23 @@ class _Absent:
 
 
 ABSENT = _Absent()
+#: NaN is like nothing, itself included; equal infinities are alike.
 NUMERIC: dict[str, Callable[[float, float], float]] = {
     "exact": lambda a, b: float(a == b),
-    "invdiff": lambda a, b: 1 / (1 + abs(a - b)),
-    "relative": lambda a, b: 1.0 if a == b else max(0.0, 1 - abs(a - b) / max(abs(a), abs(b))),
+    "invdiff": lambda a, b: 1.0 if a == b else 0.0 if a != a or b != b else 1 / (1 + abs(a - b)),
+    "relative": lambda a, b: 1.0 if a == b else 0.0 if a != a or b != b else max(0.0, 1 - abs(a - b) / max(abs(a), abs(b))),
 }
 
 
-def context_metric(fn):
-    """Marks a comparator that also wants a ``Context``."""
-    fn.wants_context = True
-    return fn
+def context_metric(fn=None, *, roots: bool = True):
+    """Marks a comparator that also wants a ``Context``. Without ``roots`` it is promised not to look at whole documents, so that typed
+    pairs send only its values and their parents to Python."""
+
+    def mark(f):
+        f.wants_context, f.wants_roots = True, roots
+        return f
+
+    return mark if fn is None else mark(fn)
 
 
 @dataclass(frozen=True)

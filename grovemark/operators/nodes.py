@@ -14,9 +14,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.columns import plain
 from .kernel import ABSENT, Comparison, Match, escaped
-from .validate import first_error
+from .validate import first_error, json_text
 
 NODES = (
     "pair_id string, valid boolean, total double, node_id int, parent_id int, depth int, path string, part string, node_type string, kind string, parent_kind string, list_path string, score double, confidence double, parent_confidence double,"
@@ -49,7 +51,7 @@ def spelling(formatter: Callable[[Any], str] | None = None) -> Callable[[Column]
 
 
 def _text(value: Any) -> str | None:
-    return None if value is ABSENT else json.dumps(value, ensure_ascii=False)
+    return None if value is ABSENT else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 def flatten(root: Match) -> Iterator[dict]:
@@ -88,15 +90,48 @@ def flatten(root: Match) -> Iterator[dict]:
 
 
 def with_json(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """Structured gold and pred columns as JSON text; text columns stay. Null fields are kept as nulls."""
-    kinds = dict(df.dtypes)
+    """Typed gold and pred columns as JSON text; text columns stay. Null fields are kept as nulls."""
 
     def text(c: str) -> Column:
-        return F.col(c) if kinds[c] == "string" else F.to_json(F.col(c), {"ignoreNullFields": "false"})
+        kind = df.schema[c].dataType
+        return F.col(c) if isinstance(kind, T.StringType) else json_text(F.col(c), kind)
 
     return df.withColumn("_gold", text(gold)).withColumn("_pred", text(pred))
 
 
+def kernel_input(pairs: DataFrame) -> DataFrame:
+    """(pair_id, _gold, _pred, and _vectors if there): structs, lists and numbers go to Python as they are, others as JSON text."""
+    more = ["_vectors"] if "_vectors" in pairs.columns else []
+    spelt = with_json(pairs)
+    for c in ("gold", "pred"):
+        kind = pairs.schema[c].dataType
+        if not isinstance(kind, T.StringType) and plain(kind):
+            spelt = spelt.withColumn(f"_{c}", F.col(c))
+    return spelt.select(F.col("pair_id").cast("string").alias("pair_id"), "_gold", "_pred", *more)
+
+
+def values(batch: pa.RecordBatch, column: str) -> list:
+    """A column of ``kernel_input`` as Python values; JSON text is parsed, null is null."""
+    data = batch.column(column)
+    if pa.types.is_string(data.type) or pa.types.is_large_string(data.type):
+        return [None if x is None else _read(x) for x in data.to_pylist()]
+    return data.to_pylist()
+
+
+def _read(text: str) -> Any:
+    try:
+        return json.loads(text)
+    except ValueError:
+        return Broken()
+
+
+def parsed(batch: pa.RecordBatch) -> Iterator[tuple[str, Any, Any, dict | None]]:
+    """(pair_id, gold, pred, vectors) of a batch of ``kernel_input``."""
+    known = batch.column("_vectors").to_pylist() if "_vectors" in batch.schema.names else [None] * batch.num_rows
+    for pair_id, gold, pred, vectors in zip(batch.column("pair_id").to_pylist(), values(batch, "_gold"), values(batch, "_pred"), known, strict=True):
+        yield pair_id, gold, pred, None if vectors is None else dict(vectors)
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r.get(c) for r in rows], t) for c, t in zip(COLUMNS, KINDS, strict=True)], COLUMNS)
 
@@ -112,16 +147,11 @@ def node_table(pairs: DataFrame, plan: Comparison, raw_schema: dict, skip_valida
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
-            known = batch.column("_vectors").to_pylist() if "_vectors" in batch.schema.names else [None] * batch.num_rows
-            for pair_id, g, p, vectors in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "_gold", "_pred")), known, strict=True):
-                gold, pred = (None if x is None else json.loads(x) for x in (g, p))
-                if not skip_validation:
-                    if wrong := first_error(raw_schema, gold):
-                        raise ValueError(f"gold of pair {pair_id} breaks the schema at {wrong[0]}: {wrong[1]}")
-                    if wrong := first_error(raw_schema, pred):
-                        rows.append({"pair_id": pair_id, "valid": False, "total": 0.0, "error_path": wrong[0], "error": wrong[1], "gold": g, "pred": p, **INVALID})
-                        continue
-                match, _ = plan.compare(gold, pred, None if vectors is None else dict(vectors))
+            for pair_id, gold, pred, vectors in parsed(batch):
+                if wrong := breach_of(raw_schema, skip_validation, pair_id, gold, pred):
+                    rows.append({"pair_id": pair_id, "valid": False, "total": 0.0, "error_path": wrong[0], "error": wrong[1], "gold": _text(gold), "pred": None if isinstance(pred, Broken) else _text(pred), **INVALID})
+                    continue
+                match, _ = plan.compare(gold, pred, vectors)
                 rows += [{"pair_id": pair_id, "valid": True, "total": float(match.score), **r} for r in flatten(match)]
                 if len(rows) >= 20_000:
                     yield _batch(rows)
@@ -131,9 +161,35 @@ def node_table(pairs: DataFrame, plan: Comparison, raw_schema: dict, skip_valida
     return kernel_input(pairs).mapInArrow(run, NODES)
 
 
-def kernel_input(pairs: DataFrame) -> DataFrame:
-    more = ["_vectors"] if "_vectors" in pairs.columns else []
-    return with_json(pairs).select(F.col("pair_id").cast("string").alias("pair_id"), "_gold", "_pred", *more)
+class Broken:
+    """Stands for a text that is no JSON."""
+
+
+def breach_of(raw_schema: dict, skip_validation: bool, pair_id: str, gold: Any, pred: Any) -> tuple[str, str] | None:
+    """Where and why pred breaks the schema; a gold that does raises. Texts that are no JSON break every schema."""
+    if isinstance(gold, Broken):
+        raise ValueError(f"gold of pair {pair_id} breaks the schema at /: not JSON")
+    if isinstance(pred, Broken):
+        return "/", "not JSON"
+    if skip_validation:
+        return None
+    if wrong := first_error(raw_schema, gold):
+        raise ValueError(f"gold of pair {pair_id} breaks the schema at {wrong[0]}: {wrong[1]}")
+    return first_error(raw_schema, pred)
+
+
+def kernel_scores(pairs: DataFrame, plan: Comparison, raw_schema: dict, skip_validation: bool = False) -> DataFrame:
+    """pair_id, score as ``node_table`` finds them, without its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, scores = [], []
+            for pair_id, gold, pred, vectors in parsed(batch):
+                ids.append(pair_id)
+                scores.append(0.0 if breach_of(raw_schema, skip_validation, pair_id, gold, pred) else float(plan.compare(gold, pred, vectors)[0].score))
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(scores, pa.float64())], ["pair_id", "score"])
+
+    return kernel_input(pairs).mapInArrow(run, "pair_id string, score double")
 
 
-__all__ = ["COLUMNS", "INVALID", "NODES", "escaped", "flatten", "kernel_input", "node_table", "shown", "spelling", "with_json"]
+__all__ = ["COLUMNS", "INVALID", "NODES", "escaped", "flatten", "kernel_input", "kernel_scores", "node_table", "parsed", "shown", "spelling", "with_json"]

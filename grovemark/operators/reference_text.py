@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..sources.templates import feedback_templates
 from .kernel import Comparison, Match, _records
-from .nodes import with_json
+from .nodes import breach_of, kernel_input, parsed
 
 COLUMNS = ["pair_id", "path", "scope", "target", "used", "relation", "certain"]
 
@@ -33,9 +31,9 @@ def _wrong(match: Match, path: str = "", carrier: Any = None) -> Iterator[tuple[
         yield from _wrong(child, f"{path}/{child.step}", match.gold if match.node_type == "dict" else carrier)
 
 
-def describe_references(plan: Comparison, gold: Any, pred: Any, texts: Mapping[str, str]) -> Iterator[dict]:
+def describe_references(plan: Comparison, gold: Any, pred: Any, texts: Mapping[str, str], vectors: dict | None = None) -> Iterator[dict]:
     """One row for each wrong reference whose gold record has a property to tell it by."""
-    match, _ = plan.compare(gold, pred)
+    match, _ = plan.compare(gold, pred, vectors)
     said = lambda props: ", ".join(texts["feedback.refsem.prop"].format(key=k, value=repr(v)) for k, v in props.items())
     for path, ref, carrier in _wrong(match):
         mine = [(i, _told(plan, ref.scope, r)) for i, r in _records(gold, plan.ids[ref.scope])]
@@ -54,19 +52,23 @@ def describe_references(plan: Comparison, gold: Any, pred: Any, texts: Mapping[s
         }
 
 
-def reference_descriptors(pairs: DataFrame, plan: Comparison, templates: Mapping[str, str] | None = None) -> DataFrame:
-    """pair_id, path, scope, target, used, relation, certain for feedback's ``references``; pairs as for the node table."""
+def reference_descriptors(pairs: DataFrame, plan: Comparison, raw_schema: dict, templates: Mapping[str, str] | None = None, skip_validation: bool = False) -> DataFrame:
+    """pair_id, path, scope, target, used, relation, certain for feedback's ``references``; pairs as for the node table.
+
+    Preds that break the schema have no rows.
+    """
     texts = feedback_templates("full", templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for pair_id, g, p in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "_gold", "_pred")), strict=True):
-                rows += [{"pair_id": pair_id, **r} for r in describe_references(plan, json.loads(g), json.loads(p), texts)]
+            for pair_id, gold, pred, vectors in parsed(batch):
+                if not breach_of(raw_schema, skip_validation, pair_id, gold, pred):
+                    rows += [{"pair_id": pair_id, **r} for r in describe_references(plan, gold, pred, texts, vectors)]
             kinds = [*[pa.string()] * 6, pa.bool_()]
             yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in zip(COLUMNS, kinds, strict=True)], COLUMNS)
 
-    return with_json(pairs).select(F.col("pair_id").cast("string").alias("pair_id"), "_gold", "_pred").mapInArrow(run, "pair_id string, path string, scope string, target string, used string, relation string, certain boolean")
+    return kernel_input(pairs).mapInArrow(run, "pair_id string, path string, scope string, target string, used string, relation string, certain boolean")
 
 
 __all__ = ["describe_references", "reference_descriptors"]

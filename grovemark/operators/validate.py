@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.columns import Unsupported
+from ..plans.text import first_of, text_breaches
 
 _TYPES = {
     "null": lambda v: v is None,
@@ -55,45 +58,54 @@ def first_error(schema: dict, value: Any, path: str = "") -> tuple[str, str] | N
     return None
 
 
-def json_type(variant: Column) -> Column:
-    """The JSON Schema type of a variant: integer and number are told apart by spelling."""
-    kind = F.schema_of_variant(variant)
-    return (
-        F.when(kind.isin("BIGINT", "TINYINT", "SMALLINT", "INT"), "integer")
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "number")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind.startswith("OBJECT"), "object")
-        .otherwise("null")
-    )
-
-
 def json_errors(df: DataFrame, column: str, schema: dict) -> DataFrame:
-    """Adds valid, error_path and error for a JSON text column and a schema of one object level, as expressions alone.
+    """Adds valid, error_path and error for a JSON text column, as expressions alone.
 
-    Text that is no JSON, or null, is invalid at the root. The first breach in the order of required, then of properties, is told.
+    Text that is no JSON, or null, is invalid at the root. The first breach in the order of ``first_error`` is told.
     """
     v = F.try_parse_json(F.col(column))
-
-    def breach(condition: Column, path: str, message: str) -> Column:
-        return F.when(condition, F.struct(F.lit(path).alias("path"), F.lit(message).alias("message")))
-
-    wrong = [breach(v.isNull(), "/", "not JSON")]
-    if "type" in schema:
-        wrong.append(breach(json_type(v) != schema["type"], "/", f"not of type {schema['type']}"))
-    for key in schema.get("required", ()):
-        wrong.append(breach(F.try_variant_get(v, f"$.{key}", "variant").isNull(), "/", f"{key} is required"))
-    for key, inner in schema.get("properties", {}).items():
-        got = F.try_variant_get(v, f"$.{key}", "variant")
-        kinds = inner.get("type", [])
-        kinds = [kinds] if isinstance(kinds, str) else kinds
-        fits = json_type(got).isin([*kinds, *(["integer"] if "number" in kinds else [])])
-        wrong.append(breach(got.isNotNull() & ~fits, f"/{key}", f"not of type {', '.join(kinds)}"))
-        if "enum" in inner:
-            wrong.append(breach(got.isNotNull() & ~F.try_variant_get(v, f"$.{key}", "string").isin([str(x) for x in inner["enum"]]), f"/{key}", "not an allowed value"))
-    first = F.coalesce(*wrong)
-    return df.withColumn("_e", first).withColumn("valid", F.col("_e").isNull()).withColumn("error_path", F.col("_e.path")).withColumn("error", F.col("_e.message")).drop("_e")
+    first = F.when(v.isNull(), F.struct(F.lit("/").alias("path"), F.lit("not JSON").alias("message"))).otherwise(first_of(text_breaches(schema, v)))
+    return df.withColumn("_e", first).withColumns({"valid": F.col("_e").isNull(), "error_path": F.col("_e.path"), "error": F.col("_e.message")}).drop("_e")
+
+
+def checked(pairs: DataFrame, schema: dict) -> DataFrame:
+    """``pairs`` (gold, pred: both JSON text or both typed) with side, error_path and error of the first breach, gold's before pred's; all null for pairs
+    that keep the schema. Expressions where the schema allows it, Arrow batches where it has choices or lists of values."""
+    told = {}
+    for c in ("gold", "pred"):
+        kind = pairs.schema[c].dataType
+        try:
+            if isinstance(kind, T.StringType):
+                v = F.try_parse_json(F.coalesce(c, F.lit("null")))
+                found = text_breaches(schema, v)
+                said = F.when(v.isNull(), F.struct(F.lit("/").alias("path"), F.lit("not JSON").alias("message"))).otherwise(first_of(found))
+            else:
+                found = typed_breaches(schema, F.col(c), kind)
+                said = first_breach(found) if found else F.lit(None).cast("struct<path:string,message:string>")
+        except Unsupported:
+            said = _python_breach(schema)(F.col(c) if isinstance(kind, T.StringType) else json_text(F.col(c), kind))
+        told[c] = said
+    out = pairs.withColumns({"_gold_error": told["gold"], "_pred_error": told["pred"]})
+    side = F.when(F.col("_gold_error").isNotNull(), "gold").when(F.col("_pred_error").isNotNull(), "pred")
+    first = F.coalesce("_gold_error", "_pred_error")
+    return out.withColumns({"side": side, "error_path": first["path"], "error": first["message"]}).drop("_gold_error", "_pred_error")
+
+
+def _python_breach(schema: dict):
+    """struct(path, message) of a JSON text's first breach, null without one."""
+
+    @F.arrow_udf("struct<path:string,message:string>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            try:
+                wrong = first_error(schema, None if text is None else json.loads(text))
+            except ValueError:
+                wrong = ("/", "not JSON")
+            out.append(None if wrong is None else {"path": wrong[0], "message": wrong[1]})
+        return pa.array(out, pa.struct([("path", pa.string()), ("message", pa.string())]))
+
+    return run
 
 
 #: Conditions with the path and the message of what they find.

@@ -167,12 +167,13 @@ def leaf_context_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A comparator that sees its surroundings: a price counts as right where the statuses agree."""
     from ..operators.kernel import context_metric
 
-    @context_metric
+    @context_metric(roots=False)
     def by_status(gold, pred, ctx):
         return 1.0 if ctx.gold_parent["status"] == ctx.pred_parent["status"] else 0.0
 
     schema = {**ORDER_SCHEMA, "properties": {**ORDER_SCHEMA["properties"], "price": {"type": "number", "score": "by_status"}}}
-    return _keyed(Aligner(schema, custom_metrics={"number": {"by_status": by_status}}).score(order_structs(spark, sf_dir)))
+    scored = Aligner(schema, custom_metrics={"number": {"by_status": by_status}}).score(order_structs(spark, sf_dir))
+    return _keyed(scored).withColumn("score", six(F.col("score")))
 
 
 # Objects.
@@ -585,6 +586,6 @@ def list_bag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(p, ["k", "v"], "left").groupBy("k").agg(F.sum(F.least("a", F.coalesce("b", F.lit(0)))).cast("int").alias("common"))
 
 
-from . import catalogue_documents  # noqa: E402, F401  its queries register themselves
+from . import catalogue_documents, catalogue_paths  # noqa: E402, F401  their queries register themselves
 
 __all__ = ["ORACLES", "QUERIES", "bag_score"]

@@ -1,22 +1,24 @@
 """Schemas as single Column expressions over typed columns: no shuffle, no Python, one projection.
 
 What expressions can say: leaves; objects whose gold and pred are structs (a field that one side's struct lacks is an absent key);
-positional lists; lists in any order with exact leaves (multiset intersection over union); ordered lists (a fold over the
-dynamic programme's rows). ``score_column`` raises ``Unsupported`` for the rest, which the pair kernel does.
+positional lists; lists in any order with exact leaves (multiset intersection over union). ``score_column`` raises
+``Unsupported`` for the rest, which Arrow batches or the pair kernel do. ``ordered_score`` is a fold for short lists.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.leaf import COMPARATORS, DEFAULTS, null_aware, threshold
-from ..operators.kernel import ABSENT, Options, pair_keys
+from ..operators.kernel import ABSENT, Context, Options, escaped, pair_keys
 from .schema import Node
 
 
@@ -56,14 +58,61 @@ def custom_column(name: str, fn: Callable, whole: bool = False) -> Callable[[Col
     return lambda a, b: run(a, b)
 
 
-def leaf_column(node: Node, gold: Column, pred: Column, custom: Custom | None = None) -> Column:
+@dataclass(frozen=True)
+class Around:
+    """Where a value stands: the columns of the objects around it and of the documents, with their types, and its path."""
+
+    parents: tuple[Column, Column] | None
+    roots: tuple[Column, Column]
+    types: tuple[T.DataType, ...]  # of the parents, if any, and of the roots
+    path: str = ""
+
+    def below(self, gold: Column, pred: Column, gold_type: T.DataType, pred_type: T.DataType, key: str) -> Around:
+        return Around((gold, pred), self.roots, (gold_type, pred_type, *self.types[-2:]), f"{self.path}/{escaped(key)}")
+
+
+def plain(kind: T.DataType) -> bool:
+    """Types that Arrow hands over as the values that JSON has."""
+    if isinstance(kind, T.StructType):
+        return all(plain(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return plain(kind.elementType)
+    return isinstance(kind, (T.StringType, T.IntegralType, T.DoubleType, T.BooleanType))
+
+
+def context_column(name: str, fn: Callable, around: Around) -> Callable[[Column, Column], Column]:
+    """A comparator that sees its surroundings as a column function in Arrow batches: only the values, the objects around them and,
+    if it wants them, the documents leave the JVM."""
+    if not all(map(plain, around.types)):
+        raise Unsupported("surroundings that JSON spells otherwise than Arrow")
+    with_parents, with_roots, path = around.parents is not None, getattr(fn, "wants_roots", True), around.path
+
+    @F.arrow_udf("double")
+    def run(*columns: pa.Array) -> pa.Array:
+        out = []
+        for g, p, *more in zip(*(c.to_pylist() for c in columns), strict=True):
+            if g is None or p is None:
+                out.append(None)
+                continue
+            parents = more[:2] if with_parents else (None, None)
+            got = fn(g, p, Context(*parents, *(more[-2:] if with_roots else (None, None)), path))
+            if isinstance(got, bool) or not isinstance(got, (int, float)) or not 0 <= got <= 1:
+                raise ValueError(f"comparator {name!r} gave {got!r}, not a number from 0 to 1")
+            out.append(float(got))
+        return pa.array(out, pa.float64())
+
+    return lambda a, b: run(a, b, *(around.parents or ()), *(around.roots if with_roots else ()))
+
+
+def leaf_column(node: Node, gold: Column, pred: Column, custom: Custom | None = None, around: Around | None = None) -> Column:
     kind = node.type
     if kind not in COMPARATORS:
         raise Unsupported(f"no single primitive type in {node.types}")
     name = node.score or DEFAULTS[kind]
     own = (custom or {}).get(kind, {}).get(name) or ((custom or {}).get("number", {}).get(name) if kind == "integer" else None)
     if own is not None:
-        compare = custom_column(name, own, kind == "integer")
+        seeing = getattr(own, "wants_context", False) and around is not None
+        compare = context_column(name, own, around) if seeing else custom_column(name, own, kind == "integer")
         if kind in ("integer", "number"):
             gold, pred = gold.cast("long" if kind == "integer" else "double"), pred.cast("long" if kind == "integer" else "double")
     elif name in COMPARATORS[kind]:
@@ -73,13 +122,17 @@ def leaf_column(node: Node, gold: Column, pred: Column, custom: Custom | None =
     return null_aware(gold, pred, threshold(compare(gold, pred), node.threshold), node.null_score)
 
 
-def bag_score(gold: Column, pred: Column, ignore_excess: bool = False, ignore_missing: bool = False) -> Column:
+def bag_score(gold: Column, pred: Column, ignore_excess: bool = False, ignore_missing: bool = False, floating: bool = False) -> Column:
     """Multisets without nulls: common items over all rows of the best pairing. Both empty: 1; nothing counted: 1.
 
-    Counts are taken in the row, from the distinct common values: lists must fit in a row, as they do in their column.
+    Counts are taken in the row, from the distinct common values: lists must fit in a row, as they do in their column. floating:
+    items may be NaN, which has nothing in common with itself.
     """
+    if floating:  # array functions tell zeros of different signs apart
+        gold, pred = (F.transform(x, lambda v: v + F.lit(0.0)) for x in (gold, pred))
+    shared = F.array_intersect(gold, pred)
     common = F.aggregate(
-        F.array_intersect(gold, pred), F.lit(0), lambda n, v: n + F.least(F.size(F.filter(gold, lambda x: x == v)), F.size(F.filter(pred, lambda x: x == v)))
+        F.filter(shared, lambda v: ~F.isnan(v)) if floating else shared, F.lit(0), lambda n, v: n + F.least(F.size(F.filter(gold, lambda x: x == v)), F.size(F.filter(pred, lambda x: x == v)))
     )
     rows = F.size(gold) if ignore_excess else F.size(pred) if ignore_missing else F.size(gold) + F.size(pred) - common
     return F.coalesce(F.try_divide(common.cast("double"), rows.cast("double")), F.lit(1.0))
@@ -118,19 +171,19 @@ def ordered_score(gold: Column, pred: Column, leaf=None) -> Column:
     return F.coalesce(F.try_divide(last["v"], (last["m"] + last["a"]).cast("double")), F.lit(1.0))
 
 
-def score_column(node: Node, gold: Column, pred: Column, gold_type: T.DataType, pred_type: T.DataType, custom: Custom | None = None) -> Column:
-    """The score of gold against pred as one expression."""
+def score_column(node: Node, gold: Column, pred: Column, gold_type: T.DataType, pred_type: T.DataType, custom: Custom | None = None, around: Around | None = None) -> Column:
+    """The score of gold against pred as one expression. ``around``: what comparators that want a context see, if they may."""
     if node.id_scope or node.ref:
         raise Unsupported("identifiers need all records of a pair")
     if isinstance(gold_type, T.StructType):
         if not isinstance(pred_type, T.StructType) or node.type != "object":
             raise Unsupported("an object needs structs on both sides")
-        return null_aware(gold, pred, _object(node, gold, pred, gold_type, pred_type, custom), node.null_score)
+        return null_aware(gold, pred, _object(node, gold, pred, gold_type, pred_type, custom, around), node.null_score)
     if isinstance(gold_type, T.ArrayType):
         if not isinstance(pred_type, T.ArrayType) or node.type != "array":
             raise Unsupported("a list needs arrays on both sides")
         return null_aware(gold, pred, _list(node, gold, pred, gold_type, pred_type, custom), node.null_score)
-    return leaf_column(node, gold, pred, custom)
+    return leaf_column(node, gold, pred, custom, around)
 
 
 def object_terms(node: Node, gold_type: T.StructType, pred_type: T.StructType, options: Options | None = None) -> list[tuple[Any, Any, float, float, float]]:
@@ -140,7 +193,7 @@ def object_terms(node: Node, gold_type: T.StructType, pred_type: T.StructType, o
     return [(g, p, s, sure, node.properties[g].weight if both(g, p) else 1.0) for g, p, s, sure in rows]
 
 
-def _object(node: Node, gold: Column, pred: Column, gold_type: T.StructType, pred_type: T.StructType, custom: Custom | None) -> Column:
+def _object(node: Node, gold: Column, pred: Column, gold_type: T.StructType, pred_type: T.StructType, custom: Custom | None, around: Around | None = None) -> Column:
     rows = object_terms(node, gold_type, pred_type)
     if not rows:
         return F.lit(1.0)
@@ -149,7 +202,8 @@ def _object(node: Node, gold: Column, pred: Column, gold_type: T.StructType, pre
     values = F.lit(0.0)
     for g, p, _, _, w in rows:
         if g is not ABSENT and p is not ABSENT and g in node.properties and w:  # values without weight are not computed
-            values = values + F.lit(w) * score_column(node.properties[g], gold[g], pred[p], gold_type[g].dataType, pred_type[p].dataType, custom)
+            inside = None if around is None else around.below(gold, pred, gold_type, pred_type, g)
+            values = values + F.lit(w) * score_column(node.properties[g], gold[g], pred[p], gold_type[g].dataType, pred_type[p].dataType, custom, inside)
     values = values / F.lit(weights) if weights else F.lit(0.0)
     whole = node.key_importance + node.value_importance
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(node.key_importance / whole * keys) + F.lit(node.value_importance / whole) * values))
@@ -188,12 +242,6 @@ def _pairs(node: Node, gold: Column, pred: Column, gold_type: T.ArrayType, pred_
     if node.order == "align":
         if not exact:
             raise Unsupported("pairing in any order by likeness")
-        return bag_score(gold, pred, node.ignore_excess, node.ignore_missing)
-    if node.ignore_excess or node.ignore_missing:
-        raise Unsupported("ordered lists with ignored rows")
-    if isinstance(gold_type.elementType, (T.ArrayType, T.StructType)):
-        raise Unsupported("ordered lists of lists or objects")
-    kernel = {"levenshtein", "jaro", "jaro_winkler", "damerau_levenshtein", "osa", "indel", "lcsseq"} - {"levenshtein"}
-    if (node.items.score or DEFAULTS.get(node.items.type)) in kernel:
-        raise Unsupported("a Python comparator inside a list")
-    return ordered_score(gold, pred, lambda a, b: leaf_column(node.items, a, b))
+        floating = isinstance(gold_type.elementType, (T.DoubleType, T.FloatType))
+        return bag_score(gold, pred, node.ignore_excess, node.ignore_missing, floating)
+    raise Unsupported("lists in order: a programme over cells, which arrays in rows would copy for each cell")

@@ -7,17 +7,20 @@ from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkTypeError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..operators import attribution, describe, feedback, reference_text, repair
+from ..operators import attribution, batch, describe, feedback, reference_text, repair, validate
 from ..operators.kernel import Comparison, Options, values_at
-from ..operators.nodes import kernel_input, node_table, with_json
+from ..operators.nodes import breach_of, kernel_input, kernel_scores, node_table, parsed, values, with_json
 from ..operators.semantic import CosineMetric
-from ..operators.validate import Breaches, first_error, typed_breaches
-from .columns import Unsupported, score_column
+from ..operators.validate import Breaches, typed_breaches
+from .columns import Around, Unsupported, score_column
 from .schema import compile_schema
+from .text import text_scores
 from .tree import losses, typed_nodes, validity
 
 
@@ -28,8 +31,8 @@ def _kinds(pairs: DataFrame) -> dict[str, T.DataType]:
 class Aligner:
     """Compares the gold and pred columns of tables (pair_id, gold, pred), structs or JSON text, under an annotated schema.
 
-    Where the schema and the columns' types allow it, scores and the node table are expressions; otherwise pairs go through the
-    Arrow kernel. Both validate alike. Persist ``nodes`` to ask several things of one alignment.
+    Where the schema and the columns' types allow it, scores and the node table are expressions; scores of lists are found for whole
+    Arrow batches; otherwise pairs go through the kernel one by one. All validate alike. Persist ``nodes`` to ask several things of one alignment.
     """
 
     def __init__(self, schema: dict, *, custom_metrics: Mapping[str, Mapping[str, Callable]] | None = None, templates: Mapping[str, str] | None = None, description_templates: Mapping[str, str] | None = None, skip_validation: bool = False, **options):
@@ -46,14 +49,43 @@ class Aligner:
         if kinds["gold"].typeName() != "string":
             try:
                 gold, pred = F.col("gold"), F.col("pred")
-                score = score_column(self.node, gold, pred, kinds["gold"], kinds["pred"], self.custom)
+                around = Around(None, (gold, pred), (kinds["gold"], kinds["pred"]))
+                score = score_column(self.node, gold, pred, kinds["gold"], kinds["pred"], self.custom, around)
                 bad_gold, bad_pred = self._errors(pairs)
                 if bad_gold or bad_pred:
                     score = F.when(validity(F.col("pair_id"), bad_gold, bad_pred), score).otherwise(F.lit(0.0))
                 return pairs.select(F.col("pair_id").cast("string").alias("pair_id"), score.alias("score"))
             except Unsupported:
                 pass
-        return self.nodes(pairs).where("parent_id IS NULL").select("pair_id", F.col("total").alias("score"))
+            try:
+                return self._by_batches(pairs, kinds)
+            except Unsupported:
+                pass
+        elif kinds["pred"].typeName() == "string" and not self.skip_validation:
+            try:
+                return self._by_variants(pairs)
+            except Unsupported:
+                pass
+        return kernel_scores(self._with_vectors(pairs), self.plan, self.raw, self.skip_validation)
+
+    def _by_variants(self, pairs: DataFrame) -> DataFrame:
+        """pair_id, score of JSON texts by expressions; only pairs whose objects have unequal keys to be matched by likeness go to the kernel."""
+        pairs = pairs.select("pair_id", "gold", "pred")
+        scored, odd = text_scores(pairs, self.node, self.raw, self.custom)
+        own = lambda df: df.select(F.col("pair_id").cast("string").alias("pair_id"), F.col("_score").alias("score"))
+        if odd is None:
+            return own(scored)
+        return own(scored.where(~odd)).unionByName(kernel_scores(scored.where(odd).select("pair_id", "gold", "pred"), self.plan, self.raw))
+
+    def _by_batches(self, pairs: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
+        """pair_id, score of typed pairs whose lists are paired by likeness or in order: columns in, columns out."""
+        try:
+            types = [to_arrow_type(kinds[c]) for c in ("gold", "pred")]
+        except PySparkTypeError as e:
+            raise Unsupported(str(e)) from e
+        batch.BatchScorer(self.plan).check(self.node, *types)
+        ok = validity(F.col("pair_id"), *self._errors(pairs))
+        return pairs.select(F.col("pair_id").cast("string").alias("pair_id"), ok.alias("_ok"), "gold", "pred").mapInArrow(batch.scores(self.plan), "pair_id string, score double")
 
     def nodes(self, pairs: DataFrame) -> DataFrame:
         """The node table: by expressions where types fix its shape, else by the kernel. Metrics by embedding get their vectors first."""
@@ -72,6 +104,23 @@ class Aligner:
         kinds = _kinds(pairs)
         return typed_breaches(self.raw, F.col("gold"), kinds["gold"]), typed_breaches(self.raw, F.col("pred"), kinds["pred"])
 
+    def quarantine(self, pairs: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, Observation]:
+        """(pairs that keep the schema, those that break it with side, error_path and error, counts n, n_gold and n_pred).
+
+        In place of failing a job at its first bad gold: a row is rejected for its gold before its pred. With ``path`` the pairs are read
+        and checked once and written there as one table with a part for each outcome, which both results read; the counts
+        are there when that is done. Without it both are filters, and the counts come with the first that is run to its end.
+        """
+        seen = Observation()
+        checked = validate.checked(pairs, self.raw).observe(
+            seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == "gold").alias("n_gold"), F.count_if(F.col("side") == "pred").alias("n_pred")
+        )
+        if path is not None:
+            checked.withColumn("rejected", F.col("side").isNotNull()).write.partitionBy("rejected").parquet(path)
+            checked = pairs.sparkSession.read.schema(checked.schema.add("rejected", T.BooleanType())).parquet(path)
+            return checked.where("NOT rejected").select(*pairs.columns), checked.where("rejected").select(*pairs.columns, "side", "error_path", "error"), seen
+        return checked.where("side IS NULL").select(*pairs.columns), checked.where("side IS NOT NULL"), seen
+
     def worst(self, pairs: DataFrame) -> DataFrame:
         """pair_id, score, worst_path, contribution: the leaf of each valid pair that costs most, the first by path among equals to 9 places.
 
@@ -109,12 +158,10 @@ class Aligner:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                known = batch.column("_vectors").to_pylist() if "_vectors" in batch.schema.names else [None] * batch.num_rows
                 rows = []
-                for pair_id, g, p, vectors in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "_gold", "_pred")), known, strict=True):
-                    gold, pred = json.loads(g), json.loads(p)
-                    if skip or not first_error(raw, pred):
-                        rows += [(pair_id, s, json.dumps(i), None if j is None else json.dumps(j), twin) for s, i, j, twin in plan.identities(gold, pred, None if vectors is None else dict(vectors))]
+                for pair_id, gold, pred, vectors in parsed(batch):
+                    if not breach_of(raw, skip, pair_id, gold, pred):
+                        rows += [(pair_id, s, json.dumps(i), None if j is None else json.dumps(j), twin) for s, i, j, twin in plan.identities(gold, pred, vectors)]
                 kinds = [pa.string()] * 4 + [pa.bool_()]
                 yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["pair_id", "scope", "gold_id", "pred_id", "ambiguous"])
 
@@ -134,9 +181,8 @@ class Aligner:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = set()
-                for pair_id, *sides in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "_gold", "_pred")), strict=True):
-                    for side in sides:
-                        data = None if side is None else json.loads(side)
+                for pair_id, *sides in zip(batch.column("pair_id").to_pylist(), values(batch, "_gold"), values(batch, "_pred"), strict=True):
+                    for data in sides:
                         rows |= {(pair_id, model, text) for steps, model in paths for text, _ in values_at(data, steps, ()) if isinstance(text, str)}
                 yield pa.record_batch([pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 3, ["pair_id", "model_id", "text"])
 
@@ -187,10 +233,18 @@ class Aligner:
 
     def references(self, pairs: DataFrame) -> DataFrame:
         """What wrong references should point to, for ``feedback(..., references=...)``."""
-        return reference_text.reference_descriptors(pairs, self.plan, self.templates)
-
-    def describe(self, nodes: DataFrame, **options) -> DataFrame:
-        return describe.description_text(nodes, self.description_templates, **options)
+        return reference_text.reference_descriptors(self._with_vectors(pairs), self.plan, self.raw, self.templates, self.skip_validation)
+
+    def describe(self, nodes: DataFrame, style: str = "default", **options) -> DataFrame:
+        """pair_id, score, text; with style "json" pair_id, result: score and entries as JSON text. ``describe_entries`` has them as rows."""
+        if style not in ("default", "json"):
+            raise ValueError(f"style must be 'default' or 'json', not {style!r}")
+        told = describe.description_json if style == "json" else describe.description_text
+        return told(nodes, self.description_templates, **options)
+
+    def describe_entries(self, nodes: DataFrame, **options) -> DataFrame:
+        """A row for each node that has a text, for sinks of tables."""
+        return describe.description_entries(nodes, self.description_templates, **options)
 
     def metric(self, gold, pred) -> float:
         """The score of one pair of parsed values, on the driver."""

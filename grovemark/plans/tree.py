@@ -2,7 +2,9 @@
 
 Objects and leaves have a fixed place each, so a pair's rows are known before its data: leaves are compared in one projection,
 objects' scores follow from them, and one generator makes the rows. Every column picks its value by the row's number, so that
-columns nobody asks for are never computed. Lists, identifiers and references need the kernel (``Unsupported``).
+columns nobody asks for are never computed. Lists of plain values are aligned for whole Arrow batches, only their two columns and
+the alignment's numbers pass; their rows come from the same generator. Lists of lists or objects, identifiers and references
+need the kernel (``Unsupported``).
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from ..functions.rows import exploded
-from ..operators.kernel import ABSENT, Options, escaped
+from ..operators import batch
+from ..operators.kernel import ABSENT, Comparison, Options, escaped
 from ..operators.nodes import COLUMNS, INVALID, NODES
 from ..operators.validate import Breaches, breached, first_breach, first_path, json_text
 from .columns import Custom, Unsupported, leaf_column, object_terms
@@ -25,18 +30,32 @@ from .schema import Node
 _TYPES = dict(c.split() for c in NODES.split(", "))
 
 
+#: Numbers of nodes that the rows of a list take, and rows of fixed places that a schema may have.
+LIST_ROWS, PLACES = 1 << 20, 1 << 16
+
+
 @dataclass
 class Row:
     """One row of the node table: plain values where they are the same for all pairs, columns where not."""
 
     values: dict[str, Any]
     there: Column | None = None  # whether a pair has it; None: every valid pair
+    items: ListItems | None = None  # the rows below it, if it is a list
+
+
+@dataclass
+class ListItems:
+    """The rows of a list's alignment: the column that has them, and each column's value by (row, its number)."""
+
+    rows: Column
+    values: Callable[[Column, Column], dict[str, Any]]
 
 
 class _Walk:
     def __init__(self, options: Options, custom: Custom | None):
         self.options, self.custom = options, custom
         self.rows: list[Row] = []
+        self.next_id = 0
         self.levels: dict[int, dict[str, Column]] = {}  # scores by how deep their inputs lie: leaves first
 
     def _named(self, level: int, c: Column) -> Column:
@@ -45,8 +64,11 @@ class _Walk:
         return F.col(name)
 
     def _row(self, there: Column | None, **values: Any) -> Row:
-        base = {c: None for c in COLUMNS} | {"node_id": len(self.rows), "confidence": 1.0, "parent_confidence": 1.0, "has_target": False}
+        base = {c: None for c in COLUMNS} | {"node_id": self.next_id, "confidence": 1.0, "parent_confidence": 1.0, "has_target": False}
         self.rows.append(Row(base | values, there))
+        self.next_id += 1
+        if len(self.rows) >= PLACES or self.next_id > 2**31 - 2 * LIST_ROWS:
+            raise Unsupported("more places than numbers of nodes")
         return self.rows[-1]
 
     def walk(self, node: Node, gold: Column | None, pred: Column | None, gold_type: T.DataType | None, pred_type: T.DataType | None, there: Column | None, about: dict[str, Any]) -> tuple[Any, Any, int]:
@@ -58,12 +80,45 @@ class _Walk:
         own = self._row(there, part="value", has_gold=True, has_pred=True, **text, **about)
         if isinstance(gold_type, T.StructType) and isinstance(pred_type, T.StructType) and node.type == "object":
             return self._object(node, gold, pred, gold_type, pred_type, there, own)
+        if isinstance(gold_type, T.ArrayType) and isinstance(pred_type, T.ArrayType) and node.type == "array":
+            return self._list(node, gold, pred, gold_type, pred_type, there, own)
         if isinstance(gold_type, (T.StructType, T.ArrayType)) or isinstance(pred_type, (T.StructType, T.ArrayType)):
-            raise Unsupported("lists, and objects beside other values, have rows that depend on data")
+            raise Unsupported("lists and objects beside other values have rows that depend on data")
         score = self._named(0, leaf_column(node, gold, pred, self.custom))
         own.values |= {"node_type": "item", "kind": F.when(gold.isNull() | pred.isNull(), "null").otherwise("score"), "score": score, "is_leaf": True}
         return score, 1.0, 1
 
+    def _list(self, node: Node, gold: Column, pred: Column, gold_type: T.ArrayType, pred_type: T.ArrayType, there: Column | None, own: Row) -> tuple[Any, Any, int]:
+        inner = gold_type.elementType, pred_type.elementType
+        if self.options.compute_confidence or any(isinstance(t, (T.StructType, T.ArrayType)) for t in inner):
+            raise Unsupported("lists of lists or objects, and how sure pairings are")
+        plan = Comparison(node, self.options, {k: dict(v) for k, v in (self.custom or {}).items()})
+        batch.BatchScorer(plan).check(node, to_arrow_type(gold_type), to_arrow_type(pred_type))
+        found = self._named(0, F.arrow_udf(batch.aligned_lists(plan), batch.ALIGNED)(gold, pred))
+        about, both = own.values, gold.isNotNull() & pred.isNotNull()
+        kind = ("reorder" if node.order == "align" else "fixed") if node.prefix is None else "prefix" if node.items is None else "combined"
+        null = F.when(gold.isNull() & pred.isNull(), F.lit(1.0)).when(~both, F.lit(float(node.null_score)))
+        score = self._named(1, null.otherwise(found["score"]))
+        rows = F.when(both if there is None else there & both, found["rows"])
+        about |= {"node_type": F.when(both, "list").otherwise("item"), "kind": F.when(both, kind).otherwise("null"), "score": score, "is_leaf": ~both | ~F.exists(F.coalesce(rows, F.array().cast("array<struct<step:int,at:int,g:int,p:int,s:double,a:double>>")), lambda r: r["a"] > 0), "n_gold": F.when(both, F.size(gold)), "n_pred": F.when(both, F.size(pred))}
+        path, at = ("" if about["path"] == "/" else about["path"]), ("" if about["at"] == "/" else about["at"])
+        base = {c: None for c in COLUMNS} | {"parent_id": about["node_id"], "depth": about["depth"] + 1, "part": "value", "node_type": "item", "parent_kind": kind, "list_path": path or "/", "list_at": at or "/", "confidence": 1.0, "parent_confidence": 1.0, "is_leaf": True, "has_target": False, "renamed": about["renamed"]}
+        first, weight = self.next_id, about["weight"]
+        self.next_id += LIST_ROWS
+
+        def values(r: Column, k: Column) -> dict[str, Any]:
+            g, p = r["g"], r["p"]
+            mine, theirs = F.get(gold, g), F.get(pred, p)
+            told = F.when(g.isNull() & p.isNull(), "absent").when(g.isNull() | p.isNull(), "unmatched").when(mine.isNull() | theirs.isNull(), "null").otherwise("score")
+            text = lambda i, v, t: F.when(i.isNotNull(), F.coalesce(json_text(v, t), F.lit("null")))
+            return base | {
+                "node_id": F.lit(first) + k, "path": F.concat(F.lit(f"{path}/"), r["step"].cast("string")), "at": F.concat(F.lit(f"{at}/"), r["at"].cast("string")), "kind": told, "score": r["s"], "weight": r["a"] * F.lit(weight),
+                "has_gold": g.isNotNull(), "has_pred": p.isNotNull(), "gold": text(g, mine, inner[0]), "pred": text(p, theirs, inner[1]),
+            }
+
+        own.items = ListItems(rows, values)
+        return score, 1.0, 2
+
     def _object(self, node: Node, gold: Column, pred: Column, gold_type: T.StructType, pred_type: T.StructType, there: Column | None, own: Row) -> tuple[Any, Any, int]:
         about = own.values
         both = gold.isNotNull() & pred.isNotNull()
@@ -84,7 +139,7 @@ class _Walk:
             has = {"has_gold": g is not ABSENT, "has_pred": p is not ABSENT}
             renamed = about["renamed"]
             if renamed is None and g is not ABSENT and p is not ABSENT and g != p:
-                renamed = len(self.rows)
+                renamed = self.next_id
             of = {"parent_id": about["node_id"], "depth": about["depth"] + 1, "path": f"{path}/{name}", "parent_kind": "object", "list_path": path or "/", "at": f"{at}/{place}", "list_at": at or "/", "renamed": renamed} | keys
             quoted = {s: None if k is None else F.substring(json_text(F.array(F.lit(k)), T.ArrayType(T.StringType())), 2, 1 << 30) for s, k in (("gold", keys["gold_key"]), ("pred", keys["pred_key"]))}
             quoted = {s: None if q is None else q.substr(F.lit(1), F.length(q) - 1) for s, q in quoted.items()}
@@ -142,13 +197,22 @@ def typed_nodes(pairs: DataFrame, node: Node, kinds: dict[str, T.DataType], opti
     valid = F.col("_valid")
     strict = bool(bad_gold or bad_pred)
     rows = walk.rows
+    lists = [(k, r.items) for k, r in enumerate(rows) if r.items is not None]
     if all(r.there is None for r in rows):
         numbers = F.lit(list(range(len(rows))))
     else:
         numbers = F.array_compact(F.array(*(F.lit(k) if r.there is None else F.when(r.there, F.lit(k)) for k, r in enumerate(rows))))
-    numbers = F.when(valid, numbers).otherwise(F.array(F.lit(-1))) if strict else numbers
+    if lists:  # row i of a list in place k has the number k + (i + 1) * PLACES
+        of = lambda k, items: F.transform(items.rows, lambda _, i: (i.cast("long") + 1) * PLACES + k)
+        numbers = F.concat(numbers.cast("array<long>"), *(F.coalesce(of(k, items), F.array().cast("array<long>")) for k, items in lists))
+    numbers = F.when(valid, numbers).otherwise(F.array(F.lit(-1)).cast("array<long>" if lists else "array<int>")) if strict else numbers
     df = exploded(df, numbers, "_n")
     n = F.col("_n")
+    below = {}
+    if lists:
+        df = df.withColumns({"_i": F.when(F.col("_n") >= PLACES, F.floor(F.col("_n") / PLACES).cast("int") - 1), "_n": F.when(F.col("_n") < 0, F.col("_n")).otherwise(F.col("_n") % PLACES).cast("int")})
+        i = F.col("_i")
+        below = {k: items.values(F.get(items.rows, i), i) for k, items in lists}
 
     def column(name: str) -> Column:
         if name == "valid":
@@ -168,6 +232,9 @@ def typed_nodes(pairs: DataFrame, node: Node, kinds: dict[str, T.DataType], opti
             for k, v in enumerate(values):
                 v = (v if isinstance(v, Column) else F.lit(v)).cast(kind)
                 got = F.when(n == k, v) if got is None else got.when(n == k, v)
+        for k, about in below.items():
+            v = about[name]
+            got = F.when((n == k) & F.col("_i").isNotNull(), (v if isinstance(v, Column) else F.lit(v)).cast(kind)).otherwise(got)
         return F.when(n >= 0, got).otherwise((odd if isinstance(odd, Column) else F.lit(odd)).cast(kind)) if strict else got
 
     return df.select("pair_id", *(column(c).alias(c) for c in COLUMNS if c != "pair_id"))
@@ -186,6 +253,8 @@ def losses(pairs: DataFrame, node: Node, kinds: dict[str, T.DataType], options:
     """(pairs with their scores' columns, the rows) for what needs no row of its own, such as the leaf that costs most."""
     walk = _Walk(options, custom)
     walk.walk(node, F.col("gold"), F.col("pred"), kinds["gold"], kinds["pred"], None, {"depth": 0, "path": "/", "parent_kind": "root", "list_path": "/", "at": "/", "list_at": "/", "weight": 1.0, "renamed": None})
+    if any(r.items is not None for r in walk.rows):
+        raise Unsupported("rows of lists are no places")
     for level in sorted(walk.levels):
         pairs = pairs.withColumns(walk.levels[level])
     return pairs, walk.rows

@@ -20,7 +20,7 @@ from grovemark.plans.columns import bag_score, ordered_score
 from grovemark.plans.engine import Aligner, debug_tree
 from grovemark.sources.templates import fill, merged
 from grovemark.streaming.scoring import score_stream
-from test_kernel import FIXTURES, GRAPH, graph
+from test_kernel import GRAPH, OWN_PAIRS, graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,7 +29,7 @@ def table(spark, rows):
     return spark.createDataFrame([(str(k), json.dumps(g), json.dumps(p)) for k, (g, p) in enumerate(rows)], "pair_id string, gold string, pred string")
 
 
-@pytest.mark.parametrize(("schema", "gold", "pred"), FIXTURES)
+@pytest.mark.parametrize(("schema", "gold", "pred"), OWN_PAIRS)
 def test_repairs_explain_and_mend(spark, schema, gold, pred):
     aligner = Aligner(schema)
     pairs = table(spark, [(gold, pred), (gold, gold)])
