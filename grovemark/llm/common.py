@@ -110,29 +110,43 @@ def unit_draw(*parts: Column | str) -> Column:
 def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (id, component), component the smallest id.
 
-    Each round gives every node the smallest label among its neighbours, hangs the old root under it and
-    jumps twice along the labels, so that long chains take a logarithmic number of rounds. All steps are
-    aggregations and joins with partial sums before their exchanges: a hub's rows are combined before they meet.
-    Null ends and loops are ignored; an empty table gives an empty table.
+    Each round hangs every node under its smallest neighbour, follows these links to their ends by doubling, and contracts the
+    edges to the ends: what is left are edges between different trees, at most half as many nodes, so that a hub's or a
+    group's edges are read once and not in every round. All steps are joins and aggregations with partial sums before
+    their exchanges. Null ends and loops are ignored; an empty table gives an empty table.
     """
-    both = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = scratch.save(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    parts = max(4, both.count() // PER_TASK)
-    labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")).coalesce(parts))
+
+    def contracted(pairs: DataFrame) -> DataFrame:
+        return scratch.save(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    now, labels = contracted(edges.where("a IS NOT NULL AND b IS NOT NULL")), None
     for _ in range(rounds):
-        seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(seen, labels["id"] == seen["a"]).select("id", "label", F.least("label", "near").alias("near"))
-        roots = step.groupBy("label").agg(F.min("near").alias("under")).where("under < label").select(F.col("label").alias("root"), "under")
-        moved = step.join(roots, step["label"] == roots["root"], "left").select("id", F.col("label").alias("was"), F.least("near", F.coalesce("under", "near")).alias("label"))
-        moved = scratch.save(moved.coalesce(parts))
-        up = moved.select(F.col("id").alias("up"), F.col("label").alias("above"))
-        new = scratch.save(moved.join(up, moved["label"] == up["up"], "left").select("id", "was", F.least("label", F.coalesce("above", "label")).alias("label")).coalesce(parts))
-        changed = new.where("label < was").limit(1).count()
-        scratch.drop(labels, moved)
-        labels = new
-        if not changed:
+        n = now.count()
+        if labels is not None and not n:
             break
+        parts = max(4, n // PER_TASK)
+        ends = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tree = scratch.save(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")).coalesce(parts))
+        while True:
+            above = tree.select(F.col("id").alias("at"), F.col("label").alias("above"))
+            moved = scratch.save(tree.join(above, tree["label"] == above["at"]).select("id", F.col("above").alias("label"), (F.col("above") < F.col("label")).alias("on")).coalesce(parts))
+            scratch.drop(tree)
+            tree = moved
+            if not tree.where("on").limit(1).count():
+                break
+        root = tree.select("id", F.col("label").alias("root"))
+        left = now.join(root, now["a"] == root["id"]).select(F.col("root").alias("a"), "b")
+        new = contracted(left.join(root, left["b"] == root["id"]).select("a", F.col("root").alias("b")))
+        if labels is None:
+            labels = tree
+        else:
+            further = labels.join(root.withColumnRenamed("id", "at"), labels["label"] == F.col("at"), "left")
+            own = scratch.save(further.select("id", F.coalesce("root", "label").alias("label")).coalesce(max(4, parts)))
+            scratch.drop(labels, tree)
+            labels = own
+        scratch.drop(now)
+        now = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    scratch.drop(both)
+    scratch.drop(now)
     return labels.select("id", F.col("label").alias("component"))

@@ -239,3 +239,25 @@ def test_wrappers_aligned_in_groups_hold_all_pages(spark):
     got = pages.wrappers(Scratch(spark), spark.createDataFrame(rows, "host string, text string").repartition(23), fan=3).collect()
     assert {(r["host"], r["n"]) for r in got} == {("h", 60), ("k", 1)}
     assert len(pages.prune(pages.skeleton(parse(wide(2000))), 100).kids) <= 100
+
+
+# connected components
+
+
+def test_components_equal_brute_force(spark):
+    from grovemark.llm.common import Scratch, components
+
+    draw = random.Random(11)
+    chain = [(i, i + 1) for i in range(1000, 1060)]
+    star = [(5000 + i, 4999) for i in range(300)] + [(4999, 5400)]
+    some = [(draw.randint(0, 120), draw.randint(0, 120)) for _ in range(70)]
+    edges = [*chain[::-1], *star, *some, *some[:10], (None, 3), (7, None), (9, 9)]
+    label = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in range(len(label)):
+        for a, b in edges:
+            if a in label and b in label and a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    scratch = Scratch(spark)
+    got = components(scratch, spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["id"]: r["component"] for r in got} == label and len(got) == len(label)
+    assert components(scratch, spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
