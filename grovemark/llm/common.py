@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE = "\\x20\\x09-\\x0D"
 #: Links that a task of ``components`` should handle, so that few links don't cost many small tasks and files.
 PER_TASK = 200_000
+#: Hot keys that ``meet`` broadcasts, with what their rows say: some ten bytes to a hundred each.
+MOST_HOT = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,8 +87,11 @@ def meet(left: DataFrame, right: DataFrame, key: str, n: str = "n", hot: int = 1
     """The inner join of ``left`` with ``right``, which has one row a key and in column n the number of left's rows with it.
 
     Keys with more than ``hot`` of these are sent to every task, since at most one left row in ``hot`` can be such a key; their
-    rows stay where they are. All others meet by an exchange, in which no key has more than ``hot`` rows.
+    rows stay where they are. All others meet by an exchange, in which no key has more than ``hot`` rows. With more than
+    MOST_HOT hot keys, counted first, all meet by an exchange, and adaptive execution splits the hot ones. ``right`` should be stored.
     """
+    if right.where(F.col(n) > hot).limit(MOST_HOT + 1).count() > MOST_HOT:
+        return left.join(right, key)
     few = F.broadcast(right.where(F.col(n) > hot))
     rest = left.join(few.select(key), key, "left_anti").join(right.where(F.col(n) <= hot), key)
     return rest.unionByName(left.join(few, key))

@@ -334,7 +334,7 @@ def between_components(scratch: Scratch, members: DataFrame, labels: DataFrame)
     parts = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("leads").alias("leads"))
     counts = parts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("leads"), F.col("c"))).alias("mains"), F.max(F.when(F.col("leads"), F.col("comp"))).alias("lead"))
     counts = counts.withColumn("others", F.col("n") - F.col("mains")).where("others > 0")
-    known = meet(known, counts, "key").withColumn("main", F.col("comp") == F.col("lead")).withColumn("_m", F.ceil(F.col("mains") / (2 * BLOCK)).cast("int")).withColumn("_o", F.ceil(F.col("others") / BLOCK).cast("int"))
+    known = meet(known, scratch.save(counts), "key").withColumn("main", F.col("comp") == F.col("lead")).withColumn("_m", F.ceil(F.col("mains") / (2 * BLOCK)).cast("int")).withColumn("_o", F.ceil(F.col("others") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("cls"), F.when(F.col("main"), F.col("_m")).otherwise(F.col("_o"))).cast("int")
 
     def placed(part: Column, half: Column) -> Column:
