@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from ..sources.templates import feedback_templates
-from .kernel import Comparison, Match, _records
-from .nodes import breach_of, kernel_input, parsed
+from ..plans.text import part, tag
+from ..sources.templates import feedback_templates, fill
+from .kernel import Comparison, Match, _records, _schema_at, escaped
+from .nodes import breach_of, kernel_input, parsed, spelling
+from .reference_graph import definers
 
+_TOLD = "pair_id string, path string, scope string, target string, used string, relation string, certain boolean"
 COLUMNS = ["pair_id", "path", "scope", "target", "used", "relation", "certain"]
 
 
@@ -68,7 +73,52 @@ def reference_descriptors(pairs: DataFrame, plan: Comparison, raw_schema: dict,
             kinds = [*[pa.string()] * 6, pa.bool_()]
             yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in zip(COLUMNS, kinds, strict=True)], COLUMNS)
 
-    return kernel_input(pairs).mapInArrow(run, "pair_id string, path string, scope string, target string, used string, relation string, certain boolean")
+    return kernel_input(pairs).mapInArrow(run, _TOLD)
 
 
-__all__ = ["describe_references", "reference_descriptors"]
+def descriptors_of_nodes(nodes: DataFrame, pairs: DataFrame, plan: Comparison, templates: Mapping[str, str] | None = None) -> DataFrame:
+    """What ``reference_descriptors`` tells, by joins: the wrong references of a node table with both texts' records, nothing is aligned again.
+
+    pairs are JSON texts. Properties stand in the schema's order, others are left out. A record is told with certainty if no other of its text
+    says the same, counted by a window over the scope's records.
+    """
+    texts = feedback_templates("full", templates)
+    hidden = {p.steps[-1] for p in (*plan.ids.values(), *plan.refs) if p.steps and p.steps[-1] != "*"}
+    spelt = spelling()
+    wrong = nodes.where("valid AND kind = 'ref' AND score < 1").select("pair_id", "path", "parent_id", "gold", "pred")
+    carriers = nodes.where("valid AND node_type = 'dict'").select("pair_id", F.col("node_id").alias("parent_id"), F.col("gold").alias("carrier"))
+    wrong = wrong.join(carriers, ["pair_id", "parent_id"], "left").drop("parent_id")
+    out: DataFrame | None = None
+    for ref in {p.steps: p for p in plan.refs}.values():
+        shape = "^/" + "/".join("[0-9]+" if s == "*" or isinstance(s, int) else re.escape(escaped(s)) for s in ref.steps) + "$"
+        own = wrong.where(F.col("path").rlike(shape))
+        about = _schema_at(plan.schema, plan.ids[ref.scope].record).properties
+
+        def said(record: Column, about=about) -> Column:
+            told = []
+            for key in (k for k in about if k not in hidden):
+                value = part(record, key)
+                plain = tag(value).isin("string", "integer", "number", "boolean")
+                told.append(F.when(plain, fill(texts["feedback.refsem.prop"], {"key": F.lit(key), "value": spelt(F.to_json(value))})))
+            return F.array_join(F.array_compact(F.array(*told, F.lit(None).cast("string"))), ", ")
+
+        mine = definers(pairs, plan, ref.scope, "gold").select("pair_id", F.col("id").alias("gold"), said(F.col("record")).alias("gold_props")).where("gold_props <> ''")
+        mine = mine.withColumn("twins", F.count(F.lit(1)).over(Window.partitionBy("pair_id", "gold_props")))
+        theirs = definers(pairs, plan, ref.scope, "pred").groupBy("pair_id", F.col("id").alias("pred")).agg(F.first("record").alias("record"))
+        theirs = theirs.select("pair_id", "pred", said(F.col("record")).alias("pred_props"))
+        carrier = _schema_at(plan.schema, ref.steps[:-1]) if ref.steps[-1] != "*" else None
+        held = F.try_parse_json("carrier")
+        marks = [F.when(tag(part(held, k)) == "string", spelt(F.to_json(part(held, k)))) for k in (carrier.properties if carrier else ()) if k not in hidden]
+        label = F.coalesce(*marks) if marks else F.lit(None).cast("string")
+        rows = own.withColumn("scope", F.lit(ref.scope)).withColumn("relation_label", label).join(mine, ["pair_id", "gold"]).join(theirs, ["pair_id", "pred"], "left")
+        named = {c: F.col(c) for c in ("scope", "gold_props", "pred_props", "relation_label")}
+        told = rows.select(
+            "pair_id", "path", "scope", F.when(F.col("twins") == 1, fill(texts["feedback.refsem.target"], named)).otherwise(fill(texts["feedback.refsem.target_ambiguous"], named)).alias("target"),
+            F.when(F.col("pred_props").isNull(), F.lit(texts["feedback.refsem.used_dangling"])).when(F.col("pred_props") == "", F.lit("")).otherwise(fill(texts["feedback.refsem.used"], named)).alias("used"),
+            F.when(F.col("relation_label").isNull(), F.lit("")).otherwise(fill(texts["feedback.refsem.relation"], named)).alias("relation"), (F.col("twins") == 1).alias("certain"),
+        )
+        out = told if out is None else out.unionByName(told)
+    return nodes.sparkSession.createDataFrame([], _TOLD) if out is None else out
+
+
+__all__ = ["describe_references", "descriptors_of_nodes", "reference_descriptors"]

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import referential, table_functions
+from ..operators import reference_graph, referential, table_functions
 from ..operators.nodes import node_table
 from . import catalogue as c
 from . import catalogue_documents as d
@@ -195,7 +195,8 @@ REFERENCES = {"feedback.refsem.prop": "{key}={value}", "feedback.refsem.target":
 @query(f"""{CHAIN_SQL} SELECT k, '/links/' || (n - 2) || '/target' AS path, 'person' AS scope, 'person name=''' || meant || '''' AS target, 'person name=''' || used || '''' AS used, true AS certain FROM wrong""")
 def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a redirected reference should have pointed to and what it does, told by the records' names."""
-    rows = Aligner(d.GRAPH, templates=REFERENCES).references(d._texts(d._graphs(spark, sf_dir, True, True)))
+    aligner, pairs = Aligner(d.GRAPH, templates=REFERENCES), d._texts(d._graphs(spark, sf_dir, True, True))
+    rows = aligner.references(pairs, aligner.nodes(pairs))
     return c._keyed(rows.select("pair_id", "path", "scope", "target", "used", "certain"))
 
 
@@ -207,6 +208,29 @@ def tolerant_definers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return referential.first_definers(double, ["nation"], "place").drop("place")
 
 
+CHAINS_SQL = "WITH g AS (SELECT (c_custkey // 10)::BIGINT AS k, count(*) AS n FROM customer GROUP BY ALL)"
+
+
+@query(f"{CHAINS_SQL} SELECT k, side, (n - 1)::BIGINT AS n_edges, CASE WHEN side = 'pred' AND k % 3 = 0 AND n > 1 THEN 1 ELSE 0 END::BIGINT AS n_loops FROM g, (VALUES ('gold'), ('pred')) AS sides(side) WHERE n > 1")
+def ref_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of texts as edges: a redirected link leads back to where it begins."""
+    plan, pairs = Aligner(d.GRAPH).plan, d._texts(d._graphs(spark, sf_dir, False, True))
+    out = None
+    for side in ("gold", "pred"):
+        edges = reference_graph.reference_edges(reference_graph.reference_ends(pairs, plan, "person", side), reference_graph.definers(pairs, plan, "person", side), ["pair_id"])
+        one = edges.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("src") == F.col("dst")).alias("n_loops")).withColumn("side", F.lit(side))
+        out = one if out is None else out.unionByName(one)
+    return c._keyed(out)
+
+
+@query(f"{CHAINS_SQL} SELECT k, n AS n_colors, CASE WHEN k % 3 = 0 AND n > 1 THEN 0 ELSE n END::BIGINT AS n_shared FROM g")
+def wl_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of records that only their places tell apart: all colours differ, and a redirected link changes all of them."""
+    found = reference_graph.graph_colors(d._texts(d._graphs(spark, sf_dir, False, True)), Aligner(d.GRAPH).plan, "person")
+    sides = found.groupBy("pair_id", "color").agg(F.count_if(F.col("side") == "gold").alias("g"), F.count_if(F.col("side") == "pred").alias("p"))
+    return c._keyed(sides.groupBy("pair_id").agg(F.count_if(F.col("g") > 0).alias("n_colors"), F.count_if((F.col("g") > 0) & (F.col("p") > 0)).alias("n_shared")))
+
+
 # Rejected rows, entries as rows, SQL.
 
 

@@ -231,8 +231,11 @@ class Aligner:
     def feedback(self, nodes: DataFrame, ops: DataFrame | None = None, **options) -> DataFrame:
         return feedback.feedback_text(nodes, self.repair(nodes) if ops is None else ops, templates=self.templates, **options)
 
-    def references(self, pairs: DataFrame) -> DataFrame:
-        """What wrong references should point to, for ``feedback(..., references=...)``."""
+    def references(self, pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+        """What wrong references should point to, for ``feedback(..., references=...)``. Given the ``nodes`` of pairs of JSON text it is found by
+        joins; else pairs are aligned again."""
+        if nodes is not None and pairs.schema["gold"].dataType == pairs.schema["pred"].dataType == T.StringType():
+            return reference_text.descriptors_of_nodes(nodes, pairs, self.plan, self.templates)
         return reference_text.reference_descriptors(self._with_vectors(pairs), self.plan, self.raw, self.templates, self.skip_validation)
 
     def describe(self, nodes: DataFrame, style: str = "default", **options) -> DataFrame:

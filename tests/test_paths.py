@@ -275,3 +275,75 @@ def test_alignments_in_sql(spark):
     for bad in ("alignment_nodes(p.gold, p.pred, p.gold)", "alignment_nodes(p.pair_id, p.pred, '{}')"):
         with pytest.raises(Exception, match="alignment_nodes"):
             spark.sql(f"SELECT * FROM some_pairs p, LATERAL {bad} n").collect()
+
+
+# Reference graphs as tables.
+
+
+def test_colours_of_tables_are_those_of_the_kernel(spark):
+    from grovemark.operators.kernel import _edges, _label, _records, _scalars, _schema_at, refine
+    from grovemark.operators.reference_graph import graph_colors
+
+    draw = random.Random(6)
+    record = {"type": "object", "properties": {"id": {"type": "string", "idScope": "person"}, "name": {"type": "string"}, "born": {"type": "integer"}, "boss": {"type": ["string", "null"], "ref": "person"}}}
+    schema = {
+        "type": "object",
+        "properties": {
+            "people": {"type": "array", "order": "align", "items": record},
+            "works": {"type": "array", "items": {"type": "object", "properties": {"id": {"type": "integer", "idScope": "work"}, "kind": {"type": "string"}}}},
+            "links": {"type": "array", "items": {"type": "object", "properties": {"a": {"type": "string", "ref": "person"}, "b": {"type": "string", "ref": "person"}, "by": {"type": "integer", "ref": "work"}, "why": {"type": "string", "enum": ["x", "y"]}}}},
+            "teams": {"type": "array", "items": {"type": "object", "properties": {"members": {"type": "array", "items": {"type": "string", "ref": "person"}}}}},
+        },
+    }
+
+    def document(prefix):
+        ids = [f"{prefix}{k}" for k in range(draw.randint(1, 7))]
+        some = lambda: draw.choice([*ids, "zz"])
+        return {
+            "people": [{"id": i, "name": draw.choice("no"), "born": draw.choice([1, 2]), "boss": draw.choice([None, some()])} for i in ids], "works": [{"id": k, "kind": "k"} for k in (1, 2)],
+            "links": [{"a": some(), "b": some(), "by": draw.choice([1, 2]), "why": draw.choice("xy")} for _ in range(draw.randint(0, 6))], "teams": [{"members": [some() for _ in range(draw.randint(0, 4))]} for _ in range(draw.randint(0, 3))],
+        }
+
+    docs = [(k, document("g"), document("p")) for k in range(25)]
+    docs += [(99, {"people": []}, {}), (98, docs[0][1], docs[0][1])]
+    pairs = spark.createDataFrame([(k, json.dumps(g), json.dumps(p)) for k, g, p in docs], "pair_id long, gold string, pred string")
+    plan = Comparison(compile_schema(schema))
+    mapped = spark.createDataFrame([(str(k), "work", a, b) for k, *_ in docs for a, b in (("1", "2"), ("2", "1"))], "pair_id string, scope string, gold_id string, pred_id string")
+    node = _schema_at(plan.schema, plan.ids["person"].record)
+    for blend, table in ((False, None), (True, None), (False, mapped)):
+        maps = {} if table is None else {"work": {1: 2, 2: 1}}
+        got = {}
+        for r in graph_colors(pairs, plan, "person", table, blend).collect():
+            got.setdefault(int(r["pair_id"]), {})[r["side"], json.loads(r["id"])] = r["color"]
+        for k, g, p in docs:
+            own = [list(_records(x, plan.ids["person"])) for x in (g, p)]
+            edges = [_edges(plan, "person", x, maps, s == 0, {i for i, _ in o}) for s, (x, o) in enumerate(zip((g, p), own, strict=True))]
+            seeds = [[_label(_scalars(node, r)) if blend else "" for _, r in o] for o in own]
+            want = refine([[i for i, _ in o] for o in own], edges, seeds)
+            flat = {(side, i): c for side, found in zip(("gold", "pred"), want, strict=True) for i, c in found.items() if not isinstance(i, tuple)}
+            mine = got.get(k, {})
+            assert mine.keys() == flat.keys()
+            same = lambda d: {(x, y) for x in d for y in d if d[x] == d[y]}  # noqa: E731  colours have other names
+            assert same(mine) == same(flat)
+
+
+def test_reference_texts_by_joins_are_those_of_the_kernel(spark):
+    draw = random.Random(3)
+    record = {"type": "object", "keyScore": "exact", "properties": {"id": {"type": "integer", "idScope": "person"}, "name": {"type": "string", "score": "exact"}, "born": {"type": ["number", "null"]}}}
+    link = {"type": "object", "keyScore": "exact", "properties": {"to": {"type": "integer", "ref": "person"}, "note": {"type": "string"}}}
+    schema = {"type": "object", "keyScore": "exact", "properties": {"people": {"type": "array", "order": "align", "items": record}, "links": {"type": "array", "items": link}, "head": {"type": ["integer", "null"], "ref": "person"}}}
+
+    def pair():
+        n = draw.randint(1, 5)
+        people = [{"id": i, "name": draw.choice(["Ann", "Bo's", 'C"d']), "born": draw.choice([None, 1, 2.5])} for i in range(n)]
+        links = [{"to": draw.randrange(n), **draw.choice([{}, {"note": "n\n"}])} for _ in range(3)]
+        gold = {"people": people, "links": links, "head": draw.choice([None, 0])}
+        pred = {"people": [{**p, "id": p["id"] + 10} for p in people], "links": [{**x, "to": draw.choice([x["to"] + 10, 10, 99])} for x in links], "head": draw.choice([None, 10, 98])}
+        return json.dumps(gold), json.dumps(pred)
+
+    rows = [(k, *pair()) for k in range(40)] + [(50, pair()[0], '{"people": 1}'), (51, pair()[0], "no")]
+    pairs = spark.createDataFrame(rows, "pair_id long, gold string, pred string")
+    aligner = Aligner(schema)
+    nodes = aligner.nodes(pairs)
+    one, two = (sorted(tuple(r[c] for c in ("pair_id", "path", "scope", "target", "used", "relation", "certain")) for r in df.collect()) for df in (aligner.references(pairs, nodes), aligner.references(pairs)))
+    assert one == two and len(one) > 30
