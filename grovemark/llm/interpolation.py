@@ -6,7 +6,8 @@ were not seen together. The weights are learned by expectation-maximisation on h
 documents is deleted from the counts, and the weights that make it likeliest are kept for the counts of all training documents.
 
 Counts are gathered over the whole corpus by ``exchange``: blocks of documents send their distinct n-grams, buckets add
-them up and answer. Every step reads tables in the shared folder, so that a lost executor costs a task.
+them up and answer. Most bigrams and trigrams occur once in a corpus: a first exchange of short keys finds those that surely do, whose
+count is known where they stand, and only the others are sent with all 64 bits of their keys. Every step reads tables in the shared folder, so that a lost executor costs a task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -30,6 +31,8 @@ SIZES, ROUNDS, DELETED = 22, 12, 10
 #: Contexts of two words by size, then those of one word for which two were not seen.
 BUCKETS = 2 * SIZES
 TEXT = 8 << 20
+#: Tasks among which buckets are dealt, at most.
+TASKS = 4096
 HELD, KEPT, DEV = 0, 1, 2
 BLOCKS = "block long, ids array<long>, folds array<int>, edges array<long>, words binary, tokens binary, n long"
 ANSWERS = "kind int, block long, gram int, bucket int, totals binary, dev binary, v long, n long, v_kept long, n_kept long"
@@ -58,16 +61,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made += 1
 
 
-def key_mask(n_tokens: int) -> int:
-    """Which top bits of the keys of bigrams and trigrams are kept: 16 more than number the corpus's tokens, at most 64.
-
-    Of 65,536 such n-grams about one shares its key with another and is counted with it; words have all 64 bits.
-    """
-    kept = min(64, max(1, n_tokens).bit_length() + 16)
-    return ((1 << kept) - 1) << (64 - kept)
+def short_bits(n_tokens: int) -> int:
+    """Bits of the keys that tell n-grams that occur once: six more than number the tokens, so that about one in 64 is sent in full for nothing."""
+    return min(64, max(1, n_tokens).bit_length() + 6)
 
 
-def _grams(row: dict, mask: int, only: int | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _grams(row: dict, only: int | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(keys of each token as unigram, bigram and trigram, fold of each token, edges of the documents), of one fold if asked."""
     tokens = unpacked_keys(row["words"])[unpacked(row["tokens"])]
     edges, folds = np.array(row["edges"]), np.array(row["folds"])
@@ -81,26 +80,77 @@ def _grams(row: dict, mask: int, only: int | None = None) -> tuple[list[np.ndarr
     earlier[edges[:-1]] = START
     two = mixed(before + np.uint64(2))
     keys = [mixed(tokens + np.uint64(1)), mixed(two + tokens), mixed(mixed(mixed(earlier + np.uint64(3)) + two) + tokens)]
-    keys = [keys[0], *(k & np.uint64(mask) for k in keys[1:])]
     if only is not None:
         keys, sizes, each = [k[each == only] for k in keys], sizes[folds == only], each[each == only]
         edges = np.concatenate([[0], np.cumsum(sizes)])
     return keys, each, edges
 
 
-def _ask(bits: int, mask: int):
+def _dealt(bits: int) -> tuple[int, Column]:
+    """(tasks, the task of each gram's bucket): a task takes its buckets one by one."""
+    tasks = min(3 << bits, TASKS)
+    return tasks, F.floor((F.col("bucket").cast("long") * 3 + F.col("gram") - 1) * tasks / (3 << bits)).cast("int")
+
+
+def _ask_short(bits: int, kept: int):
+    """The bigrams and trigrams of blocks by short keys, with 1 or 2 for once or more often."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, folds, _ = _grams(row, mask)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 out = []
-                for gram, own in enumerate(keys, 1):
-                    distinct, at = np.unique(own, return_inverse=True)
-                    kept, dev = (np.bincount(at[folds == f], minlength=len(distinct)) for f in (KEPT, DEV))
+                for gram, own in enumerate(_grams(row)[0][1:], 2):
+                    distinct, counts = np.unique(own & _top(kept), return_counts=True)
                     for bucket, where in cut(distinct, bits):
-                        out.append((gram, bucket, row["block"], packed_keys(distinct[where]), packed(kept[where]), packed(dev[where])))
-                kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["gram", "bucket", "block", "keys", "kept", "dev"])
+                        out.append((gram, bucket, row["block"], packed_keys(distinct[where]), packed(np.minimum(counts[where], 2))))
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], ["gram", "bucket", "block", "keys", "counts"])
+
+    return run
+
+
+def _top(kept: int) -> np.uint64:
+    return np.uint64(((1 << kept) - 1) << (64 - kept))
+
+
+def _answer_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in grouped(batches, "gram", "bucket"):
+        keys = [unpacked_keys(r["keys"]) for r in rows]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        again = np.bincount(at, weights=np.concatenate([unpacked(r["counts"]) for r in rows]), minlength=len(distinct)) > 1
+        ends = np.cumsum([0, *map(len, keys)])
+        out = [(r["block"], r["gram"], r["bucket"], packed(np.packbits(again[at[lo:hi]]))) for r, lo, hi in zip(rows, ends[:-1], ends[1:], strict=True)]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "gram", "bucket", "again"])
+
+
+def _again(distinct: np.ndarray, short: list[dict], kept: int, bits: int) -> np.ndarray:
+    """Which of a block's keys may occur more than once in the corpus, by the answers to its short keys."""
+    own, at = np.unique(distinct & _top(kept), return_inverse=True)
+    sizes = [where.stop - where.start for _, where in cut(own, bits)]
+    told = [np.unpackbits(unpacked(a["again"]).astype(np.uint8))[:n] for a, n in zip(sorted(short, key=lambda a: a["bucket"]), sizes, strict=True)]
+    return np.concatenate(told)[at] > 0 if told else np.zeros(0, bool)
+
+
+def _ask(bits: int, kept: int):
+    """Rows of blocks beside the answers to their short keys: all words, and the longer n-grams that may occur again, with full keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, short in _joined(batches):
+            keys, folds, _ = _grams(row)
+            out = []
+            for gram, own in enumerate(keys, 1):
+                distinct, at = np.unique(own, return_inverse=True)
+                counts = [np.bincount(at[folds == f], minlength=len(distinct)) for f in (KEPT, DEV)]
+                if gram > 1:
+                    sent = _again(distinct, [a for a in short if a["gram"] == gram], kept, bits)
+                    home = int(mixed(np.array([row["block"]], np.uint64))[0] >> np.uint64(64 - bits))
+                    out.append((gram, home, row["block"], 2, None, packed(np.packbits(sent)), packed(np.packbits(sent[counts[1] > 0]))))
+                    distinct, counts = distinct[sent], [c[sent] for c in counts]
+                for bucket, where in cut(distinct, bits):
+                    out.append((gram, bucket, row["block"], 1, packed_keys(distinct[where]), packed(counts[0][where]), packed(counts[1][where])))
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["gram", "bucket", "block", "kind", "keys", "kept", "dev"])
 
     return run
 
@@ -108,14 +158,19 @@ def _ask(bits: int, mask: int):
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in ANSWERS.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
-    for rows in grouped(batches, "gram", "bucket"):
+    for every in grouped(batches, "gram", "bucket"):
+        gram, bucket = every[0]["gram"], every[0]["bucket"]
+        told = [(2, r["block"], gram, bucket, r["kept"], r["dev"], None, None, None, None) for r in every if r["kind"] == 2]  # which keys a block sent
+        rows = [r for r in every if r["kind"] == 1]
+        if not rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*told, strict=True), kinds, strict=True)], names)
+            continue
         keys = [unpacked_keys(r["keys"]) for r in rows]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         devs = [unpacked(r["dev"]) for r in rows]
         kept = np.bincount(at, weights=np.concatenate([unpacked(r["kept"]) for r in rows]), minlength=len(distinct)).astype(np.int64)
         total = kept + np.bincount(at, weights=np.concatenate(devs), minlength=len(distinct)).astype(np.int64)
-        gram, bucket = rows[0]["gram"], rows[0]["bucket"]
-        out: list[tuple] = []
+        out: list[tuple] = told
         if gram == 1:
             out.append((0, None, 1, bucket, None, None, int((total > 0).sum()), int(total.sum()), int((kept > 0).sum()), int(kept.sum())))
         lo = 0
@@ -126,14 +181,29 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
-def _counts(row: dict, answers: list[dict], column: str, only: int | None, mask: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(counts of each token of a block as unigram, bigram and trigram; edges of the documents)."""
-    keys, _, edges = _grams(row, mask, only)
+def _counts(row: dict, answers: list[dict], column: str, only: int | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """(counts of each token of a block as unigram, bigram and trigram; edges of the documents).
+
+    What was not sent occurs once in the corpus, here: it counts as 1 in a training text among all counts, and as 0 in a deleted
+    text among those of the others.
+    """
+    keys, folds, edges = _grams(row, only)
     found = []
     for gram, own in enumerate(keys, 1):
         distinct, at = np.unique(own, return_inverse=True)
-        parts = [unpacked(a[column]) for a in sorted((a for a in answers if a["gram"] == gram), key=lambda a: a["bucket"])]
+        mine = sorted((a for a in answers if a["gram"] == gram), key=lambda a: a["bucket"])
+        parts = [unpacked(a[column]) for a in mine if a["kind"] == 1]
         table = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        if gram > 1:
+            marks = [a[column] for a in mine if a["kind"] == 2]
+            sent = np.unpackbits(unpacked(marks[0]).astype(np.uint8))[: len(distinct)] > 0 if marks else np.zeros(len(distinct), bool)
+            whole = np.zeros(len(distinct), np.int64)
+            if column == "totals":
+                whole[at] = folds != HELD
+            if len(table) != int(sent.sum()):
+                raise RuntimeError("a block's answers do not match its n-grams")
+            whole[sent] = table
+            table = whole
         if len(table) != len(distinct):
             raise RuntimeError("a block's answers do not match its n-grams")
         found.append(table[at])
@@ -178,15 +248,15 @@ def _estimates(counts: list[np.ndarray], edges: np.ndarray, n: int, v: int, n_do
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[dict]]]:
     for rows in grouped(batches, "block"):
-        yield next(r for r in rows if r["kind"] == 0), [r for r in rows if r["kind"] == 1]
+        yield next(r for r in rows if r["kind"] == 0), [r for r in rows if r["kind"] > 0]
 
 
-def _dev_rows(about: tuple[int, ...], mask: int):
+def _dev_rows(about: tuple[int, ...]):
     v, n, n_docs = about
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, answers in _joined(batches):
-            counts, edges = _counts(row, answers, "dev", DEV, mask)
+            counts, edges = _counts(row, answers, "dev", DEV)
             if len(counts[0]):
                 f, bucket = _estimates(counts, edges, n, v, n_docs)
                 yield pa.record_batch([pa.array([bucket.astype(np.uint8).tobytes()]), pa.array([f[:, :3].astype("<f4").tobytes()])], ["bucket", "f"])
@@ -230,10 +300,10 @@ def learn(dev: DataFrame, even: float, rounds: int = ROUNDS) -> np.ndarray:
     return weights
 
 
-def _scored(weights: np.ndarray, v: int, n: int, n_docs: int, mask: int):
+def _scored(weights: np.ndarray, v: int, n: int, n_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, answers in _joined(batches):
-            counts, edges = _counts(row, answers, "totals", None, mask)
+            counts, edges = _counts(row, answers, "totals", None)
             one = counts[0]
             f, bucket = _estimates(counts, edges, n, v, n_docs)
             p = np.log10((f * weights[bucket]).sum(1))
@@ -259,20 +329,28 @@ def interpolated_scores(docs: DataFrame) -> DataFrame:
     blocks = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks, BLOCKS))
     train, kept = F.filter("folds", lambda f: f != HELD), F.filter("folds", lambda f: f == KEPT)
     n_tokens, n_blocks, n_docs, n_kept_docs = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.size(train)), F.lit(0)), F.coalesce(F.sum(F.size(kept)), F.lit(0))).first()
-    bits, mask = bucket_bits(2 * n_tokens), key_mask(n_tokens)
-    asked = blocks.mapInArrow(_ask(bits, mask), "gram int, bucket int, block long, keys binary, kept binary, dev binary")
-    answers = scratch.save(asked.repartitionById(3 << bits, F.col("bucket") * 3 + F.col("gram") - 1).sortWithinPartitions("gram", "bucket").mapInArrow(_answer, ANSWERS))
-    v, n, v_kept, n_kept = (int(x or 0) for x in answers.where("kind = 0").agg(F.sum("v"), F.sum("n"), F.sum("v_kept"), F.sum("n_kept")).first())
+    bits, kept_bits = bucket_bits(2 * n_tokens), short_bits(n_tokens)
+    tasks, dealt = _dealt(bits)
+    parts = max(1, n_blocks)
 
-    def met(own: DataFrame, column: str) -> DataFrame:
+    def beside(own: DataFrame, told: DataFrame) -> DataFrame:
         """Each block beside its answers."""
-        told = answers.where("kind = 1").select("kind", "block", "gram", "bucket", column)
         own = own.select(F.lit(0).alias("kind"), "block", "ids", "folds", "edges", "words", "tokens")
-        return own.unionByName(told, allowMissingColumns=True).repartition(max(1, n_blocks), "block").sortWithinPartitions("block")
+        return own.unionByName(told, allowMissingColumns=True).repartition(parts, "block").sortWithinPartitions("block")
+
+    asked = blocks.mapInArrow(_ask_short(bits, kept_bits), "gram int, bucket int, block long, keys binary, counts binary")
+    short = scratch.save(asked.repartitionById(tasks, dealt).sortWithinPartitions("gram", "bucket").mapInArrow(_answer_short, "block long, gram int, bucket int, again binary"))
+    asked = beside(blocks, short.withColumn("kind", F.lit(1))).mapInArrow(_ask(bits, kept_bits), "gram int, bucket int, block long, kind int, keys binary, kept binary, dev binary")
+    answers = scratch.save(asked.repartitionById(tasks, dealt).sortWithinPartitions("gram", "bucket").mapInArrow(_answer, ANSWERS))
+    scratch.drop(short)
+    v, n, v_kept, n_kept = (int(x or 0) for x in answers.where("kind = 0").agg(F.sum("v"), F.sum("n"), F.sum("v_kept"), F.sum("n_kept")).first())
+
+    def met(own: DataFrame, column: str) -> DataFrame:
+        return beside(own, answers.where("kind > 0").select("kind", "block", "gram", "bucket", column))
 
     weights = np.tile([0.0, 0.0, 0.0, 1.0], (BUCKETS, 1))
     if n:
-        dev = scratch.save(met(blocks.mapInArrow(_deleted, BLOCKS), "dev").mapInArrow(_dev_rows((v_kept, n_kept, n_kept_docs), mask), "bucket binary, f binary"))
+        dev = scratch.save(met(blocks.mapInArrow(_deleted, BLOCKS), "dev").mapInArrow(_dev_rows((v_kept, n_kept, n_kept_docs)), "bucket binary, f binary"))
         weights = learn(dev, 1 / (v_kept + 1))
         scratch.drop(dev)
-    return met(blocks, "totals").mapInArrow(_scored(weights, v, n, n_docs, mask), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return met(blocks, "totals").mapInArrow(_scored(weights, v, n, n_docs), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
