@@ -208,7 +208,7 @@ class BatchScorer:
         if name not in table:
             raise ValueError(f"unknown comparator {name!r} for {kind}")
         fn = table[name]
-        if getattr(fn, "wants_context", False) or hasattr(fn, "by_vectors"):
+        if getattr(fn, "wants_context", False) or hasattr(fn, "by_likeness"):
             raise Unsupported("a comparator that sees more than two values")
         if kind == "string" or name not in ("exact", "invdiff", "relative"):
             out = self._distinct(fn, name, gold, pred)

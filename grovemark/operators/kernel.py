@@ -206,22 +206,22 @@ class Comparison:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_keys": {}}  # nodes have other ids in other processes
 
-    def compare(self, gold: Any, pred: Any, vectors: dict | None = None) -> tuple[Match, dict[str, dict]]:
-        """(the alignment, for each scope the identifiers' counterparts). vectors: of the texts that metrics by embedding compare."""
-        run = _Run(self, gold, pred, vectors)
+    def compare(self, gold: Any, pred: Any, known: dict | None = None) -> tuple[Match, dict[str, dict]]:
+        """(the alignment, for each scope the identifiers' counterparts). known: the likenesses of texts that metrics by embedding compare."""
+        run = _Run(self, gold, pred, known)
         run.resolve()
         return run.node(self.schema, gold, pred, "", None, None), run.mappings
 
-    def identities(self, gold: Any, pred: Any, vectors: dict | None = None) -> list[tuple[str, Any, Any, bool]]:
+    def identities(self, gold: Any, pred: Any, known: dict | None = None) -> list[tuple[str, Any, Any, bool]]:
         """(scope, gold identifier, its counterpart or None, whether another record has the same likenesses throughout)."""
-        run = _Run(self, gold, pred, vectors)
+        run = _Run(self, gold, pred, known)
         run.resolve()
         return [(scope, i, j, i in run.twins.get(scope, ())) for scope, found in run.mappings.items() for i, j in found.items()]
 
 
 class _Run:
-    def __init__(self, plan: Comparison, gold: Any, pred: Any, vectors: dict | None = None):
-        self.plan, self.gold, self.pred, self.opt, self.vectors = plan, gold, pred, plan.options, vectors
+    def __init__(self, plan: Comparison, gold: Any, pred: Any, known: dict | None = None):
+        self.plan, self.gold, self.pred, self.opt, self.known = plan, gold, pred, plan.options, known
         self.twins: dict[str, set] = {}
         self.mappings: dict[str, dict] = {}
         self.pred_ids: dict[str, set] = {}
@@ -253,8 +253,8 @@ class _Run:
         if name not in table:
             raise ValueError(f"unknown comparator {name!r} for {kind}")
         fn = table[name]
-        if self.vectors is not None and hasattr(fn, "by_vectors"):
-            score = fn.by_vectors(self.vectors, gold, pred)
+        if self.known is not None and hasattr(fn, "by_likeness"):
+            score = fn.by_likeness(self.known, gold, pred)
         elif getattr(fn, "wants_context", False):
             score = fn(gold, pred, Context(gold_parent, pred_parent, self.gold, self.pred, path))
         else:

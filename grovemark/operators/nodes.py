@@ -100,8 +100,8 @@ def with_json(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFram
 
 
 def kernel_input(pairs: DataFrame) -> DataFrame:
-    """(pair_id, _gold, _pred, and _vectors if there): structs, lists and numbers go to Python as they are, others as JSON text."""
-    more = ["_vectors"] if "_vectors" in pairs.columns else []
+    """(pair_id, _gold, _pred, and _likeness if there): structs, lists and numbers go to Python as they are, others as JSON text."""
+    more = ["_likeness"] if "_likeness" in pairs.columns else []
     spelt = with_json(pairs)
     for c in ("gold", "pred"):
         kind = pairs.schema[c].dataType
@@ -126,10 +126,10 @@ def _read(text: str) -> Any:
 
 
 def parsed(batch: pa.RecordBatch) -> Iterator[tuple[str, Any, Any, dict | None]]:
-    """(pair_id, gold, pred, vectors) of a batch of ``kernel_input``."""
-    known = batch.column("_vectors").to_pylist() if "_vectors" in batch.schema.names else [None] * batch.num_rows
-    for pair_id, gold, pred, vectors in zip(batch.column("pair_id").to_pylist(), values(batch, "_gold"), values(batch, "_pred"), known, strict=True):
-        yield pair_id, gold, pred, None if vectors is None else dict(vectors)
+    """(pair_id, gold, pred, likenesses) of a batch of ``kernel_input``."""
+    known = batch.column("_likeness").to_pylist() if "_likeness" in batch.schema.names else [None] * batch.num_rows
+    for pair_id, gold, pred, own in zip(batch.column("pair_id").to_pylist(), values(batch, "_gold"), values(batch, "_pred"), known, strict=True):
+        yield pair_id, gold, pred, None if own is None else dict(own)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -140,18 +140,18 @@ def node_table(pairs: DataFrame, plan: Comparison, raw_schema: dict, skip_valida
     """NODES of every row of (pair_id, gold, pred), both JSON text or structs; pair_id becomes text.
 
     An invalid pred gives one row: valid false, score 0, and where and why it breaks the schema. An invalid gold raises. Pairs are
-    compared where they lie, in Arrow batches and without an exchange. A column _vectors (map of text to vector), if there,
-    serves the metrics that compare embeddings. No rows, no rows.
+    compared where they lie, in Arrow batches and without an exchange. A column _likeness (map of a pair of texts' key to their
+    likeness), if there, serves the metrics that compare embeddings. No rows, no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
-            for pair_id, gold, pred, vectors in parsed(batch):
+            for pair_id, gold, pred, known in parsed(batch):
                 if wrong := breach_of(raw_schema, skip_validation, pair_id, gold, pred):
                     rows.append({"pair_id": pair_id, "valid": False, "total": 0.0, "error_path": wrong[0], "error": wrong[1], "gold": _text(gold), "pred": None if isinstance(pred, Broken) else _text(pred), **INVALID})
                     continue
-                match, _ = plan.compare(gold, pred, vectors)
+                match, _ = plan.compare(gold, pred, known)
                 rows += [{"pair_id": pair_id, "valid": True, "total": float(match.score), **r} for r in flatten(match)]
                 if len(rows) >= 20_000:
                     yield _batch(rows)
@@ -184,9 +184,9 @@ def kernel_scores(pairs: DataFrame, plan: Comparison, raw_schema: dict, skip_val
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, scores = [], []
-            for pair_id, gold, pred, vectors in parsed(batch):
+            for pair_id, gold, pred, known in parsed(batch):
                 ids.append(pair_id)
-                scores.append(0.0 if breach_of(raw_schema, skip_validation, pair_id, gold, pred) else float(plan.compare(gold, pred, vectors)[0].score))
+                scores.append(0.0 if breach_of(raw_schema, skip_validation, pair_id, gold, pred) else float(plan.compare(gold, pred, known)[0].score))
             yield pa.record_batch([pa.array(ids, pa.string()), pa.array(scores, pa.float64())], ["pair_id", "score"])
 
     return kernel_input(pairs).mapInArrow(run, "pair_id string, score double")

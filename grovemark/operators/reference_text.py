@@ -36,9 +36,9 @@ def _wrong(match: Match, path: str = "", carrier: Any = None) -> Iterator[tuple[
         yield from _wrong(child, f"{path}/{child.step}", match.gold if match.node_type == "dict" else carrier)
 
 
-def describe_references(plan: Comparison, gold: Any, pred: Any, texts: Mapping[str, str], vectors: dict | None = None) -> Iterator[dict]:
+def describe_references(plan: Comparison, gold: Any, pred: Any, texts: Mapping[str, str], known: dict | None = None) -> Iterator[dict]:
     """One row for each wrong reference whose gold record has a property to tell it by."""
-    match, _ = plan.compare(gold, pred, vectors)
+    match, _ = plan.compare(gold, pred, known)
     said = lambda props: ", ".join(texts["feedback.refsem.prop"].format(key=k, value=repr(v)) for k, v in props.items())
     for path, ref, carrier in _wrong(match):
         mine = [(i, _told(plan, ref.scope, r)) for i, r in _records(gold, plan.ids[ref.scope])]
@@ -67,9 +67,9 @@ def reference_descriptors(pairs: DataFrame, plan: Comparison, raw_schema: dict,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for pair_id, gold, pred, vectors in parsed(batch):
+            for pair_id, gold, pred, known in parsed(batch):
                 if not breach_of(raw_schema, skip_validation, pair_id, gold, pred):
-                    rows += [{"pair_id": pair_id, **r} for r in describe_references(plan, gold, pred, texts, vectors)]
+                    rows += [{"pair_id": pair_id, **r} for r in describe_references(plan, gold, pred, texts, known)]
             kinds = [*[pa.string()] * 6, pa.bool_()]
             yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in zip(COLUMNS, kinds, strict=True)], COLUMNS)
 

@@ -12,7 +12,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.leaf import cosine
@@ -104,10 +104,14 @@ class HttpEmbedder(Embedder):
         return out
 
 
+def likeness_key(kind: Column, a: Column, b: Column) -> Column:
+    return F.md5(F.concat_ws("\x1f", kind, a, b).cast("binary"))
+
+
 class CosineMetric:
     """A comparator of strings by their embeddings, for schemas: custom_metrics={"string": {"by_meaning": CosineMetric(store)}}.
 
-    Tables are scored with vectors joined from the store; called on two texts, it asks the embedder.
+    Tables are scored with likenesses of distinct pairs of texts, joined; called on two texts, it asks the embedder.
     """
 
     def __init__(self, store: EmbeddingStore, mapping: str = "clip"):
@@ -123,9 +127,14 @@ class CosineMetric:
         cos = float(np.dot(a, b)) / size if size > 0 else 0.0
         return max(0.0, min(1.0, cos if self.mapping == "clip" else (cos + 1) / 2))
 
-    def by_vectors(self, vectors: dict, gold: str, pred: str) -> float:
-        """By the vectors of a pair, named "model_id:text"."""
-        return self.of(*(np.asarray(vectors[f"{self.model_id}:{t}"], dtype=float) for t in (gold, pred)))
+    @property
+    def kind(self) -> str:
+        """What two texts' likeness depends on beside them."""
+        return f"{self.model_id}\x1f{self.mapping}"
+
+    def by_likeness(self, known: dict, gold: str, pred: str) -> float:
+        """By the likenesses of a pair of documents, named by ``likeness_key``."""
+        return known[hashlib.md5(f"{self.kind}\x1f{gold}\x1f{pred}".encode()).hexdigest()]
 
     def __call__(self, gold: str, pred: str) -> float:
         return self.of(*(np.asarray(v, dtype=float) for v in self.embedder.embed_many([gold, pred])))

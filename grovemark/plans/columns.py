@@ -34,7 +34,7 @@ def custom_column(name: str, fn: Callable, whole: bool = False) -> Callable[[Col
 
     Only the two columns go to Python, not the whole documents. Its result must be a number from 0 to 1.
     """
-    if getattr(fn, "wants_context", False) or hasattr(fn, "by_vectors"):
+    if getattr(fn, "wants_context", False) or hasattr(fn, "by_likeness"):
         raise Unsupported("a comparator that sees more than two values")
 
     @F.pandas_udf("double")

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import leaf
 from ..operators import attribution, batch, describe, feedback, reference_text, repair, validate
 from ..operators.kernel import Comparison, Options, values_at
 from ..operators.nodes import breach_of, kernel_input, kernel_scores, node_table, parsed, values, with_json
-from ..operators.semantic import CosineMetric
+from ..operators.semantic import CosineMetric, likeness_key
 from ..operators.validate import Breaches, typed_breaches
+from ..sources.stored import stored
 from .columns import Around, Unsupported, score_column
 from .schema import compile_schema
 from .text import text_scores
@@ -66,7 +68,7 @@ class Aligner:
                 return self._by_variants(pairs)
             except Unsupported:
                 pass
-        return kernel_scores(self._with_vectors(pairs), self.plan, self.raw, self.skip_validation)
+        return kernel_scores(self._with_likenesses(pairs), self.plan, self.raw, self.skip_validation)
 
     def _by_variants(self, pairs: DataFrame) -> DataFrame:
         """pair_id, score of JSON texts by expressions; only pairs whose objects have unequal keys to be matched by likeness go to the kernel."""
@@ -88,14 +90,14 @@ class Aligner:
         return pairs.select(F.col("pair_id").cast("string").alias("pair_id"), ok.alias("_ok"), "gold", "pred").mapInArrow(batch.scores(self.plan), "pair_id string, score double")
 
     def nodes(self, pairs: DataFrame) -> DataFrame:
-        """The node table: by expressions where types fix its shape, else by the kernel. Metrics by embedding get their vectors first."""
+        """The node table: by expressions where types fix its shape, else by the kernel. Metrics by embedding get their likenesses first."""
         kinds = _kinds(pairs)
         if kinds["gold"].typeName() != "string":
             try:
                 return typed_nodes(pairs, self.node, kinds, self.options, self.custom, self._errors)
             except Unsupported:
                 pass
-        return node_table(self._with_vectors(pairs), self.plan, self.raw, self.skip_validation)
+        return node_table(self._with_likenesses(pairs), self.plan, self.raw, self.skip_validation)
 
     def _errors(self, pairs: DataFrame) -> tuple[Breaches, Breaches]:
         """How typed gold and pred can break the schema; nothing where validation is skipped."""
@@ -159,13 +161,13 @@ class Aligner:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for pair_id, gold, pred, vectors in parsed(batch):
+                for pair_id, gold, pred, known in parsed(batch):
                     if not breach_of(raw, skip, pair_id, gold, pred):
-                        rows += [(pair_id, s, json.dumps(i), None if j is None else json.dumps(j), twin) for s, i, j, twin in plan.identities(gold, pred, vectors)]
+                        rows += [(pair_id, s, json.dumps(i), None if j is None else json.dumps(j), twin) for s, i, j, twin in plan.identities(gold, pred, known)]
                 kinds = [pa.string()] * 4 + [pa.bool_()]
                 yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["pair_id", "scope", "gold_id", "pred_id", "ambiguous"])
 
-        return kernel_input(self._with_vectors(pairs)).mapInArrow(run, "pair_id string, scope string, gold_id string, pred_id string, ambiguous boolean")
+        return kernel_input(self._with_likenesses(pairs)).mapInArrow(run, "pair_id string, scope string, gold_id string, pred_id string, ambiguous boolean")
 
     # Metrics by embedding.
 
@@ -199,20 +201,51 @@ class Aligner:
             stores[model].warm((texts.where(F.col("model_id") == model), "text"))
         return report
 
-    def _with_vectors(self, pairs: DataFrame) -> DataFrame:
-        """Pairs with _vectors, a map of "model_id:text" to vector of what a pair needs, where the schema compares by embedding.
+    def semantic_pairs(self, pairs: DataFrame) -> DataFrame:
+        """pair_id, kind, a, b, distinct: the texts of gold and pred that metrics by embedding may compare with one another, by the schema's places."""
+        paths = [(steps, m.kind) for steps, m in self.semantic_paths()]
 
-        The join is by text: a text that many pairs have is looked up once for each, and adaptive execution splits it when hot.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out(rows: set) -> pa.RecordBatch:
+                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                return pa.record_batch([pa.array(list(c), pa.string()) for c in columns], ["pair_id", "kind", "a", "b"])
+
+            for one in batches:
+                rows: set[tuple] = set()
+                for pair_id, gold, pred in zip(one.column("pair_id").to_pylist(), values(one, "_gold"), values(one, "_pred"), strict=True):
+                    for steps, kind in paths:
+                        mine, theirs = ({t for t, _ in values_at(data, steps, ()) if isinstance(t, str)} for data in (gold, pred))
+                        for a in mine:
+                            rows |= {(pair_id, kind, a, b) for b in theirs}
+                            if len(rows) >= 50_000:
+                                yield out(rows)
+                                rows = set()
+                yield out(rows)
+
+        return kernel_input(pairs).mapInArrow(run, "pair_id string, kind string, a string, b string").distinct()
+
+    def _with_likenesses(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with _likeness, a map from pairs of texts to their likeness, where the schema compares by embedding.
+
+        Each distinct pair of texts of all documents meets its vectors and is compared once; what travels to the documents are
+        numbers. A text that many pairs have is looked up for each, and adaptive execution splits it when hot.
         """
         stores = {m.store.embedder.model_id: m.store for _, m in self.semantic_paths()}
         if not stores:
             return pairs
         self.prewarm(pairs)
         held = reduce(DataFrame.unionByName, [s.vectors() for s in stores.values()])
-        own = self.semantic_texts(pairs).join(held, ["model_id", "text"])
-        maps = own.groupBy(F.col("pair_id").alias("_pair")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "model_id", "text"), "vec"))).alias("_vectors"))
+        asked = stored(self.semantic_pairs(pairs))
+        own = F.split("kind", "\x1f")
+        apart = asked.select("kind", "a", "b").distinct().withColumns({"model_id": own[0], "mapping": own[1]})
+        for side in ("a", "b"):
+            apart = apart.join(held.select("model_id", F.col("text").alias(side), F.col("vec").alias(f"_{side}")), ["model_id", side])
+        alike = F.when(F.col("mapping") == "clip", leaf.cosine(F.col("_a"), F.col("_b"))).otherwise(leaf.cosine(F.col("_a"), F.col("_b"), "affine"))
+        alike = apart.select("kind", "a", "b", F.greatest(F.lit(0.0), F.least(F.lit(1.0), alike)).alias("_s"))
+        entry = F.struct(likeness_key(F.col("kind"), F.col("a"), F.col("b")), "_s")
+        maps = asked.join(alike, ["kind", "a", "b"]).groupBy(F.col("pair_id").alias("_pair")).agg(F.map_from_entries(F.collect_list(entry)).alias("_likeness"))
         out = pairs.join(maps, F.col("pair_id").cast("string").eqNullSafe(F.col("_pair")), "left").drop("_pair")
-        return out.withColumn("_vectors", F.coalesce("_vectors", F.create_map().cast("map<string,array<double>>")))
+        return out.withColumn("_likeness", F.coalesce("_likeness", F.create_map().cast("map<string,double>")))
 
     def attribute(self, nodes: DataFrame, **options) -> DataFrame:
         return attribution.attribution(nodes, **options)
@@ -236,7 +269,7 @@ class Aligner:
         joins; else pairs are aligned again."""
         if nodes is not None and pairs.schema["gold"].dataType == pairs.schema["pred"].dataType == T.StringType():
             return reference_text.descriptors_of_nodes(nodes, pairs, self.plan, self.templates)
-        return reference_text.reference_descriptors(self._with_vectors(pairs), self.plan, self.raw, self.templates, self.skip_validation)
+        return reference_text.reference_descriptors(self._with_likenesses(pairs), self.plan, self.raw, self.templates, self.skip_validation)
 
     def describe(self, nodes: DataFrame, style: str = "default", **options) -> DataFrame:
         """pair_id, score, text; with style "json" pair_id, result: score and entries as JSON text. ``describe_entries`` has them as rows."""
