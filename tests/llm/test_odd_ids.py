@@ -6,7 +6,6 @@ import math
 import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,17 +53,6 @@ def test_interpolation_scores_every_row(odd):
     assert len({round(s, 9) for _, s in alike}) == 1  # equal texts score alike, whatever their ids
 
 
-def test_n_grams_that_occur_again_are_counted_with_full_keys(spark, monkeypatch):
-    """Short keys of few bits, which nearly all n-grams share with others: counts stay exact."""
-    rng = np.random.default_rng(2)
-    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 40, 60))) for k in range(60)]
-    docs = spark.createDataFrame([(k, t, "", "", 0, 0, "") for k, t in rows], DOCS).repartition(4)
-    exact = {r.doc_id: r.score for r in interpolation.interpolated_scores(docs).collect()}
-    for bits in (3, 64):
-        monkeypatch.setattr(interpolation, "short_bits", lambda n, bits=bits: bits)
-        assert {r.doc_id: r.score for r in interpolation.interpolated_scores(docs).collect()} == pytest.approx(exact, abs=1e-9)
-
-
 def test_near_duplicates_of_odd_ids(odd):
     got = minhash.near_duplicates(odd, 2).collect()
     assert Counter(r.doc_id for r in got) == Counter(k for k, _ in TEXTS)
