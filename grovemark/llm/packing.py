@@ -41,7 +41,8 @@ class WordTokenizer:
 
     #: Fixed value: the vocabulary's own pattern for pieces of words.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    MOST = 400_000
+    #: Words, and pieces of words, that a worker keeps.
+    MOST = 100_000
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -217,7 +218,7 @@ def _pack(file: str, size: int, with_ids: bool):
         end = np.array([END], dtype="<u4")
         pieces: list[tuple] = []
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2 << 20):  # ids and words of a slice take some ten times its bytes
                 ids, counts = tokens.encode(part.column("text"))
                 at = 0
                 for doc_id, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
