@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import reference_graph, referential, table_functions
+from ..operators import assignment, reference_graph, referential, table_functions
 from ..operators.nodes import node_table
 from . import catalogue as c
 from . import catalogue_documents as d
@@ -231,6 +231,18 @@ def wl_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c._keyed(sides.groupBy("pair_id").agg(F.count_if(F.col("g") > 0).alias("n_colors"), F.count_if((F.col("g") > 0) & (F.col("p") > 0)).alias("n_shared")))
 
 
+@query("SELECT c_nationkey::VARCHAR AS k, c_custkey::VARCHAR AS gold_id, CASE WHEN c_custkey % 19 <> 0 THEN (c_custkey * 7 + 13)::VARCHAR END AS pred_id FROM customer")
+def definer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document a nation, all its customers: what each stands for, by tables alone. Every nineteenth has no counterpart."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("pair_id"), "c_custkey", "c_name")
+    new = F.when(F.col("c_custkey") % 19 != 0, F.struct((F.col("c_custkey") * 7 + 13).alias("id"), F.col("c_name").alias("name")))
+    docs = people.groupBy("pair_id").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("g"), F.collect_list(new).alias("p"))
+    text = lambda x: F.to_json(F.struct(F.col(x).alias("people"), F.array().cast("array<struct<source:long,target:long>>").alias("links")))
+    pairs = docs.select("pair_id", text("g").alias("gold"), text("p").alias("pred"))
+    found = assignment.identity_table(pairs, Aligner(d.GRAPH, disambiguation="none").plan, "person", by="name")
+    return found.select(F.col("pair_id").alias("k"), "gold_id", "pred_id")
+
+
 # Rejected rows, entries as rows, SQL.
 
 

@@ -176,8 +176,8 @@ def first_place(found: Breaches) -> Column:
 class _Scorer:
     """Scores by levels: a level's columns are stored before those that read them, so that nothing is computed twice."""
 
-    def __init__(self, custom: Custom | None):
-        self.custom = custom
+    def __init__(self, custom: Custom | None, masked: set[str] | None = None):
+        self.custom, self.masked = custom, masked  # masked: identifiers, and references to these scopes, count as right
         self.levels: list[dict[str, Column]] = []
         self.known: dict[str, Column] = {}
         self.odd: list[Column] = []  # conditions under which a pair needs the kernel
@@ -219,6 +219,8 @@ class _Scorer:
 
     def score(self, node: Node, g: Column, p: Column, there: Column, level: int, in_object: bool) -> tuple[Column, int]:
         """(score, the level it can be read at) of two places; ``there``: both have a value. g and p can be read at ``level``."""
+        if self.masked is not None and (node.id_scope or node.ref in self.masked):
+            return F.when(there, F.lit(1.0)), level
         if node.id_scope or node.ref:
             raise Unsupported("identifiers need all records of a pair")
         if node.type is None:
@@ -305,6 +307,21 @@ class _Scorer:
         return ordered_score(g, p, lambda a, b: self.leaf(item, a, b, None))
 
 
+def text_likeness(pairs: DataFrame, node: Node, masked: set[str], custom: Custom | None = None) -> DataFrame:
+    """``pairs`` of variants _g and _p, both there, with s, their score under ``node`` with identifiers and references to ``masked`` scopes as right.
+
+    Unsupported where objects' keys are matched by likeness and can differ.
+    """
+    scorer = _Scorer(custom, masked)
+    score, _ = scorer.score(node, F.col("_g"), F.col("_p"), F.lit(True), 0, False)
+    if scorer.odd:
+        raise Unsupported("keys that are matched by likeness")
+    for stored in scorer.levels:
+        if stored:
+            pairs = pairs.withColumns(stored)
+    return pairs.withColumn("s", score)
+
+
 def text_scores(pairs: DataFrame, node: Node, raw: dict, custom: Custom | None) -> tuple[DataFrame, Column | None]:
     """(``pairs`` with a column _score, the condition under which a pair's _score doesn't count because it needs the kernel).
 

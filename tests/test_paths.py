@@ -347,3 +347,53 @@ def test_reference_texts_by_joins_are_those_of_the_kernel(spark):
     nodes = aligner.nodes(pairs)
     one, two = (sorted(tuple(r[c] for c in ("pair_id", "path", "scope", "target", "used", "relation", "certain")) for r in df.collect()) for df in (aligner.references(pairs, nodes), aligner.references(pairs)))
     assert one == two and len(one) > 30
+
+
+# Pairing as tables.
+
+
+def test_best_pairs_have_the_largest_sums(spark):
+    from grovemark.operators.assignment import best_pairs
+
+    draw = random.Random(12)
+    docs = {}
+    for k in range(60):
+        n, m = draw.randint(1, 6), draw.randint(1, 6)
+        docs[f"d{k}"] = [[draw.choice([0, 0, 0, 0.25, 0.5, 1, draw.random()]) for _ in range(m)] for _ in range(n)]
+    chain = [[1.0 if j == i else 0.9 if j == i + 1 else 0 for j in range(41)] for i in range(40)]
+    docs["chain"] = chain
+    cells = [(d, f"{i:03}", f"{j:03}", float(s)) for d, rows in docs.items() for i, row in enumerate(rows) for j, s in enumerate(row)]
+    got = {}
+    for r in best_pairs(spark.createDataFrame(cells, "pair_id string, i string, j string, s double").repartition(5)).collect():
+        assert docs[r.pair_id][int(r.i)][int(r.j)] == r.s > 0
+        got.setdefault(r.pair_id, []).append((r.i, r.j, r.s))
+    for d, rows in docs.items():
+        own = got.get(d, [])
+        assert len({i for i, *_ in own}) == len(own) == len({j for _, j, _ in own})
+        size = max(len(rows), len(rows[0]))
+        square = [[*r, *[0.0] * (size - len(r))] for r in rows] + [[0.0] * size for _ in range(size - len(rows))]
+        assert sum(s for *_, s in own) == pytest.approx(sum(square[i][j] for i, j in enumerate(assign(square))))
+    assert best_pairs(spark.createDataFrame([], "pair_id string, i string, j string, s double")).collect() == []
+
+
+def test_identities_by_tables_are_those_of_the_kernel(spark):
+    from grovemark.operators.assignment import identity_table
+
+    draw = random.Random(14)
+    record = {"type": "object", "keyScore": "exact", "properties": {"id": {"type": "integer", "idScope": "p"}, "name": {"type": "string", "score": "levenshtein"}}}
+    link = {"type": "object", "keyScore": "exact", "properties": {"a": {"type": "integer", "ref": "p"}, "b": {"type": "integer", "ref": "p"}}}
+    schema = {"type": "object", "keyScore": "exact", "properties": {"people": {"type": "array", "order": "align", "items": record}, "links": {"type": "array", "items": link}}}
+    rows = []
+    for k in range(30):
+        n = draw.randint(2, 6)
+        names = ["".join(draw.choices("abcdefgh", k=6)) if k % 2 else "same" for _ in range(n)]  # places in a chain tell twins apart
+        people = [[{"id": i + more, "name": name[:5] + "x" if more and k % 2 else name} for i, name in enumerate(names)] for more in (0, 50)]
+        links = [[{"a": i + more, "b": i + 1 + more} for i in range(n - 1)] for more in (0, 50)]
+        draw.shuffle(people[1])
+        rows.append((k, *(json.dumps({"people": p, "links": x}) for p, x in zip(people, links, strict=True))))
+    pairs = spark.createDataFrame(rows, "pair_id long, gold string, pred string")
+    for options in ({}, {"wl_fold": "blend"}):
+        aligner = Aligner(schema, **options)
+        want = {(r.pair_id, r.gold_id): r.pred_id for r in aligner.identities(pairs).collect()}
+        got = {(r.pair_id, r.gold_id): r.pred_id for r in identity_table(pairs, aligner.plan, "p").collect()}
+        assert got == want and all(int(j) == int(i) + 50 for (_, i), j in got.items())
