@@ -119,5 +119,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE, per
 
 
 def fingerprint_digest(docs: DataFrame) -> DataFrame:
+    """``edited_fingerprints`` with sketches as text and the edited text as its SHA-256: a row for every row, null texts as empty ones, null ids first,
+    rows that repeat an id next to each other, no rows for none."""
     df = edited_fingerprints(docs)
     return df.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), printable(F.col("sketch")).alias("fingerprint"), printable(F.col("edited_sketch")).alias("edited_fingerprint"), F.col("near_edited").cast("double"), F.col("near_next").cast("double"))

@@ -291,4 +291,6 @@ def vocabulary_file() -> str:
 
 
 def packing_digest(docs: DataFrame) -> DataFrame:
+    """``pack`` into sequences of SIZE without the ids themselves: PIECES of every row; null and empty texts have one piece of one token, null ids stay
+    null, rows that repeat are packed each, no rows give no pieces."""
     return pack(docs, vocabulary_file(), with_ids=False)

@@ -431,5 +431,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, and the SHA-256 of the remaining bytes for every row of (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, and the SHA-256 of the remaining bytes for every row of (doc_id, text).
+
+    Nulls, empty texts, repeated ids and empty tables as in ``remove_repeats``: a null text has no bytes, a null id is before all.
+    """
     return _cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), True)

@@ -236,7 +236,11 @@ def export(bundles: DataFrame, folder: str) -> int:
 
 
 def warc_digest(pages: DataFrame) -> DataFrame:
-    """Writes the archives to the shared folder and reads them back."""
+    """Writes the archives to the shared folder and reads them back: a row for each page.
+
+    Null html is an empty payload; null ids are no target but among themselves; rows that repeat an id and payload are responses each;
+    no rows, no archives and no rows.
+    """
     written = Scratch(pages.sparkSession).save(write_bundles(pages))
     return read_bundles(written, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
