@@ -177,6 +177,22 @@ def repair_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c._keyed(rows.select("pair_id", "kind", "path", six(F.col("score_delta")).alias("score_delta")))
 
 
+@query(f"{c.PAIRS_SQL} SELECT k, g_status AS status, round(g_price, 6) AS price, g_prio AS prio, g_cust AS cust FROM pairs")
+def repair_apply_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all repairs make of each prediction: its gold, value by value."""
+    aligner, pairs = Aligner(c.ORDER_SCHEMA, skip_validation=True), c.order_structs(spark, sf_dir)
+    fixed = aligner.apply(pairs, aligner.repair(aligner.nodes(pairs)))
+    whole = F.from_json("repaired", "status string, price double, prio string, cust bigint")
+    return c._keyed(fixed.select("pair_id", whole.alias("x")).select("pair_id", "x.status", six(F.col("x.price")).alias("price"), "x.prio", "x.cust"))
+
+
+@query("SELECT (c_custkey // 10)::BIGINT AS k, c_custkey::VARCHAR AS gold_id, (c_custkey * 7 + 13)::VARCHAR AS pred_id FROM customer")
+def wl_blend_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that only their places in chains tell apart, by likenesses that the graph's say is blended into."""
+    found = Aligner(d.GRAPH, wl_fold="blend").identities(d._texts(d._graphs(spark, sf_dir, False, False)))
+    return c._keyed(found.select("pair_id", "gold_id", "pred_id"))
+
+
 CHAIN_SQL = """WITH p AS (SELECT (c_custkey // 10)::BIGINT AS k, c_custkey AS id, c_name, row_number() OVER (PARTITION BY c_custkey // 10 ORDER BY c_custkey DESC) AS r, count(*) OVER (PARTITION BY c_custkey // 10) AS n FROM customer),
 wrong AS (SELECT last.k, last.n, last.id, last.c_name AS meant, before.c_name AS used FROM p last JOIN p before ON before.k = last.k AND before.r = 2 WHERE last.r = 1 AND last.k % 3 = 0)"""
 
