@@ -293,3 +293,12 @@ def nodes_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 c.ORACLES["leaf_context_metric"] = f"{c.SCORED_SQL} SELECT k, round((2 * s_status + s_prio + s_cust) / 4, 6) AS score FROM scored"  # the price has the default weight
+
+#: The programme of lists in order cell by cell: its rows before and so far, a cell being (value, pairs); ties prefer a pair, then the gold item left out.
+CELLS_SQL = """, cells AS (SELECT k, g, q, 1 AS i, 1 AS j, list_transform(range(len(q) + 1), lambda x: {'v': 0::DOUBLE, 'n': 0}) AS above, [{'v': 0::DOUBLE, 'n': 0}] AS line FROM lists
+  UNION ALL SELECT k, g, q, CASE WHEN j = len(q) THEN i + 1 ELSE i END, CASE WHEN j = len(q) THEN 1 ELSE j + 1 END, CASE WHEN j = len(q) THEN whole ELSE above END, CASE WHEN j = len(q) THEN [{'v': 0::DOUBLE, 'n': 0}] ELSE whole END
+  FROM (SELECT *, list_append(line, CASE WHEN above[j].v + s >= above[j + 1].v AND above[j].v + s >= line[j].v THEN {'v': above[j].v + s, 'n': above[j].n + 1} WHEN above[j + 1].v >= line[j].v THEN above[j + 1] ELSE line[j] END) AS whole
+    FROM (SELECT *, 1 / (1 + abs(g[i] - q[j])) AS s FROM cells WHERE i <= len(g) AND len(q) > 0)))"""
+c.ORACLES["list_ordered_numeric"] = f"""{c.LISTS_SQL}{CELLS_SQL} SELECT k, round(above[len(q) + 1].v / (len(g) + len(q) - above[len(q) + 1].n), 6)::DOUBLE AS score FROM cells WHERE i > len(g) OR len(q) = 0"""
+_SWAPS = d.OSA_SQL.format(head=c.LETTERS_SQL.partition(", lcs AS")[0]).replace("SELECT x AS a, y AS b, round", "SELECT k, x AS a, y AS b, round").replace("FROM osa WHERE i = len(g)", "FROM osa JOIN changed ON changed.a = x AND changed.b = y WHERE i = len(g)")
+c.ORACLES["leaf_osa"] = _SWAPS
