@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 4096, every token of every row in one piece."""
-    return packing.pack(docs, packing.vocabulary_file())
+    return packing.pack(docs, packing.vocabulary_file(), words=100_000, part_bytes=2 << 20)  # its workers serve the other stages too
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
