@@ -97,7 +97,8 @@ def repair_any_order_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (K("k") * 100).cast("double"), (K("k") * 100 + 50).cast("double")
     pred = F.when(K("k") % 3 == 0, F.array(b + 1, a)).when(K("k") % 3 == 1, F.array(a)).otherwise(F.array(b, a + 7000, a))
     rows = _op_rows(Aligner(ANY_ORDER), _lists(spark, sf_dir, F.array(a, b), pred))
-    return rows.withColumn("value", F.col("value").cast("double").cast("string"))
+    # written out: from 10^7 on a double's text has an exponent
+    return rows.withColumn("value", F.col("value").cast("double").cast("decimal(38,1)").cast("string"))
 
 
 PLACES = {"type": "array", "prefixItems": [{"type": "integer"}, {"type": "integer"}], "prefixWeights": [3, 1], "items": {"type": "integer", "score": "exact"}, "prefixImportance": 3, "restImportance": 1}
