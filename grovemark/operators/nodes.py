@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import repeat
+from json.encoder import encode_basestring
 from typing import Any
 
 import pandas as pd
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import spread
 from ..plans.columns import plain
 from .kernel import ABSENT, Comparison, Match, escaped
 from .validate import first_error, json_text
@@ -29,6 +33,8 @@ COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}
 KINDS = [_ARROW[c.split()[1]] for c in NODES.split(", ")]
 LONGEST = 80
+#: Pairs of a batch that are Python values at once, and rows that are gathered before they are sent on.
+HELD, ROWS = 256, 10_000
 #: The only row of a pair whose pred breaks the schema, beside its values and error.
 INVALID = {"node_id": 0, "depth": 0, "path": "/", "part": "value", "node_type": "item", "kind": "invalid", "parent_kind": "root", "score": 0.0, "confidence": 1.0, "parent_confidence": 1.0, "weight": 1.0, "is_leaf": True, "has_gold": True, "has_pred": True}
 
@@ -50,43 +56,62 @@ def spelling(formatter: Callable[[Any], str] | None = None) -> Callable[[Column]
     return lambda c: run(c)
 
 
+_encoded = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 def _text(value: Any) -> str | None:
-    return None if value is ABSENT else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    kind = type(value)
+    if kind is str:
+        return encode_basestring(value)
+    if kind is int:
+        return repr(value)
+    return None if value is ABSENT else _encoded(value)
 
 
-def flatten(root: Match) -> Iterator[dict]:
-    """Rows of a tree, each node before its children, each child's key before its value."""
-    count = 0
-
-    def row(m: Match, parent: int | None, depth: int, path: str, part: str, kind: str, list_path: str, weight: float, leaf: bool, renamed: int | None, key: Match | None, at: str, list_at: str, held: float) -> dict:
-        nonlocal count
-        count += 1
-        return {
-            "node_id": count - 1, "parent_id": parent, "depth": depth, "path": path or "/", "part": part, "node_type": m.node_type, "kind": m.kind, "parent_kind": kind, "list_path": list_path or "/", "at": at or "/", "list_at": list_at or "/",
-            "score": float(m.score), "confidence": float(m.confidence), "parent_confidence": held, "weight": weight, "is_leaf": leaf, "has_gold": m.gold is not ABSENT, "has_pred": m.pred is not ABSENT,
-            "gold": _text(m.gold), "pred": _text(m.pred), "target": None if m.target is None else json.dumps(m.target), "has_target": m.target is not None,
-            "gold_key": None if key is None or key.gold is ABSENT else key.gold, "pred_key": None if key is None or key.pred is ABSENT else key.pred, "renamed": renamed,
-            "n_gold": len(m.gold) if m.node_type == "list" and isinstance(m.gold, list) else None, "n_pred": len(m.pred) if m.node_type == "list" and isinstance(m.pred, list) else None,
-        }
-
-    def walk(m: Match, parent: int | None, depth: int, path: str, kind: str, list_path: str, weight: float, renamed: int | None, key: Match | None, at: str, list_at: str, held: float) -> Iterator[dict]:
+@lru_cache(10_000)
+def _key_text(key: str) -> str:
+    return encode_basestring(key)
+
+
+def node_rows(root: Match, pair_id: str | None = None) -> list[tuple]:
+    """Rows of a tree in the order of COLUMNS, each node before its children, each child's key before its value."""
+    rows: list[tuple] = []
+    total = float(root.score)
+
+    def walk(m: Match, parent: int | None, depth: int, path: str, kind: str, list_path: str, weight: float, renamed: int | None, key: Match | None, at: str, list_at: str, held: float, key_weight: float | None) -> None:
+        gold, pred, sure, me, is_list = m.gold, m.pred, float(m.confidence), len(rows), m.node_type == "list"
         leaf = m.node_type == "item" or not m.children or not any(a > 0 for a in (*m.alphas, *m.key_alphas))
-        own_row = row(m, parent, depth, path, "value", kind, list_path, weight, leaf, renamed, key, at, list_at, held)
-        yield own_row
-        me = own_row["node_id"]
+        gold_key = pred_key = key_score = key_sure = None
+        if key is not None:
+            gold_key, pred_key, key_score, key_sure = None if key.gold is ABSENT else key.gold, None if key.pred is ABSENT else key.pred, float(key.score), float(key.confidence)
+        rows.append((
+            pair_id, True, total, me, parent, depth, path or "/", "value", m.node_type, m.kind, kind, list_path or "/", float(m.score), sure, held,
+            weight, leaf, gold is not ABSENT, pred is not ABSENT, _text(gold), _text(pred), None if m.target is None else json.dumps(m.target), m.target is not None, gold_key, pred_key,
+            renamed, len(gold) if is_list and isinstance(gold, list) else None, len(pred) if is_list and isinstance(pred, list) else None, at or "/", list_at or "/", key_score, key_weight, key_sure, None, None,
+        ))
         for k, child in enumerate(m.children):
-            below = f"{path}/{child.step}"
-            own = renamed
-            if child.key is not None:
-                if own is None and child.key.gold is not ABSENT and child.key.pred is not ABSENT and child.key.gold != child.key.pred:
+            below, place, own, held_key, share = f"{path}/{child.step}", f"{at}/{child.at}", renamed, child.key, None
+            if held_key is not None:
+                g, p = held_key.gold, held_key.pred
+                has_gold, has_pred = g is not ABSENT, p is not ABSENT
+                count, share = len(rows), weight * m.key_alphas[k]
+                if own is None and has_gold and has_pred and g != p:
                     own = count
-                yield row(child.key, me, depth + 1, below, "key", m.kind, path, weight * m.key_alphas[k], True, own, child.key, f"{at}/{child.at}", at, float(m.confidence))
-            for here in walk(child, me, depth + 1, below, m.kind, path, weight * m.alphas[k], own, child.key, f"{at}/{child.at}", at, float(m.confidence)):
-                if child.key is not None and here["parent_id"] == me:
-                    here |= {"key_score": float(child.key.score), "key_weight": weight * m.key_alphas[k], "key_confidence": float(child.key.confidence)}
-                yield here
+                rows.append((
+                    pair_id, True, total, count, me, depth + 1, below, "key", "item", held_key.kind, m.kind, path or "/", float(held_key.score), float(held_key.confidence), sure,
+                    share, True, has_gold, has_pred, _key_text(g) if has_gold else None, _key_text(p) if has_pred else None, None, False, g if has_gold else None, p if has_pred else None,
+                    own, None, None, place, at or "/", None, None, None, None, None,
+                ))
+            walk(child, me, depth + 1, below, m.kind, path, weight * m.alphas[k], own, held_key, place, at, sure, share)
 
-    yield from walk(root, None, 0, "", "root", "", 1.0, None, None, "", "", 1.0)
+    walk(root, None, 0, "", "root", "", 1.0, None, None, "", "", 1.0, None)
+    return rows
+
+
+def flatten(root: Match) -> Iterator[dict]:
+    """``node_rows`` by name, without what is the same for all of a pair."""
+    for row in node_rows(root):
+        yield {c: v for c, v in zip(COLUMNS, row, strict=True) if c not in ("pair_id", "valid", "total", "error_path", "error")}
 
 
 def with_json(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -100,22 +125,26 @@ def with_json(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFram
 
 
 def kernel_input(pairs: DataFrame) -> DataFrame:
-    """(pair_id, _gold, _pred, and _likeness if there): structs, lists and numbers go to Python as they are, others as JSON text."""
+    """(pair_id, _gold, _pred, and _likeness if there): structs, lists and numbers go to Python as they are, others as JSON text.
+
+    Pairs are shared out among all cores, however few splits their files have: Python takes far longer over one than its exchange.
+    """
     more = ["_likeness"] if "_likeness" in pairs.columns else []
     spelt = with_json(pairs)
     for c in ("gold", "pred"):
         kind = pairs.schema[c].dataType
         if not isinstance(kind, T.StringType) and plain(kind):
             spelt = spelt.withColumn(f"_{c}", F.col(c))
-    return spelt.select(F.col("pair_id").cast("string").alias("pair_id"), "_gold", "_pred", *more)
+    return spread(spelt.select(F.col("pair_id").cast("string").alias("pair_id"), "_gold", "_pred", *more), "pair_id", "_gold")
 
 
-def values(batch: pa.RecordBatch, column: str) -> list:
-    """A column of ``kernel_input`` as Python values; JSON text is parsed, null is null."""
+def values(batch: pa.RecordBatch, column: str) -> Iterator[Any]:
+    """A column of ``kernel_input`` as Python values, one at a time; JSON text is parsed, null is null."""
     data = batch.column(column)
-    if pa.types.is_string(data.type) or pa.types.is_large_string(data.type):
-        return [None if x is None else _read(x) for x in data.to_pylist()]
-    return data.to_pylist()
+    text = pa.types.is_string(data.type) or pa.types.is_large_string(data.type)
+    for start in range(0, len(data), HELD):
+        for x in data.slice(start, HELD).to_pylist():
+            yield _read(x) if text and x is not None else x
 
 
 def _read(text: str) -> Any:
@@ -127,33 +156,39 @@ def _read(text: str) -> Any:
 
 def parsed(batch: pa.RecordBatch) -> Iterator[tuple[str, Any, Any, dict | None]]:
     """(pair_id, gold, pred, likenesses) of a batch of ``kernel_input``."""
-    known = batch.column("_likeness").to_pylist() if "_likeness" in batch.schema.names else [None] * batch.num_rows
-    for pair_id, gold, pred, own in zip(batch.column("pair_id").to_pylist(), values(batch, "_gold"), values(batch, "_pred"), known, strict=True):
+    known = values(batch, "_likeness") if "_likeness" in batch.schema.names else repeat(None)
+    for pair_id, gold, pred, own in zip(batch.column("pair_id").to_pylist(), values(batch, "_gold"), values(batch, "_pred"), known):  # noqa: B905  the last may have no end
         yield pair_id, gold, pred, None if own is None else dict(own)
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r.get(c) for r in rows], t) for c, t in zip(COLUMNS, KINDS, strict=True)], COLUMNS)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(COLUMNS)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)], COLUMNS)
+
+
+def invalid_row(pair_id: str | None, wrong: tuple[str, str], gold: str | None, pred: str | None) -> tuple:
+    """The row of a pair whose pred breaks the schema, in the order of COLUMNS."""
+    row = {"pair_id": pair_id, "valid": False, "total": 0.0, "error_path": wrong[0], "error": wrong[1], "gold": gold, "pred": pred, **INVALID}
+    return tuple(row.get(c) for c in COLUMNS)
 
 
 def node_table(pairs: DataFrame, plan: Comparison, raw_schema: dict, skip_validation: bool = False) -> DataFrame:
     """NODES of every row of (pair_id, gold, pred), both JSON text or structs; pair_id becomes text.
 
     An invalid pred gives one row: valid false, score 0, and where and why it breaks the schema. An invalid gold raises. Pairs are
-    compared where they lie, in Arrow batches and without an exchange. A column _likeness (map of a pair of texts' key to their
+    compared in Arrow batches, after an exchange that shares them out. A column _likeness (map of a pair of texts' key to their
     likeness), if there, serves the metrics that compare embeddings. No rows, no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict] = []
+            rows: list[tuple] = []
             for pair_id, gold, pred, known in parsed(batch):
                 if wrong := breach_of(raw_schema, skip_validation, pair_id, gold, pred):
-                    rows.append({"pair_id": pair_id, "valid": False, "total": 0.0, "error_path": wrong[0], "error": wrong[1], "gold": _text(gold), "pred": None if isinstance(pred, Broken) else _text(pred), **INVALID})
-                    continue
-                match, _ = plan.compare(gold, pred, known)
-                rows += [{"pair_id": pair_id, "valid": True, "total": float(match.score), **r} for r in flatten(match)]
-                if len(rows) >= 20_000:
+                    rows.append(invalid_row(pair_id, wrong, _text(gold), None if isinstance(pred, Broken) else _text(pred)))
+                else:
+                    rows += node_rows(plan.compare(gold, pred, known)[0], pair_id)
+                if len(rows) >= ROWS:
                     yield _batch(rows)
                     rows = []
             yield _batch(rows)
@@ -192,4 +227,4 @@ def kernel_scores(pairs: DataFrame, plan: Comparison, raw_schema: dict, skip_val
     return kernel_input(pairs).mapInArrow(run, "pair_id string, score double")
 
 
-__all__ = ["COLUMNS", "INVALID", "NODES", "escaped", "flatten", "kernel_input", "kernel_scores", "node_table", "parsed", "shown", "spelling", "with_json"]
+__all__ = ["COLUMNS", "INVALID", "NODES", "escaped", "flatten", "kernel_input", "kernel_scores", "node_rows", "node_table", "parsed", "shown", "spelling", "with_json"]

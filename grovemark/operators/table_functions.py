@@ -17,10 +17,10 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..plans.schema import compile_schema
 from .kernel import Comparison
-from .nodes import COLUMNS, INVALID, NODES, flatten
+from .nodes import COLUMNS, NODES, invalid_row, node_rows
 from .validate import first_error
 
-_ROWS = [c for c in COLUMNS if c != "pair_id"]
+assert COLUMNS[0] == "pair_id"  # rows leave it out
 
 
 class AlignmentNodes:
@@ -56,13 +56,10 @@ class AlignmentNodes:
         except ValueError:
             wrong = ("/", "not JSON")
         if wrong:
-            row = {"valid": False, "total": 0.0, "error_path": wrong[0], "error": wrong[1], "gold": gold, "pred": pred, **INVALID}
-            yield tuple(row.get(c) for c in _ROWS)
+            yield invalid_row(None, wrong, gold, pred)[1:]
             return
-        match, _ = plan.compare(mine, theirs)
-        for node in flatten(match):
-            row = {"valid": True, "total": float(match.score), **node}
-            yield tuple(row.get(c) for c in _ROWS)
+        for row in node_rows(plan.compare(mine, theirs)[0]):
+            yield row[1:]
 
 
 def register(spark: SparkSession) -> None:

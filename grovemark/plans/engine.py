@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import leaf
 from ..operators import attribution, batch, describe, feedback, reference_text, repair, validate
 from ..operators.kernel import Comparison, Options, values_at
-from ..operators.nodes import breach_of, kernel_input, kernel_scores, node_table, parsed, values, with_json
+from ..operators.nodes import ROWS, breach_of, kernel_input, kernel_scores, node_table, parsed, values, with_json
 from ..operators.semantic import CosineMetric, likeness_key
 from ..operators.validate import Breaches, typed_breaches
 from ..sources.stored import stored
@@ -158,14 +158,20 @@ class Aligner:
         """
         plan, raw, skip = self.plan, self.raw, self.skip_validation
 
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.string()] * 4 + [pa.bool_()]
+            return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["pair_id", "scope", "gold_id", "pred_id", "ambiguous"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
+                rows: list[tuple] = []
                 for pair_id, gold, pred, known in parsed(batch):
                     if not breach_of(raw, skip, pair_id, gold, pred):
                         rows += [(pair_id, s, json.dumps(i), None if j is None else json.dumps(j), twin) for s, i, j, twin in plan.identities(gold, pred, known)]
-                kinds = [pa.string()] * 4 + [pa.bool_()]
-                yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["pair_id", "scope", "gold_id", "pred_id", "ambiguous"])
+                    if len(rows) >= ROWS:
+                        yield out(rows)
+                        rows = []
+                yield out(rows)
 
         return kernel_input(self._with_likenesses(pairs)).mapInArrow(run, "pair_id string, scope string, gold_id string, pred_id string, ambiguous boolean")
 

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import __spark_entry__ as contract
+from grovemark.operators import nodes
+from grovemark.plans import catalogue_documents as documents
+from grovemark.plans.engine import Aligner
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def large_orders(spark, folder, keys) -> str:
@@ -16,3 +24,43 @@ def test_values_of_large_keys_are_written_out(spark, tmp_path):
     keys = [9, 10, 99_999, 100_000, 123_456_789_000, 123_456_789_001]
     rows = contract.queries()["repair_any_order_ops"](spark, large_orders(spark, tmp_path, keys)).collect()
     assert {r.k: r.value for r in rows} == {k: None if k % 3 == 2 else f"{k * 100 + 50}.0" for k in keys}
+
+
+def parts(df) -> int:
+    """How many tasks end the job of ``df``, as adaptive execution leaves them."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+TEXT = {"type": "object", "properties": {"a": {"type": "integer"}}}
+
+
+def test_pairs_of_one_split_are_shared_out_to_the_kernel(spark):
+    pairs = spark.range(2_000).coalesce(1).select(F.col("id").alias("pair_id"), F.concat(F.lit('{"a": '), "id", F.lit("}")).alias("gold"), F.lit('{"a": 7, "b": 1}').alias("pred"))
+    cores = spark.sparkContext.defaultParallelism
+    people = pairs.select("pair_id", F.lit('{"people": [{"id": 1, "name": "x"}], "links": []}').alias("gold")).withColumn("pred", F.col("gold"))
+    for rows in (Aligner(TEXT).nodes(pairs), Aligner(TEXT, skip_validation=True).score(pairs), Aligner(documents.GRAPH).identities(people)):
+        assert parts(rows) >= 4 * cores
+
+
+def test_windows_over_repairs_keep_their_parts(spark):
+    pairs = spark.range(2_000).select(F.col("id").alias("pair_id"), F.struct(F.col("id").alias("a")).alias("gold"), F.struct((F.col("id") + 1).alias("a")).alias("pred"))
+    aligner = Aligner(TEXT)
+    assert parts(aligner.repair(aligner.nodes(pairs))) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_cells_of_orders_keep_their_parts(spark):
+    for name in ("confidence_margin", "confidence_entropy"):
+        assert parts(contract.queries()[name](spark, SMALL)) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_references_are_told_in_one_pass_of_the_nodes(spark):
+    rows = contract.queries()["reference_lines"](spark, SMALL)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_batch_is_parsed_bit_by_bit(monkeypatch):
+    seen = []
+    monkeypatch.setattr(nodes, "_read", lambda text: seen.append(text))
+    batch = pa.record_batch([pa.array([str(k) for k in range(10_000)])], ["_gold"])
+    next(iter(nodes.values(batch, "_gold")))
+    assert 0 < len(seen) <= nodes.HELD
