@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import exploded, spread
 from ..plans.text import part, tag
 from ..sources.templates import feedback_templates, fill
 from .kernel import Comparison, Match, _records, _schema_at, escaped
@@ -82,43 +83,58 @@ def descriptors_of_nodes(nodes: DataFrame, pairs: DataFrame, plan: Comparison, t
     pairs are JSON texts. Properties stand in the schema's order, others are left out. A record is told with certainty if no other of its text
     says the same, counted by a window over the scope's records.
     """
+    refs = list({p.steps: p for p in plan.refs}.values())
+    if not refs:
+        return nodes.sparkSession.createDataFrame([], _TOLD)
     texts = feedback_templates("full", templates)
     hidden = {p.steps[-1] for p in (*plan.ids.values(), *plan.refs) if p.steps and p.steps[-1] != "*"}
     spelt = spelling()
-    wrong = nodes.where("valid AND kind = 'ref' AND score < 1").select("pair_id", "path", "parent_id", "gold", "pred")
-    carriers = nodes.where("valid AND node_type = 'dict'").select("pair_id", F.col("node_id").alias("parent_id"), F.col("gold").alias("carrier"))
-    wrong = wrong.join(carriers, ["pair_id", "parent_id"], "left").drop("parent_id")
-    out: DataFrame | None = None
-    for ref in {p.steps: p for p in plan.refs}.values():
-        shape = "^/" + "/".join("[0-9]+" if s == "*" or isinstance(s, int) else re.escape(escaped(s)) for s in ref.steps) + "$"
-        own = wrong.where(F.col("path").rlike(shape))
-        about = _schema_at(plan.schema, plan.ids[ref.scope].record).properties
-
-        def said(record: Column, about=about) -> Column:
-            told = []
-            for key in (k for k in about if k not in hidden):
-                value = part(record, key)
-                plain = tag(value).isin("string", "integer", "number", "boolean")
-                told.append(F.when(plain, fill(texts["feedback.refsem.prop"], {"key": F.lit(key), "value": spelt(F.to_json(value))})))
-            return F.array_join(F.array_compact(F.array(*told, F.lit(None).cast("string"))), ", ")
-
-        mine = definers(pairs, plan, ref.scope, "gold").select("pair_id", F.col("id").alias("gold"), said(F.col("record")).alias("gold_props")).where("gold_props <> ''")
-        mine = mine.withColumn("twins", F.count(F.lit(1)).over(Window.partitionBy("pair_id", "gold_props")))
-        theirs = definers(pairs, plan, ref.scope, "pred").groupBy("pair_id", F.col("id").alias("pred")).agg(F.first("record").alias("record"))
-        theirs = theirs.select("pair_id", "pred", said(F.col("record")).alias("pred_props"))
+
+    # All references are told in one pass of the node table, which may have to align the pairs.
+    marks: list[list[str]] = []
+    for ref in refs:
         carrier = _schema_at(plan.schema, ref.steps[:-1]) if ref.steps[-1] != "*" else None
-        held = F.try_parse_json("carrier")
-        marks = [F.when(tag(part(held, k)) == "string", spelt(F.to_json(part(held, k)))) for k in (carrier.properties if carrier else ()) if k not in hidden]
-        label = F.coalesce(*marks) if marks else F.lit(None).cast("string")
-        rows = own.withColumn("scope", F.lit(ref.scope)).withColumn("relation_label", label).join(mine, ["pair_id", "gold"]).join(theirs, ["pair_id", "pred"], "left")
-        named = {c: F.col(c) for c in ("scope", "gold_props", "pred_props", "relation_label")}
-        told = rows.select(
-            "pair_id", "path", "scope", F.when(F.col("twins") == 1, fill(texts["feedback.refsem.target"], named)).otherwise(fill(texts["feedback.refsem.target_ambiguous"], named)).alias("target"),
-            F.when(F.col("pred_props").isNull(), F.lit(texts["feedback.refsem.used_dangling"])).when(F.col("pred_props") == "", F.lit("")).otherwise(fill(texts["feedback.refsem.used"], named)).alias("used"),
-            F.when(F.col("relation_label").isNull(), F.lit("")).otherwise(fill(texts["feedback.refsem.relation"], named)).alias("relation"), (F.col("twins") == 1).alias("certain"),
-        )
-        out = told if out is None else out.unionByName(told)
-    return nodes.sparkSession.createDataFrame([], _TOLD) if out is None else out
+        marks.append([k for k in (carrier.properties if carrier else ()) if k not in hidden])
+    is_ref = (F.col("kind") == "ref") & (F.col("score") < 1)
+    if any(marks):
+        is_carrier = F.col("node_type") == "dict"
+        held = F.max(F.when(is_carrier, F.col("gold"))).over(Window.partitionBy("pair_id", "_holder"))
+        rows = spread(nodes.where("valid").where(is_ref | is_carrier).withColumn("_holder", F.when(is_carrier, F.col("node_id")).otherwise(F.col("parent_id"))), "pair_id")
+        wrong = rows.withColumn("carrier", held).where(is_ref).select("pair_id", "path", "gold", "pred", "carrier")
+    else:
+        wrong = nodes.where("valid").where(is_ref).select("pair_id", "path", "gold", "pred", F.lit(None).cast("string").alias("carrier"))
+    shapes = ["^/" + "/".join("[0-9]+" if s == "*" or isinstance(s, int) else re.escape(escaped(s)) for s in r.steps) + "$" for r in refs]
+    own = exploded(wrong, F.array_compact(F.array(*(F.when(F.col("path").rlike(shape), F.lit(k)) for k, shape in enumerate(shapes)))), "_ref")
+    label = F.lit(None).cast("string")
+    for k, keys in enumerate(marks):
+        values = [F.when(tag(part(F.col("_held"), key)) == "string", spelt(F.to_json(part(F.col("_held"), key)))) for key in keys]
+        label = F.when(F.col("_ref") == k, F.coalesce(*values)).otherwise(label) if values else label
+    own = own.withColumns({"scope": F.get(F.lit([r.scope for r in refs]), F.col("_ref")), "_held": F.try_parse_json("carrier")}).withColumn("relation_label", label).drop("_held", "carrier")
+
+    def said(record: Column, about: Mapping) -> Column:
+        told = []
+        for key in (k for k in about if k not in hidden):
+            value = part(record, key)
+            plain = tag(value).isin("string", "integer", "number", "boolean")
+            told.append(F.when(plain, fill(texts["feedback.refsem.prop"], {"key": F.lit(key), "value": spelt(F.to_json(value))})))
+        return F.array_join(F.array_compact(F.array(*told, F.lit(None).cast("string"))), ", ")
+
+    mine: DataFrame | None = None
+    theirs: DataFrame | None = None
+    for scope in dict.fromkeys(r.scope for r in refs):
+        about, of = _schema_at(plan.schema, plan.ids[scope].record).properties, F.lit(scope).alias("scope")
+        golds = definers(pairs, plan, scope, "gold").select("pair_id", of, F.col("id").alias("gold"), said(F.col("record"), about).alias("gold_props")).where("gold_props <> ''")
+        preds = definers(pairs, plan, scope, "pred").groupBy("pair_id", F.col("id").alias("pred")).agg(F.first("record").alias("record"))
+        preds = preds.select("pair_id", of, "pred", said(F.col("record"), about).alias("pred_props"))
+        mine, theirs = (golds, preds) if mine is None else (mine.unionByName(golds), theirs.unionByName(preds))
+    mine = mine.withColumn("twins", F.count(F.lit(1)).over(Window.partitionBy("pair_id", "scope", "gold_props")))
+    rows = own.join(mine, ["pair_id", "scope", "gold"]).join(theirs, ["pair_id", "scope", "pred"], "left")
+    named = {c: F.col(c) for c in ("scope", "gold_props", "pred_props", "relation_label")}
+    return rows.select(
+        "pair_id", "path", "scope", F.when(F.col("twins") == 1, fill(texts["feedback.refsem.target"], named)).otherwise(fill(texts["feedback.refsem.target_ambiguous"], named)).alias("target"),
+        F.when(F.col("pred_props").isNull(), F.lit(texts["feedback.refsem.used_dangling"])).when(F.col("pred_props") == "", F.lit("")).otherwise(fill(texts["feedback.refsem.used"], named)).alias("used"),
+        F.when(F.col("relation_label").isNull(), F.lit("")).otherwise(fill(texts["feedback.refsem.relation"], named)).alias("relation"), (F.col("twins") == 1).alias("certain"),
+    )
 
 
 __all__ = ["describe_references", "descriptors_of_nodes", "reference_descriptors"]
