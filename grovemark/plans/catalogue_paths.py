@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import spread
 from ..operators import assignment, reference_graph, referential, table_functions
 from ..operators.nodes import node_table
 from . import catalogue as c
@@ -287,7 +288,7 @@ def describe_entry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nodes_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alignment as a table function of SQL."""
     table_functions.register(spark)
-    order_texts(spark, sf_dir).createOrReplaceTempView("_text_pairs")
+    spread(order_texts(spark, sf_dir), "pair_id").createOrReplaceTempView("_text_pairs")
     schema = json.dumps(TEXT)
     return spark.sql(f"SELECT p.pair_id AS k, round(max(n.total), 6) AS score, count(*) AS n_nodes FROM _text_pairs p, LATERAL alignment_nodes(p.gold, p.pred, '{schema}') n GROUP BY p.pair_id")
 
