@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.rows import exploded
+from ..functions.rows import exploded, spread
 
 RANKS = ("score_delta", "expected_gain", "confidence")
 OPS = ["pair_id", "rank", "op", "kind", "path", "list_path", "key", "pred_key", "gold_path", "pred_path", "score_delta", "value", "gold", "pred", "rename_group", "confidence", "total", "n_gold", "n_pred", "at"]
@@ -37,8 +37,8 @@ def repairs(nodes: DataFrame, granularity: str = "leaf", min_contribution: float
     c = F.col
     delta = F.when(c("is_leaf"), c("weight") * (1 - c("score"))).otherwise(F.lit(0.0))
     key_delta = F.coalesce(c("key_weight") * (1 - c("key_score")), F.lit(0.0))
-    # One exchange by pair serves all windows here and those over the result.
-    v = nodes.where("valid AND part = 'value'").repartition("pair_id").withColumns({"delta": delta, "loss": c("weight") * (1 - c("score")), "whole": delta + key_delta})
+    # One exchange by pair serves all windows here and those over the result; a task sorts no more rows than the session's partitions leave to it.
+    v = spread(nodes.where("valid AND part = 'value'"), "pair_id").withColumns({"delta": delta, "loss": c("weight") * (1 - c("score")), "whole": delta + key_delta})
     # A renamed key carries its own gain and all gains below; its head is the value right after the key's row.
     below = Window.partitionBy("pair_id", "renamed")
     v = v.withColumn("gain", F.sum("whole").over(below)).withColumn("sure", F.coalesce(F.try_divide(F.sum(c("whole") * c("confidence")).over(below), c("gain")), c("key_confidence")))
