@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import leaf
+from ..functions.rows import spread
 from ..functions.strings import similarity, with_similarity
 from ..operators import attribution, confidence, referential, repair, semantic, validate
 from .columns import bag_score, ordered_score
@@ -505,9 +506,10 @@ sims AS (SELECT a.k, a.i::INTEGER AS i, b.i::INTEGER AS j, 1 / (1 + abs(a.q - (b
 
 
 def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarities of each order's items with changed ones."""
+    """Similarities of each order's items with changed ones: cells are made after the exchange of the items, so its parts' number is given, not left to their bytes."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.row_number().over(w).alias("i"), F.col("l_quantity").alias("q"))
+    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"), "l_orderkey")
+    rows = items.select(F.col("l_orderkey").alias("k"), F.row_number().over(w).alias("i"), F.col("l_quantity").alias("q"))
     lists = rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("x"))
     cells = lists.select("k", "x", F.explode("x").alias("a")).select("k", "a", F.explode("x").alias("b"))
     return cells.select("k", F.col("a.i").alias("i"), F.col("b.i").alias("j"), leaf.invdiff(F.col("a.q"), (F.col("b.q") * 2) % 11).alias("score"))
