@@ -89,12 +89,16 @@ def feedback_entries(ops: DataFrame, top_k: int | None = 5, min_score_delta: flo
     )
 
 
-def feedback_text(nodes: DataFrame, ops: DataFrame, top_k: int | None = 5, min_score_delta: float = 0.0, style: str = "full", templates: Mapping[str, str] | None = None, synthesis: bool = True, dominant: float = 0.6, diagnostics: bool = True, references: DataFrame | None = None, value_formatter: Callable[[Any], str] | None = None, metadata: bool = False) -> DataFrame:
+def feedback_text(nodes: DataFrame, ops: DataFrame, top_k: int | None = 5, min_score_delta: float = 0.0, style: str = "full", templates: Mapping[str, str] | None = None, synthesis: bool = True, dominant: float = 0.6, diagnostics: bool = True, references: DataFrame | None = None, value_formatter: Callable[[Any], str] | None = None, metadata: bool = False, plain: bool = False) -> DataFrame:
     """pair_id, score, text, n_total_ops, truncated for every pair; an invalid pair's text says where it breaks the schema.
 
     metadata: also error_breakdown, a map from kinds of repairs to what all of a kind would recover, told or not.
+    plain: ``ops`` are ``repairs`` without diagnostics, thus none is below 0: they are found once, not again for diagnostics and
+    for their number, which the entries know wherever each pair with repairs has one.
     """
     texts = feedback_templates(style, templates)
+    counted = plain and not metadata and min_score_delta <= 0 and (top_k is None or top_k > 0)
+    diagnostics = diagnostics and not plain
     entries = feedback_entries(ops, top_k, min_score_delta, style, templates, references, value_formatter)
     told = entries.select("pair_id", F.lit(0).alias("note"), "seq", "text", human(F.col("op_kind")).alias("human"), "score_delta", "n_total", "truncated")
     if diagnostics:
@@ -110,9 +114,13 @@ def feedback_text(nodes: DataFrame, ops: DataFrame, top_k: int | None = 5, min_s
     own = own.withColumn("sums", F.slice(F.sort_array(summed), 1, 3)).withColumn("whole", F.aggregate("own", F.lit(0.0), lambda s, x: s + x["score_delta"]))
     own = own.select("pair_id", "doubts", "lines", "n_shown", "truncated", "n_kept", F.get("sums", F.lit(0))["human"].alias("dominant"), F.try_divide(-F.get("sums", F.lit(0))["less"], F.col("whole")).alias("fraction"), F.array_join(F.transform("sums", lambda x: x["human"]), ", ").alias("kinds"))
     roots = nodes.where("parent_id IS NULL").select("pair_id", "valid", F.col("total").alias("score"), "error_path", "error")
-    sums = ops.where("kind <> 'pairing_ambiguous'").groupBy("pair_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("score_delta").alias("delta"))
-    totals = sums.groupBy("pair_id").agg(F.sum("n").alias("n_total_ops"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "delta")))).alias("error_breakdown"))
-    out = roots.join(own, "pair_id", "left").join(totals, "pair_id", "left")
+    out = roots.join(own, "pair_id", "left")
+    if counted:
+        out = out.withColumn("n_total_ops", F.col("n_kept"))
+    else:
+        sums = ops.where("kind <> 'pairing_ambiguous'").groupBy("pair_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("score_delta").alias("delta"))
+        totals = sums.groupBy("pair_id").agg(F.sum("n").alias("n_total_ops"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "delta")))).alias("error_breakdown"))
+        out = out.join(totals, "pair_id", "left")
     score, deficit = F.col("score"), 1 - F.col("score")
     n_total, n_shown = F.coalesce("n_total_ops", F.lit(0)), F.coalesce("n_shown", F.lit(0))
     values = {"score": score, "score_pct": 100 * score, "deficit": deficit, "deficit_pct": 100 * deficit, "n_shown": n_shown, "n_total": n_total, "dominant_kind": F.col("dominant"), "dominant_kind_human": F.col("dominant"), "dominant_fraction": F.col("fraction"), "dominant_fraction_pct": 100 * F.col("fraction"), "top_kinds": F.col("kinds"), "path": F.col("error_path"), "message": F.col("error")}

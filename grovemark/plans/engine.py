@@ -268,7 +268,7 @@ class Aligner:
         return repair.repaired(with_json(pairs), ops)
 
     def feedback(self, nodes: DataFrame, ops: DataFrame | None = None, **options) -> DataFrame:
-        return feedback.feedback_text(nodes, self.repair(nodes) if ops is None else ops, templates=self.templates, **options)
+        return feedback.feedback_text(nodes, self.repair(nodes) if ops is None else ops, templates=self.templates, plain=ops is None, **options)
 
     def references(self, pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         """What wrong references should point to, for ``feedback(..., references=...)``. Given the ``nodes`` of pairs of JSON text it is found by

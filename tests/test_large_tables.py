@@ -64,3 +64,17 @@ def test_a_batch_is_parsed_bit_by_bit(monkeypatch):
     batch = pa.record_batch([pa.array([str(k) for k in range(10_000)])], ["_gold"])
     next(iter(nodes.values(batch, "_gold")))
     assert 0 < len(seen) <= nodes.HELD
+
+
+def test_feedback_finds_repairs_once(spark):
+    """Pairs are read for their scores and once for their repairs, and texts are those of repairs that are given."""
+    pairs = contract.catalogue.order_structs(spark, SMALL)
+    aligner = Aligner(contract.catalogue.ORDER_SCHEMA, skip_validation=True)
+    table = aligner.nodes(pairs)
+    given, own = (aligner.feedback(table, ops, top_k=1) for ops in (aligner.repair(table), None))
+    reads = [df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in (given, own)]
+    assert reads == [4, 2]
+    assert sorted(map(tuple, given.collect())) == sorted(map(tuple, own.collect()))
+    for options in ({"min_score_delta": 0.1}, {"top_k": 0}, {"metadata": True}):
+        told = [sorted(map(str, aligner.feedback(table, ops, **options).collect())) for ops in (aligner.repair(table), None)]
+        assert told[0] == told[1]
