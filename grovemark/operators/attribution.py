@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.rows import spread
+
 GRANULARITIES = ("leaf", "subtree", "all")
 
 
@@ -25,7 +27,7 @@ def attribution(nodes: DataFrame, granularity: str = "leaf", include_empty: bool
     rows = rows.where("weight > 0 OR kind = 'absent'" if include_empty else "weight > 0 AND (has_gold OR has_pred)")
     rows = rows.withColumn("contribution", F.col("weight") * (1 - F.col("score")))
     order = Window.partitionBy("pair_id").orderBy(F.desc("contribution"), "node_id")
-    return rows.select(
+    return spread(rows, "pair_id").select(
         "pair_id", F.row_number().over(order).alias("rank"), "path", "score", "weight", "contribution", "gold", "pred", "is_leaf",
         F.when(F.col("is_leaf"), F.col("kind")).alias("leaf_kind"), "node_type", F.when(~F.col("is_leaf"), F.col("kind")).alias("node_kind"), "part",
     )
