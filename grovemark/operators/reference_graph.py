@@ -112,29 +112,41 @@ def reference_edges(ends: DataFrame, known: DataFrame, keys: list[str]) -> DataF
 def refined(edges: DataFrame, vertices: DataFrame, keys: list[str], rounds: int | None = None, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """(keys, vertex, color) once refining finds no more colours, or after ``rounds``; equal over all graphs that are refined together.
 
-    vertices: (keys, vertex, seed); ends of edges that it lacks have the seed ''. A colour is the hash of the one before and of a sum of
-    hashes over the edges around, which is the same in any order and combined before its exchange. Each round's table is
-    stored, and the number of its colours compared with that before; at most as many rounds as the largest graph has vertices.
+    vertices: (keys, vertex, seed); ends of edges that it lacks have the seed ''. A colour is the hash of the one before and of sums of
+    hashes over the edges around, which are the same in any order. Each round's table is stored, and the number of its colours compared
+    with that before; at most as many rounds as the largest graph has vertices.
+
+    Vertices are numbered once, so that rounds handle numbers alone, and join once: the colour before comes by an edge of its own.
     """
-    both = edges.select(*keys, F.col("src").alias("vertex"), F.col("dst").alias("near"), F.xxhash64(F.lit("out"), "role", "label").alias("_e"))
-    both = store(both.unionByName(edges.select(*keys, F.col("dst").alias("vertex"), F.col("src").alias("near"), F.xxhash64(F.lit("in"), "role", "label").alias("_e"))))
-    seeds = vertices.select(*keys, "vertex", F.coalesce("seed", F.lit("")).alias("seed"))
-    colors = both.select(*keys, "vertex").distinct().join(seeds, [*keys, "vertex"], "full").select(*keys, "vertex", F.xxhash64(F.coalesce("seed", F.lit(""))).alias("color"))
-    colors = store(colors)
+    said = lambda way: F.xxhash64(F.lit(way), "role", "label")
+    edges = store(edges.select(*keys, "src", "dst", said("out").alias("_out"), said("in").alias("_in")))
+    ends = [edges.select(*keys, F.col(end).alias("vertex"), F.lit("").alias("seed")) for end in ("src", "dst")]
+    known = vertices.select(*keys, "vertex", F.coalesce("seed", F.lit("")).alias("seed")).unionByName(ends[0]).unionByName(ends[1])
+    named = store(known.groupBy(*keys, "vertex").agg(F.max("seed").alias("seed")).withColumn("id", F.monotonically_increasing_id()))
+    most = rounds if rounds is not None else named.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    both = edges
+    for end in ("src", "dst"):
+        both = both.join(named.select(*keys, F.col("vertex").alias(end), F.col("id").alias(f"_{end}")), [*keys, end])
+    way = lambda a, b, e: F.struct(F.col(a).alias("vertex"), F.col(b).alias("near"), F.col(e).alias("_e"))
+    both = both.select(F.inline(F.array(way("_src", "_dst", "_out"), way("_dst", "_src", "_in"))))
+    # a vertex is near itself, by an edge that says nothing: it brings the colour before
+    both = store(both.unionByName(named.select(F.col("id").alias("vertex"), F.col("id").alias("near"), F.lit(None).cast("long").alias("_e"))))
+    colors = store(named.select("id", F.xxhash64("seed").alias("color")))
     count = lambda c: c.agg(F.count_distinct("color")).first()[0]
-    found, most = count(colors), rounds
-    if most is None:
-        most = colors.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    found = count(colors)
+    # sums of halves can't overflow
+    half = lambda k: (F.xxhash64("_m", F.lit(k)).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.xxhash64("_m", F.lit(k)), 32))
+    sums = [F.sum(h).alias(f"_{k}{n}") for k in (1, 2) for n, h in enumerate(half(k))]
     for _ in range(most):
-        seen = both.join(colors.withColumnRenamed("vertex", "near"), [*keys, "near"]).select(*keys, "vertex", F.xxhash64("_e", "color").alias("_m"))
-        sums = [F.sum(F.xxhash64("_m", F.lit(k)).cast("decimal(38,0)")).alias(f"_{k}") for k in (1, 2)]
-        around = seen.groupBy(*keys, "vertex").agg(*sums, F.count(F.lit(1)).alias("_n"))
-        new = store(colors.join(around, [*keys, "vertex"], "left").select(*keys, "vertex", F.xxhash64("color", "_1", "_2", "_n").alias("color")))
+        seen = both.join(colors, F.col("near") == F.col("id"))
+        seen = seen.select("vertex", F.when(F.col("_e").isNull(), F.col("color")).alias("_own"), F.when(F.col("_e").isNotNull(), F.xxhash64("_e", "color")).alias("_m"))
+        around = seen.groupBy("vertex").agg(F.max("_own").alias("_own"), F.count("_m").alias("_n"), *sums)
+        new = store(around.select(F.col("vertex").alias("id"), F.xxhash64("_own", "_n", "_10", "_11", "_20", "_21").alias("color")))
         more = count(new)
         if more == found:
             break
         colors, found = new, more
-    return colors
+    return named.join(colors, "id").select(*keys, "vertex", "color")
 
 
 def graph_colors(pairs: DataFrame, plan: Comparison, scope: str, mapped: DataFrame | None = None, blend: bool = False, rounds: int | None = None) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from grovemark.operators import nodes
+from grovemark.operators.reference_graph import refined
 from grovemark.plans import catalogue_documents as documents
 from grovemark.plans.engine import Aligner
+from grovemark.sources.stored import stored
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -78,3 +80,30 @@ def test_feedback_finds_repairs_once(spark):
     for options in ({"min_score_delta": 0.1}, {"top_k": 0}, {"metadata": True}):
         told = [sorted(map(str, aligner.feedback(table, ops, **options).collect())) for ops in (aligner.repair(table), None)]
         assert told[0] == told[1]
+
+
+def test_rounds_of_colours_join_once_and_by_numbers(spark):
+    """Chains of six, one of them turned round, and a vertex with many others around it, next to brute force."""
+    plans = []
+
+    def store(df):
+        plans.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), {kind for _, kind in df.dtypes}))
+        return stored(df)
+
+    chains = [(g, f"v{a}", f"v{a + 1}", "r", "") for g in ("a", "b") for a in range(5)] + [("c", f"v{a + 1}", f"v{a}", "r", "") for a in range(5)]
+    edges = chains + [("hub", f"v{a}", "hub:0", "r", "odd" if a == 7 else "") for a in range(50)] + [("loop", "v0", "v0", "r", "")]
+    names = {(g, v) for g, *ends, _, _ in edges for v in ends if not v.startswith("hub:")} | {("alone", "v0"), ("alone", "v1")}
+    seeds = {(g, v): "said" if (g, v) == ("alone", "v1") else None for g, v in names}
+    found = refined(spark.createDataFrame(edges, "g string, src string, dst string, role string, label string"), spark.createDataFrame([(*k, s) for k, s in seeds.items()], "g string, vertex string, seed string"), ["g"], store=store)
+    colors = {(r.g, r.vertex): r.color for r in found.collect()}
+    expected = dict.fromkeys(names | {("hub", "hub:0")}, "") | {k: s or "" for k, s in seeds.items()}
+    for _ in range(52):
+        around = {k: sorted([("out", lab, expected[g, d]) for g, s, d, _, lab in edges if (g, s) == k] + [("in", lab, expected[g, s]) for g, s, d, _, lab in edges if (g, d) == k]) for k in expected}
+        kinds = {x: n for n, x in enumerate(sorted({repr((expected[k], around[k])) for k in expected}))}
+        new = {k: str(kinds[repr((expected[k], around[k]))]) for k in expected}
+        if len(set(new.values())) == len(set(expected.values())):
+            break
+        expected = new
+    assert colors.keys() == expected.keys()
+    assert len(set(colors.values())) == len(set(expected.values())) == len({(colors[k], expected[k]) for k in expected})
+    assert plans[-1] == (1, {"bigint"})
