@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def exploded(df: DataFrame, values: Column, out: str) -> DataFrame:
-    """``df`` with a row for each of ``values`` (an array that may be computed from its columns) as ``out``.
+    """``df`` with a row for each of ``values`` (an array that may be computed from its columns) as ``out``; nulls in it have none.
 
     The array stays a column that the rows' filter reads: the optimizer notes columns that only a generator reads by position, and
     rules that later reorder the columns below a generator (windows whose keys turn out constant) make it drop others instead.

@@ -124,10 +124,11 @@ def with_json(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFram
     return df.withColumn("_gold", text(gold)).withColumn("_pred", text(pred))
 
 
-def kernel_input(pairs: DataFrame) -> DataFrame:
+def kernel_input(pairs: DataFrame, dealt: bool = False) -> DataFrame:
     """(pair_id, _gold, _pred, and _likeness if there): structs, lists and numbers go to Python as they are, others as JSON text.
 
     Pairs are shared out among all cores, however few splits their files have: Python takes far longer over one than its exchange.
+    Those that are ``dealt`` already stay where they are.
     """
     more = ["_likeness"] if "_likeness" in pairs.columns else []
     spelt = with_json(pairs)
@@ -135,7 +136,8 @@ def kernel_input(pairs: DataFrame) -> DataFrame:
         kind = pairs.schema[c].dataType
         if not isinstance(kind, T.StringType) and plain(kind):
             spelt = spelt.withColumn(f"_{c}", F.col(c))
-    return spread(spelt.select(F.col("pair_id").cast("string").alias("pair_id"), "_gold", "_pred", *more), "pair_id", "_gold")
+    rows = spelt.select(F.col("pair_id").cast("string").alias("pair_id"), "_gold", "_pred", *more)
+    return rows if dealt else spread(rows, "pair_id", "_gold")
 
 
 def values(batch: pa.RecordBatch, column: str) -> Iterator[Any]:
@@ -213,7 +215,7 @@ def breach_of(raw_schema: dict, skip_validation: bool, pair_id: str, gold: Any,
     return first_error(raw_schema, pred)
 
 
-def kernel_scores(pairs: DataFrame, plan: Comparison, raw_schema: dict, skip_validation: bool = False) -> DataFrame:
+def kernel_scores(pairs: DataFrame, plan: Comparison, raw_schema: dict, skip_validation: bool = False, dealt: bool = False) -> DataFrame:
     """pair_id, score as ``node_table`` finds them, without its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +226,7 @@ def kernel_scores(pairs: DataFrame, plan: Comparison, raw_schema: dict, skip_val
                 scores.append(0.0 if breach_of(raw_schema, skip_validation, pair_id, gold, pred) else float(plan.compare(gold, pred, known)[0].score))
             yield pa.record_batch([pa.array(ids, pa.string()), pa.array(scores, pa.float64())], ["pair_id", "score"])
 
-    return kernel_input(pairs).mapInArrow(run, "pair_id string, score double")
+    return kernel_input(pairs, dealt).mapInArrow(run, "pair_id string, score double")
 
 
 __all__ = ["COLUMNS", "INVALID", "NODES", "escaped", "flatten", "kernel_input", "kernel_scores", "node_rows", "node_table", "parsed", "shown", "spelling", "with_json"]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import copy
 import json
+from collections.abc import Iterable
+from functools import lru_cache
+from itertools import islice
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -37,8 +40,13 @@ def repairs(nodes: DataFrame, granularity: str = "leaf", min_contribution: float
     c = F.col
     delta = F.when(c("is_leaf"), c("weight") * (1 - c("score"))).otherwise(F.lit(0.0))
     key_delta = F.coalesce(c("key_weight") * (1 - c("key_score")), F.lit(0.0))
-    # One exchange by pair serves all windows here and those over the result; a task sorts no more rows than the session's partitions leave to it.
-    v = spread(nodes.where("valid AND part = 'value'"), "pair_id").withColumns({"delta": delta, "loss": c("weight") * (1 - c("score")), "whole": delta + key_delta})
+    # What is right and lies under no rename has no repair, and no window looks at it. One exchange by pair serves all windows here and
+    # those over the result; a task sorts no more rows than the session's partitions leave to it.
+    wrong = (c("score") < 1) | (c("kind") == "unmatched")
+    wanted = c("renamed").isNotNull() | (c("is_leaf") & wrong if granularity == "leaf" else wrong)
+    if include_ambiguous:
+        wanted = wanted | (c("confidence") < ambiguity_threshold)
+    v = spread(nodes.where("valid AND part = 'value'").where(wanted), "pair_id").withColumns({"delta": delta, "loss": c("weight") * (1 - c("score")), "whole": delta + key_delta})
     # A renamed key carries its own gain and all gains below; its head is the value right after the key's row.
     below = Window.partitionBy("pair_id", "renamed")
     v = v.withColumn("gain", F.sum("whole").over(below)).withColumn("sure", F.coalesce(F.try_divide(F.sum(c("whole") * c("confidence")).over(below), c("gain")), c("key_confidence")))
@@ -67,7 +75,7 @@ def repairs(nodes: DataFrame, granularity: str = "leaf", min_contribution: float
         kinds.append(F.when(~c("is_leaf") & lacking & (c("parent_id").isNull() if granularity == "subtree" else F.lit(True)), "subtree_replace"))
     if include_ambiguous:
         kinds.append(F.when(((c("node_type") == "dict") | (c("kind") == "reorder")) & (c("confidence") < ambiguity_threshold), "pairing_ambiguous"))
-    ops = exploded(v, F.array_compact(F.array(*kinds)), "op_kind")
+    ops = exploded(v, F.array(*kinds), "op_kind")
     k = c("op_kind")
     name = F.when(k.isin("key_add", "key_rename_add", "list_item_add", "list_item_missing"), "add").when(k.isin("key_remove", "key_rename_remove", "list_item_remove", "list_item_excess"), "remove").when(k == "pairing_ambiguous", "describe").otherwise("replace")
     ops = ops.select(
@@ -96,8 +104,9 @@ def error_breakdown(ops: DataFrame) -> DataFrame:
     return ops.where("kind <> 'pairing_ambiguous'").groupBy("pair_id", "kind").agg(F.sum("score_delta").alias("delta"))
 
 
-def _steps(path: str) -> list[str]:
-    return [t.replace("~1", "/").replace("~0", "~") for t in path.split("/")[1:]] if path not in ("", "/") else []
+@lru_cache(10_000)
+def _steps(path: str) -> tuple[str, ...]:
+    return tuple(t.replace("~1", "/").replace("~0", "~") for t in path.split("/")[1:]) if path not in ("", "/") else ()
 
 
 def _index(items: list, step: str, adds: bool = False) -> int:
@@ -166,31 +175,46 @@ def apply_operation(target: Any, op: str, kind: str, path: str, value: Any, old:
     return target
 
 
+@lru_cache(10_000)
+def _place(op: str, kind: str, path: str) -> tuple:
+    """Where a repair stands among those of its pair."""
+    steps = _steps(path)
+    at = tuple(int(s) if s.isdigit() else -1 for s in steps)
+    return -len(steps) - (kind in BY_VALUE), {"replace": 0, "remove": 1, "add": 2}.get(op, 3), tuple(-x for x in at) if op == "remove" else at if op == "add" else ()
+
+
+def _changed(out: Any, ops: Iterable[tuple]) -> Any:
+    """``out``, changed by repairs (op, kind, at, value, pred)."""
+    for op, kind, at, value, old in sorted(ops, key=lambda o: _place(*o[:3])):
+        old = json.loads(old) if old is not None and kind in BY_VALUE else None
+        out = apply_operation(out, op, kind, at, None if value is None else json.loads(value), old)
+    return out
+
+
 def apply_repairs(pred: Any, ops: list[dict]) -> Any:
     """All repairs on a copy: inner ones first, so that their places still hold; at one depth replacements, then
     removals from the back of lists, then additions from the front."""
-    out = copy.deepcopy(pred)
-    order = {"replace": 0, "remove": 1, "add": 2}
-
-    def place(o: dict) -> tuple:
-        steps = _steps(o["at"])
-        at = tuple(int(s) if s.isdigit() else -1 for s in steps)
-        return -len(steps) - (o["kind"] in BY_VALUE), order.get(o["op"], 3), tuple(-x for x in at) if o["op"] == "remove" else at if o["op"] == "add" else ()
-
-    for o in sorted(ops, key=place):
-        value = None if o["value"] is None else json.loads(o["value"])
-        old = None if o["pred"] is None else json.loads(o["pred"])
-        out = apply_operation(out, o["op"], o["kind"], o["at"], value, old)
-    return out
+    return _changed(copy.deepcopy(pred), [(o["op"], o["kind"], o["at"], o["value"], o["pred"]) for o in ops])
 
 
-def repaired(pairs: DataFrame, ops: DataFrame) -> DataFrame:
-    """pair_id, repaired: each pred (JSON text in _pred) with its repairs applied. A pair's repairs meet in one row."""
-    listed = ops.groupBy(F.col("pair_id").alias("_pair")).agg(F.sort_array(F.collect_list(F.struct("rank", "op", "kind", "at", "value", "pred"))).alias("_ops"))
+_encoded = json.JSONEncoder(ensure_ascii=False).encode
 
-    @F.pandas_udf("string")
-    def run(pred: pd.Series, given: pd.Series) -> pd.Series:
-        return pd.Series([p if o is None else json.dumps(apply_repairs(json.loads(p), [dict(x) for x in o]), ensure_ascii=False) for p, o in zip(pred, given, strict=True)])
 
-    both = pairs.join(listed, F.col("pair_id").cast("string") == F.col("_pair"), "left")
-    return both.select(F.col("pair_id").cast("string").alias("pair_id"), run("_pred", "_ops").alias("repaired"))
+def repaired(pairs: DataFrame, ops: DataFrame, *kept: str) -> DataFrame:
+    """pair_id, repaired: each pred (JSON text in _pred) with its repairs applied, and columns of ``pairs`` that are kept. A pair's repairs meet in one row.
+
+    Pairs are shared out as their repairs are, so that the two meet, and go to Python, where they are.
+    """
+    old = F.when(F.col("kind").isin(*BY_VALUE), F.col("pred")).alias("pred")  # others are found by their place
+    listed = ops.groupBy(F.col("pair_id").alias("_pair")).agg(F.sort_array(F.collect_list(F.struct("rank", "op", "kind", "at", "value", old))).alias("_ops"))
+
+    @F.arrow_udf("string")
+    def run(pred: pa.Array, given: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in given.flatten().flatten()[1:]), strict=True)  # of all pairs, one after another
+        out = []
+        for text, n in zip(pred.to_pylist(), given.value_lengths().to_pylist(), strict=True):
+            out.append(_encoded(_changed(json.loads(text), islice(rows, n))) if n else text)
+        return pa.array(out, pa.string())
+
+    own = spread(pairs.select(F.col("pair_id").cast("string").alias("pair_id"), "_pred", *kept), "pair_id")
+    return own.join(listed, F.col("pair_id") == F.col("_pair"), "left").select("pair_id", run("_pred", "_ops").alias("repaired"), *kept)

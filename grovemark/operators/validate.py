@@ -219,4 +219,6 @@ def json_text(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.IntegralType, T.BooleanType)):
         return value.cast("string")
     whole = F.to_json(F.array(value))
+    if isinstance(kind, (T.StringType, T.NumericType)):  # neither begins or ends with a bracket as JSON
+        return F.when(value.isNotNull(), F.btrim(whole, F.lit("[]")))
     return F.when(value.isNotNull(), F.substring(whole, 2, 1 << 30).substr(F.lit(1), F.length(whole) - 2))

@@ -423,9 +423,8 @@ def repair_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     aligner = Aligner(ORDER_SCHEMA, skip_validation=True)
     pairs = order_structs(spark, sf_dir)
-    fixed = aligner.apply(pairs, aligner.repair(aligner.nodes(pairs)))
-    gold = with_json(pairs).select(F.col("pair_id").cast("string").alias("pair_id"), F.col("_gold").alias("gold"))
-    return _keyed(aligner.score(fixed.join(gold, "pair_id").select("pair_id", "gold", F.col("repaired").alias("pred"))))
+    fixed = aligner.apply(with_json(pairs), aligner.repair(aligner.nodes(pairs)), "_gold")
+    return _keyed(aligner.score(fixed.select("pair_id", F.col("_gold").alias("gold"), F.col("repaired").alias("pred")), dealt=True))
 
 
 @query(None)

@@ -45,8 +45,11 @@ class Aligner:
         feedback.feedback_templates("full", templates)
         describe.describe_templates(description_templates)
 
-    def score(self, pairs: DataFrame) -> DataFrame:
-        """pair_id, score. A pred that breaks the schema scores 0, a gold that does raises, unless validation is skipped."""
+    def score(self, pairs: DataFrame, dealt: bool = False) -> DataFrame:
+        """pair_id, score. A pred that breaks the schema scores 0, a gold that does raises, unless validation is skipped.
+
+        Pairs for the kernel are shared out among all cores first, but for those that are ``dealt`` already, as ``apply`` leaves them.
+        """
         kinds = _kinds(pairs)
         if kinds["gold"].typeName() != "string":
             try:
@@ -68,7 +71,7 @@ class Aligner:
                 return self._by_variants(pairs)
             except Unsupported:
                 pass
-        return kernel_scores(self._with_likenesses(pairs), self.plan, self.raw, self.skip_validation)
+        return kernel_scores(self._with_likenesses(pairs), self.plan, self.raw, self.skip_validation, dealt)
 
     def _by_variants(self, pairs: DataFrame) -> DataFrame:
         """pair_id, score of JSON texts by expressions; only pairs whose objects have unequal keys to be matched by likeness go to the kernel."""
@@ -263,9 +266,9 @@ class Aligner:
         """pair_id, result: feedback with its entries and sums as JSON text."""
         return feedback.feedback_json(nodes, self.repair(nodes) if ops is None else ops, templates=self.templates, **options)
 
-    def apply(self, pairs: DataFrame, ops: DataFrame) -> DataFrame:
-        """pair_id, repaired: preds (JSON text) with their repairs."""
-        return repair.repaired(with_json(pairs), ops)
+    def apply(self, pairs: DataFrame, ops: DataFrame, *kept: str) -> DataFrame:
+        """pair_id, repaired: preds (JSON text) with their repairs; and columns of ``pairs`` to be kept beside them."""
+        return repair.repaired(with_json(pairs), ops, *kept)
 
     def feedback(self, nodes: DataFrame, ops: DataFrame | None = None, **options) -> DataFrame:
         return feedback.feedback_text(nodes, self.repair(nodes) if ops is None else ops, templates=self.templates, plain=ops is None, **options)

@@ -201,7 +201,7 @@ def typed_nodes(pairs: DataFrame, node: Node, kinds: dict[str, T.DataType], opti
     if all(r.there is None for r in rows):
         numbers = F.lit(list(range(len(rows))))
     else:
-        numbers = F.array_compact(F.array(*(F.lit(k) if r.there is None else F.when(r.there, F.lit(k)) for k, r in enumerate(rows))))
+        numbers = F.array(*(F.lit(k) if r.there is None else F.when(r.there, F.lit(k)) for k, r in enumerate(rows)))
     if lists:  # row i of a list in place k has the number k + (i + 1) * PLACES
         of = lambda k, items: F.transform(items.rows, lambda _, i: (i.cast("long") + 1) * PLACES + k)
         numbers = F.concat(numbers.cast("array<long>"), *(F.coalesce(of(k, items), F.array().cast("array<long>")) for k, items in lists))
@@ -227,11 +227,14 @@ def typed_nodes(pairs: DataFrame, node: Node, kinds: dict[str, T.DataType], opti
             odd = values[0]
         if not any(isinstance(v, Column) for v in values):
             got = F.lit(values[0]).cast(kind) if all(v == values[0] for v in values) else F.get(F.array(*(F.lit(v).cast(kind) for v in values)), n)
-        else:
-            got = None
-            for k, v in enumerate(values):
-                v = (v if isinstance(v, Column) else F.lit(v)).cast(kind)
-                got = F.when(n == k, v) if got is None else got.when(n == k, v)
+        else:  # a branch only for what is computed: the JVM leaves methods beyond 8,000 bytes of code uncompiled
+            plain = [None if isinstance(v, Column) else v for v in values]
+            got = F.get(F.array(*(F.lit(v).cast(kind) for v in plain)), n) if any(v is not None for v in plain) else F.lit(None).cast(kind)
+            branches = [(k, v.cast(kind)) for k, v in enumerate(values) if isinstance(v, Column)]
+            chosen = F.when(n == branches[0][0], branches[0][1])
+            for k, v in branches[1:]:
+                chosen = chosen.when(n == k, v)
+            got = chosen.otherwise(got)
         for k, about in below.items():
             v = about[name]
             got = F.when((n == k) & F.col("_i").isNotNull(), (v if isinstance(v, Column) else F.lit(v)).cast(kind)).otherwise(got)

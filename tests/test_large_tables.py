@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from grovemark.operators import nodes
+from grovemark.operators import nodes, repair
 from grovemark.operators.reference_graph import refined
 from grovemark.plans import catalogue_documents as documents
 from grovemark.plans.engine import Aligner
@@ -50,6 +50,42 @@ def test_windows_over_repairs_keep_their_parts(spark):
     assert parts(aligner.repair(aligner.nodes(pairs))) >= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_repairs_are_applied_in_as_many_parts_as_they_are_found(spark):
+    pairs = spark.range(2_000).coalesce(1).select(F.col("id").alias("pair_id"), F.struct(F.col("id").alias("a")).alias("gold"), F.struct((F.col("id") + 1).alias("a")).alias("pred"))
+    aligner = Aligner(TEXT)
+    assert parts(aligner.apply(pairs, aligner.repair(aligner.nodes(pairs)))) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_pairs_are_read_twice_and_joined_once_to_apply_repairs(spark):
+    plan = contract.queries()["repair_apply"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("Relation ["), plan.count("Join "), plan.count("RepartitionByExpression")) == (2, 1, 2)
+
+
+def test_what_is_right_is_not_exchanged_for_repairs(spark, monkeypatch):
+    """Only the value that is wrong, or both values of a pair under a renamed key."""
+    seen = []
+    monkeypatch.setattr(repair, "spread", lambda df, *keys: seen.append(df.count()) or df)
+    value = {"type": "object", "properties": {"ab": {"type": "integer"}, "cd": {"type": "integer"}}}
+    pairs = spark.range(100).select(F.col("id").alias("pair_id"), F.struct(F.col("id").alias("ab"), F.lit(1).alias("cd")).alias("gold"), F.struct(F.floor(F.col("id") / 2).alias("ab"), F.lit(1).alias("cd")).alias("pred"))
+    aligner = Aligner({"type": "object", "properties": {"in": value}})
+    whole = pairs.select("pair_id", F.struct(F.col("gold").alias("in")).alias("gold"), F.struct(F.col("pred").alias("in")).alias("pred"))
+    assert aligner.repair(aligner.nodes(whole)).count() == seen.pop() == 99
+    renamed = whole.withColumn("pred", F.struct(F.col("pred.in").alias("inn")))
+    found = aligner.repair(aligner.nodes(renamed)).where("rank = 1").select("kind", F.round("score_delta", 9)).distinct().collect()
+    assert seen.pop() == 300 and len(found) > 1 and {r.kind for r in found} == {"key_rename_add"}
+
+
+def test_code_of_rows_of_nodes_stays_compilable(spark):
+    """HotSpot interprets methods of more than 8,000 bytes, many times slower."""
+    pairs = contract.catalogue.order_structs(spark, SMALL)
+    aligner = Aligner(contract.catalogue.ORDER_SCHEMA, skip_validation=True)
+    debug = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.debug.package$").getField("MODULE$").get(None)
+    ops = aligner.repair(aligner.nodes(pairs)).select("pair_id", "rank", "op", "kind", "at", "value", "pred")
+    ops.collect()  # fixes its plan
+    code = debug.codegenStringSeq(ops._jdf.queryExecution().executedPlan())
+    assert code.size() and all(code.apply(k)._3().maxMethodCodeSize() < 8_000 for k in range(code.size()))
+
+
 def test_cells_of_orders_keep_their_parts(spark):
     for name in ("confidence_margin", "confidence_entropy"):
         assert parts(contract.queries()[name](spark, SMALL)) >= 4 * spark.sparkContext.defaultParallelism
